@@ -16,7 +16,11 @@ from textlens.functions.text import ngrams, tokens
 from textlens.operators.features import (
     category_map, fit_idf, hashed_tf, presence, tfidf,
 )
+from textlens.operators.evaluate import (
+    accuracy, assign_folds, kfold_naive_bayes, kfold_roles, soft_accuracy,
+)
 from textlens.operators.naive_bayes import fit_naive_bayes
+from textlens.operators.rowindex import row_index
 from textlens.plans import oracle as O
 from textlens.plans import params as P
 from textlens.sources.tables import load_observations, read_table
@@ -156,6 +160,71 @@ def q_nb_predict(spark, base):
     return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
 
 
+# -------------------------------------------------------------- evaluation
+
+@register("row_index", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM documents")
+def q_row_index(spark, base):
+    return row_index(_docs(spark, base).select("doc_id"), "doc_id")
+
+
+@register("kfold", f"WITH obs AS ({O.obs_sql()}),\n"
+                   f"ix AS (SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % {P.EVAL_K} AS INTEGER) AS g FROM obs)\n"
+                   f"SELECT CAST(f.range AS INTEGER) AS fold, ix.doc_id, CASE WHEN ix.g = f.range THEN 'test' ELSE 'train' END AS role "
+                   f"FROM ix CROSS JOIN range({P.EVAL_K}) f")
+def q_kfold(spark, base):
+    return kfold_roles(assign_folds(_obs(spark, base), P.EVAL_K), P.EVAL_K)
+
+
+_KF = O.kfold_ctes(P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA])
+_KF_GRID = O.kfold_ctes(P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, list(P.NB_GRID))
+_ACC_SQL = (f"SELECT {{cols}}, CAST(count(*) AS BIGINT) AS n_test, "
+            f"round(avg(CASE WHEN category = actual THEN {O.dbl(1)} ELSE {O.dbl(0)} END), {O.D}) AS accuracy "
+            f"FROM pred GROUP BY {{cols}}")
+
+
+@register("kfold_accuracy", f"WITH {_KF}\n" + _ACC_SQL.format(cols="fold"))
+def q_kfold_accuracy(spark, base):
+    pred = kfold_naive_bayes(_obs(spark, base), P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA])
+    return accuracy(pred, ["fold"]).select("fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
+
+
+@register("kfold_predictions", f"WITH {_KF}\nSELECT fold, doc_id, category, round(confidence, {O.D}) AS confidence, actual FROM pred")
+def q_kfold_predictions(spark, base):
+    pred = kfold_naive_bayes(_obs(spark, base), P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA])
+    return pred.select("fold", "doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "actual")
+
+
+@register("nb_grid", f"WITH {_KF_GRID}\n" + _ACC_SQL.format(cols="lam, fold"))
+def q_nb_grid(spark, base):
+    pred = kfold_naive_bayes(_obs(spark, base), P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, list(P.NB_GRID))
+    return accuracy(pred, ["lam", "fold"]).select("lam", "fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
+
+
+@register("train_accuracy", f"{_NB_HEAD},\n{O.nb_predict_ctes('obs', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES)}\n"
+                            f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN p.category = o.category "
+                            f"THEN {O.dbl(1)} ELSE {O.dbl(0)} END), {O.D}) AS accuracy FROM pred p JOIN obs o ON o.doc_id = p.doc_id")
+def q_train_accuracy(spark, base):
+    obs = _obs(spark, base)
+    pred = _nb(spark, base).predict(obs.select("doc_id", "text"))
+    joined = pred.join(obs.select("doc_id", F.col("category").alias("actual")), "doc_id")
+    return (joined.agg(F.count(F.lit(1)).alias("n"),
+                       F.avg((F.col("category") == F.col("actual")).cast("double")).alias("accuracy"))
+            .select("n", rounded(F.col("accuracy")).alias("accuracy")))
+
+
+@register("soft_accuracy", f"{_NB_HEAD},\nq_tf AS ({O.tf_sql('obs', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES)}),\n"
+                           f"q_x AS ({O.tfidf_sql('q_tf')}),\n{O.nb_z_ctes('obs', 'q_x')},\n"
+                           f"pr AS (SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS p "
+                           f"FROM (SELECT doc_id, label, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM z))\n"
+                           f"SELECT pr.label, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN pr.label = o.label "
+                           f"THEN p ELSE 1 - p END), {O.D}) AS soft_accuracy FROM pr JOIN obs o ON o.doc_id = pr.doc_id GROUP BY pr.label")
+def q_soft_accuracy(spark, base):
+    obs = _obs(spark, base)
+    probs = _nb(spark, base).probabilities(obs.select("doc_id", "text"))
+    return soft_accuracy(probs, obs.select("doc_id", "label")).select(
+        "label", "n", rounded(F.col("soft_accuracy")).alias("soft_accuracy"))
+
+
 def queries() -> dict[str, SparkQuery]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -131,3 +131,48 @@ def nb_predict_ctes(qsrc: str, ids: list[str], n: int, v: int, prefix: str = "",
             f"{out}_x AS ({tfidf_sql(out + '_tf', prefix, ids=ids)}),\n"
             f"{nb_z_ctes(qsrc, out + '_x', prefix, ids)},\n"
             f"{softmax_best_ctes(prefix + 'z', out, prefix, ids)}")
+
+
+def kfold_ctes(k: int, n: int, v: int, lams: list[float], label_col: str = P.LABEL_COL) -> str:
+    """Brute-force k-fold Naive Bayes: every (lam, fold) model fitted on its
+    own training rows. Ends in ``pred (lam, fold, doc_id, label, category,
+    confidence, actual)``."""
+    lam_rows = ", ".join(f"({dbl(l)})" for l in lams)
+    return f"""obs AS ({obs_sql(label_col)}),
+ix AS (SELECT doc_id, label, category, CAST((row_number() OVER (ORDER BY doc_id) - 1) % {k} AS INTEGER) AS g FROM obs),
+models AS (SELECT l.lam, CAST(f.fold AS INTEGER) AS fold FROM (VALUES {lam_rows}) l(lam) CROSS JOIN (SELECT range AS fold FROM range({k})) f),
+tf AS ({tf_sql('obs', ['doc_id'], n, v, carry=['label'])}),
+tr AS (SELECT md.lam, md.fold, ix.doc_id, ix.label, ix.category FROM models md JOIN ix ON ix.g <> md.fold),
+mm AS (SELECT lam, fold, count(*) AS m FROM tr GROUP BY lam, fold),
+trtf AS (SELECT tr.lam, tr.fold, t.doc_id, t.label, t.bucket, t.tf FROM tr JOIN tf t ON t.doc_id = tr.doc_id),
+idf AS (SELECT t.lam, t.fold, t.bucket, ln({dbl('mm.m + 1')} / {dbl('count(*) + 1')}) AS idf
+        FROM trtf t JOIN mm ON mm.lam = t.lam AND mm.fold = t.fold GROUP BY t.lam, t.fold, t.bucket, mm.m),
+pts AS (SELECT t.lam, t.fold, t.doc_id, t.label, t.bucket, t.tf * i.idf AS x
+        FROM trtf t JOIN idf i ON i.lam = t.lam AND i.fold = t.fold AND i.bucket = t.bucket),
+counts AS (SELECT lam, fold, label, count(*) AS n FROM tr GROUP BY lam, fold, label),
+sums AS (SELECT lam, fold, label, bucket, sum(x) AS s FROM pts GROUP BY lam, fold, label, bucket),
+mass AS (SELECT lam, fold, label, sum(s) AS s_c FROM sums GROUP BY lam, fold, label),
+classes AS (SELECT c.lam, c.fold, c.label,
+            ln(c.n + c.lam) - ln(sum(c.n) OVER (PARTITION BY c.lam, c.fold) + count(*) OVER (PARTITION BY c.lam, c.fold) * c.lam) AS pi,
+            coalesce(ms.s_c, {dbl(0)}) AS s_c,
+            ln(c.lam) - ln(coalesce(ms.s_c, {dbl(0)}) + {dbl(v)} * c.lam) AS dflt
+            FROM counts c LEFT JOIN mass ms ON ms.lam = c.lam AND ms.fold = c.fold AND ms.label = c.label),
+theta AS (SELECT s.lam, s.fold, s.label, s.bucket, ln(s.s + s.lam) - ln(cl.s_c + {dbl(v)} * s.lam) AS theta
+          FROM sums s JOIN classes cl ON cl.lam = s.lam AND cl.fold = s.fold AND cl.label = s.label),
+catmap AS (SELECT lam, fold, label, arg_max(category, doc_id) AS category FROM tr GROUP BY lam, fold, label),
+te AS (SELECT md.lam, md.fold, ix.doc_id, ix.category AS actual FROM models md JOIN ix ON ix.g = md.fold),
+tex AS (SELECT te.lam, te.fold, t.doc_id, t.bucket, t.tf * coalesce(i.idf, ln({dbl('mm.m + 1')})) AS x
+        FROM te JOIN tf t ON t.doc_id = te.doc_id JOIN mm ON mm.lam = te.lam AND mm.fold = te.fold
+        LEFT JOIN idf i ON i.lam = te.lam AND i.fold = te.fold AND i.bucket = t.bucket),
+z AS (SELECT te.lam, te.fold, te.doc_id, cl.label, cl.pi + coalesce(sum(x.x * coalesce(th.theta, cl.dflt)), {dbl(0)}) AS z
+      FROM te JOIN classes cl ON cl.lam = te.lam AND cl.fold = te.fold
+      LEFT JOIN tex x ON x.lam = te.lam AND x.fold = te.fold AND x.doc_id = te.doc_id
+      LEFT JOIN theta th ON th.lam = te.lam AND th.fold = te.fold AND th.label = cl.label AND th.bucket = x.bucket
+      GROUP BY te.lam, te.fold, te.doc_id, cl.label, cl.pi),
+zr AS (SELECT *, max(z) OVER (PARTITION BY lam, fold, doc_id) AS zmax,
+       row_number() OVER (PARTITION BY lam, fold, doc_id ORDER BY z DESC, label) AS rn FROM z),
+zb AS (SELECT lam, fold, doc_id, max(CASE WHEN rn = 1 THEN label END) AS label, 1 / sum(exp(z - zmax)) AS confidence
+       FROM zr GROUP BY lam, fold, doc_id),
+pred AS (SELECT zb.*, coalesce(cm.category, '') AS category, te.actual FROM zb
+         JOIN te ON te.lam = zb.lam AND te.fold = zb.fold AND te.doc_id = zb.doc_id
+         LEFT JOIN catmap cm ON cm.lam = zb.lam AND cm.fold = zb.fold AND cm.label = zb.label)"""
