@@ -19,7 +19,9 @@ from textlens.operators.features import (
 from textlens.operators.evaluate import (
     accuracy, assign_folds, kfold_naive_bayes, kfold_roles, soft_accuracy,
 )
+from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.naive_bayes import fit_naive_bayes
+from textlens.operators.serve import score_queries, serve_best
 from textlens.operators.rowindex import row_index
 from textlens.plans import oracle as O
 from textlens.plans import params as P
@@ -160,6 +162,72 @@ def q_nb_predict(spark, base):
     return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
 
 
+# ------------------------------------------------- linear models, serving
+
+_Q = "q AS (SELECT doc_id, text FROM documents)"
+_QX = (f"q_tf AS ({O.tf_sql('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES)}),\n"
+       f"q_x AS ({O.tfidf_sql('q_tf')})")
+_LIN_HEAD = f"{_NB_HEAD},\n{_Q},\n{_QX},\n{O.log_odds_ctes(P.EVAL_FEATURES)},\n{O.linear_z_ctes('q', 'q_x')}"
+
+
+def _linear(spark, base):
+    return nb_log_odds(_nb(spark, base))
+
+
+@register("linear_predict", f"{_LIN_HEAD},\n{O.sigmoid_best_ctes('lin_z', 'lp', 'catmap')}\n"
+                            f"SELECT doc_id, category, confidence, label FROM lp")
+def q_linear_predict(spark, base):
+    return _linear(spark, base).predict(_docs(spark, base)).select("doc_id", "category", "confidence", "label")
+
+
+@register("binary_confidence", f"{_LIN_HEAD}\nSELECT doc_id, CASE WHEN p > 0.5 THEN '1' ELSE '0' END AS category, "
+                               f"round(CASE WHEN p > 0.5 THEN p ELSE 1 - p END, {O.D}) AS confidence "
+                               f"FROM (SELECT doc_id, 1 / (1 + exp(-z)) AS p FROM lin_z WHERE label = 1)")
+def q_binary_confidence(spark, base):
+    prob = _linear(spark, base).probability(_docs(spark, base), 1.0)
+    out = binary_confidence(prob)
+    return out.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"))
+
+
+@register("readable_weights", f"{_NB_HEAD},\n{O.log_odds_ctes(P.EVAL_FEATURES)},\n"
+                              f"g AS (SELECT DISTINCT unnest({O.grams_sql(O.tokens_sql(), P.EVAL_NGRAM)}) AS gram FROM obs)\n"
+                              f"SELECT g.gram, {O.bucket_sql('g.gram', P.EVAL_FEATURES)} AS bucket, round(w.w, {O.D}) AS weight "
+                              f"FROM g JOIN lin_w w ON w.label = 1 AND w.bucket = {O.bucket_sql('g.gram', P.EVAL_FEATURES)}")
+def q_readable_weights(spark, base):
+    rw = readable_weights(_obs(spark, base), _linear(spark, base), 1.0)
+    return rw.select("gram", "bucket", rounded(F.col("weight")).alias("weight"))
+
+
+_NB_B = O.nb_model_ctes(P.EVAL_NGRAM, P.EVAL_FEATURES, P.NB_GRID[1], prefix="b_")
+
+
+@register("serve_best", f"{_NB_HEAD},\n{_NB_B},\n{_Q},\n"
+                        f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, '', 'pa')},\n"
+                        f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, 'b_', 'pb')},\n"
+                        f"{O.log_odds_ctes(P.EVAL_FEATURES)},\n{O.linear_z_ctes('q', 'pa_x')},\n"
+                        f"{O.sigmoid_best_ctes('lin_z', 'pc', 'catmap')},\n"
+                        f"allp AS (SELECT doc_id, category, round(confidence, {O.D}) AS confidence, 0 AS algo FROM pa "
+                        f"UNION ALL SELECT doc_id, category, round(confidence, {O.D}), 1 FROM pb "
+                        f"UNION ALL SELECT doc_id, category, confidence, 2 FROM pc)\n"
+                        f"SELECT doc_id, category, confidence, algo FROM (SELECT *, row_number() OVER "
+                        f"(PARTITION BY doc_id ORDER BY confidence DESC, algo) AS rn FROM allp) WHERE rn = 1")
+def q_serve_best(spark, base):
+    docs = _docs(spark, base)
+    nb_a = _nb(spark, base)
+    nb_b = _nb(spark, base, P.NB_GRID[1])
+    lin = nb_log_odds(nb_a)
+    return serve_best([nb_a.predict(docs), nb_b.predict(docs), lin.predict(docs)])
+
+
+@register("score_queries", f"{_NB_HEAD},\nq AS (SELECT conv_id, turn, text FROM conversations),\n"
+                           f"{O.nb_predict_ctes('q', ['conv_id', 'turn'], P.EVAL_NGRAM, P.EVAL_FEATURES)}\n"
+                           f"SELECT conv_id, turn, category, round(confidence, {O.D}) AS confidence FROM pred")
+def q_score_queries(spark, base):
+    conv = read_table(spark, base, "conversations").select("conv_id", "turn", "text")
+    pred = score_queries(_nb(spark, base), conv, ["conv_id", "turn"])
+    return pred.select("conv_id", "turn", "category", rounded(F.col("confidence")).alias("confidence"))
+
+
 # -------------------------------------------------------------- evaluation
 
 @register("row_index", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM documents")

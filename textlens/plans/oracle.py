@@ -176,3 +176,37 @@ zb AS (SELECT lam, fold, doc_id, max(CASE WHEN rn = 1 THEN label END) AS label,
 pred AS (SELECT zb.*, coalesce(cm.category, '') AS category, te.actual FROM zb
          JOIN te ON te.lam = zb.lam AND te.fold = zb.fold AND te.doc_id = zb.doc_id
          LEFT JOIN catmap cm ON cm.lam = zb.lam AND cm.fold = zb.fold AND cm.label = zb.label)"""
+
+
+def log_odds_ctes(v: int, prefix: str = "", out: str = "lin") -> str:
+    """Dense binary weights from the NB model under ``prefix``:
+    ``{out}_w (label, bucket, w)`` and ``{out}_b (label, intercept)``."""
+    c1 = f"(SELECT dflt, pi FROM {prefix}classes WHERE label = 1)"
+    c0 = f"(SELECT dflt, pi FROM {prefix}classes WHERE label = 0)"
+    return (f"{out}_w1 AS (SELECT b.range AS bucket, coalesce(t1.theta, c1.dflt) - coalesce(t0.theta, c0.dflt) AS w "
+            f"FROM range({v}) b CROSS JOIN {c1} c1 CROSS JOIN {c0} c0 "
+            f"LEFT JOIN {prefix}theta t1 ON t1.label = 1 AND t1.bucket = b.range "
+            f"LEFT JOIN {prefix}theta t0 ON t0.label = 0 AND t0.bucket = b.range),\n"
+            f"{out}_w AS (SELECT {dbl(1)} AS label, bucket, w FROM {out}_w1 UNION ALL "
+            f"SELECT {dbl(0)} AS label, bucket, -w AS w FROM {out}_w1),\n"
+            f"{out}_b AS (SELECT {dbl(1)} AS label, c1.pi - c0.pi AS intercept FROM {c1} c1 CROSS JOIN {c0} c0 "
+            f"UNION ALL SELECT {dbl(0)} AS label, c0.pi - c1.pi AS intercept FROM {c1} c1 CROSS JOIN {c0} c0)")
+
+
+def linear_z_ctes(qdocs: str, qx: str, out: str = "lin", ids: list[str] = ("doc_id",)) -> str:
+    """``{out}_z (ids..., label, z)`` = intercept + w . x for every class."""
+    on = " AND ".join(f"x.{c} = d.{c}" for c in ids)
+    idc = ", ".join(f"d.{c}" for c in ids)
+    return (f"{out}_z AS (SELECT {idc}, b.label, b.intercept + coalesce(sum(x.x * w.w), {dbl(0)}) AS z "
+            f"FROM {qdocs} d CROSS JOIN {out}_b b LEFT JOIN {qx} x ON {on} "
+            f"LEFT JOIN {out}_w w ON w.label = b.label AND w.bucket = x.bucket "
+            f"GROUP BY {idc}, b.label, b.intercept)")
+
+
+def sigmoid_best_ctes(z: str, out: str, catmap: str, ids: list[str] = ("doc_id",)) -> str:
+    """M4: rounded sigmoid per class, arg-max with ties to the lower label."""
+    idc = ", ".join(ids)
+    return (f"{out}_p AS (SELECT {idc}, label, round(1 / (1 + exp(-z)), {D}) AS p, "
+            f"row_number() OVER (PARTITION BY {idc} ORDER BY round(1 / (1 + exp(-z)), {D}) DESC, label) AS rn FROM {z}),\n"
+            f"{out} AS (SELECT p.{idc.replace(', ', ', p.')}, p.label, p.p AS confidence, coalesce(cm.category, '') AS category "
+            f"FROM {out}_p p LEFT JOIN {catmap} cm ON cm.label = p.label WHERE p.rn = 1)")
