@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from textlens.functions.mathfn import rounded
 from textlens.functions.text import ngrams, tokens
 from textlens.operators.features import (
-    category_map, fit_idf, hashed_tf, presence, tfidf,
+    category_map, fit_idf, hashed_tf, presence, tfidf, with_terms,
+)
+from textlens.operators.cooccur import (
+    cooccurrence, doc_sppmi_append, doc_sppmi_sum, presence_arrays, sppmi, sppmi_rows, text_vector_lookup,
 )
 from textlens.operators.evaluate import (
     accuracy, assign_folds, kfold_naive_bayes, kfold_roles, soft_accuracy,
@@ -162,6 +165,68 @@ def q_nb_predict(spark, base):
     return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
 
 
+# ------------------------------------------------------------------ SPPMI
+
+def _sppmi(spark, base, k):
+    obs = _obs(spark, base)
+    terms = with_terms(obs.select("doc_id", "text"), P.SPPMI_NGRAM, P.SPPMI_FEATURES)
+    pres = presence_arrays(terms)
+    cooc = cooccurrence(pres, P.SPPMI_FEATURES)
+    n = obs.select(F.count(F.lit(1))).scalar()
+    return obs, pres, cooc, sppmi(cooc, n, k, P.SPPMI_FEATURES)
+
+
+def _pres_long(pres):
+    return pres.select("doc_id", F.explode("b").alias("bucket"))
+
+
+_SP1 = f"WITH {O.sppmi_ctes(P.SPPMI_K_DENSE)}"
+_SP2 = f"WITH {O.sppmi_ctes(P.SPPMI_K_SPARSE)}"
+
+
+@register("cooccurrence", f"{_SP1}\nSELECT i, j, c FROM co")
+def q_cooccurrence(spark, base):
+    return _sppmi(spark, base, P.SPPMI_K_DENSE)[2]
+
+
+@register("sppmi", f"{_SP1}\nSELECT i, j, round(s, {O.D}) AS sppmi FROM sp")
+def q_sppmi(spark, base):
+    sp = _sppmi(spark, base, P.SPPMI_K_DENSE)[3]
+    return sp.select("i", "j", rounded(F.col("sppmi")).alias("sppmi"))
+
+
+@register("sppmi_rows", f"{_SP2}\nSELECT i, j, round(s, {O.D}) AS s FROM srows")
+def q_sppmi_rows(spark, base):
+    rows = sppmi_rows(_sppmi(spark, base, P.SPPMI_K_SPARSE)[3])
+    return rows.select("i", "j", rounded(F.col("s")).alias("s"))
+
+
+@register("doc_sppmi_sum", f"{_SP2}\nSELECT doc_id, j, round(x, {O.D}) AS x FROM dsum")
+def q_doc_sppmi_sum(spark, base):
+    _, pres, _, sp = _sppmi(spark, base, P.SPPMI_K_SPARSE)
+    x = doc_sppmi_sum(_pres_long(pres), sppmi_rows(sp), P.SPPMI_FEATURES)
+    return x.select("doc_id", "j", rounded(F.col("x")).alias("x"))
+
+
+@register("doc_sppmi_append", f"{_SP2}\nSELECT p.doc_id, CAST({P.SPPMI_FEATURES} * p.rk + r.j AS BIGINT) AS position, "
+                              f"round(r.s, {O.D}) AS x FROM (SELECT doc_id, bucket, row_number() OVER "
+                              f"(PARTITION BY doc_id ORDER BY bucket) AS rk FROM pres) p JOIN srows r ON r.i = p.bucket")
+def q_doc_sppmi_append(spark, base):
+    _, pres, _, sp = _sppmi(spark, base, P.SPPMI_K_SPARSE)
+    x = doc_sppmi_append(pres, sppmi_rows(sp), P.SPPMI_FEATURES)
+    return x.select("doc_id", "position", rounded(F.col("x")).alias("x"))
+
+
+@register("text_vector_lookup", f"{_SP2},\nreps AS (SELECT md5(text) AS h, text, min(doc_id) AS rep FROM obs GROUP BY md5(text), text)\n"
+                                f"SELECT q.doc_id, d.j, round(d.x, {O.D}) AS x FROM documents q "
+                                f"JOIN reps ON reps.h = md5(q.text) AND reps.text = q.text JOIN dsum d ON d.doc_id = reps.rep")
+def q_text_vector_lookup(spark, base):
+    obs, pres, _, sp = _sppmi(spark, base, P.SPPMI_K_SPARSE)
+    vec = doc_sppmi_sum(_pres_long(pres), sppmi_rows(sp), P.SPPMI_FEATURES)
+    x = text_vector_lookup(_docs(spark, base), obs.select("doc_id", "text"), vec)
+    return x.select("doc_id", "j", rounded(F.col("x")).alias("x"))
+
+
 # ------------------------------------------------- linear models, serving
 
 _Q = "q AS (SELECT doc_id, text FROM documents)"

@@ -210,3 +210,20 @@ def sigmoid_best_ctes(z: str, out: str, catmap: str, ids: list[str] = ("doc_id",
             f"row_number() OVER (PARTITION BY {idc} ORDER BY round(1 / (1 + exp(-z)), {D}) DESC, label) AS rn FROM {z}),\n"
             f"{out} AS (SELECT p.{idc.replace(', ', ', p.')}, p.label, p.p AS confidence, coalesce(cm.category, '') AS category "
             f"FROM {out}_p p LEFT JOIN {catmap} cm ON cm.label = p.label WHERE p.rn = 1)")
+
+
+def sppmi_ctes(k: float, n: int = P.SPPMI_NGRAM, v: int = P.SPPMI_FEATURES, label_col: str = P.LABEL_COL) -> str:
+    """Presence, co-occurrence by self-join, SPPMI and mirrored rows:
+    ``pres (doc_id, bucket)``, ``co (i, j, c)``, ``sp (i, j, s)``, ``srows (i, j, s)``."""
+    return f"""obs AS ({obs_sql(label_col)}),
+tf AS ({tf_sql('obs', ['doc_id'], n, v)}),
+pres AS (SELECT doc_id, bucket FROM tf),
+nn AS (SELECT CAST(count(*) AS BIGINT) AS n FROM obs),
+co AS (SELECT a.bucket AS i, b.bucket AS j, CAST(count(*) AS BIGINT) AS c FROM pres a JOIN pres b
+       ON a.doc_id = b.doc_id AND a.bucket <= b.bucket GROUP BY a.bucket, b.bucket),
+dg AS (SELECT i, c FROM co WHERE i = j),
+sp AS (SELECT co.i, co.j, log2({dbl('co.c * nn.n')} / {dbl('di.c * dj.c')}) - log2({dbl(k)}) AS s
+       FROM co JOIN dg di ON di.i = co.i JOIN dg dj ON dj.i = co.j CROSS JOIN nn
+       WHERE {dbl('co.c * nn.n')} > {dbl(k)} * di.c * dj.c),
+srows AS (SELECT i, j, s FROM sp UNION ALL SELECT j AS i, i AS j, s FROM sp WHERE i <> j),
+dsum AS (SELECT p.doc_id, r.j, sum(r.s) AS x FROM pres p JOIN srows r ON r.i = p.bucket GROUP BY p.doc_id, r.j)"""
