@@ -28,7 +28,11 @@ from textlens.operators.serve import score_queries, serve_best
 from textlens.operators.rowindex import row_index
 from textlens.plans import oracle as O
 from textlens.plans import params as P
-from textlens.sources.tables import load_observations, read_table
+from textlens.functions.text import clean_text
+from textlens.sources.events import event_scan, prop, stop_words
+from textlens.sources.lines import parse_labelled_lines
+from textlens.sources.sinks import coo_triples, onehot_triples, vw_lines
+from textlens.sources.tables import load_observations, read_table, sanity_sample
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[SparkQuery, str | None]] = {}
@@ -64,6 +68,93 @@ def q_observations(spark, base):
     return _obs(spark, base).select("doc_id", "label", "category", F.md5("text").alias("text_md5"))
 
 
+_EV_LIST = ", ".join(f"'{e}'" for e in P.SCAN_EVENTS)
+
+
+@register("event_scan", f"SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ({_EV_LIST})")
+def q_event_scan(spark, base):
+    ev = read_table(spark, base, "events")
+    return event_scan(ev, list(P.SCAN_EVENTS)).select("event_id", "user_id", "event_type", "value")
+
+
+@register("event_props", f"SELECT event_id, CAST(json_extract_string(props, '$.{P.PROP_KEY}') AS BIGINT) AS {P.PROP_KEY} FROM events")
+def q_event_props(spark, base):
+    ev = read_table(spark, base, "events")
+    return ev.select("event_id", prop(P.PROP_KEY, "bigint").alias(P.PROP_KEY))
+
+
+@register("stopwords", f"SELECT DISTINCT json_extract_string(props, '$.{P.PROP_KEY}') AS word FROM events "
+                       f"WHERE event_type = '{P.STOPWORD_EVENT}' AND json_extract_string(props, '$.{P.PROP_KEY}') IS NOT NULL")
+def q_stopwords(spark, base):
+    return stop_words(read_table(spark, base, "events"), P.STOPWORD_EVENT, P.PROP_KEY)
+
+
+_LINES = f"SELECT d.doc_id, CAST(l.{P.LABEL_COL} AS VARCHAR) || ',' || d.text AS line FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+
+
+@register("labelled_lines", f"WITH ln AS ({_LINES}),\n"
+                            f"st AS (SELECT doc_id, rtrim(line, chr(13) || chr(10)) AS s FROM ln),\n"
+                            f"pr AS (SELECT doc_id, CASE WHEN instr(s, ',') > 0 THEN substr(s, 1, instr(s, ',') - 1) ELSE s END AS label_str, "
+                            f"CASE WHEN instr(s, ',') > 0 THEN substr(s, instr(s, ',') + 1) ELSE '' END AS text FROM st)\n"
+                            f"SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, label_str, "
+                            f"CASE WHEN label_str = '1' THEN {O.dbl(1)} ELSE {O.dbl(0)} END AS label, md5(text) AS text_md5 FROM pr")
+def q_labelled_lines(spark, base):
+    docs = read_table(spark, base, "documents")
+    labels = read_table(spark, base, "labels")
+    lines = docs.join(labels, "doc_id").select(
+        "doc_id", F.concat(F.col(P.LABEL_COL).cast("string"), F.lit(","), F.col("text")).alias("line"))
+    parsed = parse_labelled_lines(lines, "line")
+    out = row_index(parsed.select("doc_id", "label_str", "text"), "doc_id")
+    return out.select("doc_id", "idx", "label_str",
+                      F.when(F.col("label_str") == "1", 1.0).otherwise(0.0).alias("label"),
+                      F.md5("text").alias("text_md5"))
+
+
+@register("sanity_sample", f"SELECT doc_id, label FROM ({O.obs_sql()}) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 5")
+def q_sanity_sample(spark, base):
+    return sanity_sample(_obs(spark, base))
+
+
+@register("clean_text", f"SELECT doc_id, md5(regexp_replace(text, '[|:\\r\\n]', ' ', 'g')) AS clean_md5 FROM documents")
+def q_clean_text(spark, base):
+    return _docs(spark, base).select("doc_id", F.md5(clean_text(F.col("text"))).alias("clean_md5"))
+
+
+_VW_PAIRS = (f"SELECT doc_id, string_agg(CAST(bucket AS VARCHAR) || ':' || CAST(CAST(tf AS DOUBLE) AS VARCHAR), ' ' ORDER BY bucket) AS pairs "
+             f"FROM ({O.tf_sql('obs', ['doc_id'], P.TF_NGRAM, P.TF_FEATURES)}) GROUP BY doc_id")
+
+
+@register("vw_lines", f"WITH obs AS ({O.obs_sql()}),\npairs AS ({_VW_PAIRS})\n"
+                      f"SELECT o.doc_id, CASE WHEN o.label = 0 THEN '-1.0' ELSE '1.0' END || ' |n ' || "
+                      f"regexp_replace(o.text, '[|:\\r\\n]', ' ', 'g') || ' ' || coalesce(p.pairs, '') AS line "
+                      f"FROM obs o LEFT JOIN pairs p ON p.doc_id = o.doc_id")
+def q_vw_lines(spark, base):
+    obs = _obs(spark, base)
+    terms = with_terms(obs.select("doc_id", "label", "text"), P.TF_NGRAM, P.TF_FEATURES)
+    return vw_lines(terms)
+
+
+_COO = (f"WITH obs AS ({O.obs_sql()}),\ntf AS ({O.tf_sql('obs', ['doc_id'], P.TF_NGRAM, P.TF_FEATURES)}),\n"
+        f"{O.idf_ctes('tf', 'obs')},\nix AS (SELECT doc_id, label, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM obs)\n")
+
+
+@register("coo_triples", _COO + f"SELECT ix.idx AS row_idx, x.bucket AS feature_idx, round(x.x, {O.D}) AS value "
+                                f"FROM ({O.tfidf_sql('tf')}) x JOIN ix ON ix.doc_id = x.doc_id")
+def q_coo_triples(spark, base):
+    obs = _obs(spark, base)
+    tf = hashed_tf(obs, P.TF_NGRAM, P.TF_FEATURES)
+    table, counts = fit_idf(tf, obs)
+    index = row_index(obs.select("doc_id", "label"), "doc_id")
+    out = coo_triples(tfidf(tf, table, counts, P.TF_FEATURES), index)
+    return out.select("row_idx", "feature_idx", rounded(F.col("value")).alias("value"))
+
+
+@register("onehot_triples", _COO + f"SELECT idx AS row_idx, CAST(label AS INTEGER) AS label, {O.dbl(1)} AS value FROM ix")
+def q_onehot_triples(spark, base):
+    index = row_index(_obs(spark, base).select("doc_id", "label"), "doc_id")
+    return onehot_triples(index)
+
+
 # ------------------------------------------------------------- text scalars
 
 def _digest_sql(expr: str) -> str:

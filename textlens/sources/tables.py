@@ -29,3 +29,23 @@ def observations(documents: DataFrame, labels: DataFrame, label_col: str = "toxi
 
 def load_observations(spark: SparkSession, base: str, label_col: str = "toxic") -> DataFrame:
     return observations(read_table(spark, base, "documents"), read_table(spark, base, "labels"), label_col)
+
+
+def sanity_sample(observations: DataFrame, n: int = 5, key: str = "doc_id") -> DataFrame:
+    """``n`` labels picked by a deterministic hash order (the sampling
+    is the feature here, so the limit stays). Top-k per partition, then a
+    merge of ``n`` rows per partition: no full sort."""
+    return (observations.orderBy(F.md5(F.col(key).cast("string")), key)
+            .limit(n).select(key, "label"))
+
+
+def sanity_message(observations: DataFrame, n: int = 5) -> str:
+    """The reference's check as text: the sampled labels, or a note that the
+    data is empty / shorter than ``n``."""
+    rows = sanity_sample(observations, n).collect()  # at most n rows
+    if not rows:
+        return "Data set is empty, make sure event fields match imported data."
+    msg = "\n".join(f"Observation {i + 1} label: {r['label']}" for i, r in enumerate(rows))
+    if len(rows) < n:
+        msg += f"\nonly {len(rows)} observations"
+    return msg
