@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textlens.functions.mathfn import rounded
 from textlens.functions.text import ngrams, tokens
 from textlens.operators.features import (
-    category_map, fit_idf, hashed_tf, presence, tfidf, with_terms,
+    category_map, distinct_labels, fit_idf, hashed_tf, ovr_columns, presence, tfidf, with_terms,
 )
 from textlens.operators.cooccur import (
     cooccurrence, doc_sppmi_append, doc_sppmi_sum, presence_arrays, sppmi, sppmi_rows, text_vector_lookup,
@@ -23,6 +23,7 @@ from textlens.operators.evaluate import (
     accuracy, assign_folds, kfold_naive_bayes, kfold_roles, soft_accuracy,
 )
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
+from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes
 from textlens.operators.serve import score_queries, serve_best
 from textlens.operators.rowindex import row_index
@@ -384,6 +385,64 @@ def q_score_queries(spark, base):
     return pred.select("conv_id", "turn", "category", rounded(F.col("confidence")).alias("confidence"))
 
 
+# ------------------------------------------------- pyspark.ml fits (rows)
+
+@register("labeled_points", f"{_NB_HEAD}\nSELECT o.doc_id, o.label, CAST(count(p.bucket) AS BIGINT) AS nnz, "
+                            f"round(coalesce(sum(p.x), 0), {O.D}) AS sum_x FROM obs o LEFT JOIN pts p ON p.doc_id = o.doc_id "
+                            f"GROUP BY o.doc_id, o.label")
+def q_labeled_points(spark, base):
+    obs = _obs(spark, base)
+    nb = _nb(spark, base)
+    x = nb.features(obs.select("doc_id", "text"))
+    per_doc = x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("x").alias("sum_x"))
+    return (obs.select("doc_id", "label").join(per_doc, "doc_id", "left")
+            .select("doc_id", "label", F.coalesce(F.col("nnz"), F.lit(0)).cast("bigint").alias("nnz"),
+                    rounded(F.coalesce(F.col("sum_x"), F.lit(0.0))).alias("sum_x")))
+
+
+@register("ovr_columns", f"SELECT doc_id, label, CASE WHEN label = 0 THEN {O.dbl(1)} ELSE {O.dbl(0)} END AS \"0\", "
+                         f"CASE WHEN label = 1 THEN {O.dbl(1)} ELSE {O.dbl(0)} END AS \"1\" FROM ({O.obs_sql()})")
+def q_ovr_columns(spark, base):
+    obs = _obs(spark, base)
+    return ovr_columns(obs.select("doc_id", "label"), distinct_labels(obs))
+
+
+@register("lr_fit_predict", None)
+def q_lr_fit_predict(spark, base):
+    """M5: L2 one-vs-rest logistic regression (maxIter 10), all documents scored."""
+    m = fit_ovr_logistic(_obs(spark, base), P.EVAL_NGRAM, P.EVAL_FEATURES, P.LR_GRID[0], P.LR_MAX_ITER)
+    return m.predict(_docs(spark, base)).select("doc_id", "category", "confidence")
+
+
+@register("l1lr_fit_predict", None)
+def q_l1lr_fit_predict(spark, base):
+    """M6: L1 one-vs-rest logistic regression (OWL-QN, up to 250 iterations)."""
+    m = fit_ovr_logistic(_obs(spark, base), P.TF_NGRAM, P.TF_FEATURES, P.L1_REG, P.L1_MAX_ITER, elastic_net=1.0)
+    return m.predict(_docs(spark, base)).select("doc_id", "category", "confidence")
+
+
+@register("hashed_lr_fit_predict", None)
+def q_hashed_lr_fit_predict(spark, base):
+    """M7 + M8: hashed 1..n-gram L2 logistic regression on cleaned text,
+    binary folded confidence."""
+    m = fit_ovr_logistic(_obs(spark, base), P.HASHED_LR_NGRAM, 1 << P.HASHED_LR_BITS, P.HASHED_LR_REG,
+                         P.LR_MAX_ITER, upto=True, clean=True, idf=False)
+    probs = m.probabilities(_docs(spark, base))
+    p1 = F.col("p")[m.labels.index(1.0)]
+    return binary_confidence(probs.select("doc_id", p1.alias("p"))).select(
+        "doc_id", "category", rounded(F.col("confidence")).alias("confidence"))
+
+
+@register("lr_grid", None)
+def q_lr_grid(spark, base):
+    """E5 (logistic part): regParam grid x k folds, accuracy per (reg, fold)."""
+    obs = _obs(spark, base)
+    folds = assign_folds(obs, P.EVAL_K)
+    pred = fold_logistic_predictions(obs, folds, P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, list(P.LR_GRID),
+                                     P.LR_MAX_ITER)
+    return accuracy(pred, ["reg", "fold"]).select("reg", "fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
+
+
 # -------------------------------------------------------------- evaluation
 
 @register("row_index", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM documents")

@@ -28,7 +28,7 @@ SPPMI_FEATURES = 500
 SPPMI_K_DENSE = 1   # nearly every seen pair is positive
 SPPMI_K_SPARSE = 2  # a few hundred positive pairs
 
-HASHED_LR_BITS = 12
+HASHED_LR_BITS = 18
 HASHED_LR_NGRAM = 2
 HASHED_LR_REG = 0.01
 
