@@ -26,7 +26,10 @@ from textlens.operators.linear import binary_confidence, nb_log_odds, readable_w
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes
 from textlens.operators.serve import score_queries, serve_best
+from textlens.operators.persist import load_nb, save_nb
 from textlens.operators.rowindex import row_index
+from textlens.session import scratch_path
+from textlens.streaming.score import document_stream, score_stream
 from textlens.plans import oracle as O
 from textlens.plans import params as P
 from textlens.functions.text import clean_text
@@ -443,6 +446,27 @@ def q_lr_grid(spark, base):
     return accuracy(pred, ["reg", "fold"]).select("reg", "fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
 
 
+# ---------------------------------------------------- persistence, stream
+
+@register("model_roundtrip", NB_PREDICT_SQL)
+def q_model_roundtrip(spark, base):
+    """Fit, save the NB tables, reload them, predict every document."""
+    path = save_nb(_nb(spark, base), scratch_path(spark, "nb-model"))
+    pred = load_nb(spark, path).predict(_docs(spark, base))
+    return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
+
+
+@register("score_stream", NB_PREDICT_SQL)
+def q_score_stream(spark, base):
+    """V3: documents as a file stream scored micro-batch by micro-batch with
+    the saved model; equals batch prediction."""
+    path = save_nb(_nb(spark, base), scratch_path(spark, "nb-model"))
+    out, query = score_stream(spark, document_stream(spark, base), path)
+    query.awaitTermination()
+    pred = spark.read.parquet(out)
+    return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
+
+
 # -------------------------------------------------------------- evaluation
 
 @register("row_index", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM documents")
