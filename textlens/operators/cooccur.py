@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlens.operators.util import broadcast_if_bounded
+from textlens.operators.util import broadcast_if_bounded, materialize
 
 GRAM_SCHEMA = "i bigint, j bigint, c bigint"
 DENSE_LIMIT = 2048          # V up to this: dense V x V accumulator per task
@@ -104,6 +104,15 @@ def cooccurrence(presence: DataFrame, num_features: int, strategy: str = "auto")
     return partial.groupBy("i", "j").agg(F.sum("c").alias("c"))
 
 
+def fit_sppmi(presence: DataFrame, n_docs, num_features: int, k: float = 10.0,
+              strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """Co-occurrence and SPPMI, both materialized once (each at most V^2 / 2
+    rows) because the diagonal, both triangles and every document vector
+    read them: ``(cooc, sppmi)``."""
+    cooc = materialize(cooccurrence(presence, num_features, strategy))
+    return cooc, materialize(sppmi(cooc, n_docs, k, num_features))
+
+
 def sppmi(cooc: DataFrame, n_docs, k: float = 10.0, num_features: int | None = None) -> DataFrame:
     """``(i, j, sppmi)`` for ``i <= j``, positive entries only.
 
@@ -145,7 +154,10 @@ def doc_sppmi_append(presence: DataFrame, rows: DataFrame, num_features: int,
     of each present bucket in bucket order. ``(ids..., position, x)`` with
     ``position = V * rank + j`` (rank from 1), non-zero entries only. The rank
     comes from the position in the sorted presence array: no window."""
-    ranked = presence.select(*ids, F.posexplode("b").alias("_r", "bucket"))
+    # outer variant: plain posexplode infers a size(b) > 0 filter that the
+    # optimizer pushes down into the scan, re-running the whole text pipeline
+    ranked = (presence.select(*ids, F.posexplode_outer("b").alias("_r", "bucket"))
+              .where(F.col("bucket").isNotNull()))
     side = broadcast_if_bounded(rows.withColumnRenamed("i", "bucket"), num_features * num_features, 24)
     return ranked.join(side, "bucket").select(
         *ids, (F.lit(num_features) * (F.col("_r") + 1) + F.col("j")).cast("bigint").alias("position"),

@@ -18,7 +18,7 @@ from textlens.functions.mathfn import sigmoid
 from textlens.operators.features import hashed_tf, tfidf, with_grams
 from textlens.operators.naive_bayes import NBModel
 from textlens.operators.scoring import class_scores, sigmoid_best
-from textlens.operators.util import attach
+from textlens.operators.util import attach, materialize
 from textlens.functions.text import bucket_of
 
 
@@ -86,14 +86,14 @@ def nb_log_odds(nb: NBModel, positive: float = 1.0, negative: float = 0.0) -> Li
     classes = b.select("label", "category",
                        F.when(F.col("label") == positive, F.col("p1") - F.col("p0"))
                        .otherwise(F.col("p0") - F.col("p1")).alias("intercept"))
-    return LinearModel(nb.n_gram, nb.num_features, [negative, positive], weights, classes,
-                       nb.idf_table, nb.idf_counts)
+    return LinearModel(nb.n_gram, nb.num_features, [negative, positive], materialize(weights),
+                       materialize(classes), nb.idf_table, nb.idf_counts)
 
 
 def readable_weights(docs: DataFrame, model: LinearModel, label: float = 1.0, text_col: str = "text") -> DataFrame:
     """M9: ``(gram, bucket, weight)`` for every distinct gram of ``docs``: the
     invertible view of a hashed model."""
     grams = (with_grams(docs.select(text_col), model.n_gram, text_col)
-             .select(F.explode("grams").alias("gram")).distinct())
+             .select(F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull()).distinct())
     w = model.weights.where(F.col("label") == label).select("bucket", "weight")
     return grams.withColumn("bucket", bucket_of(F.col("gram"), model.num_features)).join(w, "bucket", "left")

@@ -20,11 +20,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.operators.features import category_map, distinct_labels, fit_idf, hashed_tf, tfidf
 from textlens.operators.scoring import class_scores, softmax_best, softmax_probs
+from textlens.operators.util import materialize
 
 
 def nb_stats(points: DataFrame, docs: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -104,18 +106,32 @@ class NBModel:
 
 
 def fit_naive_bayes(observations: DataFrame, n_gram: int = 1, num_features: int = 5000,
-                    lam: float = 1.0, labels: list[float] | None = None) -> NBModel:
+                    lam: float = 1.0, labels: list[float] | None = None,
+                    materialized: bool = True) -> NBModel:
     """Fit IDF and Naive Bayes on ``observations (doc_id, label, text, category)``.
 
+    The model tables (at most classes x features rows) are materialized once
+    (``materialize``) so scoring plans start from them, not from the text.
+
     Raises ``ValueError`` on an empty training set (S7).
     """
     if observations.isEmpty():
         raise ValueError("training observations are empty: check the source filters and label mapping")
     labels = labels if labels is not None else distinct_labels(observations)
     tf = hashed_tf(observations, n_gram, num_features, ids=["doc_id"], carry=["label"])
-    idf_table, idf_counts = fit_idf(tf, observations)
-    points = tfidf(tf, idf_table, idf_counts, num_features, ids=["doc_id"], carry=["label"])
-    counts, sums = nb_stats(points, observations)
-    classes, theta = nb_from_stats(counts, sums, lam, num_features,
-                                   categories=category_map(observations))
+    if materialized:
+        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)  # read by every model table below
+    try:
+        idf_table, idf_counts = fit_idf(tf, observations)
+        if materialized:
+            idf_table, idf_counts = materialize(idf_table), materialize(idf_counts)
+        points = tfidf(tf, idf_table, idf_counts, num_features, ids=["doc_id"], carry=["label"])
+        counts, sums = nb_stats(points, observations)
+        classes, theta = nb_from_stats(counts, sums, lam, num_features,
+                                       categories=category_map(observations))
+        if materialized:
+            classes, theta = materialize(classes), materialize(theta)
+    finally:
+        if materialized:
+            tf.unpersist()
     return NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts)

@@ -112,4 +112,4 @@ def softmax_probs(scored: DataFrame, labels: list[float], ids: list[str], keys:
     probs = F.transform("z", lambda v: F.exp(v - zmax) / norm)
     return (scored.select(*keys, *[c for c in ids if c not in keys],
                           F.arrays_zip(label_array(labels).alias("label"), probs.alias("score")).alias("_lz"))
-            .select("*", F.inline("_lz")).drop("_lz").where(F.col("score").isNotNull()))
+            .select("*", F.inline_outer("_lz")).drop("_lz").where(F.col("score").isNotNull()))

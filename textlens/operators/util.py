@@ -63,3 +63,17 @@ def attach(df: DataFrame, params: DataFrame, keys: list[str], cols: list[str]) -
 def label_array(values: list, cast: str = "double"):
     """A literal array of the label values, in order."""
     return F.array(*[F.lit(v).cast(cast) for v in values])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a fitted model table once as parquet under the shared checkpoint
+    folder and read it back: every consumer reuses it instead of re-running
+    the fit, and its lineage is cut, so a lost executor never re-triggers the
+    fit. One job (a reliable ``checkpoint()`` would compute the table twice).
+    Only for tables bounded by the model size (classes x features,
+    features^2)."""
+    from textlens.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -17,7 +17,7 @@ from textlens.operators.features import (
     category_map, distinct_labels, fit_idf, hashed_tf, ovr_columns, presence, tfidf, with_terms,
 )
 from textlens.operators.cooccur import (
-    cooccurrence, doc_sppmi_append, doc_sppmi_sum, presence_arrays, sppmi, sppmi_rows, text_vector_lookup,
+    doc_sppmi_append, doc_sppmi_sum, fit_sppmi, presence_arrays, sppmi_rows, text_vector_lookup,
 )
 from textlens.operators.evaluate import (
     accuracy, assign_folds, kfold_naive_bayes, kfold_roles, soft_accuracy,
@@ -36,7 +36,7 @@ from textlens.functions.text import clean_text
 from textlens.sources.events import event_scan, prop, stop_words
 from textlens.sources.lines import parse_labelled_lines
 from textlens.sources.sinks import coo_triples, onehot_triples, vw_lines
-from textlens.sources.tables import load_observations, read_table, sanity_sample
+from textlens.sources.tables import load_observations, read_table, read_text_table, sanity_sample
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[SparkQuery, str | None]] = {}
@@ -58,7 +58,7 @@ def _obs(spark, base):
 
 
 def _docs(spark, base):
-    return read_table(spark, base, "documents").select("doc_id", "text")
+    return read_text_table(spark, base, "documents", ["doc_id"], ["doc_id", "text"])
 
 
 def _nb(spark, base, lam=P.NB_LAMBDA):
@@ -266,13 +266,13 @@ def _sppmi(spark, base, k):
     obs = _obs(spark, base)
     terms = with_terms(obs.select("doc_id", "text"), P.SPPMI_NGRAM, P.SPPMI_FEATURES)
     pres = presence_arrays(terms)
-    cooc = cooccurrence(pres, P.SPPMI_FEATURES)
     n = obs.select(F.count(F.lit(1))).scalar()
-    return obs, pres, cooc, sppmi(cooc, n, k, P.SPPMI_FEATURES)
+    cooc, sp = fit_sppmi(pres, n, P.SPPMI_FEATURES, k)
+    return obs, pres, cooc, sp
 
 
 def _pres_long(pres):
-    return pres.select("doc_id", F.explode("b").alias("bucket"))
+    return pres.select("doc_id", F.explode_outer("b").alias("bucket")).where(F.col("bucket").isNotNull())
 
 
 _SP1 = f"WITH {O.sppmi_ctes(P.SPPMI_K_DENSE)}"
@@ -383,7 +383,7 @@ def q_serve_best(spark, base):
                            f"{O.nb_predict_ctes('q', ['conv_id', 'turn'], P.EVAL_NGRAM, P.EVAL_FEATURES)}\n"
                            f"SELECT conv_id, turn, category, round(confidence, {O.D}) AS confidence FROM pred")
 def q_score_queries(spark, base):
-    conv = read_table(spark, base, "conversations").select("conv_id", "turn", "text")
+    conv = read_text_table(spark, base, "conversations", ["conv_id", "turn"], ["conv_id", "turn", "text"])
     pred = score_queries(_nb(spark, base), conv, ["conv_id", "turn"])
     return pred.select("conv_id", "turn", "category", rounded(F.col("confidence")).alias("confidence"))
 

@@ -14,6 +14,22 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-distribute an under-partitioned input (e.g. one unsplittable file)
+    over the session's parallelism before per-row text work. An input that
+    already has enough splits is returned as is: shuffling text that is
+    already spread would cost a full exchange for nothing."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)
+
+
+def read_text_table(spark: SparkSession, base: str, name: str, keys: list[str], cols: list[str]) -> DataFrame:
+    """A text table, pruned to ``cols`` and spread by ``keys`` when needed."""
+    return spread(read_table(spark, base, name).select(*cols), keys)
+
+
 def observations(documents: DataFrame, labels: DataFrame, label_col: str = "toxic") -> DataFrame:
     """S3: labelled documents ``(doc_id, label, text, category)``.
 
@@ -28,7 +44,8 @@ def observations(documents: DataFrame, labels: DataFrame, label_col: str = "toxi
 
 
 def load_observations(spark: SparkSession, base: str, label_col: str = "toxic") -> DataFrame:
-    return observations(read_table(spark, base, "documents"), read_table(spark, base, "labels"), label_col)
+    docs = read_text_table(spark, base, "documents", ["doc_id"], ["doc_id", "text"])
+    return observations(docs, read_table(spark, base, "labels"), label_col)
 
 
 def sanity_sample(observations: DataFrame, n: int = 5, key: str = "doc_id") -> DataFrame:
