@@ -103,3 +103,14 @@ def test_stream_equals_batch(spark):
     df = queries()["score_stream"](spark, SF_SMALL)
     batch = queries()["nb_predict"](spark, SF_SMALL)
     assert df.exceptAll(batch).count() == 0 and batch.exceptAll(df).count() == 0
+
+
+def test_representation_switch_rejects_unknown(spark):
+    from textlens.operators.represent import fit_classifier
+    from textlens.sources.tables import load_observations
+    with pytest.raises(ValueError):
+        fit_classifier(load_observations(spark, SF_SMALL), "word2vec")
+
+
+def test_sppmi_nb_matches_sql_twin(spark, duck):
+    test_query_matches_sql_twin(spark, duck, "sppmi_nb_predict")

@@ -20,7 +20,7 @@ from textlens.operators.features import distinct_labels, explode_terms, with_ter
 from textlens.operators.naive_bayes import nb_from_stats
 from textlens.operators.rowindex import row_index
 from textlens.operators.scoring import class_scores, softmax_best
-from textlens.operators.util import broadcast_if_bounded
+from textlens.operators.util import broadcast_if_bounded, materialize
 
 
 def assign_folds(observations: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -55,6 +55,9 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
     terms = with_terms(observations.select(key, "text"), n_gram, num_features).drop("text")
     # one row per document (its compact term array) travels to meet its fold
     tf = explode_terms(terms.join(folds.select(key, "fold", "label"), key), [key, "fold", "label"])
+    # read twice (statistics, test features): hash the text once and keep the
+    # long TF as a table in the shared folder (no cache left behind)
+    tf = materialize(tf)
 
     # per test fold g: documents, (label, bucket) tf sums and document frequencies
     stats = tf.groupBy("fold", "label", "bucket").agg(F.sum("tf").alias("t"), F.count(F.lit(1)).alias("dfc"))
@@ -65,6 +68,7 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
         F.sum("n").alias("n"), F.max("_last").getField("category").alias("category"))
     t_sums = to_training_folds(stats, k).groupBy("fold", "label", "bucket").agg(
         F.sum("t").alias("t"), F.sum("dfc").alias("dfc"))
+    counts, t_sums = materialize(counts), materialize(t_sums)
     m = counts.groupBy("fold").agg(F.sum("n").alias("m"))
     idf = (t_sums.groupBy("fold", "bucket").agg(F.sum("dfc").alias("df"))
            .join(F.broadcast(m), "fold")
@@ -79,6 +83,7 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
                                    g_sums.withColumnRenamed("x", "s").select("lam", "fold", "label", "bucket", "s"),
                                    "lam", num_features, keys=["lam", "fold"],
                                    categories=g_counts.select("lam", "fold", "label", "category"))
+    classes, theta, idf = materialize(classes), materialize(theta), materialize(idf)
 
     # test documents scored with their own fold's IDF (unseen bucket: ln(m + 1))
     idf_side = broadcast_if_bounded(idf, k * num_features, 32)

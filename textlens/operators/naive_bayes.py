@@ -112,26 +112,36 @@ def fit_naive_bayes(observations: DataFrame, n_gram: int = 1, num_features: int
 
     The model tables (at most classes x features rows) are materialized once
     (``materialize``) so scoring plans start from them, not from the text.
-
     Raises ``ValueError`` on an empty training set (S7).
     """
+    return fit_naive_bayes_many(observations, n_gram, num_features, [lam], labels, materialized)[0]
+
+
+def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int, lams: list[float],
+                         labels: list[float] | None = None, materialized: bool = True) -> list[NBModel]:
+    """One model per smoothing value from ONE pass over the text: hashing,
+    IDF and the sufficient statistics are shared; only the closed forms
+    differ per ``lambda``."""
     if observations.isEmpty():
         raise ValueError("training observations are empty: check the source filters and label mapping")
     labels = labels if labels is not None else distinct_labels(observations)
+    keep = materialize if materialized else (lambda d: d)
     tf = hashed_tf(observations, n_gram, num_features, ids=["doc_id"], carry=["label"])
     if materialized:
         tf = tf.persist(StorageLevel.MEMORY_AND_DISK)  # read by every model table below
     try:
         idf_table, idf_counts = fit_idf(tf, observations)
-        if materialized:
-            idf_table, idf_counts = materialize(idf_table), materialize(idf_counts)
+        idf_table, idf_counts = keep(idf_table), keep(idf_counts)
         points = tfidf(tf, idf_table, idf_counts, num_features, ids=["doc_id"], carry=["label"])
         counts, sums = nb_stats(points, observations)
-        classes, theta = nb_from_stats(counts, sums, lam, num_features,
-                                       categories=category_map(observations))
-        if materialized:
-            classes, theta = materialize(classes), materialize(theta)
+        counts, sums = keep(counts), keep(sums)
+        categories = keep(category_map(observations))
+        models = []
+        for lam in lams:
+            classes, theta = nb_from_stats(counts, sums, lam, num_features, categories=categories)
+            models.append(NBModel(n_gram, num_features, labels, keep(classes), keep(theta),
+                                  idf_table, idf_counts))
     finally:
         if materialized:
             tf.unpersist()
-    return NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts)
+    return models

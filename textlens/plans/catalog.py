@@ -24,9 +24,10 @@ from textlens.operators.evaluate import (
 )
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
-from textlens.operators.naive_bayes import fit_naive_bayes
+from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
 from textlens.operators.serve import score_queries, serve_best
 from textlens.operators.persist import load_nb, save_nb
+from textlens.operators.represent import fit_classifier
 from textlens.operators.rowindex import row_index
 from textlens.session import scratch_path
 from textlens.streaming.score import document_stream, score_stream
@@ -322,6 +323,24 @@ def q_text_vector_lookup(spark, base):
     return x.select("doc_id", "j", rounded(F.col("x")).alias("x"))
 
 
+@register("sppmi_nb_predict", f"{_SP2},\n"
+                              f"pts AS (SELECT d.doc_id, o.label, d.j AS bucket, d.x FROM dsum d JOIN obs o ON o.doc_id = d.doc_id),\n"
+                              f"{O.nb_ctes('pts', 'obs', P.NB_LAMBDA, P.SPPMI_FEATURES)},\n"
+                              f"reps AS (SELECT md5(text) AS h, text, min(doc_id) AS rep FROM obs GROUP BY md5(text), text),\n"
+                              f"q AS (SELECT doc_id, text FROM documents),\n"
+                              f"qx AS (SELECT q.doc_id, d.j AS bucket, d.x FROM q JOIN reps ON reps.h = md5(q.text) "
+                              f"AND reps.text = q.text JOIN dsum d ON d.doc_id = reps.rep),\n"
+                              f"{O.nb_z_ctes('q', 'qx')},\n{O.softmax_best_ctes('z', 'pred')}\n"
+                              f"SELECT doc_id, category, round(confidence, {O.D}) AS confidence, label FROM pred")
+def q_sppmi_nb_predict(spark, base):
+    """F3 with SPPMI on: NB over additive SPPMI document vectors; documents
+    whose text is not a training text are scored from the priors."""
+    model = fit_classifier(_obs(spark, base), "sppmi", P.SPPMI_NGRAM, P.SPPMI_FEATURES, P.NB_LAMBDA,
+                           P.SPPMI_K_SPARSE)
+    pred = model.predict(_docs(spark, base))
+    return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
+
+
 # ------------------------------------------------- linear models, serving
 
 _Q = "q AS (SELECT doc_id, text FROM documents)"
@@ -373,8 +392,7 @@ _NB_B = O.nb_model_ctes(P.EVAL_NGRAM, P.EVAL_FEATURES, P.NB_GRID[1], prefix="b_"
                         f"(PARTITION BY doc_id ORDER BY confidence DESC, algo) AS rn FROM allp) WHERE rn = 1")
 def q_serve_best(spark, base):
     docs = _docs(spark, base)
-    nb_a = _nb(spark, base)
-    nb_b = _nb(spark, base, P.NB_GRID[1])
+    nb_a, nb_b = fit_naive_bayes_many(_obs(spark, base), P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA, P.NB_GRID[1]])
     lin = nb_log_odds(nb_a)
     return serve_best([nb_a.predict(docs), nb_b.predict(docs), lin.predict(docs)])
 
