@@ -60,3 +60,17 @@ def test_first_comma_split_and_binarise(spark):
     assert out[4]["text"] == ""
     lab = parse_labelled_lines(df).select(F.when(F.col("label_str") == "1", 1.0).otherwise(0.0)).collect()
     assert [r[0] for r in lab] == [1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_observations_from_events(spark):
+    from textlens.sources.events import observations_from_events, stop_words
+    rows = [("$set", "user", "0", '{"text": "a b", "category": "1", "label": 1}'),
+            ("$set", "user", "1", '{"text": "c", "category": "0", "label": 0}'),
+            ("$set", "item", "2", '{"text": "x", "label": 1}'),
+            ("stopwords", "resource", "w", '{"word": "the"}'),
+            ("stopwords", "resource", "w2", '{"word": "the"}')]
+    ev = spark.createDataFrame(rows, "event string, entity_type string, entity_id string, properties string")
+    obs = {r["doc_id"]: (r["label"], r["text"], r["category"]) for r in observations_from_events(ev).collect()}
+    assert obs == {0: (1.0, "a b", "1"), 1: (0.0, "c", "0")}
+    words = stop_words(ev, "stopwords", "word", entity_col="event").collect()
+    assert [r["word"] for r in words] == ["the"]

@@ -34,3 +34,21 @@ def remove_stop_words(tokens_long: DataFrame, words: DataFrame, token_col: str =
     """Opt-in stop-word filter on long tokens (the reference loads the set but
     never applies it). The word set is small: broadcast left-anti join."""
     return tokens_long.join(F.broadcast(words.withColumnRenamed("word", token_col)), token_col, "left_anti")
+
+
+def observations_from_events(events: DataFrame, entity_type: str = "user", event_names: tuple = ("$set",),
+                             id_col: str = "entity_id", props_col: str = "properties",
+                             entity_col: str = "entity_type", event_col: str = "event") -> DataFrame:
+    """S1 + S2 + S3 composed: training observations from an event table.
+
+    Keeps events of ``entity_type`` named in ``event_names`` (pushed to the
+    scan), reads the ``text`` and ``label`` properties (label as a string),
+    binarises the label ("1" -> 1.0, else 0.0) and keeps the raw string as
+    category. ``doc_id`` is the entity id when numeric, else its 64-bit hash.
+    """
+    ev = event_scan(events, list(event_names), event_col, (entity_col, entity_type))
+    raw = prop("label", "string", props_col)
+    ident = F.coalesce(F.col(id_col).try_cast("bigint"), F.xxhash64(F.col(id_col).cast("string")))
+    return ev.select(ident.alias("doc_id"),
+                     F.when(raw == "1", F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"),
+                     prop("text", "string", props_col).alias("text"), raw.alias("category"))
