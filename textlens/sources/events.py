@@ -24,10 +24,11 @@ def prop(key: str, dtype: str = "string", props_col: str = "props"):
     return F.get_json_object(F.col(props_col), f"$.{key}").cast(dtype)
 
 
-def stop_words(events: DataFrame, event_name: str, word_key: str, entity_col: str = "event_type") -> DataFrame:
+def stop_words(events: DataFrame, event_name: str, word_key: str, entity_col: str = "event_type",
+               props_col: str = "props") -> DataFrame:
     """Distinct words of the stop-word events, ``(word)``."""
     return (event_scan(events, [event_name], entity_col)
-            .select(prop(word_key).alias("word")).where(F.col("word").isNotNull()).distinct())
+            .select(prop(word_key, props_col=props_col).alias("word")).where(F.col("word").isNotNull()).distinct())
 
 
 def remove_stop_words(tokens_long: DataFrame, words: DataFrame, token_col: str = "token") -> DataFrame:
