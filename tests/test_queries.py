@@ -114,3 +114,17 @@ def test_representation_switch_rejects_unknown(spark):
 
 def test_sppmi_nb_matches_sql_twin(spark, duck):
     test_query_matches_sql_twin(spark, duck, "sppmi_nb_predict")
+
+
+def test_one_pass_serving_equals_union_serving(spark):
+    from textlens.operators.linear import nb_log_odds
+    from textlens.operators.naive_bayes import fit_naive_bayes_many
+    from textlens.operators.serve import serve_best, serve_best_shared
+    from textlens.sources.tables import load_observations, read_table
+    obs = load_observations(spark, SF_SMALL)
+    a, b = fit_naive_bayes_many(obs, 2, 300, [0.25, 1.0])
+    lin = nb_log_odds(a)
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    one = serve_best_shared([a, b, lin], docs)
+    union = serve_best([a.predict(docs), b.predict(docs), lin.predict(docs)])
+    assert one.exceptAll(union).count() == 0 and union.exceptAll(one).count() == 0

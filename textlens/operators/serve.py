@@ -32,3 +32,64 @@ def serve_best(predictions: list[DataFrame], ids: list[str] = ("doc_id",), digit
 def score_queries(model, queries: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
     """V2: any fitted model (``predict``) applied to a whole query table."""
     return model.predict(queries.select(*ids, text_col), ids=ids, text_col=text_col)
+
+
+def serve_best_shared(models: list, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text",
+                      digits: int = 6) -> DataFrame:
+    """V1 in one pass when every model uses the same features (same hashing
+    and IDF, e.g. Naive Bayes models for several smoothing values and their
+    log-odds linear model): the documents are hashed once, the models'
+    classes are laid side by side on one class axis, ONE join and ONE
+    ``groupBy(document)`` produce every class score, and each model's
+    arg-max and the best model are chosen inside the row.
+
+    Returns ``(ids..., category, confidence, algo)`` like ``serve_best``.
+    """
+    from textlens.operators.naive_bayes import NBModel
+    from textlens.operators.scoring import class_scores
+    from textlens.operators.util import label_array
+
+    ids = list(ids)
+    first = models[0]
+    for m in models[1:]:
+        if (m.n_gram, m.num_features) != (first.n_gram, first.num_features) or m.idf_table is not first.idf_table:
+            raise ValueError("serve_best_shared needs models with one featurizer; use serve_best")
+    coefs, classes, spans, off = [], [], [], 0
+    for m in models:
+        n = len(m.labels)
+        combined = (F.array_position(label_array(m.labels), F.col("label")) - 1 + off).cast("double")
+        if isinstance(m, NBModel):
+            coefs.append(m.theta.select(combined.alias("label"), "bucket", F.col("coef")))
+            classes.append(m.classes.select(combined.alias("label"), F.col("pi").alias("base"),
+                                            F.col("default").alias("slope"), "category"))
+        else:
+            coefs.append(m.weights.select(combined.alias("label"), "bucket", F.col("weight").alias("coef")))
+            classes.append(m.classes.select(combined.alias("label"), F.col("intercept").alias("base"),
+                                            F.lit(0.0).alias("slope"), "category"))
+        spans.append((isinstance(m, NBModel), off, n))
+        off += n
+    coef = reduce(DataFrame.unionByName, coefs)
+    cls = reduce(DataFrame.unionByName, classes)
+    feats = first.features(docs.select(*ids, text_col), ids, text_col)
+    z = class_scores(feats, docs.select(*ids), coef, cls, [float(i) for i in range(off)], first.num_features,
+                     ids=ids, n_models=len(models), coef_col="coef", base_col="base", slope_col="slope",
+                     extra_class_cols=["category"])
+    picks = []
+    for algo, (is_nb, o, n) in enumerate(spans):
+        zs = F.slice("z", o + 1, n)
+        cs = F.slice("category", o + 1, n)
+        if is_nb:
+            zmax = F.array_max(zs)
+            pos = F.array_position(zs, zmax).cast("int")
+            conf = F.lit(1.0) / F.aggregate(zs, F.lit(0.0),
+                                            lambda acc, v: acc + F.coalesce(F.exp(v - zmax), F.lit(0.0)))
+        else:
+            ps = F.transform(zs, lambda v: rounded(F.lit(1.0) / (F.lit(1.0) + F.exp(-v)), digits))
+            conf = F.array_max(ps)
+            pos = F.array_position(ps, conf).cast("int")
+        picks.append(F.struct(F.coalesce(F.element_at(cs, pos), F.lit("")).alias("category"),
+                              rounded(conf, digits).alias("confidence"), F.lit(algo).alias("algo")))
+    best = picks[0]
+    for p in picks[1:]:  # strictly greater: ties keep the earlier algorithm
+        best = F.when(p["confidence"] > best["confidence"], p).otherwise(best)
+    return z.select(*ids, best.alias("_b")).select(*ids, "_b.category", "_b.confidence", "_b.algo")

@@ -25,7 +25,7 @@ from textlens.operators.evaluate import (
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
-from textlens.operators.serve import score_queries, serve_best
+from textlens.operators.serve import score_queries, serve_best, serve_best_shared
 from textlens.operators.persist import load_nb, save_nb
 from textlens.operators.represent import fit_classifier
 from textlens.operators.rowindex import row_index
@@ -393,8 +393,7 @@ _NB_B = O.nb_model_ctes(P.EVAL_NGRAM, P.EVAL_FEATURES, P.NB_GRID[1], prefix="b_"
 def q_serve_best(spark, base):
     docs = _docs(spark, base)
     nb_a, nb_b = fit_naive_bayes_many(_obs(spark, base), P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA, P.NB_GRID[1]])
-    lin = nb_log_odds(nb_a)
-    return serve_best([nb_a.predict(docs), nb_b.predict(docs), lin.predict(docs)])
+    return serve_best_shared([nb_a, nb_b, nb_log_odds(nb_a)], docs)
 
 
 @register("score_queries", f"{_NB_HEAD},\nq AS (SELECT conv_id, turn, text FROM conversations),\n"
