@@ -19,8 +19,12 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     over the session's parallelism before per-row text work. An input that
     already has enough splits is returned as is: shuffling text that is
     already spread would cost a full exchange for nothing."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no driver-side context (e.g. a remote session): leave the plan as is
+        return df
+    if have >= want:
         return df
     return df.repartition(want, *keys)
 
