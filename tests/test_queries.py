@@ -83,13 +83,18 @@ def test_l1_sparser_than_l2(spark):
 
 
 def test_lr_models_mirror_for_two_labels(spark):
-    from textlens.operators.mlfit import fit_ovr_logistic
+    """The shortcut (fit one model, 1 - p for the other label) rests on this:
+    fitting both one-vs-rest models gives opposite coefficients."""
+    from pyspark.ml.classification import LogisticRegression
+    from textlens.operators.features import ovr_columns
+    from textlens.operators.mlfit import featurizer, gram_column
     from textlens.sources.tables import load_observations
     obs = load_observations(spark, SF_SMALL)
-    m = fit_ovr_logistic(obs, 1, 100, 0.5, 10)
-    a, b = (x.coefficients.toArray() for x in m.models)
-    assert max(abs(a + b)) < 1e-6
-    assert abs(m.models[0].intercept + m.models[1].intercept) < 1e-6
+    grams = gram_column(obs, 1)
+    data = ovr_columns(featurizer(100).fit(grams).transform(grams), [0.0, 1.0])
+    a, b = (LogisticRegression(maxIter=10, regParam=0.5, labelCol=c).fit(data) for c in ("0", "1"))
+    assert max(abs(a.coefficients.toArray() + b.coefficients.toArray())) < 1e-6
+    assert abs(a.intercept + b.intercept) < 1e-6
 
 
 def test_empty_training_raises(spark):

@@ -55,6 +55,7 @@ class OvrLogistic:
     categories: DataFrame
     upto: bool = False
     clean: bool = False
+    mirrored: bool = False  # two labels: one model for labels[1]; labels[0] gets 1 - p
 
     def probabilities(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         """``(ids..., p array<double>)`` aligned with ``labels``."""
@@ -67,6 +68,8 @@ class OvrLogistic:
             out = m.transform(out).select(*ids, "features",
                                           *[f"_q{j}" for j in range(i)],
                                           vector_to_array(f"_p{i}")[1].alias(f"_q{i}"))
+        if self.mirrored:
+            return out.select(*ids, F.array(F.lit(1.0) - F.col("_q0"), F.col("_q0")).alias("p"))
         return out.select(*ids, F.array(*[F.col(f"_q{i}") for i in range(len(self.models))]).alias("p"))
 
     def predict(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -92,16 +95,22 @@ def fit_ovr_logistic(observations: DataFrame, n_gram: int, num_features: int, re
     labels = labels if labels is not None else distinct_labels(observations)
     grams = gram_column(observations.select("doc_id", "label", "text", "category"), n_gram, "text", upto, clean)
     fm = featurizer(num_features, idf).fit(grams)
-    data = ovr_columns(fm.transform(grams).select("doc_id", "label", "features"), labels).persist()
+    # with two labels the two one-vs-rest problems are the same problem with
+    # the 0/1 target flipped; the logistic loss and the penalties are symmetric
+    # under that flip, so the second model is the first negated: fit one
+    mirrored = len(labels) == 2
+    fit_labels = labels[1:] if mirrored else labels
+    data = ovr_columns(fm.transform(grams).select("doc_id", "label", "features"), fit_labels).persist()
     try:
         models = []
-        for l in labels:
+        for l in fit_labels:
             lr = LogisticRegression(maxIter=max_iter, regParam=reg, elasticNetParam=elastic_net,
                                     threshold=0.5, labelCol=str(int(l)), featuresCol="features")
             models.append(lr.fit(data.select(str(int(l)), "features")))
     finally:
         data.unpersist()
-    return OvrLogistic(n_gram, num_features, labels, fm, models, category_map(observations), upto, clean)
+    return OvrLogistic(n_gram, num_features, labels, fm, models, category_map(observations), upto, clean,
+                       mirrored)
 
 
 def fold_logistic_predictions(observations: DataFrame, folds: DataFrame, k: int, n_gram: int,
@@ -129,4 +138,5 @@ def fold_logistic_predictions(observations: DataFrame, folds: DataFrame, k: int,
 
 def nonzero_weights(model: OvrLogistic) -> list[int]:
     """Number of non-zero coefficients of each class model (L1 sparsity)."""
-    return [int(m.coefficients.numNonzeros()) for m in model.models]
+    counts = [int(m.coefficients.numNonzeros()) for m in model.models]
+    return counts * 2 if model.mirrored else counts
