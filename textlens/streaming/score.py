@@ -19,7 +19,8 @@ from textlens.session import scratch_path
 def score_stream(spark: SparkSession, source: DataFrame, model_path: str, out_path: str | None = None,
                  checkpoint: str | None = None, ids: list[str] = ("doc_id",), text_col: str = "text",
                  available_now: bool = True) -> tuple[str, object]:
-    """Start the scoring stream; returns ``(out_path, query)``.
+    """Start the scoring stream; returns ``(out_path, query)``. Output is
+    parquet under ``out_path/epoch=<id>`` (read ``out_path`` as one table).
 
     With ``available_now`` the query processes what is there and stops
     (wait with ``query.awaitTermination()``).
@@ -29,9 +30,11 @@ def score_stream(spark: SparkSession, source: DataFrame, model_path: str, out_pa
     checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
 
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
+        # one folder per epoch, overwritten: a micro-batch re-run after a
+        # failure replaces its own output instead of appending duplicates
         model = load_nb(batch.sparkSession, model_path)
         pred = model.predict(batch.select(*ids, text_col), ids=ids, text_col=text_col)
-        pred.write.mode("append").parquet(out_path)
+        pred.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
 
     writer = source.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
