@@ -114,22 +114,33 @@ def fit_ovr_logistic(observations: DataFrame, n_gram: int, num_features: int, re
 
 
 def fold_logistic_predictions(observations: DataFrame, folds: DataFrame, k: int, n_gram: int,
-                              num_features: int, regs: list[float], max_iter: int = 10) -> DataFrame:
+                              num_features: int, regs: list[float], max_iter: int = 10,
+                              parallelism: int = 4) -> DataFrame:
     """E5 for logistic regression: for every regParam and fold, features and
     models fitted on the training folds only, test fold predicted.
-    ``(reg, fold, doc_id, category, confidence, actual)``."""
+    ``(reg, fold, doc_id, category, confidence, actual)``.
+
+    The (regParam, fold) fits are independent distributed jobs; like
+    ``CrossValidator(parallelism=...)`` up to ``parallelism`` of them are
+    submitted at once so small fits share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
     labels = distinct_labels(observations)
     data = observations.join(folds.select("doc_id", "fold"), "doc_id")
-    parts = []
-    for reg in regs:
-        for f in range(k):
-            train = data.where(F.col("fold") != f).drop("fold")
-            test = data.where(F.col("fold") == f)
-            model = fit_ovr_logistic(train, n_gram, num_features, reg, max_iter, labels=labels)
-            pred = model.predict(test.select("doc_id", "text"))
-            parts.append(pred.join(test.select("doc_id", F.col("category").alias("actual")), "doc_id")
-                         .select(F.lit(float(reg)).alias("reg"), F.lit(f).alias("fold"), "doc_id",
-                                 "category", "confidence", "actual"))
+
+    def one(task):
+        reg, f = task
+        train = data.where(F.col("fold") != f).drop("fold")
+        test = data.where(F.col("fold") == f)
+        model = fit_ovr_logistic(train, n_gram, num_features, reg, max_iter, labels=labels)
+        pred = model.predict(test.select("doc_id", "text"))
+        return (pred.join(test.select("doc_id", F.col("category").alias("actual")), "doc_id")
+                .select(F.lit(float(reg)).alias("reg"), F.lit(f).alias("fold"), "doc_id",
+                        "category", "confidence", "actual"))
+
+    tasks = [(reg, f) for reg in regs for f in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
+        parts = list(pool.map(one, tasks))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
