@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "hashed_tf", "tfidf", "nb_predict", "nb_scores", "kfold_accuracy", "nb_grid", "linear_predict",
     "serve_best", "score_queries", "cooccurrence", "sppmi", "doc_sppmi_sum", "vw_lines", "coo_triples",
-    "lr_fit_predict", "score_stream",
+    "lr_fit_predict", "lr_grid", "sppmi_nb_predict", "score_stream",
 ]
 
 

@@ -21,12 +21,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.operators.features import category_map, distinct_labels, fit_idf, hashed_tf, tfidf
 from textlens.operators.scoring import class_scores, softmax_best, softmax_probs
-from textlens.operators.util import materialize
+from textlens.operators.util import attach, materialize
 
 
 def nb_stats(points: DataFrame, docs: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -50,11 +50,9 @@ def nb_from_stats(counts: DataFrame, sums: DataFrame, lam: float | str, num_feat
     lam_c: Column = F.col(lam) if isinstance(lam, str) else F.lit(float(lam))
     v = float(num_features)
     mass = sums.groupBy(*keys, "label").agg(F.sum("s").alias("s_c"))
-    per_model = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    classes = (counts.join(mass, keys + ["label"], "left")
-               .withColumn("s_c", F.coalesce(F.col("s_c"), F.lit(0.0)))
-               .withColumn("_N", F.sum("n").over(per_model))
-               .withColumn("_C", F.count(F.lit(1)).over(per_model))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_N"), F.count(F.lit(1)).alias("_C"))
+    classes = attach(counts.join(mass, keys + ["label"], "left"), totals, keys, ["_N", "_C"])
+    classes = (classes.withColumn("s_c", F.coalesce(F.col("s_c"), F.lit(0.0)))
                .withColumn("pi", F.log(F.col("n") + lam_c) - F.log(F.col("_N") + F.col("_C") * lam_c))
                .withColumn("default", F.log(lam_c) - F.log(F.col("s_c") + v * lam_c))
                .drop("_N", "_C"))
