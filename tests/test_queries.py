@@ -133,3 +133,21 @@ def test_one_pass_serving_equals_union_serving(spark):
     one = serve_best_shared([a, b, lin], docs)
     union = serve_best([a.predict(docs), b.predict(docs), lin.predict(docs)])
     assert one.exceptAll(union).count() == 0 and union.exceptAll(one).count() == 0
+
+
+@pytest.mark.parametrize("name", ["nb_predict", "kfold_accuracy", "doc_sppmi_sum"])
+def test_salted_joins_match_broadcast_joins(spark, name):
+    """With broadcasting disabled the bucket joins take the salted shuffle
+    path; results must not change."""
+    normal = queries()[name](spark, SF_SMALL).collect()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = queries()[name](spark, SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        salted = df.collect()
+    finally:
+        spark.conf.set(key, old)
+    assert "_salt" in plan
+    assert sorted(map(tuple, normal)) == sorted(map(tuple, salted))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlens.operators.util import broadcast_if_bounded, materialize
+from textlens.operators.util import bounded_join, broadcast_if_bounded, materialize
 
 GRAM_SCHEMA = "i bigint, j bigint, c bigint"
 DENSE_LIMIT = 2048          # V up to this: dense V x V accumulator per task
@@ -143,9 +143,9 @@ def doc_sppmi_sum(presence_long: DataFrame, rows: DataFrame, num_features: int,
     """F8 (additive): ``(ids..., j, x)`` = sum of the SPPMI rows of the buckets
     present in the document. The row table has at most V^2 entries: it is
     broadcast only under that bound."""
-    side = broadcast_if_bounded(rows.withColumnRenamed("i", "bucket"), num_features * num_features, 24)
-    return (presence_long.join(side, "bucket")
-            .groupBy(*ids, "j").agg(F.sum("s").alias("x")))
+    joined = bounded_join(presence_long, rows.withColumnRenamed("i", "bucket"), ["bucket"], "inner",
+                          num_features * num_features, 24, salt_col=list(ids)[0])
+    return joined.groupBy(*ids, "j").agg(F.sum("s").alias("x"))
 
 
 def doc_sppmi_append(presence: DataFrame, rows: DataFrame, num_features: int,
@@ -158,8 +158,9 @@ def doc_sppmi_append(presence: DataFrame, rows: DataFrame, num_features: int,
     # optimizer pushes down into the scan, re-running the whole text pipeline
     ranked = (presence.select(*ids, F.posexplode_outer("b").alias("_r", "bucket"))
               .where(F.col("bucket").isNotNull()))
-    side = broadcast_if_bounded(rows.withColumnRenamed("i", "bucket"), num_features * num_features, 24)
-    return ranked.join(side, "bucket").select(
+    joined = bounded_join(ranked, rows.withColumnRenamed("i", "bucket"), ["bucket"], "inner",
+                          num_features * num_features, 24, salt_col=list(ids)[0])
+    return joined.select(
         *ids, (F.lit(num_features) * (F.col("_r") + 1) + F.col("j")).cast("bigint").alias("position"),
         F.col("s").alias("x"))
 

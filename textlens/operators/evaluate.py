@@ -20,7 +20,7 @@ from textlens.operators.features import distinct_labels, explode_terms, with_ter
 from textlens.operators.naive_bayes import nb_from_stats
 from textlens.operators.rowindex import row_index
 from textlens.operators.scoring import class_scores, softmax_best
-from textlens.operators.util import broadcast_if_bounded, materialize
+from textlens.operators.util import bounded_join, materialize
 
 
 def assign_folds(observations: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -86,8 +86,8 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
     classes, theta, idf = materialize(classes), materialize(theta), materialize(idf)
 
     # test documents scored with their own fold's IDF (unseen bucket: ln(m + 1))
-    idf_side = broadcast_if_bounded(idf, k * num_features, 32)
-    test_x = (tf.join(idf_side, ["fold", "bucket"], "left").join(F.broadcast(m), "fold")
+    test_x = (bounded_join(tf, idf, ["fold", "bucket"], "left", k * num_features, 32, salt_col=key)
+              .join(F.broadcast(m), "fold")
               .select("fold", key, "bucket",
                       (F.col("tf") * F.coalesce(F.col("idf"), F.log(F.col("m") + 1.0))).alias("x"))
               .select("*", grid))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import ngrams, run_lengths, sorted_buckets, tokens
-from textlens.operators.util import attach, broadcast_if_bounded
+from textlens.operators.util import attach, bounded_join
 
 
 def with_terms(docs: DataFrame, n_gram: int, num_features: int, text_col: str = "text",
@@ -83,8 +83,9 @@ def tfidf(tf: DataFrame, idf_table: DataFrame, idf_counts: DataFrame, num_featur
     bound checked before broadcasting it.
     """
     ids, keys = list(ids), list(keys)
-    side = broadcast_if_bounded(idf_table.select(*keys, "bucket", "idf"), n_models * num_features, 32)
-    joined = tf.join(side, keys + ["bucket"], "left")
+    salt = [c for c in ids if c not in keys][0]
+    joined = bounded_join(tf, idf_table.select(*keys, "bucket", "idf"), keys + ["bucket"], "left",
+                          n_models * num_features, 32, salt_col=salt)
     joined = attach(joined, idf_counts, keys, ["idf_default"])
     return joined.select(*keys, *[c for c in ids if c not in keys], *carry, "bucket", "tf",
                          (F.col("tf") * F.coalesce(F.col("idf"), F.col("idf_default"))).alias("x"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.mathfn import rounded, sigmoid
-from textlens.operators.util import attach, broadcast_if_bounded, label_array
+from textlens.operators.util import attach, bounded_join, label_array
 
 
 def class_scores(features: DataFrame, docs: DataFrame, coef: DataFrame, classes: DataFrame,
@@ -44,8 +44,8 @@ def class_scores(features: DataFrame, docs: DataFrame, coef: DataFrame, classes:
     n = len(labels)
     wide = coef.groupBy(*keys, "bucket").agg(
         F.array(*[F.sum(F.when(F.col("label") == F.lit(l), F.col(coef_col))) for l in labels]).alias("_w"))
-    wide = broadcast_if_bounded(wide, n_models * num_features, 24 + 8 * n)
-    rows = features.select(*keys, *ids_only, "bucket", "x").join(wide, keys + ["bucket"], "left")
+    rows = bounded_join(features.select(*keys, *ids_only, "bucket", "x"), wide, keys + ["bucket"], "left",
+                        n_models * num_features, 24 + 8 * n, salt_col=ids_only[0])
     zero = docs.select(*keys, *ids_only, F.lit(0.0).alias("x"),
                        F.lit(None).cast("array<double>").alias("_w"))
     rows = rows.select(*keys, *ids_only, "x", "_w").unionByName(zero)

@@ -77,3 +77,22 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def bounded_join(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int, row_bytes: int,
+                 salt_col: str = "doc_id", salts: int = 32) -> DataFrame:
+    """Join a large ``left`` to a model-sized ``right`` (``max_rows`` is a
+    proven bound of its rows).
+
+    Under the broadcast limit: broadcast hash join, no shuffle of ``left``.
+    Above it: a salted shuffle join, so a key carrying a large share of the
+    left rows (a very common gram's bucket) is split over ``salts`` tasks:
+    left rows get ``pmod(xxhash64(salt_col), salts)``, right rows are
+    replicated once per salt value (``max_rows * salts`` rows, still model
+    sized). Deterministic, so a recomputed task sees the same split.
+    """
+    if max_rows * row_bytes <= broadcast_limit(left):
+        return left.join(F.broadcast(right), on, how)
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_left.join(salted_right, list(on) + ["_salt"], how).drop("_salt")
