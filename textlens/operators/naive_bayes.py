@@ -131,9 +131,11 @@ def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int
         idf_table, idf_counts = fit_idf(tf, observations)
         idf_table, idf_counts = keep(idf_table), keep(idf_counts)
         points = tfidf(tf, idf_table, idf_counts, num_features, ids=["doc_id"], carry=["label"])
+        # per-class counts and categories are tiny and read once: recomputed;
+        # the (label, bucket) sums feed every smoothing value: kept
         counts, sums = nb_stats(points, observations)
-        counts, sums = keep(counts), keep(sums)
-        categories = keep(category_map(observations))
+        sums = keep(sums)
+        categories = category_map(observations)
         models = []
         for lam in lams:
             classes, theta = nb_from_stats(counts, sums, lam, num_features, categories=categories)
