@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from textlens.operators.cooccur import cooccurrence, sppmi
 from textlens.operators.evaluate import kfold_roles, soft_accuracy

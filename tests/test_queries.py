@@ -3,7 +3,6 @@ entry point, and pyspark.ml cross-checks."""
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from textlens.plans.catalog import oracle_sql, queries

@@ -25,7 +25,7 @@ from textlens.operators.evaluate import (
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
-from textlens.operators.serve import score_queries, serve_best, serve_best_shared
+from textlens.operators.serve import score_queries, serve_best_shared
 from textlens.operators.persist import load_nb, save_nb
 from textlens.operators.represent import fit_classifier
 from textlens.operators.rowindex import row_index
