@@ -97,3 +97,16 @@ def test_soft_accuracy(spark):
     truth = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, label double")
     r = soft_accuracy(probs, truth).first()
     assert r["soft_accuracy"] == pytest.approx(0.75)
+
+
+def test_sparse_gramian_long_document_in_chunks(spark):
+    """A document longer than the pair chunk is split; counts are unchanged."""
+    rows = [(list(range(0, 60, 2)),), (list(range(0, 30)),), ([5],)]
+    pres = spark.createDataFrame(rows, "b array<bigint>").coalesce(1)
+    got = {(r["i"], r["j"]): r["c"] for r in cooccurrence(pres, 64, "sparse", pair_chunk=50).collect()}
+    want = {}
+    for (b,) in rows:
+        for x in range(len(b)):
+            for y in range(x, len(b)):
+                want[(b[x], b[y])] = want.get((b[x], b[y]), 0) + 1
+    assert got == want

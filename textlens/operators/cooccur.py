@@ -5,7 +5,9 @@ of the 0/1 presence matrix. Each task accumulates the partial Gramian of
 its own documents in numpy (dense ``X.T @ X`` over row blocks when the
 feature space is small, otherwise sparse pair codes counted with
 ``np.unique`` and flushed whenever the accumulator reaches a fixed size),
-emits only the non-zero upper triangle, and ONE ``groupBy(i, j).sum``
+emits only the non-zero upper triangle (the sparse path generates each
+document's pairs in chunks of at most 4M codes, so memory stays bounded
+even for a document with tens of thousands of distinct buckets), and ONE ``groupBy(i, j).sum``
 merges the partials. No self-join, so a document with many features never
 multiplies into rows.
 
@@ -31,6 +33,7 @@ GRAM_SCHEMA = "i bigint, j bigint, c bigint"
 DENSE_LIMIT = 2048          # V up to this: dense V x V accumulator per task
 BLOCK_ROWS = 2048           # documents per dense block
 SPARSE_FLUSH = 4_000_000    # distinct (i, j) codes held before a flush
+PAIR_CHUNK = 4_000_000      # pair codes generated before they are counted
 
 
 def presence_arrays(terms: DataFrame, ids: list[str] = ("doc_id",), terms_col: str = "terms") -> DataFrame:
@@ -38,8 +41,9 @@ def presence_arrays(terms: DataFrame, ids: list[str] = ("doc_id",), terms_col: s
     return terms.select(*ids, F.transform(terms_col, lambda t: t["bucket"]).alias("b"))
 
 
-def _partial_gramian(num_features: int, strategy: str = "auto"):
+def _partial_gramian(num_features: int, strategy: str = "auto", pair_chunk: int = PAIR_CHUNK):
     v = int(num_features)
+    chunk_size = int(pair_chunk)
 
     def emit_dense(g: np.ndarray) -> Iterator[pd.DataFrame]:
         iu, ju = np.nonzero(np.triu(g))
@@ -60,9 +64,36 @@ def _partial_gramian(num_features: int, strategy: str = "auto"):
                 g += np.rint(x.T @ x).astype(np.int64)  # exact: counts < 2^24
         yield from emit_dense(g)
 
+    def pair_chunks(a: np.ndarray) -> Iterator[np.ndarray]:
+        """Upper-triangle pair codes ``i * V + j`` (i <= j) of one document,
+        in chunks of at most ``chunk_size`` codes: a long document never
+        needs its whole nnz^2 / 2 pairs in memory at once."""
+        n = len(a)
+        rows = max(1, chunk_size // max(n, 1))
+        for start in range(0, n, rows):
+            head = a[start:start + rows]
+            # for each row i in the chunk, pair it with a[i:], as one array
+            lens = n - (start + np.arange(len(head)))
+            left = np.repeat(head, lens)
+            right = np.concatenate([a[start + r:] for r in range(len(head))])
+            yield left * v + right
+
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes_acc = np.empty(0, dtype=np.int64)
         counts_acc = np.empty(0, dtype=np.int64)
+        pending: list[np.ndarray] = []
+        pending_size = 0
+
+        def reduce_pending():
+            nonlocal codes_acc, counts_acc, pending, pending_size
+            if not pending:
+                return
+            codes, counts = np.unique(np.concatenate(pending), return_counts=True)
+            pending, pending_size = [], 0
+            merged = np.concatenate([codes_acc, codes])
+            weights = np.concatenate([counts_acc, counts])
+            codes_acc, inv = np.unique(merged, return_inverse=True)
+            counts_acc = np.bincount(inv, weights=weights).astype(np.int64)
 
         def flush():
             nonlocal codes_acc, counts_acc
@@ -72,22 +103,17 @@ def _partial_gramian(num_features: int, strategy: str = "auto"):
             counts_acc = np.empty(0, dtype=np.int64)
 
         for pdf in batches:
-            parts = []
             for a in pdf["b"].tolist():
                 if a is None or not len(a):
                     continue
-                a = np.asarray(a, dtype=np.int64)
-                iu, ju = np.triu_indices(len(a))
-                parts.append(a[iu] * v + a[ju])
-            if not parts:
-                continue
-            codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-            merged = np.concatenate([codes_acc, codes])
-            weights = np.concatenate([counts_acc, counts])
-            codes_acc, inv = np.unique(merged, return_inverse=True)
-            counts_acc = np.bincount(inv, weights=weights).astype(np.int64)
-            if len(codes_acc) >= SPARSE_FLUSH:
-                yield from flush()
+                for chunk in pair_chunks(np.asarray(a, dtype=np.int64)):
+                    pending.append(chunk)
+                    pending_size += len(chunk)
+                    if pending_size >= chunk_size:
+                        reduce_pending()
+                        if len(codes_acc) >= SPARSE_FLUSH:
+                            yield from flush()
+        reduce_pending()
         yield from flush()
 
     if strategy == "auto":
@@ -95,12 +121,13 @@ def _partial_gramian(num_features: int, strategy: str = "auto"):
     return dense if strategy == "dense" else sparse
 
 
-def cooccurrence(presence: DataFrame, num_features: int, strategy: str = "auto") -> DataFrame:
+def cooccurrence(presence: DataFrame, num_features: int, strategy: str = "auto",
+                 pair_chunk: int = PAIR_CHUNK) -> DataFrame:
     """``(i, j, c)`` with ``i <= j`` and ``c > 0`` from ``(…, b array)`` rows.
 
     ``strategy``: ``dense`` (V x V accumulator, BLAS), ``sparse`` (pair codes,
     memory bounded by the flush size) or ``auto`` (dense up to 2048 features)."""
-    partial = presence.select("b").mapInPandas(_partial_gramian(num_features, strategy), GRAM_SCHEMA)
+    partial = presence.select("b").mapInPandas(_partial_gramian(num_features, strategy, pair_chunk), GRAM_SCHEMA)
     return partial.groupBy("i", "j").agg(F.sum("c").alias("c"))
 
 
