@@ -63,3 +63,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/textlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a run over ``input_bytes`` of input on
+    ``total_cores`` executor cores (apply at session build).
+
+    * scan splits of ``target_partition_bytes`` keep a task's text (and its
+      term arrays, about the same size) well inside executor memory;
+    * shuffle partitions = max(3 x cores, input / target): the per-document
+      score aggregate and the TF writes are the only data-sized shuffles and
+      stay around the target size per task; AQE coalesces the small ones
+      (model tables) at run time and splits skewed ones;
+    * Arrow batches of 2,048 documents bound the co-occurrence task's block
+      (documents x features float32) next to its V x V accumulator.
+    """
+    partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    }
