@@ -71,14 +71,15 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
 
     * scan splits of ``target_partition_bytes`` keep a task's text (and its
       term arrays, about the same size) well inside executor memory;
-    * shuffle partitions = max(3 x cores, input / target): the per-document
-      score aggregate and the TF writes are the only data-sized shuffles and
-      stay around the target size per task; AQE coalesces the small ones
-      (model tables) at run time and splits skewed ones;
+    * shuffle partitions sized for the largest shuffle, not the input: the
+      biggest exchange carries one compact term array per document (about a
+      third of the text; per-document scores are far smaller), so
+      ``max(3 x cores, min(100_000, input / 3 / target))``; AQE coalesces the
+      small exchanges (model tables) at run time and splits skewed ones;
     * Arrow batches of 2,048 documents bound the co-occurrence task's block
       (documents x features float32) next to its V x V accumulator.
     """
-    partitions = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    partitions = max(3 * total_cores, min(100_000, -(-input_bytes // (3 * target_partition_bytes))))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
