@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.operators.features import category_map, distinct_labels, fit_idf, hashed_tf, tfidf
-from textlens.operators.scoring import class_scores, softmax_best, softmax_probs
+from textlens.operators.scoring import class_scores, pivot_coef, softmax_best, softmax_probs
 from textlens.operators.util import attach, materialize
 
 
@@ -77,6 +77,7 @@ class NBModel:
     idf_counts: DataFrame
     keys: list[str] = field(default_factory=list)
     n_models: int = 1
+    wide: DataFrame | None = None  # theta pivoted to one row per bucket (scoring side)
 
     def features(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         """Text -> TF-IDF long form with this model's hashing and IDF."""
@@ -89,7 +90,8 @@ class NBModel:
         feats = self.features(docs, ids, text_col)
         return class_scores(feats, docs.select(*ids), self.theta, self.classes, self.labels,
                             self.num_features, ids=ids, keys=self.keys, n_models=self.n_models,
-                            base_col="pi", slope_col="default", extra_class_cols=["category"])
+                            base_col="pi", slope_col="default", extra_class_cols=["category"],
+                            wide=self.wide)
 
     def predict(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         """M3: ``(ids..., category, confidence, label)``; category "" when the
@@ -139,8 +141,9 @@ def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int
         models = []
         for lam in lams:
             classes, theta = nb_from_stats(counts, sums, lam, num_features, categories=categories)
-            models.append(NBModel(n_gram, num_features, labels, keep(classes), keep(theta),
-                                  idf_table, idf_counts))
+            theta = keep(theta)
+            models.append(NBModel(n_gram, num_features, labels, keep(classes), theta, idf_table, idf_counts,
+                                  wide=keep(pivot_coef(theta, labels))))
     finally:
         if materialized:
             tf.unpersist()

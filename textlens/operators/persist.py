@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from textlens.operators.naive_bayes import NBModel
+from textlens.operators.scoring import pivot_coef
 
 PARTS = ("classes", "theta", "idf_table", "idf_counts")
 
@@ -17,6 +18,8 @@ def save_nb(model: NBModel, path: str) -> str:
     path = path.rstrip("/")
     for part in PARTS:
         getattr(model, part).write.mode("overwrite").parquet(f"{path}/{part}")
+    wide = model.wide if model.wide is not None else pivot_coef(model.theta, model.labels, model.keys)
+    wide.write.mode("overwrite").parquet(f"{path}/wide")
     spark = model.theta.sparkSession
     meta = spark.range(1).select(
         F.lit(model.n_gram).alias("n_gram"), F.lit(model.num_features).alias("num_features"),
@@ -34,4 +37,4 @@ def load_nb(spark: SparkSession, path: str) -> NBModel:
     tables = {part: spark.read.parquet(f"{path}/{part}") for part in PARTS}
     return NBModel(int(meta["n_gram"]), int(meta["num_features"]), [float(x) for x in meta["labels"]],
                    tables["classes"], tables["theta"], tables["idf_table"], tables["idf_counts"],
-                   list(meta["keys"]), int(meta["n_models"]))
+                   list(meta["keys"]), int(meta["n_models"]), spark.read.parquet(f"{path}/wide"))

@@ -27,23 +27,31 @@ from textlens.functions.mathfn import rounded, sigmoid
 from textlens.operators.util import attach, bounded_join, label_array
 
 
+def pivot_coef(coef: DataFrame, labels: list[float], keys: list[str] = (), coef_col: str = "coef") -> DataFrame:
+    """``(keys..., bucket, _w array<double>)``: one row per bucket, coefficients
+    aligned with ``labels`` (null where a class has none)."""
+    return coef.groupBy(*keys, "bucket").agg(
+        F.array(*[F.sum(F.when(F.col("label") == F.lit(l), F.col(coef_col))) for l in labels]).alias("_w"))
+
+
 def class_scores(features: DataFrame, docs: DataFrame, coef: DataFrame, classes: DataFrame,
                  labels: list[float], num_features: int, ids: list[str] = ("doc_id",),
                  keys: list[str] = (), n_models: int = 1, coef_col: str = "coef",
                  base_col: str = "base", slope_col: str | None = None,
-                 extra_class_cols: list[str] = ()) -> DataFrame:
+                 extra_class_cols: list[str] = (), wide: DataFrame | None = None) -> DataFrame:
     """Return ``(keys..., ids..., z array<double>, extra...)``; ``z`` is aligned
     with ``labels`` and null where a class is absent from a model.
 
     features ``(keys..., ids..., bucket, x)``; docs ``(keys..., ids...)`` lists
     every document to score; coef ``(keys..., label, bucket, coef_col)``;
-    classes ``(keys..., label, base_col, slope_col?, extra...)``.
+    classes ``(keys..., label, base_col, slope_col?, extra...)``; ``wide`` is
+    ``pivot_coef(coef)`` when the caller already has it.
     """
     ids, keys = list(ids), list(keys)
     ids_only = [c for c in ids if c not in keys]
     n = len(labels)
-    wide = coef.groupBy(*keys, "bucket").agg(
-        F.array(*[F.sum(F.when(F.col("label") == F.lit(l), F.col(coef_col))) for l in labels]).alias("_w"))
+    if wide is None:  # a model may carry it pre-pivoted (see NBModel.wide)
+        wide = pivot_coef(coef, labels, keys, coef_col)
     rows = bounded_join(features.select(*keys, *ids_only, "bucket", "x"), wide, keys + ["bucket"], "left",
                         n_models * num_features, 24 + 8 * n, salt_col=ids_only[0])
     zero = docs.select(*keys, *ids_only, F.lit(0.0).alias("x"),
