@@ -143,7 +143,7 @@ def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int
             classes, theta = nb_from_stats(counts, sums, lam, num_features, categories=categories)
             theta = keep(theta)
             models.append(NBModel(n_gram, num_features, labels, keep(classes), theta, idf_table, idf_counts,
-                                  wide=keep(pivot_coef(theta, labels))))
+                                  wide=pivot_coef(theta, labels)))  # lazy; written by save_nb
     finally:
         if materialized:
             tf.unpersist()
