@@ -51,7 +51,9 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
     Returns ``(lam, fold, doc_id, category, confidence, actual)``.
     """
     labels = distinct_labels(observations)
-    folds = assign_folds(observations, k, key)
+    # narrow (id, label, category, idx, fold), read by four consumers: the
+    # row-index window runs once
+    folds = materialize(assign_folds(observations, k, key))
     terms = with_terms(observations.select(key, "text"), n_gram, num_features).drop("text")
     # one row per document (its compact term array) travels to meet its fold
     tf = explode_terms(terms.join(folds.select(key, "fold", "label"), key), [key, "fold", "label"])
@@ -68,7 +70,7 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
         F.sum("n").alias("n"), F.max("_last").getField("category").alias("category"))
     t_sums = to_training_folds(stats, k).groupBy("fold", "label", "bucket").agg(
         F.sum("t").alias("t"), F.sum("dfc").alias("dfc"))
-    counts, t_sums = materialize(counts), materialize(t_sums)
+    t_sums = materialize(t_sums)
     m = counts.groupBy("fold").agg(F.sum("n").alias("m"))
     idf = (t_sums.groupBy("fold", "bucket").agg(F.sum("dfc").alias("df"))
            .join(F.broadcast(m), "fold")
