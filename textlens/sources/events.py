@@ -34,7 +34,8 @@ def stop_words(events: DataFrame, event_name: str, word_key: str, entity_col: st
 def remove_stop_words(tokens_long: DataFrame, words: DataFrame, token_col: str = "token") -> DataFrame:
     """Opt-in stop-word filter on long tokens (the reference loads the set but
     never applies it). The word set is small: broadcast left-anti join."""
-    return tokens_long.join(F.broadcast(words.withColumnRenamed("word", token_col)), token_col, "left_anti")
+    words = F.broadcast(words.select(F.col("word").alias(token_col)).distinct())
+    return tokens_long.join(words, token_col, "left_anti").select(*tokens_long.columns)
 
 
 def observations_from_events(events: DataFrame, entity_type: str = "user", event_names: tuple = ("$set",),
