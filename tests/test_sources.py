@@ -41,3 +41,27 @@ def test_cluster_conf_sizes():
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
     small = cluster_conf(2 ** 30, 8)
     assert small["spark.sql.shuffle.partitions"] == "24"
+
+
+def test_events_with_text_entity_ids(spark):
+    from textlens.sources.events import observations_from_events
+    ev = spark.createDataFrame([("$set", "user", "u-a", '{"text": "x", "label": "1"}'),
+                                ("$set", "user", "u-b", '{"text": "y", "label": "0"}')],
+                               "event string, entity_type string, entity_id string, properties string")
+    rows = observations_from_events(ev).collect()
+    assert len({r["doc_id"] for r in rows}) == 2 and all(r["doc_id"] is not None for r in rows)
+    assert sorted((r["text"], r["label"]) for r in rows) == [("x", 1.0), ("y", 0.0)]
+
+
+def test_one_pass_serving_rejects_mixed_featurizers(spark):
+    import pytest
+    from tests.conftest import SF_SMALL
+    from textlens.operators.naive_bayes import fit_naive_bayes
+    from textlens.operators.serve import serve_best_shared
+    from textlens.sources.tables import load_observations, read_table
+    obs = load_observations(spark, SF_SMALL)
+    a = fit_naive_bayes(obs, 1, 50, 0.25)
+    b = fit_naive_bayes(obs, 2, 50, 0.25)
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    with pytest.raises(ValueError):
+        serve_best_shared([a, b], docs)
