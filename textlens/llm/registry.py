@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from textlens.llm import mixing, sharding, tokens
+from textlens.llm import mixing, quality, sharding, tokens
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }
