@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from textlens.llm import mixing, quality, sharding, tokens
+from textlens.llm import mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_simhash": simhash.op4_simhash,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
