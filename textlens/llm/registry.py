@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textlens.llm import decontaminate, lines, mixing, quality, sharding, simhash, tokens, toxicity
+from textlens.llm import decontaminate, lines, mixing, quality, sharding, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_simhash": simhash.op4_simhash,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -19,6 +20,7 @@ ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op5_substring_dedup": substrings.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
