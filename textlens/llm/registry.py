@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textlens.llm import decontaminate, lines, mixing, quality, sharding, simhash, substrings, tokens, toxicity
+from textlens.llm import byte_dedup, decontaminate, lines, mixing, quality, sharding, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_array_dedup": byte_dedup.op8_suffix_array_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
 }
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op5_substring_dedup": substrings.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_suffix_array_dedup": byte_dedup.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
