@@ -65,7 +65,7 @@ class Group:
         col = table.column("_bytes").cast(pa.large_binary())
         col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
         self.data, self.offsets = buffer_of(col.view(pa.large_string()))
-        self.doc = table.column("doc_id").fill_null(_NULL).to_numpy()
+        self.doc = table.column("_id").fill_null(_NULL).to_numpy()
         self.n = len(self.doc)
 
     def text(self, i: int) -> bytes:
@@ -311,9 +311,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
     if window < GRAM + 8:
         raise ValueError(f"windows need {GRAM + 8} bytes at least")
     docs = docs.drop("n_bytes", "n_removed", "n_spans")
-    others = [c for c in docs.columns if c != text]
     rows, n = deal(docs, doc_id, text, group_bytes)
-    rows = rows if doc_id == "doc_id" else rows.withColumn("doc_id", F.col(doc_id))
     spans = removed_spans(rows, n, window)
 
     def rewrite(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -335,13 +333,14 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
             n_bytes, n_removed, n_spans = b - a, total[b] - total[a], runs[b] - runs[a]
             kept = [(x if not r else x[~gone[i:j]]).tobytes() for x, r, i, j in
                     zip((g.data[i:j] for i, j in zip(a, b, strict=True)), n_removed, a, b, strict=True)]
-        return pa.table([*[table.column(c) for c in others], pa.array(kept, pa.binary()),
+        return pa.table([table.column("_row"), pa.array(kept, pa.binary()),
                          *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]],
-                        [*others, text, "n_bytes", "n_removed", "n_spans"])
+                        ["_row", "_kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(text, T.BinaryType()),
-                           *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
-    return visit_with(rows, spans, rewrite, schema)
+    counts = ["n_bytes", "n_removed", "n_spans"]
+    schema = T.StructType([rows.schema["_row"], T.StructField("_kept", T.BinaryType()),
+                           *[T.StructField(c, T.LongType()) for c in counts]])
+    return visit_with(rows, spans, rewrite, schema).select("_row.*", F.col("_kept").alias(text), *counts)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

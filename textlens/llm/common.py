@@ -104,8 +104,20 @@ def attach_rows(docs: DataFrame, narrow: DataFrame, cols: Sequence[str], doc_id:
     """``docs`` with ``cols`` of ``narrow``, a table with one row for each row
     of ``docs`` and the column ``_k`` (``row_key``). Repeated rows take the
     results of their key in turn. The text is shuffled once, by the key."""
-    rows = docs.withColumn("_k", row_key(F.col(doc_id), F.col(text)))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_k").orderBy("_k")))
     each = narrow.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_all"))
-    got = rows.join(each, "_k").withColumn("_mine", F.element_at("_all", F.col("_turn")))
-    return got.select(*docs.columns, *[F.col("_mine")[c].alias(c) for c in cols])
+    got = in_turn(docs, doc_id, text).join(each, "_k").withColumn("_mine", F.element_at("_all", F.col("_turn")))
+    return got.select("_row.*", *[F.col("_mine")[c].alias(c) for c in cols])
+
+
+def in_turn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_row`` (a row of ``docs``), its ``_k`` and ``_turn``: 1 for the first
+    row of the key, 2 for its first repeat, and so on."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key(F.col(doc_id), F.col(text)).alias("_k"))
+    return rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_k").orderBy("_k")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

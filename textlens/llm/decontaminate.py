@@ -20,7 +20,7 @@ sees all documents. The documents' texts are never shuffled.
 Defined cases: null, empty and wordless texts have no words and are clean;
 items without words are no records; a null item id is written ``null``; items
 that repeat an id are one item; repeated rows are judged each; empty tables
-give no rows or no hits; more columns don't matter.
+give no rows or no hits; further columns are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -242,7 +242,8 @@ def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
     text, doc_id = settings.get("text", "text"), settings.get("doc_id", "doc_id")
     bad = contamination(docs, items, **settings).where("contaminated").select(F.col("_k").alias("_bad")).distinct()
-    return docs.join(save(bad, "contaminated"), row_key(F.col(doc_id), F.col(text)) == F.col("_bad"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key(F.col(doc_id), F.col(text)).alias("_k"))
+    return rows.join(save(bad, "contaminated"), F.col("_k") == F.col("_bad"), "left_anti").select("_row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,15 @@ GROUP_BYTES = 4 << 20
 
 
 def deal(docs: DataFrame, doc_id: str, text: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with ``_rid``, ``_bytes`` instead of ``text``, and ``_db``;
-    and the number of groups, which follows the bytes of all texts."""
+    """Rows (``_row``: the other columns of a row of ``docs``, ``_id``, ``_rid``,
+    ``_bytes``, ``_db``) and the number of groups, which follows the bytes of
+    all texts."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-total // group_bytes))
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.withColumn("_rid", F.xxhash64(doc_id, text)).withColumn("_bytes", raw).drop(text)
-    return rows.withColumn("_db", F.pmod(F.col("_rid"), F.lit(n)).cast("int")), n
+    rid = F.xxhash64(doc_id, text)
+    return docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), F.col(doc_id).alias("_id"),
+                       rid.alias("_rid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"),
+                       F.pmod(rid, F.lit(n)).cast("int").alias("_db")), n
 
 
 def ordered(group: pa.Table) -> pa.Table:

@@ -18,7 +18,8 @@ Digests have 128 bits: equal digests are taken for equal lines.
 Defined cases: null and empty texts are one empty line; rows that repeat an
 id count as documents of their own, and all rows with the largest id keep the
 line; null ids are below every other (if only null ids hold a line, all keep
-it); an empty table gives no rows.
+it); an empty table gives no rows; further columns are kept (``n_lines`` and
+``n_dropped`` replace such columns).
 """
 
 from __future__ import annotations
@@ -169,8 +170,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` with its texts rewritten and the columns ``n_lines`` (before)
     and ``n_dropped``."""
     docs = docs.drop("n_lines", "n_dropped")
-    rows = docs.withColumn("_bytes", F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = rows.withColumn("_rid", F.xxhash64("doc_id", "_bytes"))
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others).alias("_row"), "doc_id", F.xxhash64("doc_id", text).alias("_rid"),
+                       F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
     keyed = save(digests(rows, min_chars), "line-keys")
     suspects, confirmed = repeated_lines(keyed, min_docs)
     lost = (suspects.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -178,8 +180,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             .groupBy("_rid", "_id").agg(F.collect_list("key").alias("_lost")))
     lost = lost.withColumnRenamed("_rid", "_r")
     joined = rows.join(lost, (F.col("_rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    others = [c for c in docs.columns if c != text]
-    given = joined.select(*others, "_lost", "_bytes")
+    given = joined.select("_row", "_lost", "_bytes")
 
     def rewrite(batches):
         for b in batches:
@@ -198,11 +199,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 kept.append(raw)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-2], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()),
-                 pa.array(n_dropped, pa.int64())], [*others, text, "n_lines", "n_dropped"])
+                 pa.array(n_dropped, pa.int64())], ["_row", "_kept", "n_lines", "n_dropped"])
 
-    schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(text, T.StringType()),
+    schema = T.StructType([given.schema["_row"], T.StructField("_kept", T.StringType()),
                            T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return given.mapInArrow(rewrite, schema)
+    return given.mapInArrow(rewrite, schema).select("_row.*", F.col("_kept").alias(text), "n_lines", "n_dropped")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ narrow rows; a source with a third of the rows spreads like any other.
 Defined cases: null sources are one source, the last; null texts have size 0;
 documents of size 0 are never counted as taken (``taken`` 0; ``mix`` drops
 them); rows that repeat an id are queued separately; an empty table gives no
-rows; all sizes 0 give targets 0. Working columns begin with an underscore.
+rows; all sizes 0 give targets 0; further columns, whatever their names,
+are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.llm.common import WORD, attach_rows, crc, ranked, read, row_key, save, shuffled
+from textlens.llm.common import WORD, attach_rows, crc, fresh, ranked, read, row_key, save, shuffled
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -90,11 +91,11 @@ def taken(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = M
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, budget: int | None = None,
         seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    docs = docs.drop("_copies")
     found = taken(docs, weights, max_epochs, budget, seed, doc_id, text, source, keyed=True)
-    found = save(found.select("_k", F.col("copies").alias("_copies")), "copies")
-    got = attach_rows(docs, found, ["_copies"], doc_id, text).where("_copies > 0")
-    return got.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")
+    n = fresh(docs, "copies")
+    found = save(found.select("_k", F.col("copies").alias(n)), "copies")
+    got = attach_rows(docs, found, [n], doc_id, text).where(F.col(n) > 0)
+    return got.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(n)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

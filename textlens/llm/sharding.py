@@ -12,8 +12,8 @@ like any other. Only narrow columns take part; ``shard`` shuffles the text once.
 
 Defined cases: null sources form one source of their own; null texts have
 size 1 and CRC 0; rows that repeat an id are placed separately; rows equal in
-every used column are interchangeable; an empty table gives no rows. Working
-columns begin with an underscore and replace columns of such names.
+every used column are interchangeable; an empty table gives no rows;
+further columns, whatever their names, are kept by ``shard``.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Estimates steer only the work: every link is found whatever they are.
 Defined cases: null, empty and blank texts have no shingle and fingerprint 0,
 linked like any other; shorter texts than a shingle are one shingle; a null
 id is no candidate for a component's name (null if no id is known); repeated
-rows are rows of one node; an empty table gives no rows.
+rows are rows of one node; an empty table gives no rows; further columns are
+kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -35,9 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from textlens.llm.common import partitions, read, row_key, save
+from textlens.llm.common import in_turn, partitions, read, row_key, save
 from textlens.llm.components import components
 from textlens.llm.words import mix
 
@@ -273,9 +273,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sett
     found = near_duplicates(docs, doc_id=doc_id, text=text, keyed=True, **settings)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k")).alias("one"))
     keys = save(first.select(F.col("one._k").alias("_k")), "kept")
-    rows = docs.withColumn("_k", row_key(F.col(doc_id), F.col(text)))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).where("_turn = 1")
-    return rows.join(keys, "_k", "left_semi").select(*docs.columns)
+    return in_turn(docs, doc_id, text).where("_turn = 1").join(keys, "_k", "left_semi").select("_row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

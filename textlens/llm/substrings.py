@@ -117,7 +117,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_i
     docs = docs.drop("n_words", "n_removed")
     rows, n_groups = deal(docs, doc_id, text, group_bytes)
     facts = repeated_windows(rows, n_groups, schedule(window))
-    others = [c for c in docs.columns if c != text]
 
     def rewrite(table: pa.Table, facts: pa.Table) -> pa.Table:
         starts = np.concatenate([np.zeros(0, np.int64), *[r["at"].astype(np.int64) for r in unpack(facts.column("recs"), _PLACE)]])
@@ -137,13 +136,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_i
             n_words.append(len(words))
             n_removed.append(int(len(words) - stays.sum()))
             base += len(words)
-        return pa.table([*[table.column(c) for c in others], pa.array(kept, pa.binary()).cast(pa.string()),
+        return pa.table([table.column("_row"), pa.array(kept, pa.binary()).cast(pa.string()),
                          pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
-                        [*others, text, "n_words", "n_removed"])
+                        ["_row", "_kept", "n_words", "n_removed"])
 
-    schema = T.StructType([*docs.select(*others).schema.fields, T.StructField(text, T.StringType()),
+    schema = T.StructType([rows.schema["_row"], T.StructField("_kept", T.StringType()),
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return visit_with(rows, facts, rewrite, schema)
+    out = visit_with(rows, facts, rewrite, schema)
+    return out.select("_row.*", F.col("_kept").alias(text), "n_words", "n_removed")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, text: str = "text", part:
     """``docs`` without its text but with ``n_bytes`` and ``n_tokens``."""
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()),
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType())])
     return rows.mapInArrow(lambda it: count_batches(it, model, part, call), schema)
 
