@@ -113,7 +113,7 @@ def anchors(w: Words, plan: Schedule) -> tuple[np.ndarray, np.ndarray, np.ndarra
     last = np.searchsorted(s.end, s.start + plan.block)  # last symbol of the block that begins here
     last = np.minimum(last, m - 1)
     stop = s.end[last]
-    whole = s.row[last] == s.row
+    whole = (s.row[last] == s.row) & (stop >= s.start + plan.block)
     name = np.where(whole, mix(Running(s.name).of(np.arange(m), last + 1)), np.uint64(2**64 - 1))
     stop = np.where(whole, stop, s.words + 1)
     # blocks that begin at or after the left margin and end by the right one

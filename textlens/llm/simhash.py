@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlens.llm.common import in_turn, partitions, read, row_key, save
+from textlens.llm.common import fresh, in_turn, partitions, read, row_key, save
 from textlens.llm.components import components
 from textlens.llm.words import mix
 
@@ -68,7 +68,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the fingerprint as the signed long ``fp``."""
     keep = [c for c in docs.columns if c not in (text, "fp")]
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(fresh(docs, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlens.llm.common import read
+from textlens.llm.common import fresh, read
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 PART_BYTES, CALL_BYTES = 32 << 10, 1 << 20
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, text: str = "text", part:
                  call: int = CALL_BYTES) -> DataFrame:
     """``docs`` without its text but with ``n_bytes`` and ``n_tokens``."""
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias(fresh(docs, "_text")))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType())])
     return rows.mapInArrow(lambda it: count_batches(it, model, part, call), schema)

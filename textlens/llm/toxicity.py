@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlens.llm.common import read
+from textlens.llm.common import fresh, read
 from textlens.llm.words import batch_words, byte_class
 
 FOLDS, MAX_ROWS, MAX_TRAIN_BYTES, CALIBRATE = 5, 6000, 32 << 10, 0.15
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the column ``out``: 0 to 1, 0.5 is the threshold."""
     keep = [c for c in docs.columns if c != out]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_scored"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias(fresh(docs, "_scored")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the tables' fixed shapes
 
     def run(batches):
