@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlens.llm.common import fresh, read
-from textlens.llm.words import batch_words, byte_class
+from textlens.llm.words import batch_words, buffer_of, byte_class, chunks
 
 FOLDS, MAX_ROWS, MAX_TRAIN_BYTES, CALIBRATE = 5, 6000, 32 << 10, 0.15
 BUCKETS, PREFIXES, DIM, WIDTHS, FILTERS, HIDDEN = 1 << 15, (6,), 12, (1, 2, 3), 8, 12
@@ -59,9 +59,10 @@ class Model:
 def word_ids(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with the hashed ids of their words (one column per
     embedding table) and the index of each row's first word."""
-    for lo, hi, w in batch_words(pc.utf8_lower(texts.fill_null("")), _ALNUM, True):
-        ids = [w.hashes(), *(w.hashes(p) for p in PREFIXES)]
-        yield lo, hi, np.stack([(h >> np.uint64(49)).astype(np.uint16) for h in ids], 1), w.first
+    for lo, hi in chunks(buffer_of(texts)[1]):
+        for a, b, w in batch_words(pc.utf8_lower(texts.slice(lo, hi - lo).fill_null("")), _ALNUM, True):
+            ids = [w.hashes(), *(w.hashes(p) for p in PREFIXES)]
+            yield lo + a, lo + b, np.stack([(h >> np.uint64(49)).astype(np.uint16) for h in ids], 1), w.first
 
 
 def _flat(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

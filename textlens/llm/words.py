@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK = 2 << 20
+#: Bytes of text that are worked on at once: some 60 bytes of memory for each.
+CHUNK = 512 << 10
 
 
 def byte_class(pattern: str) -> np.ndarray:
@@ -52,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, np.uint64)
     up[0] = 1
@@ -63,7 +64,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n``."""
-    return _powers_to(max(1 << 16, 1 << int(n).bit_length()))
+    return _powers_to(max(2 * CHUNK, 1 << int(n).bit_length()))
 
 
 class Running:
