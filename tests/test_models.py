@@ -64,12 +64,47 @@ def test_dense_and_sparse_gramians_agree(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_row_index_matches_rank(spark):
+@pytest.mark.parametrize("n_ranges", [None, 1, 13, 500])
+def test_row_index_matches_rank(spark, n_ranges):
     ids = spark.createDataFrame([(i * 7 % 1003,) for i in range(1003)], "doc_id long")
-    got = row_index(ids, "doc_id", n_ranges=13).orderBy("doc_id").collect()
+    got = row_index(ids, "doc_id", n_ranges=n_ranges).orderBy("doc_id").collect()
     assert [r["idx"] for r in got] == list(range(1003))
 
 
+def test_row_index_of_other_keys(spark):
+    text = spark.createDataFrame([(f"k{i % 7}", i, None if i == 3 else "x") for i in range(100)], "a string, b long, c string")
+    got = row_index(text, ["a", "b"], n_ranges=5).orderBy("a", "b").collect()
+    assert [r["idx"] for r in got] == list(range(100)) and got[0].asDict().keys() == {"a", "b", "c", "idx"}
+    got = row_index(text, "c", tie_breakers=["b"]).orderBy("idx").collect()
+    assert [r["b"] for r in got][:3] == [3, 0, 1]
+    empty = spark.createDataFrame([], "doc_id string")
+    assert row_index(empty).collect() == [] and row_index(empty).columns == ["doc_id", "idx"]
+
+
+def test_row_index_ranges_follow_the_parameter(spark):
+    """A range is never much larger than its share, however many are asked for."""
+    df = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    sizes = df.repartitionByRange(400, "doc_id").groupBy(__import__("pyspark").sql.functions.spark_partition_id()).count()
+    assert sizes.count() > 350 and sizes.agg({"count": "max"}).first()[0] < 4 * 500
+
+
+def test_kfold_of_nothing(spark):
+    from textlens.operators.evaluate import kfold_naive_bayes
+    empty = spark.createDataFrame([], "doc_id long, label double, text string, category string")
+    with pytest.raises(ValueError):
+        kfold_naive_bayes(empty, 3, 1, 50, [0.25])
+
+
+def test_sppmi_of_many_documents(spark):
+    """Counts whose products leave 64 bits: N = 4e9 and beyond."""
+    n = 4_000_000_000
+    co = spark.createDataFrame([(0, 0, n // 2), (0, 1, n // 4 + 1), (1, 1, n // 2), (0, 2, n // 4 - 1), (2, 2, n // 2)], "i long, j long, c long")
+    got = {(r["i"], r["j"]): r["sppmi"] for r in sppmi(co, n, 1).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (0, 1)}  # (0, 2) is just below independence, (0, 1) just above
+    assert got[0, 0] == pytest.approx(1.0) and 0 <= got[0, 1] < 1e-6
+    assert sppmi(co.selectExpr("i", "j", "c * 1000 as c"), n * 1000, 2).count() == 0
+
+
 def test_kfold_fixture(spark):
     folds = spark.createDataFrame([(i, i % 3) for i in range(7)], "doc_id long, fold int")
     roles = kfold_roles(folds, 3).where("role = 'test'").collect()

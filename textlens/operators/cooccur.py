@@ -15,15 +15,22 @@ F6 ``SPPMI[i, j] = max(0, log2(C[i, j] * N / (C[i, i] * C[j, j])) - log2(k))``.
 Only positive entries are kept (sparse); a pair of seen buckets that never
 co-occur is ``max(0, -inf) = 0`` and is absent too, and buckets never seen
 have no row at all (the dense formula would give 0/0 there). Positivity is
-decided exactly in integers: ``C[i, j] * N > k * C[i, i] * C[j, j]``.
+decided exactly, ``C[i, j] * N > k * C[i, i] * C[j, j]`` in 38-digit decimals
+(products of counts outgrow 64 bits from about 3e9 documents on); the value
+is a sum of logarithms.
+
+The partials that meet in the one shuffle are at most (tasks x V^2 / 2), so
+there are no more Gramian tasks than the cluster has cores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +52,27 @@ def _partial_gramian(num_features: int, strategy: str = "auto", pair_chunk: int
     v = int(num_features)
     chunk_size = int(pair_chunk)
 
-    def emit_dense(g: np.ndarray) -> Iterator[pd.DataFrame]:
-        iu, ju = np.nonzero(np.triu(g))
-        if len(iu):
-            yield pd.DataFrame({"i": iu.astype("int64"), "j": ju.astype("int64"),
-                                "c": g[iu, ju].astype("int64")})
+    def emit(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (i, j, c)], ["i", "j", "c"])
+
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Row and bucket of each entry of the batch's lists."""
+        col = batch.column(0)
+        size = np.nan_to_num(pc.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
+        return np.repeat(np.arange(len(col)), size), col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((v, v), dtype=np.int64)
-        for pdf in batches:
-            arrs = pdf["b"].tolist()
-            for start in range(0, len(arrs), BLOCK_ROWS):
-                block = arrs[start:start + BLOCK_ROWS]
-                x = np.zeros((len(block), v), dtype=np.float32)
-                for r, a in enumerate(block):
-                    if a is not None and len(a):
-                        x[r, np.asarray(a, dtype=np.int64)] = 1.0
+        for batch in batches:
+            row, bucket = rows_of(batch)
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                lo, hi = np.searchsorted(row, [start, start + BLOCK_ROWS])
+                x = np.zeros((min(BLOCK_ROWS, batch.num_rows - start), v), dtype=np.float32)
+                x[row[lo:hi] - start, bucket[lo:hi]] = 1.0
                 g += np.rint(x.T @ x).astype(np.int64)  # exact: counts < 2^24
-        yield from emit_dense(g)
+        i, j = np.nonzero(np.triu(g))
+        yield from emit(i, j, g[i, j])
 
     def pair_chunks(a: np.ndarray) -> Iterator[np.ndarray]:
         """Upper-triangle pair codes ``i * V + j`` (i <= j) of one document,
@@ -78,7 +88,7 @@ def _partial_gramian(num_features: int, strategy: str = "auto", pair_chunk: int
             right = np.concatenate([a[start + r:] for r in range(len(head))])
             yield left * v + right
 
-    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_acc = np.empty(0, dtype=np.int64)
         counts_acc = np.empty(0, dtype=np.int64)
         pending: list[np.ndarray] = []
@@ -97,16 +107,14 @@ def _partial_gramian(num_features: int, strategy: str = "auto", pair_chunk: int
 
         def flush():
             nonlocal codes_acc, counts_acc
-            if len(codes_acc):
-                yield pd.DataFrame({"i": codes_acc // v, "j": codes_acc % v, "c": counts_acc})
+            yield from emit(codes_acc // v, codes_acc % v, counts_acc)
             codes_acc = np.empty(0, dtype=np.int64)
             counts_acc = np.empty(0, dtype=np.int64)
 
-        for pdf in batches:
-            for a in pdf["b"].tolist():
-                if a is None or not len(a):
-                    continue
-                for chunk in pair_chunks(np.asarray(a, dtype=np.int64)):
+        for batch in batches:
+            row, bucket = rows_of(batch)
+            for a in np.split(bucket, np.flatnonzero(np.diff(row)) + 1) if len(row) else []:
+                for chunk in pair_chunks(a):
                     pending.append(chunk)
                     pending_size += len(chunk)
                     if pending_size >= chunk_size:
@@ -127,7 +135,12 @@ def cooccurrence(presence: DataFrame, num_features: int, strategy: str = "auto",
 
     ``strategy``: ``dense`` (V x V accumulator, BLAS), ``sparse`` (pair codes,
     memory bounded by the flush size) or ``auto`` (dense up to 2048 features)."""
-    partial = presence.select("b").mapInPandas(_partial_gramian(num_features, strategy, pair_chunk), GRAM_SCHEMA)
+    rows = presence.select("b")
+    try:
+        rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # no driver-side context: as many partials as input splits
+        pass
+    partial = rows.mapInArrow(_partial_gramian(num_features, strategy, pair_chunk), GRAM_SCHEMA)
     return partial.groupBy("i", "j").agg(F.sum("c").alias("c"))
 
 
@@ -151,9 +164,9 @@ def sppmi(cooc: DataFrame, n_docs, k: float = 10.0, num_features: int | None = N
     di = broadcast_if_bounded(diag, bound, 24)
     dj = broadcast_if_bounded(diag.select(F.col("i").alias("j"), F.col("cii").alias("cjj")), bound, 24)
     x = cooc.join(di, "i").join(dj, "j").withColumn("_n", n.cast("bigint"))
-    positive = (F.col("c") * F.col("_n")).cast("double") > F.lit(float(k)) * F.col("cii") * F.col("cjj")
-    value = (F.log2((F.col("c") * F.col("_n")).cast("double") / (F.col("cii") * F.col("cjj")).cast("double"))
-             - F.log2(F.lit(float(k))))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    positive = wide("c") * wide("_n") > F.lit(Decimal(str(k))) * (wide("cii") * wide("cjj"))
+    value = F.log2("c") + F.log2("_n") - F.log2("cii") - F.log2("cjj") - F.log2(F.lit(float(k)))
     return x.where(positive).select("i", "j", value.alias("sppmi"))
 
 
@@ -166,11 +179,11 @@ def sppmi_rows(sp: DataFrame) -> DataFrame:
 
 
 def doc_sppmi_sum(presence_long: DataFrame, rows: DataFrame, num_features: int,
-                  ids: list[str] = ("doc_id",)) -> DataFrame:
+                  ids: list[str] = ("doc_id",), outer: bool = False) -> DataFrame:
     """F8 (additive): ``(ids..., j, x)`` = sum of the SPPMI rows of the buckets
-    present in the document. The row table has at most V^2 entries: it is
-    broadcast only under that bound."""
-    joined = bounded_join(presence_long, rows.withColumnRenamed("i", "bucket"), ["bucket"], "inner",
+    present in the document (``outer``: a null row keeps each document). The
+    row table has at most V^2 entries: it is broadcast only under that bound."""
+    joined = bounded_join(presence_long, rows.withColumnRenamed("i", "bucket"), ["bucket"], "left" if outer else "inner",
                           num_features * num_features, 24, salt_col=list(ids)[0])
     return joined.groupBy(*ids, "j").agg(F.sum("s").alias("x"))
 
@@ -193,15 +206,22 @@ def doc_sppmi_append(presence: DataFrame, rows: DataFrame, num_features: int,
 
 
 def text_vector_lookup(queries: DataFrame, train_texts: DataFrame, train_vectors: DataFrame,
-                       ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+                       ids: list[str] = ("doc_id",), text_col: str = "text", salts: int = 32,
+                       outer: bool = False) -> DataFrame:
     """vector of a query text = vector of the identical training text.
 
-    Equal texts have equal vectors, so one representative (lowest doc_id)
-    per distinct text is enough; the join key is ``md5(text)`` plus text
-    equality. A text never seen in training has no rows (zero vector)."""
-    reps = (train_texts.select("doc_id", text_col).withColumn("_h", F.md5(text_col))
-            .groupBy("_h", text_col).agg(F.min("doc_id").alias("_rep")))
-    q = queries.select(*ids, text_col).withColumn("_h", F.md5(text_col))
-    matched = q.join(reps, ["_h", text_col]).select(*ids, "_rep")
-    vec = train_vectors.withColumnRenamed("doc_id", "_rep")
-    return matched.join(vec, "_rep").select(*ids, "j", "x")
+    Texts are compared by their SHA-256, so no text is shuffled; equal texts
+    have equal vectors, so one vector per distinct training text (that of its
+    lowest doc_id) is kept, as one array. Queries meet it under a salt: a
+    text that a large share of the queries repeats spreads over ``salts``
+    tasks. A text never seen in training has no rows (zero vector), or with
+    ``outer`` one row of nulls, as has a text whose vector is empty."""
+    reps = (train_texts.select("doc_id", F.sha2(text_col, 256).alias("_h"))
+            .groupBy("_h").agg(F.min("doc_id").alias("doc_id")))
+    vec = (train_vectors.join(reps, "doc_id").groupBy("_h")
+           .agg(F.collect_list(F.struct("j", "x")).alias("_v")))  # at most V entries
+    vec = vec.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    q = queries.select(*ids, F.sha2(text_col, 256).alias("_h"),
+                       F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int").alias("_salt"))
+    matched = q.join(vec, ["_h", "_salt"], "left" if outer else "inner")
+    return matched.select(*ids, F.inline_outer("_v"))

@@ -20,35 +20,44 @@ from textlens.operators.util import attach, bounded_join
 
 
 def with_terms(docs: DataFrame, n_gram: int, num_features: int, text_col: str = "text",
-               out_col: str = "terms") -> DataFrame:
+               out_col: str = "terms", stop_words: DataFrame | None = None) -> DataFrame:
     """Add ``terms: array<struct<bucket, tf>>`` (sorted by bucket) to each row."""
-    return (with_grams(docs, n_gram, text_col, "_grams")
+    return (with_grams(docs, n_gram, text_col, "_grams", stop_words)
             .withColumn("_buckets", sorted_buckets(F.col("_grams"), num_features))
             .withColumn(out_col, run_lengths(F.col("_buckets")))
             .drop("_grams", "_buckets"))
 
 
-def with_grams(docs: DataFrame, n_gram: int, text_col: str = "text", out_col: str = "grams") -> DataFrame:
-    """Add the n-gram array. The token array is its own column first: the
-    window lambda reads it once per gram, so it must not be recomputed."""
+def with_grams(docs: DataFrame, n_gram: int, text_col: str = "text", out_col: str = "grams",
+               stop_words: DataFrame | None = None) -> DataFrame:
+    """Add the n-gram array; ``stop_words (word)``, a small set (S5), are taken
+    out of the tokens first (each occurrence, other repeats stay). The token
+    array is its own column first: the window lambda reads it once per gram,
+    so it must not be recomputed."""
     d = docs.withColumn("_tokens", tokens(F.col(text_col)))
+    if stop_words is not None:
+        words = stop_words.agg(F.collect_set("word").alias("_stop"))
+        d = attach(d, words, [], ["_stop"])
+        d = d.withColumn("_tokens", F.filter("_tokens", lambda t: ~F.array_contains("_stop", t))).drop("_stop")
     return d.withColumn(out_col, ngrams(F.col("_tokens"), n_gram)).drop("_tokens")
 
 
 def hashed_tf(docs: DataFrame, n_gram: int, num_features: int, ids: list[str] = ("doc_id",),
-              text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """``(ids..., carry..., bucket, tf)`` for every (document, bucket) with tf > 0."""
+              text_col: str = "text", carry: list[str] = (), outer: bool = False) -> DataFrame:
+    """``(ids..., carry..., bucket, tf)`` for every (document, bucket) with
+    tf > 0 (``outer``: and a null row for a document without any)."""
     ids = list(ids)
     t = with_terms(docs.select(*ids, *carry, text_col), n_gram, num_features, text_col)
-    return explode_terms(t, ids + list(carry))
+    return explode_terms(t, ids + list(carry), outer=outer)
 
 
-def explode_terms(t: DataFrame, cols: list[str], terms_col: str = "terms") -> DataFrame:
-    """Long form of a ``terms`` array. ``inline_outer`` + an explicit filter:
-    plain ``inline`` makes the optimizer infer a ``size(terms) > 0`` filter and
-    push it under the projections, re-evaluating the whole term expression."""
-    return (t.select(*cols, F.inline_outer(terms_col))
-            .where(F.col("bucket").isNotNull()))
+def explode_terms(t: DataFrame, cols: list[str], terms_col: str = "terms", outer: bool = False) -> DataFrame:
+    """Long form of a ``terms`` array (``outer``: with a null row for an empty
+    one). ``inline_outer`` + an explicit filter: plain ``inline`` makes the
+    optimizer infer a ``size(terms) > 0`` filter and push it under the
+    projections, re-evaluating the whole term expression."""
+    long = t.select(*cols, F.inline_outer(terms_col))
+    return long if outer else long.where(F.col("bucket").isNotNull())
 
 
 def presence(tf: DataFrame, ids: list[str] = ("doc_id",)) -> DataFrame:

@@ -2,24 +2,26 @@
 an intercept per label, scored with the shared sparse scorer.
 
 ``p[c] = sigmoid(b[c] + w[c] . x)``; the prediction is the class with the
-highest (rounded) probability, ties to the lower label, and its confidence
-is that un-normalised probability (M4). The binary variant folds the
+highest margin ``b + w . x``, so the highest probability, ties to the lower
+label, and its confidence is that un-normalised probability (M4). The binary variant folds the
 probability of class "1" into (category, confidence) (M8).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.mathfn import sigmoid
-from textlens.operators.features import hashed_tf, tfidf, with_grams
+from textlens.operators.features import hashed_tf, tfidf, with_grams, with_terms
 from textlens.operators.naive_bayes import NBModel
-from textlens.operators.scoring import class_scores, sigmoid_best
-from textlens.operators.util import attach, materialize
+from textlens.operators.scoring import (class_params, class_scores, dense_gains, fits_a_row, pivot_coef, row_scores,
+                                        sigmoid_best)
+from textlens.operators.util import attach, bounded_join, materialize
 from textlens.functions.text import bucket_of
+from textlens.session import drop_paths
 
 
 @dataclass
@@ -31,23 +33,56 @@ class LinearModel:
     classes: DataFrame      # (label, intercept, category)
     idf_table: DataFrame | None = None
     idf_counts: DataFrame | None = None
-
-    def features(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-        tf = hashed_tf(docs, self.n_gram, self.num_features, ids=ids, text_col=text_col)
+    gains: DataFrame | None = None  # one row: gains as arrays (models within the broadcast limit)
+    made: list[str] = field(default_factory=list)
+
+    def with_gains(self) -> "LinearModel":
+        """Precompute the gains of a model within the broadcast limit."""
+        n = len(self.labels)
+        if self.gains is None and fits_a_row(self.weights, n, self.num_features):
+            rows = pivot_coef(self.weights, self.labels, coef_col="weight")
+            idf = F.lit(1.0)
+            if self.idf_table is not None:
+                rows = rows.join(self.idf_table.select("bucket", "idf"), "bucket", "left")
+                rows = attach(rows, self.idf_counts, [], ["idf_default"])
+                idf = F.coalesce("idf", "idf_default")
+            g = F.array(*[idf * F.coalesce(F.col("_w")[i], F.lit(0.0)) for i in range(n)])
+            rows = rows.select("bucket", g.alias("_g"), F.array(*[F.lit(0.0)] * n).alias("_d"))
+            self.gains = materialize(dense_gains(rows, n, self.num_features), self.made)
+        return self
+
+    def drop(self) -> None:
+        """Delete this model's scratch tables; nothing may read it any more."""
+        drop_paths(self.weights.sparkSession, self.made)
+        self.made = []
+
+    def in_rows(self) -> bool:
+        return self.gains is not None and fits_a_row(self.weights, len(self.labels), self.num_features)
+
+    def bases(self) -> DataFrame:
+        p = class_params(self.classes, self.labels, [], ["intercept", "category"])
+        return p.select(F.col("_intercept").alias("_base"), F.col("_category").alias("category"))
+
+    def features(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text",
+                 outer: bool = False) -> DataFrame:
+        tf = hashed_tf(docs, self.n_gram, self.num_features, ids=ids, text_col=text_col, outer=outer)
         if self.idf_table is None:
             return tf.withColumn("x", F.col("tf").cast("double"))
         return tfidf(tf, self.idf_table, self.idf_counts, self.num_features, ids=ids)
 
     def scores(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-        return class_scores(self.features(docs, ids, text_col), docs.select(*ids), self.weights,
-                            self.classes, self.labels, self.num_features, ids=ids, coef_col="weight",
-                            base_col="intercept", extra_class_cols=["category"])
+        if self.in_rows():
+            terms = with_terms(docs.select(*ids, text_col), self.n_gram, self.num_features, text_col)
+            return row_scores(terms, self.gains, self.bases(), len(self.labels), list(ids), extra=["category"])
+        return class_scores(self.features(docs, ids, text_col, outer=True), self.weights, self.classes, self.labels,
+                            self.num_features, ids=ids, coef_col="weight", base_col="intercept",
+                            extra_class_cols=["category"])
 
     def predict(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-        """M4: ``(ids..., category, confidence, label)``."""
+        """M4: ``(ids..., category, confidence, label, margin)``."""
         ids = list(ids)
         best = sigmoid_best(self.scores(docs, ids, text_col), self.labels, categories_col="category")
-        return best.select(*ids, "category", "confidence", "label")
+        return best.select(*ids, "category", "confidence", "label", "margin")
 
     def probability(self, docs: DataFrame, label: float = 1.0, ids: list[str] = ("doc_id",),
                     text_col: str = "text") -> DataFrame:
@@ -86,8 +121,9 @@ def nb_log_odds(nb: NBModel, positive: float = 1.0, negative: float = 0.0) -> Li
     classes = b.select("label", "category",
                        F.when(F.col("label") == positive, F.col("p1") - F.col("p0"))
                        .otherwise(F.col("p0") - F.col("p1")).alias("intercept"))
-    return LinearModel(nb.n_gram, nb.num_features, [negative, positive], materialize(weights),
-                       materialize(classes), nb.idf_table, nb.idf_counts)
+    made: list[str] = []
+    return LinearModel(nb.n_gram, nb.num_features, [negative, positive], materialize(weights, made),
+                       materialize(classes, made), nb.idf_table, nb.idf_counts, made=made).with_gains()
 
 
 def readable_weights(docs: DataFrame, model: LinearModel, label: float = 1.0, text_col: str = "text") -> DataFrame:
@@ -96,4 +132,5 @@ def readable_weights(docs: DataFrame, model: LinearModel, label: float = 1.0, te
     grams = (with_grams(docs.select(text_col), model.n_gram, text_col)
              .select(F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull()).distinct())
     w = model.weights.where(F.col("label") == label).select("bucket", "weight")
-    return grams.withColumn("bucket", bucket_of(F.col("gram"), model.num_features)).join(w, "bucket", "left")
+    grams = grams.withColumn("bucket", bucket_of(F.col("gram"), model.num_features))
+    return bounded_join(grams, w, ["bucket"], "left", model.num_features, 24, salt_col="gram")

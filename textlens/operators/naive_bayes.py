@@ -11,6 +11,11 @@ too), ``S[c, j]`` the summed feature value of bucket ``j`` in class ``c`` and
 ``c`` has ``theta = ln(lambda) - ln(S[c] + V * lambda)``: the per-class
 ``default`` column, so the theta table stays sparse.
 
+With TF-IDF features ``S[c, j] = idf_j * T[c, j]``, so one aggregate of the
+term counts by (label, bucket), a table of at most classes x features rows,
+holds document frequencies, IDF and sums: the corpus is read once and never
+cached or joined.
+
 Everything is keyed by optional ``keys`` (e.g. ``fold`` or ``lam``), so many
 models (k folds x a parameter grid) fit in one job from one set of
 sufficient statistics.
@@ -20,13 +25,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlens.operators.features import category_map, distinct_labels, fit_idf, hashed_tf, tfidf
-from textlens.operators.scoring import class_scores, pivot_coef, softmax_best, softmax_probs
+from textlens.operators.features import hashed_tf, tfidf, with_terms
+from textlens.operators.scoring import (class_params, class_scores, dense_gains, fits_a_row, pivot_coef, row_scores,
+                                        softmax_best, softmax_probs)
 from textlens.operators.util import attach, materialize
+from textlens.session import drop_paths
 
 
 def nb_stats(points: DataFrame, docs: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -65,6 +71,21 @@ def nb_from_stats(counts: DataFrame, sums: DataFrame, lam: float | str, num_feat
     return classes, theta
 
 
+def nb_gains(classes: DataFrame, theta: DataFrame, idf_table: DataFrame, idf_counts: DataFrame,
+             labels: list[float], num_features: int, keys: list[str] = ()) -> DataFrame:
+    """What each bucket adds to each class (``scoring.dense_gains``): IDF times
+    theta; an unseen bucket has the default IDF and the default theta."""
+    keys, n = list(keys), len(labels)
+    params = class_params(classes, labels, keys, ["default"])
+    rows = idf_table.select(*keys, "bucket", "idf").join(pivot_coef(theta, labels, keys), [*keys, "bucket"], "left")
+    rows = attach(attach(rows, params, keys, ["_default"]), idf_counts, keys, ["idf_default"])
+    gains = rows.select(
+        *keys, "bucket",
+        F.array(*[F.col("idf") * (F.col("_default")[i] + F.coalesce(F.col("_w")[i], F.lit(0.0))) for i in range(n)]).alias("_g"),
+        F.array(*[F.col("idf_default") * F.col("_default")[i] for i in range(n)]).alias("_d"))
+    return dense_gains(gains, n, num_features, keys)
+
+
 @dataclass
 class NBModel:
     """A fitted text classifier: hashing + IDF parameters and NB tables."""
@@ -75,35 +96,62 @@ class NBModel:
     theta: DataFrame
     idf_table: DataFrame
     idf_counts: DataFrame
-    keys: list[str] = field(default_factory=list)
-    n_models: int = 1
-    wide: DataFrame | None = None  # theta pivoted to one row per bucket (scoring side)
+    wide: DataFrame | None = None   # theta pivoted to one row per bucket
+    gains: DataFrame | None = None  # one row: gains as arrays (models within the broadcast limit)
+    made: list[str] = field(default_factory=list)  # scratch tables of this model
 
-    def features(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    def features(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text",
+                 outer: bool = False) -> DataFrame:
         """Text -> TF-IDF long form with this model's hashing and IDF."""
-        tf = hashed_tf(docs, self.n_gram, self.num_features, ids=ids, text_col=text_col)
-        return tfidf(tf, self.idf_table, self.idf_counts, self.num_features, ids=ids,
-                     keys=self.keys, n_models=self.n_models)
+        tf = hashed_tf(docs, self.n_gram, self.num_features, ids=ids, text_col=text_col, outer=outer)
+        return tfidf(tf, self.idf_table, self.idf_counts, self.num_features, ids=ids)
+
+    def in_rows(self) -> bool:
+        return self.gains is not None and fits_a_row(self.theta, len(self.labels), self.num_features)
+
+    def bases(self) -> DataFrame:
+        p = class_params(self.classes, self.labels, [], ["pi", "category"])
+        return p.select(F.col("_pi").alias("_base"), F.col("_category").alias("category"))
 
     def scores(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-        """``(ids..., z array)`` for every row of ``docs``."""
-        feats = self.features(docs, ids, text_col)
-        return class_scores(feats, docs.select(*ids), self.theta, self.classes, self.labels,
-                            self.num_features, ids=ids, keys=self.keys, n_models=self.n_models,
-                            base_col="pi", slope_col="default", extra_class_cols=["category"],
-                            wide=self.wide)
+        """``(ids..., z array, category array)`` for every row of ``docs``."""
+        ids = list(ids)
+        if self.in_rows():
+            terms = with_terms(docs.select(*ids, text_col), self.n_gram, self.num_features, text_col)
+            return row_scores(terms, self.gains, self.bases(), len(self.labels), ids, extra=["category"])
+        return class_scores(self.features(docs, ids, text_col, outer=True), self.theta, self.classes, self.labels,
+                            self.num_features, ids=ids, base_col="pi", slope_col="default",
+                            extra_class_cols=["category"], wide=self.wide)
 
     def predict(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-        """M3: ``(ids..., category, confidence, label)``; category "" when the
-        label has no category."""
+        """M3: ``(ids..., category, confidence, label, margin)``; category "" when
+        the label has no category."""
         ids = list(ids)
         best = softmax_best(self.scores(docs, ids, text_col), self.labels, ids, categories_col="category")
-        return best.select(*ids, "category", "confidence", "label")
+        return best.select(*ids, "category", "confidence", "label", "margin")
 
     def probabilities(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         """M2: ``(ids..., label, score)``, softmax over the classes."""
         return softmax_probs(self.scores(docs, ids, text_col), self.labels, list(ids))
 
+    def drop(self) -> None:
+        """Delete this model's scratch tables; nothing may read it any more."""
+        drop_paths(self.theta.sparkSession, self.made)
+        self.made = []
+
+
+def label_counts(observations: DataFrame) -> DataFrame:
+    """``(label, n, category)``: documents and one category (F12) per label."""
+    return observations.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max_by("category", "doc_id").alias("category"))
+
+
+def known_labels(counts: DataFrame) -> list[float]:
+    """The label values; ``ValueError`` on an empty training set."""
+    found = sorted(r[0] for r in counts.select("label").collect())  # a handful of classes
+    if not found:
+        raise ValueError("training observations are empty: check the source filters and label mapping")
+    return found
+
 
 def fit_naive_bayes(observations: DataFrame, n_gram: int = 1, num_features: int = 5000,
                     lam: float = 1.0, labels: list[float] | None = None,
@@ -121,30 +169,27 @@ def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int
                          labels: list[float] | None = None, materialized: bool = True) -> list[NBModel]:
     """One model per smoothing value from ONE pass over the text: hashing,
     IDF and the sufficient statistics are shared; only the closed forms
-    differ per ``lambda``."""
-    if observations.isEmpty():
-        raise ValueError("training observations are empty: check the source filters and label mapping")
-    labels = labels if labels is not None else distinct_labels(observations)
-    keep = materialize if materialized else (lambda d: d)
+    differ per ``lambda``. The models share scratch tables."""
+    made: list[str] = []
+    keep = (lambda d: materialize(d, made)) if materialized else (lambda d: d)
+    counts = keep(label_counts(observations))
+    found = known_labels(counts)
+    labels = labels if labels is not None else found
     tf = hashed_tf(observations, n_gram, num_features, ids=["doc_id"], carry=["label"])
-    if materialized:
-        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)  # read by every model table below
-    try:
-        idf_table, idf_counts = fit_idf(tf, observations)
-        idf_table, idf_counts = keep(idf_table), keep(idf_counts)
-        points = tfidf(tf, idf_table, idf_counts, num_features, ids=["doc_id"], carry=["label"])
-        # per-class counts and categories are tiny and read once: recomputed;
-        # the (label, bucket) sums feed every smoothing value: kept
-        counts, sums = nb_stats(points, observations)
-        sums = keep(sums)
-        categories = category_map(observations)
-        models = []
-        for lam in lams:
-            classes, theta = nb_from_stats(counts, sums, lam, num_features, categories=categories)
-            theta = keep(theta)
-            models.append(NBModel(n_gram, num_features, labels, keep(classes), theta, idf_table, idf_counts,
-                                  wide=pivot_coef(theta, labels)))  # lazy; written by save_nb
-    finally:
-        if materialized:
-            tf.unpersist()
+    stats = keep(tf.groupBy("label", "bucket").agg(F.sum("tf").alias("t"), F.count(F.lit(1)).alias("dfc")))
+    idf_counts = counts.agg(F.sum("n").alias("m")).withColumn("idf_default", F.log(F.col("m") + 1.0))
+    df = stats.groupBy("bucket").agg(F.sum("dfc").alias("df"))
+    idf_table = keep(attach(df, idf_counts, [], ["m"]).select(
+        "bucket", "df", F.log((F.col("m") + 1.0) / (F.col("df") + 1.0)).alias("idf")))
+    sums = stats.join(idf_table, "bucket").select("label", "bucket", (F.col("t") * F.col("idf")).alias("s"))
+    categories = counts.select("label", "category")
+    models = []
+    for lam in lams:
+        classes, theta = nb_from_stats(counts.select("label", "n"), sums, lam, num_features, categories=categories)
+        classes, theta = keep(classes), keep(theta)
+        m = NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts,
+                    wide=pivot_coef(theta, labels), made=made)
+        if fits_a_row(theta, len(labels), num_features):
+            m.gains = keep(nb_gains(classes, theta, idf_table, idf_counts, labels, num_features))
+        models.append(m)
     return models

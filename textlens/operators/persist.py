@@ -1,40 +1,68 @@
-"""Model save / load (M10): the Naive Bayes model is four small tables plus
-one metadata row, written as parquet under a shared folder, so any
-executor, job or stream can reload and score with it."""
+"""Model save / load (M10): every fitted model as small tables (logistic
+models also as ``pyspark.ml`` stages) and one metadata row under a shared
+folder, so any executor, job or stream can reload it and score with it.
+
+``save_model`` / ``load_model`` know Naive Bayes, linear, logistic and SPPMI
+models; the metadata says which one a folder holds.
+"""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from textlens.operators.linear import LinearModel
+from textlens.operators.mlfit import OvrLogistic
 from textlens.operators.naive_bayes import NBModel
-from textlens.operators.scoring import pivot_coef
+from textlens.operators.represent import SppmiFeatures, SppmiLogistic, SppmiNB
 
-PARTS = ("classes", "theta", "idf_table", "idf_counts")
+#: Class -> (plain fields, tables, tables that may be missing).
+KINDS = {
+    NBModel: (["n_gram", "num_features", "labels"], ["classes", "theta", "idf_table", "idf_counts"], ["wide", "gains"]),
+    LinearModel: (["n_gram", "num_features", "labels"], ["weights", "classes"], ["idf_table", "idf_counts", "gains"]),
+    OvrLogistic: (["n_gram", "num_features", "labels", "upto", "clean", "mirrored"], ["categories"], []),
+    SppmiNB: (["labels"], ["classes", "theta"], []),
+    SppmiLogistic: ([], [], []),
+    SppmiFeatures: (["n_gram", "num_features", "unseen"], ["texts", "vectors", "rows"], []),
+}
+#: Class -> fields that are models themselves.
+PARTS = {SppmiNB: ["features"], SppmiLogistic: ["features", "linear"]}
 
 
-def save_nb(model: NBModel, path: str) -> str:
-    """Write the model under ``path`` (overwrites)."""
+def save_model(model, path: str) -> str:
+    """Write any fitted model under ``path`` (overwrites)."""
     path = path.rstrip("/")
-    for part in PARTS:
-        getattr(model, part).write.mode("overwrite").parquet(f"{path}/{part}")
-    wide = model.wide if model.wide is not None else pivot_coef(model.theta, model.labels, model.keys)
-    wide.write.mode("overwrite").parquet(f"{path}/wide")
-    spark = model.theta.sparkSession
-    meta = spark.range(1).select(
-        F.lit(model.n_gram).alias("n_gram"), F.lit(model.num_features).alias("num_features"),
-        F.array(*[F.lit(float(l)) for l in model.labels]).alias("labels"),
-        F.array(*[F.lit(k) for k in model.keys]).cast("array<string>").alias("keys"),
-        F.lit(model.n_models).alias("n_models"))
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    plain, tables, optional = KINDS[type(model)]
+    meta = {f: getattr(model, f) for f in plain} | {"kind": type(model).__name__}
+    meta["has"] = [t for t in optional if getattr(model, t) is not None]
+    for t in tables + meta["has"]:
+        df = getattr(model, t)
+        df.write.mode("overwrite").parquet(f"{path}/{t}")
+    spark = SparkSession.active()
+    if isinstance(model, OvrLogistic):
+        model.features_model.write().overwrite().save(f"{path}/features")
+        for i, m in enumerate(model.models):
+            m.write().overwrite().save(f"{path}/model-{i}")
+        meta["models"] = len(model.models)
+    for part in PARTS.get(type(model), []):
+        save_model(getattr(model, part), f"{path}/{part}")
+    spark.range(1).select(F.lit(json.dumps(meta)).alias("meta")).write.mode("overwrite").parquet(f"{path}/meta")
     return path
 
 
-def load_nb(spark: SparkSession, path: str) -> NBModel:
-    """Read a model written by ``save_nb``."""
+def load_model(spark: SparkSession, path: str):
+    """Read a model written by ``save_model``."""
     path = path.rstrip("/")
-    meta = spark.read.parquet(f"{path}/meta").first()  # one row
-    tables = {part: spark.read.parquet(f"{path}/{part}") for part in PARTS}
-    return NBModel(int(meta["n_gram"]), int(meta["num_features"]), [float(x) for x in meta["labels"]],
-                   tables["classes"], tables["theta"], tables["idf_table"], tables["idf_counts"],
-                   list(meta["keys"]), int(meta["n_models"]), spark.read.parquet(f"{path}/wide"))
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])  # one row
+    kind = next(k for k in KINDS if k.__name__ == meta["kind"])
+    plain, tables, _ = KINDS[kind]
+    fields = {f: meta[f] for f in plain} | {t: spark.read.parquet(f"{path}/{t}") for t in tables + meta["has"]}
+    if kind is OvrLogistic:
+        fields["features_model"] = PipelineModel.load(f"{path}/features")
+        fields["models"] = [LogisticRegressionModel.load(f"{path}/model-{i}") for i in range(meta["models"])]
+    fields |= {part: load_model(spark, f"{path}/{part}") for part in PARTS.get(kind, [])}
+    return kind(**fields)

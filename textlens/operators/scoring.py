@@ -1,21 +1,23 @@
 """Sparse linear class scores, shared by Naive Bayes (M2/M3) and the
 one-vs-rest linear models (M4).
 
-For every document and class ``c``::
+For every document and class ``c`` over its hashed terms ``j``::
 
-    z[c] = base[c] + slope[c] * sum_j x_j + sum_j x_j * coef[c, j]
+    z[c] = base[c] + sum_j tf_j * gain[c, j]
 
-``coef`` is sparse (absent = 0). Naive Bayes uses ``base = pi``,
-``slope = theta`` of a bucket the class never saw and ``coef = theta -
-slope``, so unseen buckets cost nothing in the join; linear models use
-``base = intercept``, ``slope = 0``.
+A model's ``gain`` holds everything about a bucket (IDF, weight, the class
+default of an unseen bucket). Two plans compute the same sums:
 
-Plan: the coefficients are pivoted to one row per bucket holding an array
-over the classes (at most ``n_models * num_features`` rows, broadcast when
-that bound is small), joined to the long features, unioned with one zero
-row per document (so documents without any gram still get ``base``) and
-summed with ONE ``groupBy(document)`` that aggregates partially before its
-shuffle. Arg-max and softmax then run inside the row.
+* ``row_scores``: while the gains of all models fit the broadcast limit they
+  travel as one array per class, indexed by bucket, and the sum runs over the
+  term array inside the row. Map-only: one scan, no join, no shuffle, so the
+  same plan serves a batch and a stream.
+* ``class_scores``: beyond it, long features (one row per document and
+  bucket, one with null bucket for a document without any) are joined to
+  one row per bucket with salts and summed with one ``groupBy(document)``.
+
+Decisions compare raw margins, which stay apart where probabilities have
+long saturated: the margin of a class is its log-odds against the rest.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlens.functions.mathfn import rounded, sigmoid
-from textlens.operators.util import attach, bounded_join, label_array
+from textlens.functions.mathfn import sigmoid
+from textlens.operators.util import attach, bounded_join, broadcast_limit, label_array
 
 
 def pivot_coef(coef: DataFrame, labels: list[float], keys: list[str] = (), coef_col: str = "coef") -> DataFrame:
@@ -34,75 +36,122 @@ def pivot_coef(coef: DataFrame, labels: list[float], keys: list[str] = (), coef_
         F.array(*[F.sum(F.when(F.col("label") == F.lit(l), F.col(coef_col))) for l in labels]).alias("_w"))
 
 
-def class_scores(features: DataFrame, docs: DataFrame, coef: DataFrame, classes: DataFrame,
-                 labels: list[float], num_features: int, ids: list[str] = ("doc_id",),
-                 keys: list[str] = (), n_models: int = 1, coef_col: str = "coef",
-                 base_col: str = "base", slope_col: str | None = None,
-                 extra_class_cols: list[str] = (), wide: DataFrame | None = None) -> DataFrame:
+def fits_a_row(df: DataFrame, n_classes: int, num_features: int, n_models: int = 1) -> bool:
+    """Whether dense gains of all models are within the broadcast limit."""
+    return n_models * n_classes * num_features * 8 <= broadcast_limit(df)
+
+
+def dense_gains(gains: DataFrame, n_classes: int, num_features: int, keys: list[str] = ()) -> DataFrame:
+    """``(keys..., _g0.., _g{n-1})``: one row per model, each class's gains as
+    an array indexed by bucket. ``gains (keys..., bucket, _g array<double>)`` has
+    every bucket that differs from ``_d``, a column of that row's defaults."""
+    spark = gains.sparkSession
+    keys = list(keys)
+    models = gains.select(*keys, "_d").distinct() if keys else gains.select("_d").limit(1)
+    every = models.crossJoin(F.broadcast(spark.range(num_features).withColumnRenamed("id", "bucket")))
+    full = every.join(gains.select(*keys, "bucket", "_g"), [*keys, "bucket"], "left")
+    full = full.select(*keys, F.struct("bucket", F.coalesce("_g", "_d").alias("g")).alias("_e"))
+    rows = full.groupBy(*keys).agg(F.sort_array(F.collect_list("_e")).alias("_e"))  # at most the limit
+
+
+    def of_class(i: int) -> Column:
+        return F.transform("_e", lambda e: e["g"][i])
+
+    return rows.select(*keys, *[of_class(i).alias(f"_g{i}") for i in range(n_classes)])
+
+
+def row_scores(terms: DataFrame, gains: DataFrame, bases: DataFrame, n_classes: int, ids: list[str],
+               keys: list[str] = (), extra: list[str] = ()) -> DataFrame:
+    """``(keys..., ids..., z array, extra...)`` from rows ``(keys..., ids...,
+    terms)``, ``dense_gains`` and ``bases (keys..., _base array, extra...)``."""
+    ids, keys, extra = list(ids), list(keys), list(extra)
+    ids_only = [c for c in ids if c not in keys]
+    both = attach(attach(terms, gains, keys, [f"_g{i}" for i in range(n_classes)]), bases, keys, ["_base", *extra])
+
+    def add(acc, t):
+        at = t["bucket"].cast("int")
+        return F.struct(*[(acc[f"z{i}"] + t["tf"] * F.get(F.col(f"_g{i}"), at)).alias(f"z{i}") for i in range(n_classes)])
+
+    zero = F.struct(*[F.lit(0.0).alias(f"z{i}") for i in range(n_classes)])
+    none = F.array().cast("array<struct<bucket:bigint,tf:bigint>>")
+    z = F.aggregate(F.coalesce("terms", none), zero, add,
+                    lambda acc: F.array(*[acc[f"z{i}"] + F.col("_base")[i] for i in range(n_classes)]))
+    return both.select(*keys, *ids_only, z.alias("z"), *extra)
+
+
+def class_scores(features: DataFrame, coef: DataFrame, classes: DataFrame, labels: list[float], num_features: int,
+                 ids: list[str] = ("doc_id",), keys: list[str] = (), n_models: int = 1, coef_col: str = "coef",
+                 base_col: str = "base", slope_col: str | None = None, extra_class_cols: list[str] = (),
+                 wide: DataFrame | None = None) -> DataFrame:
     """Return ``(keys..., ids..., z array<double>, extra...)``; ``z`` is aligned
     with ``labels`` and null where a class is absent from a model.
 
-    features ``(keys..., ids..., bucket, x)``; docs ``(keys..., ids...)`` lists
-    every document to score; coef ``(keys..., label, bucket, coef_col)``;
-    classes ``(keys..., label, base_col, slope_col?, extra...)``; ``wide`` is
-    ``pivot_coef(coef)`` when the caller already has it.
+    features ``(keys..., ids..., bucket, x)``, with a row of null bucket for a
+    document without any feature; coef ``(keys..., label, bucket, coef_col)``;
+    classes ``(keys..., label, base_col, slope_col?, extra...)``: z[c] = base +
+    sum_j x_j * (slope + coef_j); ``wide`` is ``pivot_coef(coef)`` when the
+    caller already has it.
     """
     ids, keys = list(ids), list(keys)
     ids_only = [c for c in ids if c not in keys]
     n = len(labels)
-    if wide is None:  # a model may carry it pre-pivoted (see NBModel.wide)
+    if wide is None:
         wide = pivot_coef(coef, labels, keys, coef_col)
     rows = bounded_join(features.select(*keys, *ids_only, "bucket", "x"), wide, keys + ["bucket"], "left",
                         n_models * num_features, 24 + 8 * n, salt_col=ids_only[0])
-    zero = docs.select(*keys, *ids_only, F.lit(0.0).alias("x"),
-                       F.lit(None).cast("array<double>").alias("_w"))
-    rows = rows.select(*keys, *ids_only, "x", "_w").unionByName(zero)
     agg = rows.groupBy(*keys, *ids_only).agg(
-        F.sum("x").alias("_total"),
-        *[F.sum(F.col("x") * F.coalesce(F.col("_w")[i], F.lit(0.0))).alias(f"_d{i}") for i in range(n)])
-
-    def per_class(col: str) -> Column:
-        return F.array(*[F.max(F.when(F.col("label") == F.lit(l), F.col(col))) for l in labels])
-
-    params = classes.groupBy(*keys).agg(
-        per_class(base_col).alias("_base"),
-        *([per_class(slope_col).alias("_slope")] if slope_col else []),
-        *[per_class(c).alias(f"_x_{c}") for c in extra_class_cols])
-    pcols = ["_base"] + (["_slope"] if slope_col else []) + [f"_x_{c}" for c in extra_class_cols]
-    scored = attach(agg, params, keys, pcols)
+        F.coalesce(F.sum("x"), F.lit(0.0)).alias("_total"),
+        *[F.coalesce(F.sum(F.col("x") * F.coalesce(F.col("_w")[i], F.lit(0.0))), F.lit(0.0)).alias(f"_d{i}")
+          for i in range(n)])
+    params = class_params(classes, labels, keys, [base_col, *([slope_col] if slope_col else []), *extra_class_cols])
+    scored = attach(agg, params, keys, [c for c in params.columns if c not in keys])
     z = []
     for i in range(n):
-        term = F.col("_base")[i] + F.col(f"_d{i}")
+        term = F.col(f"_{base_col}")[i] + F.col(f"_d{i}")
         if slope_col:
-            term = term + F.col("_slope")[i] * F.col("_total")
+            term = term + F.col(f"_{slope_col}")[i] * F.col("_total")
         z.append(term)
     return scored.select(*keys, *ids_only, F.array(*z).alias("z"),
-                         *[F.col(f"_x_{c}").alias(c) for c in extra_class_cols])
+                         *[F.col(f"_{c}").alias(c) for c in extra_class_cols])
+
+
+def class_params(classes: DataFrame, labels: list[float], keys: list[str], cols: list[str]) -> DataFrame:
+    """``(keys..., _col array...)``: one row per model, aligned with ``labels``."""
+    return classes.groupBy(*keys).agg(*[
+        F.array(*[F.max(F.when(F.col("label") == F.lit(l), F.col(c))) for l in labels]).alias(f"_{c}") for c in cols])
+
+
+def log_odds(z: Column, pos: Column) -> Column:
+    """Log-odds of the class at ``pos`` (1-based) of a softmax over ``z``;
+    infinite if it is the only class."""
+    rest = F.filter(z, lambda v, i: (i != pos - 1) & v.isNotNull())
+    top = F.array_max(rest)
+    mass = F.aggregate(rest, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+    return F.when(top.isNull(), F.lit(float("inf"))).otherwise(F.element_at(z, pos) - top - F.log(mass))
 
 
 def softmax_best(scored: DataFrame, labels: list[float], ids: list[str], keys: list[str] = (),
                  categories_col: str | None = None) -> DataFrame:
     """M3 rule: arg-max of ``z`` (ties to the lower label), confidence = the
-    softmax probability of that class, computed with max subtraction."""
-    keys = list(keys)
+    softmax probability of that class, computed with max subtraction;
+    ``margin`` is its log-odds."""
     zmax = F.array_max("z")
-    pos = F.array_position(F.col("z"), zmax)
+    pos = F.array_position(F.col("z"), zmax).cast("int")
     norm = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.coalesce(F.exp(v - zmax), F.lit(0.0)))
-    out = scored.select("*", F.element_at(label_array(labels), pos.cast("int")).alias("label"),
-                        (F.lit(1.0) / norm).alias("confidence"), pos.cast("int").alias("_pos"))
+    out = scored.select("*", F.element_at(label_array(labels), pos).alias("label"),
+                        (F.lit(1.0) / norm).alias("confidence"), log_odds(F.col("z"), pos).alias("margin"),
+                        pos.alias("_pos"))
     return _with_category(out, categories_col)
 
 
-def sigmoid_best(scored: DataFrame, labels: list[float], categories_col: str | None = None,
-                 digits: int = 6) -> DataFrame:
-    """M4 rule: per-class probability ``sigmoid(z)``, rounded, arg-max with
-    ties to the lower label; confidence is that (un-normalised) probability."""
-    p = F.transform("z", lambda v: rounded(sigmoid(v), digits))
-    scored = scored.withColumn("_p", p)
-    pmax = F.array_max("_p")
-    pos = F.array_position(F.col("_p"), pmax).cast("int")
+def sigmoid_best(scored: DataFrame, labels: list[float], categories_col: str | None = None) -> DataFrame:
+    """M4 rule: the class of the highest ``z`` (so of the highest ``sigmoid(z)``,
+    also where that is 1.0 to the last digit), ties to the lower label;
+    confidence is its un-normalised probability, ``margin`` the ``z``."""
+    zmax = F.array_max("z")
+    pos = F.array_position(F.col("z"), zmax).cast("int")
     out = scored.select("*", F.element_at(label_array(labels), pos).alias("label"),
-                        pmax.alias("confidence"), pos.alias("_pos")).drop("_p")
+                        sigmoid(zmax).alias("confidence"), zmax.alias("margin"), pos.alias("_pos"))
     return _with_category(out, categories_col)
 
 

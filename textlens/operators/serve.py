@@ -2,31 +2,45 @@
 
 Best-of serving keeps, per query, the prediction with the highest
 confidence among the algorithms; ties go to the algorithm listed first.
-Confidences are rounded before the comparison so last-digit noise between
-engines never picks the algorithm. One ``groupBy`` with ``max_by`` (partial
-aggregation before the shuffle), no window.
+Confidences are compared by their log-odds (``margin``): two probabilities
+that both round to 1.0 still differ there, and the order is the same.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlens.functions.mathfn import rounded
+from textlens.functions.mathfn import sigmoid
+from textlens.operators.features import with_terms
+from textlens.operators.naive_bayes import NBModel
+from textlens.operators.scoring import log_odds, row_scores
+from textlens.operators.util import attach
 
 
-def serve_best(predictions: list[DataFrame], ids: list[str] = ("doc_id",), digits: int = 6) -> DataFrame:
-    """``predictions[i] (ids..., category, confidence)`` -> ``(ids..., category,
-    confidence, algo)`` with ``algo`` the index of the chosen algorithm."""
+def _first_best(picks: list[Column]) -> Column:
+    """The struct with the highest margin; the first of equal ones."""
+    best = picks[0]
+    for p in picks[1:]:
+        best = F.when(p["margin"] > best["margin"], p).otherwise(best)
+    return best
+
+
+def serve_best(predictions: list[DataFrame], ids: list[str] = ("doc_id",)) -> DataFrame:
+    """``predictions[i] (ids..., category, confidence[, margin])`` of the same
+    queries -> ``(ids..., category, confidence, algo)`` with ``algo`` the index
+    of the chosen algorithm. Any models: one row per query each, joined on
+    ``ids``; without ``margin`` the raw confidences are compared."""
     ids = list(ids)
-    tagged = [p.select(*ids, "category", rounded(F.col("confidence"), digits).alias("confidence"),
-                       F.lit(i).alias("algo")) for i, p in enumerate(predictions)]
-    allp = reduce(DataFrame.unionByName, tagged)
-    best = allp.groupBy(*ids).agg(F.max_by(F.struct("category", "confidence", "algo"),
-                                           F.struct(F.col("confidence"), -F.col("algo"))).alias("b"))
-    return best.select(*ids, "b.category", "b.confidence", "b.algo")
+    margins = all("margin" in p.columns for p in predictions)
+    tagged = [p.select(*ids, F.struct("category", "confidence", F.lit(i).alias("algo"),
+                                      F.col("margin" if margins else "confidence").alias("margin")).alias(f"_a{i}"))
+              for i, p in enumerate(predictions)]
+    joined = reduce(lambda a, b: a.join(b, ids), tagged)
+    best = _first_best([F.col(f"_a{i}") for i in range(len(tagged))])
+    return joined.select(*ids, best.alias("b")).select(*ids, "b.category", "b.confidence", "b.algo")
 
 
 def score_queries(model, queries: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
@@ -34,62 +48,42 @@ def score_queries(model, queries: DataFrame, ids: list[str], text_col: str = "te
     return model.predict(queries.select(*ids, text_col), ids=ids, text_col=text_col)
 
 
-def serve_best_shared(models: list, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text",
-                      digits: int = 6) -> DataFrame:
-    """V1 in one pass when every model uses the same features (same hashing
-    and IDF, e.g. Naive Bayes models for several smoothing values and their
-    log-odds linear model): the documents are hashed once, the models'
-    classes are laid side by side on one class axis, ONE join and ONE
-    ``groupBy(document)`` produce every class score, and each model's
-    arg-max and the best model are chosen inside the row.
+def serve_best_shared(models: list, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """V1 in one pass when every model uses the same hashing (Naive Bayes and
+    linear models, whatever their weights): each text is hashed once, the
+    models' classes lie side by side on one class axis, and every score,
+    each model's arg-max and the best model are found inside the row.
 
-    Returns ``(ids..., category, confidence, algo)`` like ``serve_best``.
+    Returns ``(ids..., category, confidence, algo)`` like ``serve_best``,
+    which takes over for models beyond the broadcast limit.
     """
-    from textlens.operators.naive_bayes import NBModel
-    from textlens.operators.scoring import class_scores
-    from textlens.operators.util import label_array
-
-    ids = list(ids)
-    first = models[0]
-    for m in models[1:]:
-        if (m.n_gram, m.num_features) != (first.n_gram, first.num_features) or m.idf_table is not first.idf_table:
-            raise ValueError("serve_best_shared needs models with one featurizer; use serve_best")
-    coefs, classes, spans, off = [], [], [], 0
+    ids, first = list(ids), models[0]
+    if any((m.n_gram, m.num_features) != (first.n_gram, first.num_features) for m in models):
+        raise ValueError("serve_best_shared needs models with one featurizer; use serve_best")
+    if not all(m.in_rows() for m in models):
+        return serve_best([m.predict(docs, ids, text_col) for m in models], ids)
+    gains = bases = None
+    spans, off = [], 0
     for m in models:
         n = len(m.labels)
-        combined = (F.array_position(label_array(m.labels), F.col("label")) - 1 + off).cast("double")
-        if isinstance(m, NBModel):
-            coefs.append(m.theta.select(combined.alias("label"), "bucket", F.col("coef")))
-            classes.append(m.classes.select(combined.alias("label"), F.col("pi").alias("base"),
-                                            F.col("default").alias("slope"), "category"))
-        else:
-            coefs.append(m.weights.select(combined.alias("label"), "bucket", F.col("weight").alias("coef")))
-            classes.append(m.classes.select(combined.alias("label"), F.col("intercept").alias("base"),
-                                            F.lit(0.0).alias("slope"), "category"))
+        g = m.gains.select(*[F.col(f"_g{i}").alias(f"_g{off + i}") for i in range(n)])
+        b = m.bases().select(F.col("_base").alias(f"_b{off}"), F.col("category").alias(f"_c{off}"))
+        gains = g if gains is None else attach(gains, g, [], g.columns)
+        bases = b if bases is None else attach(bases, b, [], b.columns)
         spans.append((isinstance(m, NBModel), off, n))
         off += n
-    coef = reduce(DataFrame.unionByName, coefs)
-    cls = reduce(DataFrame.unionByName, classes)
-    feats = first.features(docs.select(*ids, text_col), ids, text_col)
-    z = class_scores(feats, docs.select(*ids), coef, cls, [float(i) for i in range(off)], first.num_features,
-                     ids=ids, n_models=len(models), coef_col="coef", base_col="base", slope_col="slope",
-                     extra_class_cols=["category"])
-    picks = []
-    for algo, (is_nb, o, n) in enumerate(spans):
-        zs = F.slice("z", o + 1, n)
-        cs = F.slice("category", o + 1, n)
-        if is_nb:
-            zmax = F.array_max(zs)
-            pos = F.array_position(zs, zmax).cast("int")
-            conf = F.lit(1.0) / F.aggregate(zs, F.lit(0.0),
-                                            lambda acc, v: acc + F.coalesce(F.exp(v - zmax), F.lit(0.0)))
-        else:
-            ps = F.transform(zs, lambda v: rounded(F.lit(1.0) / (F.lit(1.0) + F.exp(-v)), digits))
-            conf = F.array_max(ps)
-            pos = F.array_position(ps, conf).cast("int")
-        picks.append(F.struct(F.coalesce(F.element_at(cs, pos), F.lit("")).alias("category"),
-                              rounded(conf, digits).alias("confidence"), F.lit(algo).alias("algo")))
-    best = picks[0]
-    for p in picks[1:]:  # strictly greater: ties keep the earlier algorithm
-        best = F.when(p["confidence"] > best["confidence"], p).otherwise(best)
-    return z.select(*ids, best.alias("_b")).select(*ids, "_b.category", "_b.confidence", "_b.algo")
+    bases = bases.select(F.concat(*[F.col(f"_b{o}") for _, o, _ in spans]).alias("_base"),
+                         F.concat(*[F.col(f"_c{o}") for _, o, _ in spans]).alias("category"))
+    terms = with_terms(docs.select(*ids, text_col), first.n_gram, first.num_features, text_col)
+    z = row_scores(terms, gains, bases, off, ids, extra=["category"])
+    cols = []
+    for i, (is_nb, o, n) in enumerate(spans):
+        zs, cs = F.slice("z", o + 1, n), F.slice("category", o + 1, n)
+        zmax = F.array_max(zs)
+        pos = F.array_position(zs, zmax).cast("int")
+        margin = log_odds(zs, pos) if is_nb else zmax
+        cols.append(F.struct(F.coalesce(F.element_at(cs, pos), F.lit("")).alias("category"),
+                             sigmoid(margin).alias("confidence"), F.lit(i).alias("algo"),
+                             margin.alias("margin")).alias(f"_a{i}"))
+    best = _first_best([F.col(f"_a{i}") for i in range(len(spans))])
+    return z.select(*ids, *cols).select(*ids, best.alias("b")).select(*ids, "b.category", "b.confidence", "b.algo")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+MOST_BROADCAST = 256 * 1024 * 1024
 
 
 def _bytes(raw: str) -> int:
@@ -27,16 +27,10 @@ def _bytes(raw: str) -> int:
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    """Bytes we accept to broadcast: the session's threshold raised to at
-    least 64 MB (model tables are narrow), never above 256 MB; 0 when the
-    session disables broadcasting."""
-    try:
-        value = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-    except ValueError:
-        value = DEFAULT_BROADCAST_LIMIT
-    if value <= 0:
-        return 0
-    return min(max(value, DEFAULT_BROADCAST_LIMIT), 256 * 1024 * 1024)
+    """Bytes we accept to broadcast: the session's threshold, never above
+    256 MB; 0 when the session disables broadcasting."""
+    value = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+    return max(0, min(value, MOST_BROADCAST))
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
@@ -65,18 +59,21 @@ def label_array(values: list, cast: str = "double"):
     return F.array(*[F.lit(v).cast(cast) for v in values])
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Write a fitted model table once as parquet under the shared checkpoint
     folder and read it back: every consumer reuses it instead of re-running
     the fit, and its lineage is cut, so a lost executor never re-triggers the
     fit. One job (a reliable ``checkpoint()`` would compute the table twice).
-    Only for tables bounded by the model size (classes x features,
-    features^2)."""
+    For tables bounded by the model size (classes x features, features^2)
+    and for narrow ones of ids. The path is added to ``made``, for whoever
+    drops the tables (``session.drop_paths``) when they are no longer read."""
     from textlens.session import scratch_path
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if made is not None:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_join(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int, row_bytes: int,

@@ -25,8 +25,8 @@ from textlens.operators.evaluate import (
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
-from textlens.operators.serve import score_queries, serve_best_shared
-from textlens.operators.persist import load_nb, save_nb
+from textlens.operators.serve import score_queries, serve_best, serve_best_shared
+from textlens.operators.persist import load_model, save_model
 from textlens.operators.represent import fit_classifier
 from textlens.operators.rowindex import row_index
 from textlens.session import scratch_path
@@ -109,7 +109,7 @@ def q_labelled_lines(spark, base):
     lines = docs.join(labels, "doc_id").select(
         "doc_id", F.concat(F.col(P.LABEL_COL).cast("string"), F.lit(","), F.col("text")).alias("line"))
     parsed = parse_labelled_lines(lines, "line")
-    out = row_index(parsed.select("doc_id", "label_str", "text"), "doc_id")
+    out = parsed.join(row_index(parsed.select("doc_id"), "doc_id"), "doc_id")
     return out.select("doc_id", "idx", "label_str",
                       F.when(F.col("label_str") == "1", 1.0).otherwise(0.0).alias("label"),
                       F.md5("text").alias("text_md5"))
@@ -341,6 +341,33 @@ def q_sppmi_nb_predict(spark, base):
     return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
 
 
+@register("sppmi_score_unseen", f"{_SP2},\n"
+                                f"pts AS (SELECT d.doc_id, o.label, d.j AS bucket, d.x FROM dsum d JOIN obs o ON o.doc_id = d.doc_id),\n"
+                                f"{O.nb_ctes('pts', 'obs', P.NB_LAMBDA, P.SPPMI_FEATURES)},\n"
+                                f"q AS (SELECT doc_id, text FROM documents),\n"
+                                f"qtf AS ({O.tf_sql('q', ['doc_id'], P.SPPMI_NGRAM, P.SPPMI_FEATURES)}),\n"
+                                f"qx AS (SELECT p.doc_id, r.j AS bucket, sum(r.s) AS x FROM qtf p JOIN srows r ON r.i = p.bucket GROUP BY p.doc_id, r.j),\n"
+                                f"{O.nb_z_ctes('q', 'qx')},\n{O.softmax_best_ctes('z', 'pred')}\n"
+                                f"SELECT doc_id, category, round(confidence, {O.D}) AS confidence, label FROM pred")
+def q_sppmi_score_unseen(spark, base):
+    """F3 + F8 for any text: the vector of a query is summed from the rows of
+    its own buckets, whether the text was seen in training or not."""
+    model = fit_classifier(_obs(spark, base), "sppmi", P.SPPMI_NGRAM, P.SPPMI_FEATURES, P.NB_LAMBDA,
+                           P.SPPMI_K_SPARSE, unseen="sum")
+    pred = model.predict(_docs(spark, base))
+    return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
+
+
+@register("sppmi_eval", f"WITH {O.sppmi_ctes(P.SPPMI_K_EVAL, P.EVAL_NGRAM, P.EVAL_FEATURES)}\n"
+                        f"SELECT i, j, round(s, {O.D}) AS sppmi FROM sp")
+def q_sppmi_eval(spark, base):
+    """F4-F6 at the evaluation setting: bigrams, 5,000 buckets, k = 10."""
+    obs = _obs(spark, base)
+    terms = with_terms(obs.select("doc_id", "text"), P.EVAL_NGRAM, P.EVAL_FEATURES)
+    _, sp = fit_sppmi(presence_arrays(terms), obs.select(F.count(F.lit(1))).scalar(), P.EVAL_FEATURES, P.SPPMI_K_EVAL)
+    return sp.select("i", "j", rounded(F.col("sppmi")).alias("sppmi"))
+
+
 # ------------------------------------------------- linear models, serving
 
 _Q = "q AS (SELECT doc_id, text FROM documents)"
@@ -354,9 +381,10 @@ def _linear(spark, base):
 
 
 @register("linear_predict", f"{_LIN_HEAD},\n{O.sigmoid_best_ctes('lin_z', 'lp', 'catmap')}\n"
-                            f"SELECT doc_id, category, confidence, label FROM lp")
+                            f"SELECT doc_id, category, round(confidence, {O.D}) AS confidence, label FROM lp")
 def q_linear_predict(spark, base):
-    return _linear(spark, base).predict(_docs(spark, base)).select("doc_id", "category", "confidence", "label")
+    pred = _linear(spark, base).predict(_docs(spark, base))
+    return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
 
 
 @register("binary_confidence", f"{_LIN_HEAD}\nSELECT doc_id, CASE WHEN p > 0.5 THEN '1' ELSE '0' END AS category, "
@@ -378,22 +406,53 @@ def q_readable_weights(spark, base):
 
 
 _NB_B = O.nb_model_ctes(P.EVAL_NGRAM, P.EVAL_FEATURES, P.NB_GRID[1], prefix="b_")
+_UNI = (f"{O.nb_model_ctes(P.TF_NGRAM, P.TF_FEATURES, P.NB_LAMBDA, prefix='u_')},\n"
+        f"u_q_tf AS ({O.tf_sql('q', ['doc_id'], P.TF_NGRAM, P.TF_FEATURES)}),\nu_q_x AS ({O.tfidf_sql('u_q_tf', 'u_')}),\n"
+        f"{O.log_odds_ctes(P.TF_FEATURES, 'u_')},\n{O.linear_z_ctes('q', 'u_q_x')}")
+_BEST = (f"SELECT doc_id, category, round(confidence, {O.D}) AS confidence, algo FROM (SELECT *, row_number() OVER "
+         f"(PARTITION BY doc_id ORDER BY margin DESC, algo) AS rn FROM allp) WHERE rn = 1")
+_BEST_OF_3 = ("allp AS (SELECT doc_id, category, confidence, margin, 0 AS algo FROM pa "
+              "UNION ALL SELECT doc_id, category, confidence, margin, 1 FROM pb "
+              f"UNION ALL SELECT doc_id, category, confidence, margin, 2 FROM pc)\n{_BEST}")
+
+
+def _served(best):
+    return best.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "algo")
 
 
 @register("serve_best", f"{_NB_HEAD},\n{_NB_B},\n{_Q},\n"
                         f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, '', 'pa')},\n"
                         f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, 'b_', 'pb')},\n"
-                        f"{O.log_odds_ctes(P.EVAL_FEATURES)},\n{O.linear_z_ctes('q', 'pa_x')},\n"
-                        f"{O.sigmoid_best_ctes('lin_z', 'pc', 'catmap')},\n"
-                        f"allp AS (SELECT doc_id, category, round(confidence, {O.D}) AS confidence, 0 AS algo FROM pa "
-                        f"UNION ALL SELECT doc_id, category, round(confidence, {O.D}), 1 FROM pb "
-                        f"UNION ALL SELECT doc_id, category, confidence, 2 FROM pc)\n"
-                        f"SELECT doc_id, category, confidence, algo FROM (SELECT *, row_number() OVER "
-                        f"(PARTITION BY doc_id ORDER BY confidence DESC, algo) AS rn FROM allp) WHERE rn = 1")
+                        f"{_UNI},\n{O.sigmoid_best_ctes('lin_z', 'pc', 'u_catmap')},\n{_BEST_OF_3}")
 def q_serve_best(spark, base):
-    docs = _docs(spark, base)
-    nb_a, nb_b = fit_naive_bayes_many(_obs(spark, base), P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA, P.NB_GRID[1]])
-    return serve_best_shared([nb_a, nb_b, nb_log_odds(nb_a)], docs)
+    """V1 over any models: two Naive Bayes models on bigrams and a linear one
+    on unigrams, each predicting on its own."""
+    obs, docs = _obs(spark, base), _docs(spark, base)
+    nb_a, nb_b = fit_naive_bayes_many(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA, P.NB_GRID[1]])
+    lin = nb_log_odds(fit_naive_bayes(obs, P.TF_NGRAM, P.TF_FEATURES, P.NB_LAMBDA))
+    return _served(serve_best([m.predict(docs) for m in (nb_a, nb_b, lin)]))
+
+
+@register("serve_best_shared", f"{_NB_HEAD},\n{_NB_B},\n{_Q},\n"
+                               f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, '', 'pa')},\n"
+                               f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, 'b_', 'pb')},\n"
+                               f"allp AS (SELECT doc_id, category, confidence, margin, 0 AS algo FROM pa "
+                               f"UNION ALL SELECT doc_id, category, confidence, margin, 1 FROM pb)\n{_BEST}")
+def q_serve_best_shared(spark, base):
+    """V1 in one pass: models of one featurizer scored inside the row."""
+    models = fit_naive_bayes_many(_obs(spark, base), P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA, P.NB_GRID[1]])
+    return _served(serve_best_shared(models, _docs(spark, base)))
+
+
+@register("serve_best_fitted", None)
+def q_serve_best_fitted(spark, base):
+    """V1 with an iterative fit among the contestants: Naive Bayes, a linear
+    model and L2 logistic regression (its coefficients have no SQL twin)."""
+    obs, docs = _obs(spark, base), _docs(spark, base)
+    nb = fit_naive_bayes(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, P.NB_LAMBDA)
+    lin = nb_log_odds(fit_naive_bayes(obs, P.TF_NGRAM, P.TF_FEATURES, P.NB_LAMBDA))
+    lr = fit_ovr_logistic(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, P.LR_GRID[0], P.LR_MAX_ITER)
+    return _served(serve_best([m.predict(docs) for m in (nb, lin, lr)]))
 
 
 @register("score_queries", f"{_NB_HEAD},\nq AS (SELECT conv_id, turn, text FROM conversations),\n"
@@ -463,13 +522,47 @@ def q_lr_grid(spark, base):
     return accuracy(pred, ["reg", "fold"]).select("reg", "fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
 
 
+_LEARNERS = ("hashed", "l1", "l2")
+
+
+@register("logistic_properties", "WITH o AS (SELECT count(*) AS n FROM documents) SELECT learner, CAST(n AS BIGINT) AS n_scored, "
+                                 "CAST(n AS BIGINT) AS n_in_range, TRUE AS beats_majority FROM o, "
+                                 f"(VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _LEARNERS)}) v(learner)")
+def q_logistic_properties(spark, base):
+    """M5-M7: what must hold of the iterative fits whatever their digits: every
+    document is scored, each confidence lies in [0.5, 1] (of the likelier of two
+    labels), and training accuracy beats the majority label."""
+    obs, docs = _obs(spark, base), _docs(spark, base)
+    truth = obs.select("doc_id", F.col("category").alias("actual"))
+    majority = (obs.groupBy("category").count().agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+                .select((F.col("top") / F.col("n")).alias("m")))
+    out = []
+    for name, m in zip(_LEARNERS, _logistic_models(obs), strict=True):
+        pred = m.predict(docs)
+        scored = pred.join(truth, "doc_id", "left").agg(
+            F.count(F.lit(1)).alias("n_scored"),
+            F.sum(F.col("confidence").between(0.5, 1.0).cast("bigint")).alias("n_in_range"),
+            F.avg((F.col("category") == F.col("actual")).cast("double")).alias("acc"))
+        out.append(scored.select(F.lit(name).alias("learner"), "n_scored", "n_in_range",
+                                 (F.col("acc") > majority.scalar()).alias("beats_majority")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _logistic_models(obs):
+    """M7, M6, M5 at their registered settings."""
+    return (fit_ovr_logistic(obs, P.HASHED_LR_NGRAM, 1 << P.HASHED_LR_BITS, P.HASHED_LR_REG, P.LR_MAX_ITER, upto=True,
+                             clean=True, idf=False),
+            fit_ovr_logistic(obs, P.TF_NGRAM, P.TF_FEATURES, P.L1_REG, P.L1_MAX_ITER, elastic_net=1.0),
+            fit_ovr_logistic(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, P.LR_GRID[0], P.LR_MAX_ITER))
+
+
 # ---------------------------------------------------- persistence, stream
 
 @register("model_roundtrip", NB_PREDICT_SQL)
 def q_model_roundtrip(spark, base):
     """Fit, save the NB tables, reload them, predict every document."""
-    path = save_nb(_nb(spark, base), scratch_path(spark, "nb-model"))
-    pred = load_nb(spark, path).predict(_docs(spark, base))
+    path = save_model(_nb(spark, base), scratch_path(spark, "nb-model"))
+    pred = load_model(spark, path).predict(_docs(spark, base))
     return pred.select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "label")
 
 
@@ -477,7 +570,7 @@ def q_model_roundtrip(spark, base):
 def q_score_stream(spark, base):
     """V3: documents as a file stream scored micro-batch by micro-batch with
     the saved model; equals batch prediction."""
-    path = save_nb(_nb(spark, base), scratch_path(spark, "nb-model"))
+    path = save_model(_nb(spark, base), scratch_path(spark, "nb-model"))
     out, query = score_stream(spark, document_stream(spark, base), path)
     query.awaitTermination()
     pred = spark.read.parquet(out)

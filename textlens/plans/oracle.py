@@ -111,7 +111,9 @@ def softmax_best_ctes(z: str, out: str, prefix: str = "", ids: list[str] = ("doc
     return (f"{out}_r AS (SELECT {idc}, label, z, max(z) OVER (PARTITION BY {idc}) AS zmax, "
             f"row_number() OVER (PARTITION BY {idc} ORDER BY z DESC, label) AS rn FROM {z}),\n"
             f"{out}_b AS (SELECT {idc}, max(CASE WHEN rn = 1 THEN label END) AS label, "
-            f"1 / sum(exp(z - zmax)) AS confidence FROM {out}_r GROUP BY {idc}),\n"
+            f"1 / sum(exp(z - zmax)) AS confidence, max(zmax) - max(z) FILTER (rn = 2) "
+            f"- ln(sum(exp(z - z2)) FILTER (rn > 1)) AS margin FROM "
+            f"(SELECT *, max(CASE WHEN rn = 2 THEN z END) OVER (PARTITION BY {idc}) AS z2 FROM {out}_r) GROUP BY {idc}),\n"
             f"{out} AS (SELECT b.*, coalesce(cm.category, '') AS category FROM {out}_b b "
             f"LEFT JOIN {prefix}catmap cm ON b.label = cm.label)")
 
@@ -204,11 +206,11 @@ def linear_z_ctes(qdocs: str, qx: str, out: str = "lin", ids: list[str] = ("doc_
 
 
 def sigmoid_best_ctes(z: str, out: str, catmap: str, ids: list[str] = ("doc_id",)) -> str:
-    """M4: rounded sigmoid per class, arg-max with ties to the lower label."""
+    """M4: arg-max of the margins with ties to the lower label, sigmoid as confidence."""
     idc = ", ".join(ids)
-    return (f"{out}_p AS (SELECT {idc}, label, round(1 / (1 + exp(-z)), {D}) AS p, "
-            f"row_number() OVER (PARTITION BY {idc} ORDER BY round(1 / (1 + exp(-z)), {D}) DESC, label) AS rn FROM {z}),\n"
-            f"{out} AS (SELECT p.{idc.replace(', ', ', p.')}, p.label, p.p AS confidence, coalesce(cm.category, '') AS category "
+    return (f"{out}_p AS (SELECT {idc}, label, z AS margin, 1 / (1 + exp(-z)) AS p, "
+            f"row_number() OVER (PARTITION BY {idc} ORDER BY z DESC, label) AS rn FROM {z}),\n"
+            f"{out} AS (SELECT p.{idc.replace(', ', ', p.')}, p.label, p.margin, p.p AS confidence, coalesce(cm.category, '') AS category "
             f"FROM {out}_p p LEFT JOIN {catmap} cm ON cm.label = p.label WHERE p.rn = 1)")
 
 

@@ -5,7 +5,8 @@ Fixed values taken from the reference configuration:
   evaluation preparator: nGram 2, numFeatures 5000; k = 3 folds
   evaluation grid: Naive Bayes lambda 0.25 and 1.0; logistic regParam 0.5 and 1.25
   logistic regression: maxIter 10, threshold 0.5
-  L1 learner: 250 passes; SPPMI shift k = 10 (function default)
+  L1 learner: 250 passes, penalty 5e-8; hashed learner: 22 bits, penalty 5e-8
+  SPPMI shift k = 10
 """
 
 LABEL_COL = "toxic"
@@ -21,16 +22,21 @@ NB_GRID = (0.25, 1.0)
 LR_GRID = (0.5, 1.25)
 LR_MAX_ITER = 10
 L1_MAX_ITER = 250
-L1_REG = 0.05
+L1_REG = 5e-8
 
 SPPMI_NGRAM = 1
 SPPMI_FEATURES = 500
 SPPMI_K_DENSE = 1   # nearly every seen pair is positive
 SPPMI_K_SPARSE = 2  # a few hundred positive pairs
+SPPMI_K_EVAL = 10   # with EVAL_NGRAM and EVAL_FEATURES
 
+# The configuration has 22 bits. The iterative fit keeps dense arrays of 2^bits
+# doubles: six in every task of its first pass (200 MB a task at 22 bits) and
+# about 25 on the driver. The registered query stays at 18 bits so that it runs
+# in a 1 GB heap; ``fit_ovr_logistic`` takes any number of buckets.
 HASHED_LR_BITS = 18
 HASHED_LR_NGRAM = 2
-HASHED_LR_REG = 0.01
+HASHED_LR_REG = 5e-8
 
 STOPWORD_EVENT = "click"
 SCAN_EVENTS = ("purchase", "signup")

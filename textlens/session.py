@@ -42,20 +42,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def shares_this_machine(master: str) -> bool:
+    """Whether driver and executors are one process, as in ``local[4]``."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """The shared checkpoint folder: ``spark.checkpoint.dir`` of the session,
+    else the one set on the SparkContext. Only where driver and executors are
+    one process a scratch folder is made when neither is set; anywhere else
+    that would scatter the files over the machines, so it is an error."""
     try:
         sc = spark.sparkContext
     except Exception:  # remote session: only the runtime conf is visible
         sc = None
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and sc is not None:
-        path = sc.getConf().get("spark.checkpoint.dir", None)
+        path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if sc is None or not shares_this_machine(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
+        path = path if spark.conf.get("spark.checkpoint.dir", None) else sc.getCheckpointDir()
     return path
 
 
@@ -65,6 +75,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/textlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables, wherever the checkpoint folder is."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        target = jvm.org.apache.hadoop.fs.Path(p)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Settings sized for a run over ``input_bytes`` of input on
     ``total_cores`` executor cores (apply at session build).
@@ -75,7 +93,8 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
       biggest exchange carries one compact term array per document (about a
       third of the text; per-document scores are far smaller), so
       ``max(3 x cores, min(100_000, input / 3 / target))``; AQE coalesces the
-      small exchanges (model tables) at run time and splits skewed ones;
+      small exchanges (model tables) at run time and splits skewed ones; the
+      cap of 100,000 keeps the shuffle's bookkeeping on the driver small;
     * Arrow batches of 2,048 documents bound the co-occurrence task's block
       (documents x features float32) next to its V x V accumulator.
     """

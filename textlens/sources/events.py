@@ -1,5 +1,5 @@
 """Event-store reads: filtered scans (S1), typed property extraction
-and the stop-word set (S5). Events carry their properties as a JSON string.
+and the stop-word set (S5; ``features.with_grams`` applies one). Events carry their properties as a JSON string.
 """
 
 from __future__ import annotations
@@ -31,26 +31,19 @@ def stop_words(events: DataFrame, event_name: str, word_key: str, entity_col: st
             .select(prop(word_key, props_col=props_col).alias("word")).where(F.col("word").isNotNull()).distinct())
 
 
-def remove_stop_words(tokens_long: DataFrame, words: DataFrame, token_col: str = "token") -> DataFrame:
-    """Opt-in stop-word filter on long tokens (the reference loads the set but
-    never applies it). The word set is small: broadcast left-anti join."""
-    words = F.broadcast(words.select(F.col("word").alias(token_col)).distinct())
-    return tokens_long.join(words, token_col, "left_anti").select(*tokens_long.columns)
-
-
 def observations_from_events(events: DataFrame, entity_type: str = "user", event_names: tuple = ("$set",),
                              id_col: str = "entity_id", props_col: str = "properties",
                              entity_col: str = "entity_type", event_col: str = "event") -> DataFrame:
     """S1 + S2 + S3 composed: training observations from an event table.
 
     Keeps events of ``entity_type`` named in ``event_names`` (pushed to the
-    scan), reads the ``text`` and ``label`` properties (label as a string),
-    binarises the label ("1" -> 1.0, else 0.0) and keeps the raw string as
-    category. ``doc_id`` is the entity id when numeric, else its 64-bit hash.
+    scan), reads the ``text`` and ``label`` properties (label as a string) with
+    one parse, binarises the label ("1" -> 1.0, else 0.0) and keeps the raw
+    string as category. ``doc_id`` is the entity id as it is, a string: "01" and
+    "1" are two documents. Every operator takes string ids.
     """
     ev = event_scan(events, list(event_names), event_col, (entity_col, entity_type))
-    raw = prop("label", "string", props_col)
-    ident = F.coalesce(F.col(id_col).try_cast("bigint"), F.xxhash64(F.col(id_col).cast("string")))
-    return ev.select(ident.alias("doc_id"),
-                     F.when(raw == "1", F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"),
-                     prop("text", "string", props_col).alias("text"), raw.alias("category"))
+    read = ev.select(F.col(id_col).cast("string").alias("doc_id"),
+                     F.from_json(props_col, "label string, text string").alias("_p"))
+    return read.select("doc_id", F.when(F.col("_p.label") == "1", F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"),
+                       F.col("_p.text").alias("text"), F.col("_p.label").alias("category"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlens.operators.rowindex import row_index
+
 
 def parse_labelled_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Add ``label_str`` and ``text`` parsed from ``line_col``."""
@@ -17,13 +19,17 @@ def parse_labelled_lines(lines: DataFrame, line_col: str = "value") -> DataFrame
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Read a labelled text file: ``(label_str, text, label, category)``.
+    """Read labelled text files: ``(doc_id, label_str, text, label, category)``.
 
-    Lines have no stable key of their own; use ``row_index`` on a key column
-    when an id is needed.
+    ``doc_id`` is the running number of the line from 0, files in the order of
+    their paths (the reading order within a file comes from the place of the
+    split and the row's place in it, ranked by the distributed row index).
     """
-    parsed = parse_labelled_lines(spark.read.text(path))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_i"), "value")
+    parsed = parse_labelled_lines(row_index(lines, ["_f", "_b", "_i"], "doc_id"))
     raw = F.col("label_str")
-    return parsed.select("label_str", "text",
+    return parsed.select("doc_id", "label_str", "text",
                          F.when(raw == "1", F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"),
                          raw.alias("category"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW_SPLITS = 8
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -15,16 +17,17 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-distribute an under-partitioned input (e.g. one unsplittable file)
-    over the session's parallelism before per-row text work. An input that
-    already has enough splits is returned as is: shuffling text that is
-    already spread would cost a full exchange for nothing."""
+    """Hash-distribute an input of very few splits (a file that can't be split)
+    over the session's parallelism before per-row text work. With more than
+    ``FEW_SPLITS`` splits it is returned as is: shuffling text that is already
+    spread would cost a full exchange for nothing, however many cores there
+    are. The rows are the same either way."""
     try:
         want = df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # no driver-side context (e.g. a remote session): leave the plan as is
         return df
-    if have >= want:
+    if have >= min(want, FEW_SPLITS):
         return df
     return df.repartition(want, *keys)
 
@@ -61,12 +64,12 @@ def sanity_sample(observations: DataFrame, n: int = 5, key: str = "doc_id") -> D
 
 
 def sanity_message(observations: DataFrame, n: int = 5) -> str:
-    """The reference's check as text: the sampled labels, or a note that the
-    data is empty / shorter than ``n``."""
+    """The check as text: the sampled labels, or a note that there are none, or
+    fewer than ``n``."""
     rows = sanity_sample(observations, n).collect()  # at most n rows
     if not rows:
-        return "Data set is empty, make sure event fields match imported data."
-    msg = "\n".join(f"Observation {i + 1} label: {r['label']}" for i, r in enumerate(rows))
+        return "no observations found: compare the source filters with the table's columns"
+    said = [f"sample {i + 1}: label {r['label']}" for i, r in enumerate(rows)]
     if len(rows) < n:
-        msg += f"\nonly {len(rows)} observations"
-    return msg
+        said.append(f"the table has {len(rows)} rows, {n} were asked for")
+    return "\n".join(said)
