@@ -5,14 +5,15 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from textlens.llm import (byte_dedup, decontaminate, lines, mixing, quality, sharding, simhash, substrings,  # noqa: E402
-                          tokens, toxicity)
+from textlens.llm import (byte_dedup, decontaminate, lines, mixing, quality, recompress, sharding, simhash,  # noqa: E402
+                          substrings, tokens, toxicity)
 
 ITEMS = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (2, "the"), (3, "The of THE"), (4, None), (5, ""), (6, "--"),
          (None, "über É"), (7, "edited"), (7, "x x x x x x x x x x x x x x")]
@@ -197,9 +198,9 @@ def test_toxicity_odd_rows(spark, docs, rows):
     out = toxicity.score(docs, model)
     got = out.collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
-    assert len({r["score"] for r in got if not brute.ALNUM_WORD.search((r["text"] or "").lower())}) == 1
+    assert len({round(r["score"], 5) for r in got if not brute.ALNUM_WORD.search((r["text"] or "").lower())}) == 1
     again = {(r["doc_id"], r["text"]): r["score"] for r in toxicity.score(docs, toxicity.fit(docs, marks)).collect()}
-    assert all(abs(again[r["doc_id"], r["text"]] - r["score"]) < 1e-9 for r in got)
+    assert all(abs(again[r["doc_id"], r["text"]] - r["score"]) < 1e-5 for r in got)
     # neither language nor source nor id takes part in a score
     other = toxicity.score(docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None), "doc_id": F.lit(1)}), model).collect()
     assert sorted(r["score"] for r in other) == pytest.approx(sorted(r["score"] for r in got))
@@ -285,3 +286,52 @@ def test_forest_of_a_crowd(monkeypatch):
         parent[find(a)] = find(b)
     got = [find(int(v)) for v in x]
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(x)) for j in range(0, i, 7))
+
+
+def test_whole_long_texts(spark, docs, rows, monkeypatch):
+    """Texts of many pieces (of a few hundred bytes here) give the same results."""
+    from textlens.llm import words
+    bench, plain = items(spark, rows)
+
+    def small(f):
+        def run(*a, **k):
+            for module in (words, byte_dedup):
+                monkeypatch.setattr(module, "CHUNK", 300)
+            for g, n in ((words.batch_words, -2), (words.chunks, -1), (words.split_pieces, -1)):
+                d = list(g.__defaults__)
+                d[n] = 300
+                g.__defaults__ = tuple(d)
+            return f(*a, **k)
+        return run
+
+    # the functions run in Python workers: the small size has to be set there
+    monkeypatch.setattr(substrings, "_shared_names", small(substrings._shared_names))
+    table = pa.table({"_bytes": pa.array([(r[1] or "").encode() for r in rows]), "_id": pa.array([r[0] for r in rows], pa.int64())})
+    defaults = [(g, g.__defaults__) for g in (words.batch_words, words.chunks, words.split_pieces)]
+    try:
+        whole, _ = substrings._shared_names(table, recompress.schedule(35))
+        for r in rows:
+            assert simhash.fingerprint((r[1] or "").encode()) == brute.fingerprint(r[1])
+        g = byte_dedup.Group(table)
+        places, hashes = byte_dedup.anchors(g, 50)
+        seen = {}
+        for p, h in zip(places.tolist(), hashes.tolist(), strict=True):
+            assert seen.setdefault(p, h) == h
+        assert len(seen) == len(places)
+    finally:
+        for f, d in defaults:
+            f.__defaults__ = d
+    monkeypatch.undo()
+    plain_names, _ = substrings._shared_names(table, recompress.schedule(35))
+    assert np.array_equal(whole, plain_names)
+    once, at = byte_dedup.anchors(byte_dedup.Group(table), 50)
+    assert set(once.tolist()) == set(places.tolist())
+    model = toxicity.train([(np.array([[i, i]], np.uint16).repeat(5, 0), i % 2, "en") for i in range(40)])
+    texts = pa.array([r[1] for r in rows])
+    want = toxicity.text_scores(model, texts)
+    words.batch_words.__defaults__ = (300, 0)  # the overlap is given
+    try:
+        got = toxicity.text_scores(model, texts)
+    finally:
+        words.batch_words.__defaults__ = defaults[0][1]
+    assert np.allclose(got, want, atol=1e-5)

@@ -115,3 +115,27 @@ def test_equal_windows_have_equal_anchors(seed, window, alphabet):
             assert names.setdefault(key, n) == n
             found += key == tuple(v.encode() for v in w)
     assert found >= 7
+
+
+@pytest.mark.parametrize("size", [60, 400, 5000])
+@pytest.mark.parametrize("overlap", [0, 2, 34])
+def test_words_of_long_texts(size, overlap):
+    """Pieces share exactly the overlap and never cut a word or run into the next row."""
+    rng = random.Random(size)
+    long = " ".join(rng.choice(["a", "bb", "É", "x" * 50, "The"]) for _ in range(3000))
+    texts = ["q", long, "z z", None, long[:700]]
+    for table, lower in (("blank", False), ("alnum", True)):
+        got = [[] for _ in texts]
+        for lo, hi, w in words.batch_words(pa.array(texts), words.byte_class(table), lower, size, overlap):
+            if w.before:
+                assert hi - lo == 1 and w.before == len(got[lo]) - w.fresh and w.fresh == overlap
+            for i in range(w.fresh, len(w.start)):
+                got[lo + int(w.row[i])].append(w.word(i))
+        assert got == [(t or "").encode().lower().split() if lower else (t or "").encode().split() for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+def test_split_pieces(size):
+    rng = random.Random(size)
+    text = b"".join(rng.choice([b"a", b"word", b" ", b"\n", b"\t ", b"x" * 30]) for _ in range(400))
+    assert [w for p in words.split_pieces(text, size) for w in p] == text.split()

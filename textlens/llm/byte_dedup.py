@@ -79,8 +79,7 @@ def anchors(g: Group, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all windows."""
     w = window - GRAM + 1
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for lo, hi in chunks(g.offsets, CHUNK):
-        a, b = int(g.offsets[lo]), int(g.offsets[hi])
+    for a, b, off in _pieces(g.offsets, window):
         m = b - a - GRAM + 1
         if b - a < window:
             continue
@@ -93,17 +92,33 @@ def anchors(g: Group, window: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h + eight(GRAM - 8) * np.uint64(0xE7037ED1A0B428DB))
         order = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)
         least = _slide(np.minimum, order, w)  # of the window that starts here
-        off = g.offsets[lo: hi + 1] - a
         for end in off[1:]:  # windows that cross the end of a text
             least[max(end - window + 1, 0): end] = 0
         wide = np.zeros(len(least) + 2 * (w - 1), np.uint32)
         wide[w - 1: w - 1 + len(least)] = least
         at = np.flatnonzero(_slide(np.maximum, wide, w) == order)  # least of some window that covers it
+        if len(places) > 1 and len(at):  # pieces of a long text overlap
+            at = at[at + a > places[-1][-1]] if len(places[-1]) else at
         places.append(at + a)
         hashes.append(h[at])
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def _pieces(offsets: np.ndarray, window: int):
+    """(start, end, offsets of the rows from start): whole rows, or pieces of a
+    long row that share ``window`` - 1 bytes, so each window is in one piece."""
+    for lo, hi in chunks(offsets, CHUNK):
+        a, b = int(offsets[lo]), int(offsets[hi])
+        if b - a <= 2 * CHUNK:
+            yield a, b, offsets[lo: hi + 1] - a
+            continue
+        for p in range(a, b, CHUNK):
+            end = min(p + CHUNK + window - 1, b)
+            yield p, end, np.array([0, end - p])
+            if end == b:
+                break
+
+
 def _repeated(g: Group, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the group: anchors, their places, the distinct ones, and which of
     these more than one document has."""
@@ -322,17 +337,14 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
             depth = np.zeros(len(g.data) + 1, np.int32)
             np.add.at(depth, s["at"].astype(np.int64), 1)
             np.add.at(depth, s["at"].astype(np.int64) + s["n"] + window - 1, -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            inner = g.offsets[:-1][np.diff(g.offsets) > 0]
-            begins[inner] = gone[inner]
-            total = np.concatenate([[0], np.cumsum(gone)])
-            runs = np.concatenate([[0], np.cumsum(begins)])
-            a, b = g.offsets[:-1], g.offsets[1:]
-            n_bytes, n_removed, n_spans = b - a, total[b] - total[a], runs[b] - runs[a]
-            kept = [(x if not r else x[~gone[i:j]]).tobytes() for x, r, i, j in
-                    zip((g.data[i:j] for i, j in zip(a, b, strict=True)), n_removed, a, b, strict=True)]
+            gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
+            for a, b in zip(g.offsets[:-1].tolist(), g.offsets[1:].tolist(), strict=True):
+                x, cut = g.data[a:b], gone[a:b]
+                n = int(np.count_nonzero(cut))
+                n_bytes.append(b - a)
+                n_removed.append(n)
+                n_spans.append(int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])) if n else 0)
+                kept.append((x[~cut] if n else x).tobytes())
         return pa.table([table.column("_row"), pa.array(kept, pa.binary()),
                          *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]],
                         ["_row", "_kept", "n_bytes", "n_removed", "n_spans"])

@@ -47,7 +47,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct (``item``, ``words``: the window's words joined by a space)."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for lo, hi, w in batch_words(b.column("_text"), _ALNUM, True):
+            for lo, hi, w in batch_words(b.column("_text"), _ALNUM, True, overlap=window - 1):
                 for r in range(hi - lo):
                     words = [w.word(i) for i in range(w.first[r], w.first[r + 1])]
                     if not words:
@@ -153,15 +153,15 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1).reshape(-1)
 
 
-def block_hits(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
+def block_hits(docs: DataFrame, shared, keep: list[str], window: int = WINDOW) -> DataFrame:
     """``keep`` with ``n_words``, ``spans`` (word intervals hit) and ``items``."""
     def run(batches):
         k = shared.value
         maps = {n: _bitmap(p[0]) for n, p in k.prefix.items()}
         for b in batches:
-            n_words, spans, items = [], [None] * b.num_rows, [[] for _ in range(b.num_rows)]
-            for lo, _, w in batch_words(b.columns[-1], _ALNUM, True):
-                n_words.append(np.diff(w.first))
+            n_words, spans, items = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
+            for lo, hi, w in batch_words(b.columns[-1], _ALNUM, True, overlap=window - 1):
+                n_words[lo:hi] += np.diff(w.first) - w.fresh
                 r, found = Running(w.hashes()), []
                 for n, (keys, first, record, offset) in k.prefix.items():
                     p, at = _matches(w, r, n, keys, maps[n])
@@ -179,12 +179,12 @@ def block_hits(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
                     f = np.array(found, np.int64)
                     f = f[np.argsort(f[:, 0], kind="stable")]
                     for g in np.split(f, np.flatnonzero(np.diff(f[:, 0])) + 1):
-                        d, base = int(g[0, 0]), w.first[g[0, 0]]
-                        spans[lo + d] = _spans(g[:, 1] - base, g[:, 2] - base).astype(np.int64).tobytes()
-                        items[lo + d] = sorted({x for rec in set(g[:, 3].tolist()) for x in k.items[rec]})
+                        d, base = int(g[0, 0]), w.first[g[0, 0]] - w.before
+                        spans[lo + d].append(_spans(g[:, 1] - base, g[:, 2] - base).astype(np.int64).tobytes())
+                        items[lo + d] |= {x for rec in set(g[:, 3].tolist()) for x in k.items[rec]}
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(np.concatenate(n_words) if n_words else [], pa.int64()),
-                 pa.array([s or b"" for s in spans], pa.binary()), pa.array(items, pa.list_(pa.string()))],
+                [*b.columns[:-1], pa.array(n_words), pa.array([b"".join(s) for s in spans], pa.binary()),
+                 pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
                 [*keep, "n_words", "spans", "items"])
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()),
@@ -208,7 +208,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         if n_blocks > 1 or block.texts:
             counts = token_counts(rows, sc.broadcast(block)).toArrow().to_pylist()
             block.order({(r["n"], r["token"]): r["count"] for r in counts})
-        hits.append(block_hits(rows, sc.broadcast(block), ["doc_id", "_k"]))
+        hits.append(block_hits(rows, sc.broadcast(block), ["doc_id", "_k"], window))
     found = hits[0].select("doc_id", "_k", "n_words", F.array("spans").alias("spans"), "items")
     if n_blocks > 1:  # rows of equal key have equal results in each block
         every = hits[0]

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from textlens.llm.common import fresh, in_turn, partitions, read, row_key, save
 from textlens.llm.components import components
-from textlens.llm.words import mix
+from textlens.llm.words import mix, split_pieces
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Work of verifying a pair against that of sending a node to one key.
@@ -48,21 +48,34 @@ SMALL_RUN, BLOCK = 64, 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    words = text.lower().split()  # bytes: ASCII letters and blanks only
-    if not words:
-        return 0
+    counts, total, carried = np.zeros(64, np.int64), 0, []
+    digest = xxhash.xxh64_intdigest
+    for piece in split_pieces(text):
+        words = carried + [w.lower() for w in piece] if carried else b" ".join(piece).lower().split(b" ") if piece else []
+        if len(words) < shingle:
+            carried = words
+            continue
+        values = _shingles(words, shingle, digest, seed)
+        total += len(values)
+        for i in range(0, len(values), 4096):
+            counts += _bit_counts(values[i: i + 4096])
+        carried = words[len(words) - shingle + 1:] if shingle > 1 else []
+    if not total:  # shorter than a shingle
+        return digest(b" ".join(carried), seed) if carried else 0
+    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
+
+
+def _shingles(words: list[bytes], k: int, digest, seed: int) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    values = np.array([digest(joined[a:b], seed) for a, b in
-                       zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist(), strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(values), 4096):
-        counts += np.unpackbits(values[i: i + 4096].view(np.uint8).reshape(-1, 8), axis=1,
-                                bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(values), bitorder="little").view(np.uint64)[0])
+    return np.array([digest(joined[a:b], seed) for a, b in
+                     zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist(), strict=True)], np.uint64)
+
+
+def _bit_counts(values: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text: str = "text") -> DataFrame:

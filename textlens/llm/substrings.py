@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from textlens.llm.common import read
 from textlens.llm.groups import GROUP_BYTES, SENT, by_bucket, deal, meet, sent, texts, unpack, visit, visit_with
 from textlens.llm.recompress import Schedule, anchors, schedule
-from textlens.llm.words import Running, batch_words, byte_class, mix
+from textlens.llm.words import Running, batch_words, byte_class, mix, split_pieces
 
 WINDOW = 35
 _BLANK = byte_class("blank")
@@ -45,7 +45,7 @@ _PLACE = np.dtype([("digest", "<u8"), ("at", "<u4")])
 def _shared_names(table: pa.Table, plan: Schedule) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor names of the group, and whether each occurs twice."""
     names = []
-    for _, _, w in batch_words(texts(table), _BLANK, False):
+    for _, _, w in batch_words(texts(table), _BLANK, False, overlap=plan.window - 1):
         _, name, pick = anchors(w, plan)
         new = np.ones(len(pick), bool)
         new[1:] = pick[1:] != pick[:-1]
@@ -80,7 +80,8 @@ def repeated_windows(rows: DataFrame, n_groups: int, plan: Schedule) -> DataFram
         known = unpack(facts.column("recs"), "<u8")
         shared = np.unique(np.concatenate([own[twice], *known]))
         base, digests, spread, places = 0, [], [], []
-        for _, _, w in batch_words(texts(table), _BLANK, False):
+        for _, _, w in batch_words(texts(table), _BLANK, False, overlap=plan.window - 1):
+            base -= w.fresh
             start, name, _ = anchors(w, plan)
             if len(start) and len(shared):
                 hit = shared[np.minimum(np.searchsorted(shared, name), len(shared) - 1)] == name
@@ -122,20 +123,24 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_i
         starts = np.concatenate([np.zeros(0, np.int64), *[r["at"].astype(np.int64) for r in unpack(facts.column("recs"), _PLACE)]])
         starts = np.unique(starts)
         kept, n_words, n_removed, base = [], [], [], 0
-        for t in (table.column("_bytes").to_pylist() if table.num_rows else []):
-            words = t.split()
-            lo, hi = np.searchsorted(starts, [base, base + len(words)])
-            gone = np.zeros(len(words) + 1, np.int32)
-            gone[starts[lo:hi] - base] += 1
-            gone[np.minimum(starts[lo:hi] - base + window, len(words))] -= 1
-            stays = np.cumsum(gone[:-1]) == 0
-            if hi > lo:
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(stays).tolist()]))
-            else:
-                kept.append(b" ".join(words))
-            n_words.append(len(words))
-            n_removed.append(int(len(words) - stays.sum()))
-            base += len(words)
+        ends = starts + window
+        for t in (table.column("_bytes") if table.num_rows else []):
+            parts, first, lost = [], base, 0
+            for words in split_pieces(t.as_py()):
+                n = len(words)
+                lo, hi = np.searchsorted(ends, base, "right"), np.searchsorted(starts, base + n)
+                if hi > lo:  # windows that cover words of this piece; none crosses the end of a text
+                    gone = np.zeros(n + 1, np.int32)
+                    np.add.at(gone, np.maximum(starts[lo:hi] - base, 0), 1)
+                    np.add.at(gone, np.minimum(ends[lo:hi] - base, n), -1)
+                    stays = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+                    lost += n - len(stays)
+                    words = [words[i] for i in stays.tolist()]
+                parts += [b" ".join(words)] if words else []
+                base += n
+            kept.append(b" ".join(parts))
+            n_words.append(base - first)
+            n_removed.append(lost)
         return pa.table([table.column("_row"), pa.array(kept, pa.binary()).cast(pa.string()),
                          pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
                         ["_row", "_kept", "n_words", "n_removed"])

@@ -36,10 +36,11 @@ from pyspark.sql import types as T
 from textlens.llm.common import fresh, read
 from textlens.llm.words import batch_words, buffer_of, byte_class, chunks
 
-FOLDS, MAX_ROWS, MAX_TRAIN_BYTES, CALIBRATE = 5, 6000, 32 << 10, 0.15
+FOLDS, MAX_ROWS, MAX_TRAIN_BYTES, CALIBRATE = 5, 10000, 32 << 10, 0.15
 BUCKETS, PREFIXES, DIM, WIDTHS, FILTERS, HIDDEN = 1 << 15, (6,), 12, (1, 2, 3), 8, 12
 EPOCHS, BATCH, RATE, SEED = 5, 32, 0.01, 7
-LANG_BUCKETS, MAX_LANGS, LEAST_EACH = 1 << 12, 16, 8
+LANG_BUCKETS, MAX_LANGS, LEAST_EACH, LEAST_TEXTS = 1 << 12, 16, 8, 3
+DECAY, CAUTION, FIRE = 0.1, 12.0, 2.5
 _ALNUM = byte_class("alnum")
 
 
@@ -56,13 +57,36 @@ class Model:
     prior: float = 0.0
 
 
-def word_ids(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_ids(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """Runs of rows with the hashed ids of their words (one column per
-    embedding table) and the index of each row's first word."""
+    embedding table), the index of each row's first word, and how many words
+    at the end come again: pieces of a long text share what a filter spans."""
     for lo, hi in chunks(buffer_of(texts)[1]):
-        for a, b, w in batch_words(pc.utf8_lower(texts.slice(lo, hi - lo).fill_null("")), _ALNUM, True):
+        lower = pc.utf8_lower(texts.slice(lo, hi - lo).fill_null(""))
+        for a, b, w in batch_words(lower, _ALNUM, True, overlap=max(WIDTHS) - 1):
             ids = [w.hashes(), *(w.hashes(p) for p in PREFIXES)]
-            yield lo + a, lo + b, np.stack([(h >> np.uint64(49)).astype(np.uint16) for h in ids], 1), w.first
+            yield lo + a, lo + b, np.stack([(h >> np.uint64(49)).astype(np.uint16) for h in ids], 1), w.first, w.tail
+
+
+def text_scores(m: Model, texts: pa.Array) -> np.ndarray:
+    """Scores of whole texts; what was pooled from the pieces of a long one is
+    pooled once more, so it counts as one text."""
+    n = len(texts)
+    if not m.tables:
+        return np.full(n, 1 / (1 + np.exp(-m.prior)))
+    most, total = np.zeros((n, FILTERS * len(WIDTHS)), np.float32), np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
+    count, lang = np.zeros(n, np.int64), np.zeros((n, m.langs.shape[1]))
+    for lo, hi, ids, first, tail in word_ids(texts):
+        a, s, *_ = _pool(m, ids, first, tail)
+        most[lo:hi] = np.maximum(most[lo:hi], a)
+        total[lo:hi] += s
+        own = np.minimum(first, len(ids) - tail)
+        count[lo:hi] += np.diff(own)
+        lang[lo:hi] += _lang_sums(m, ids, own)
+    z = _dense(m, most, total, count)[0].astype(np.float64)
+    if m.shift is not None:
+        z = z - m.shift[np.argmax(lang, 1)]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _flat(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,42 +101,44 @@ def _flat(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, first[:-1] + np.arange(n) * pad, real
 
 
-def _forward(m: Model, ids: np.ndarray, first: np.ndarray):
+def _pool(m: Model, ids: np.ndarray, first: np.ndarray, tail: int = 0):
+    """Maximum and sum of every filter's outputs over each row; the last
+    ``tail`` words are seen by the filters before them only."""
     flat, rows, real = _flat(ids, first)
     x = sum(t[flat[:, i]] for i, t in enumerate(m.tables)) * real[:, None]
-    pooled, acts = [], []
+    if tail:
+        real[np.flatnonzero(real)[-tail:]] = False
+    most, total, acts = [], [], []
     for k, (w, b) in zip(WIDTHS, m.filters, strict=True):
         z = x @ w[0]
         for j in range(1, k):
             z[:-j] += x[j:] @ w[j]
         a = np.maximum(z + b, 0) * real[:, None]
         acts.append(a)
-        pooled += [np.maximum.reduceat(a, rows), np.log1p(np.add.reduceat(a, rows))]
-    length = np.log1p(np.diff(first))[:, None] / 8
-    h0 = np.concatenate([*pooled, length], 1).astype(np.float32)
+        most.append(np.maximum.reduceat(a, rows))
+        total.append(np.add.reduceat(a, rows))
+    return np.concatenate(most, 1), np.concatenate(total, 1), flat, rows, x, acts
+
+
+def _dense(m: Model, most: np.ndarray, total: np.ndarray, count: np.ndarray):
+    """Logits from what was pooled and the number of words."""
+    h0 = np.concatenate([most, np.log1p(total), np.log1p(count)[:, None] / 8], 1).astype(np.float32)
     (w1, b1), (w2, b2) = m.layers
     h1 = np.tanh(h0 @ w1 + b1)
-    return h1 @ w2 + b2, (flat, rows, x, acts, h0, h1)
+    return h1 @ w2 + b2, h0, h1
 
 
-def logits(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    if not m.tables:
-        return np.full(len(first) - 1, m.prior, np.float32)
-    return _forward(m, ids, first)[0]
+def _forward(m: Model, ids: np.ndarray, first: np.ndarray):
+    most, total, flat, rows, x, acts = _pool(m, ids, first)
+    z, h0, h1 = _dense(m, most, total, np.diff(first))
+    return z, (flat, rows, x, acts, h0, h1)
 
 
-def guessed(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Index of the likeliest language of each row by its words."""
+def _lang_sums(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each row's words per language."""
     sums = np.zeros((len(ids) + 1, m.langs.shape[1]))
     np.cumsum(m.langs[ids[:, 0] % LANG_BUCKETS], 0, out=sums[1:])
-    return np.argmax(sums[first[1:]] - sums[first[:-1]], 1)
-
-
-def scores(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    z = logits(m, ids, first).astype(np.float64)
-    if m.shift is not None:
-        z = z - m.shift[guessed(m, ids, first)]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return sums[first[1:]] - sums[first[:-1]]
 
 
 class _Adam:
@@ -127,34 +153,36 @@ class _Adam:
             at, g = g if isinstance(g, tuple) else (slice(None), g)
             m[at] = 0.9 * m[at] + 0.1 * g
             v[at] = 0.99 * v[at] + 0.01 * g * g
-            p[at] -= rate * (m[at] / (1 - 0.9 ** self.t)) / (np.sqrt(v[at] / (1 - 0.99 ** self.t)) + 1e-7)
+            step = (m[at] / (1 - 0.9 ** self.t)) / (np.sqrt(v[at] / (1 - 0.99 ** self.t)) + 1e-7)
+            p[at] -= rate * (step + DECAY * p[at])
 
 
-def _backward(m: Model, kept, dz: np.ndarray) -> list:
+def _backward(m: Model, kept, dz: np.ndarray, known: list[np.ndarray]) -> list:
     flat, rows, x, acts, h0, h1 = kept
     (w1, _), (w2, _) = m.layers
     dh1 = dz[:, None] * w2 * (1 - h1 * h1)
     layer = [h0.T @ dh1, dh1.sum(0), h1.T @ dz, dz.sum(keepdims=True)[0]]
     dh0 = dh1 @ w1.T
     owner = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, len(flat))))
-    dx, grads, at = np.zeros_like(x), [], 0
+    dx, grads, at, sums = np.zeros_like(x), [], 0, FILTERS * len(WIDTHS)
     for k, (w, _), a in zip(WIDTHS, m.filters, acts, strict=True):
-        most, damped = h0[:, at: at + FILTERS], h0[:, at + FILTERS: at + 2 * FILTERS]
-        top = (a == most[owner]) & (a > 0)
-        share = dh0[:, at: at + FILTERS] / np.maximum(np.add.reduceat(top, rows, dtype=np.float32), 1)
-        da = top * share[owner] + (a > 0) * (dh0[:, at + FILTERS: at + 2 * FILTERS] * np.exp(-damped))[owner]
+        here, there = slice(at, at + FILTERS), slice(sums + at, sums + at + FILTERS)
+        top = (a == h0[:, here][owner]) & (a > 0)
+        share = dh0[:, here] / np.maximum(np.add.reduceat(top, rows, dtype=np.float32), 1)
+        da = top * share[owner] + (a > 0) * (dh0[:, there] * np.exp(-h0[:, there]))[owner]
         da = da.astype(np.float32)
         dw = np.stack([x[j:].T @ (da[:-j] if j else da) for j in range(k)])
         for j in range(k):
             dx[j:] += (da[:-j] if j else da) @ w[j].T
         grads += [dw, da.sum(0)]
-        at += 2 * FILTERS
+        at += FILTERS
     tables = []
     live = np.flatnonzero(np.any(dx, 1))
     for i in range(len(m.tables)):
-        ids, back = np.unique(flat[live, i], return_inverse=True)
+        at = live[known[i][flat[live, i]]]
+        ids, back = np.unique(flat[at, i], return_inverse=True)
         g = np.zeros((len(ids), DIM), np.float32)
-        np.add.at(g, back, dx[live])
+        np.add.at(g, back, dx[at])
         tables.append((ids, g))
     return tables + grads + layer
 
@@ -179,6 +207,7 @@ def train(docs: list[tuple[np.ndarray, int, str]], seed: int = SEED) -> Model:
               langs=np.log(counts / counts.sum(0)))
     order = rng.permutation(len(docs))
     aside, fit = np.split(order, [int(len(docs) * CALIBRATE)])
+    known = _start(m, docs, fit, labels)
     params = [*m.tables, *[p for f in m.filters for p in f], *[p for la in m.layers for p in la]]
     adam = _Adam([p.reshape(-1) if p.ndim == 0 else p for p in params])
     m.layers[1][1] = adam.params[-1]
@@ -198,28 +227,50 @@ def train(docs: list[tuple[np.ndarray, int, str]], seed: int = SEED) -> Model:
             z, kept = _forward(m, *batch(at))
             y = labels[at]
             dz = (1 / (1 + np.exp(-z)) - y) * np.where(y == 1, heavy, 1) / len(at)
-            adam.step(_backward(m, kept, dz.astype(np.float32)), RATE * (1 - e / epochs) + 1e-4)
+            adam.step(_backward(m, kept, dz.astype(np.float32), known), RATE * (1 - e / epochs) + 1e-4)
     if len(aside):
         ids, first = zip(*(batch(aside[i: i + 256]) for i in range(0, len(aside), 256)), strict=True)
-        z = np.concatenate([logits(m, i, f) for i, f in zip(ids, first, strict=True)])
-        lang = np.concatenate([guessed(m, i, f) for i, f in zip(ids, first, strict=True)])
+        z = np.concatenate([_forward(m, i, f)[0] for i, f in zip(ids, first, strict=True)])
+        lang = np.concatenate([np.argmax(_lang_sums(m, i, f), 1) for i, f in zip(ids, first, strict=True)])
         whole = _threshold(z, labels[aside], 0.0)
         m.shift = np.array([_threshold(z[lang == i], labels[aside][lang == i], whole) for i in range(len(names))])
     return m
 
 
+def _start(m: Model, docs: list, fit: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    """Where training starts. Only hashes that several texts have get an
+    embedding, all others are 0. The first coordinate is a cautious guess of
+    what a hash says about the label (smoothed log-odds), the first filter
+    fires on strong ones, and the first hidden unit listens to it; all else is
+    small noise that training shapes."""
+    known, share = [], float(labels[fit].mean())
+    for k, t in enumerate(m.tables):
+        seen, marked = (np.bincount(np.concatenate([np.unique(docs[i][0][:, k]) for i in some] or [np.zeros(0, int)]),
+                                    minlength=BUCKETS) for some in (fit, fit[labels[fit] == 1]))
+        known.append(seen >= LEAST_TEXTS)
+        guess = (marked + CAUTION * share) / (seen + CAUTION)
+        t[:, 0] = np.log(guess / (1 - guess)) - np.log(share / (1 - share))
+        t[~known[k]] = 0
+    (w, b), (w1, _), (w2, b2) = m.filters[0], *m.layers
+    w[0, :, 0], b[0] = 0, -FIRE
+    w[0, 0, 0] = 1
+    w1[:, 0] = 0
+    w1[0, 0] = w1[FILTERS * len(WIDTHS), 0] = 0.5
+    w2[0], b2[...] = 4, -2
+    return known
+
+
 def _threshold(z: np.ndarray, y: np.ndarray, else_: float) -> float:
-    """The logit with the fewest errors on held-aside rows, the middle of the
-    widest such gap nearest ``else_``; ``else_`` with few rows of a label."""
+    """A logit with the fewest errors on held-aside rows, give or take one: the
+    one nearest ``else_``, a little inside; ``else_`` with few rows of a label."""
     if min(y.sum(), len(y) - y.sum()) < LEAST_EACH:
         return else_
     z, y = z[o := np.argsort(z, kind="stable")], y[o]
     errors = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y)])
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    best = np.flatnonzero(errors == errors.min())
-    at = best[np.argmax(edges[best + 1] - edges[best])]
-    low, high = edges[at], edges[at + 1]
-    return float(np.clip(else_, low + 0.25 * (high - low), high - 0.25 * (high - low)))
+    best = np.flatnonzero(errors <= errors.min() + 1)
+    inside = np.clip(else_, edges[best] + 0.25 * np.diff(edges)[best], edges[best + 1] - 0.25 * np.diff(edges)[best])
+    return float(inside[np.argmin(np.abs(inside - else_))])
 
 
 def held_out(doc_id) -> F.Column:
@@ -238,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     def features(batches):
         for b in batches:
             found = []
-            for _, _, ids, first in word_ids(b.column("_text")):
+            for _, _, ids, first, _ in word_ids(b.column("_text")):  # short texts: each in one piece
                 found += [ids[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())],
                                              ["doc_id", "_y", "_lang", "ids"])
@@ -258,9 +309,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches):
         m = shared.value
         for b in batches:
-            found = [scores(m, ids, first) for _, _, ids, first in word_ids(b.columns[-1])]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(np.concatenate(found) if found else np.zeros(0))], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text_scores(m, b.columns[-1]))], [*keep, out])
 
     return rows.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())]))
 

@@ -9,6 +9,7 @@ ones compares the bytes (``same``) or uses a digest.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -121,6 +122,9 @@ class Words:
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, self.offsets)
         self.row = np.repeat(np.arange(hi - lo), np.diff(self.first))
+        self.fresh = 0  # words that the piece before has too
+        self.tail = 0  # words that the next piece has too
+        self.before = 0  # words of the row before this piece
 
     def hashes(self, most: int | None = None) -> np.ndarray:
         """Hash of each word, or of its first ``most`` bytes."""
@@ -133,7 +137,52 @@ class Words:
         return self.data[self.start[i]: self.end[i]].tobytes()
 
 
-def batch_words(texts: pa.Array, table: np.ndarray, lower: bool, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+def batch_words(texts: pa.Array, table: np.ndarray, lower: bool, size: int = CHUNK,
+                overlap: int = 0) -> Iterator[tuple[int, int, Words]]:
+    """Words of runs of rows. A row of more than twice ``size`` bytes comes in
+    several pieces that share ``overlap`` words, so that memory stays bounded
+    and every ``overlap`` + 1 consecutive words are in exactly one piece."""
     data, offsets = buffer_of(texts)
     for lo, hi in chunks(offsets, size):
-        yield lo, hi, Words(data, offsets, lo, hi, table, lower)
+        if offsets[hi] - offsets[lo] > 2 * size and hi - lo == 1:
+            for w in _pieces(data, int(offsets[lo]), int(offsets[hi]), table, lower, size, overlap):
+                yield lo, hi, w
+        else:
+            yield lo, hi, Words(data, offsets, lo, hi, table, lower)
+
+
+def _pieces(data: np.ndarray, at: int, end: int, table: np.ndarray, lower: bool, size: int, overlap: int) -> Iterator[Words]:
+    inside = table[LOWER] if lower else table
+    fresh = before = 0
+    while True:
+        want = size
+        while True:
+            cut = min(at + want, end)
+            while cut < end and inside[data[cut]]:  # to the end of the word
+                ahead = np.flatnonzero(~inside[data[cut: min(cut + 4096, end)]])
+                cut = cut + int(ahead[0]) if len(ahead) else min(cut + 4096, end)
+            w = Words(data, np.array([at, cut]), 0, 1, table, lower)
+            if cut == end or len(w.start) > overlap:
+                break
+            want *= 2  # of very long words a larger piece is needed
+        w.fresh, w.before, w.tail = fresh, before, overlap if cut < end else 0
+        yield w
+        if cut == end:
+            return
+        n = len(w.start)
+        at = at + int(w.start[n - overlap]) if overlap else cut
+        before += n - overlap
+        fresh = overlap
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def split_pieces(text: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
+    """The blank-separated words of a text, some ``size`` bytes at a time."""
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, at + size) if len(text) - at > size else None
+        cut = found.start() if found else len(text)
+        yield text[at:cut].split()
+        at = cut
