@@ -158,8 +158,9 @@ def fit_naive_bayes(observations: DataFrame, n_gram: int = 1, num_features: int
                     materialized: bool = True) -> NBModel:
     """Fit IDF and Naive Bayes on ``observations (doc_id, label, text, category)``.
 
-    The model tables (at most classes x features rows) are materialized once
-    (``materialize``) so scoring plans start from them, not from the text.
+    The statistics (at most classes x features rows) and the gains that score
+    texts are materialized once (``materialize``); every other model table is
+    a small closed form of the statistics.
     Raises ``ValueError`` on an empty training set (S7).
     """
     return fit_naive_bayes_many(observations, n_gram, num_features, [lam], labels, materialized)[0]
@@ -179,17 +180,17 @@ def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int
     stats = keep(tf.groupBy("label", "bucket").agg(F.sum("tf").alias("t"), F.count(F.lit(1)).alias("dfc")))
     idf_counts = counts.agg(F.sum("n").alias("m")).withColumn("idf_default", F.log(F.col("m") + 1.0))
     df = stats.groupBy("bucket").agg(F.sum("dfc").alias("df"))
-    idf_table = keep(attach(df, idf_counts, [], ["m"]).select(
-        "bucket", "df", F.log((F.col("m") + 1.0) / (F.col("df") + 1.0)).alias("idf")))
+    idf_table = attach(df, idf_counts, [], ["m"]).select(
+        "bucket", "df", F.log((F.col("m") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
     sums = stats.join(idf_table, "bucket").select("label", "bucket", (F.col("t") * F.col("idf")).alias("s"))
     categories = counts.select("label", "category")
     models = []
     for lam in lams:
         classes, theta = nb_from_stats(counts.select("label", "n"), sums, lam, num_features, categories=categories)
-        classes, theta = keep(classes), keep(theta)
-        m = NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts,
-                    wide=pivot_coef(theta, labels), made=made)
-        if fits_a_row(theta, len(labels), num_features):
+        m = NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts, made=made)
+        if not fits_a_row(theta, len(labels), num_features):
+            m.wide = keep(pivot_coef(theta, labels))
+        else:
             m.gains = keep(nb_gains(classes, theta, idf_table, idf_counts, labels, num_features))
         models.append(m)
     return models
