@@ -119,9 +119,10 @@ def test_substrings_of_other_windows(docs, rows, window):
     same(got, brute.substrings(rows, window), ["doc_id", "n_words", "n_removed", "sha"])
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 22, 2000])
-def test_byte_dedup(docs, rows, group_bytes):
-    out = byte_dedup.dedup_bytes(docs, group_bytes=group_bytes)
+@pytest.mark.parametrize("group_bytes, hot_groups", [(1 << 22, 256), (2000, 256), (2000, 1), (2000, 3)])
+def test_byte_dedup(docs, rows, group_bytes, hot_groups):
+    """In one group and in many, with none, some and all anchors crowded."""
+    out = byte_dedup.dedup_bytes(docs, group_bytes=group_bytes, hot_groups=hot_groups)
     want = brute.byte_runs(rows)
     assert sum(r[2] for r in want) > 2000
     same(out.withColumn("sha", F.sha2("text", 256)), want, ["doc_id", "n_bytes", "n_removed", "n_spans", "sha"])

@@ -13,14 +13,18 @@ shard, so Spark first brings together what can be equal:
    done on the spot). In the shard the distinct pieces form one string; its
    suffix array is built by induced sorting (``suffixes``), neighbours are
    compared in permuted order, and equal windows get the least id that holds
-   them. Pieces that meet no other piece need no array.
+   them. Pieces that meet no other piece need no array. An anchor that more
+   than ``HOT_GROUPS`` groups share (the edge of a very common passage, with
+   other bytes around it in each document) would crowd a shard: its windows
+   go to shards by their own digests instead, one by one.
 3. The removed stretches go back to the groups.
 
 Texts are shuffled once. Shards and groups follow the bytes of the input; no
 step pairs occurrences.
 
-Hashes decide where bytes meet, and which whole pieces are taken for equal
-(64 bits and the shard); windows of different pieces are compared byte by byte.
+Hashes decide where bytes meet, and which whole pieces, or windows of crowded
+anchors, are taken for equal (64 bits and the shard); windows of different
+pieces are compared byte by byte.
 
 Defined cases: null and empty texts have 0 bytes; texts shorter than the
 window lose nothing; a null id is larger than every other; rows that repeat
@@ -43,11 +47,12 @@ from textlens.llm.groups import GROUP_BYTES, by_bucket, deal, unpack, visit, vis
 from textlens.llm.suffixes import common_prefixes, suffix_array
 from textlens.llm.words import CHUNK, buffer_of, chunks, mix
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM, HOT_GROUPS = 50, 20, 256
 _NULL = np.iinfo(np.int64).max
 _WHOLE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("row", "<u4")])
 _PIECE = np.dtype([("key", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("size", "<u2"), ("places", "<u4")])
 _SPAN = np.dtype([("at", "<u4"), ("n", "<u4")])
+_ALONE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def _slide(f, x: np.ndarray, w: int) -> np.ndarray:
@@ -136,9 +141,9 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def shared_anchors(rows: DataFrame, n: int, window: int) -> DataFrame:
-    """(``_db``, ``keys``: anchors shared with other groups, ``copies``: rows
-    whose whole text a smaller id has), packed."""
+def shared_anchors(rows: DataFrame, n: int, window: int, hot_groups: int) -> DataFrame:
+    """(``_db``, ``keys``: anchors shared with other groups, ``hot``: those with
+    very many, ``copies``: rows whose whole text a smaller id has), packed."""
     def send(db: int, table: pa.Table) -> pa.Table:
         g = Group(table)
         _, _, names, _ = _repeated(g, window)
@@ -162,14 +167,14 @@ def shared_anchors(rows: DataFrame, n: int, window: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         dbs = table.column("db").to_numpy()
         spread = lambda parts: np.repeat(dbs, [len(x) for x in parts])
-        out = [(int(d), b"", k.tobytes()) for d, k in zip(dbs, unpack(table.column("known"), "<u4"), strict=True) if len(k)]
+        out = [(int(d), b"", b"", k.tobytes()) for d, k in zip(dbs, unpack(table.column("known"), "<u4"), strict=True) if len(k)]
         parts = unpack(table.column("keys"), "<u4")
         key, db = np.concatenate(parts), spread(parts)
-        o = np.argsort(key, kind="stable")
-        same = key[o][1:] == key[o][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[o[1:][same]] = twice[o[:-1][same]] = True
-        out += [(d, k.tobytes(), b"") for d, k in by_bucket(db[twice], key[twice])]
+        _, which, groups = np.unique(key, return_inverse=True, return_counts=True)
+        groups = groups[which]  # every group sends a key once
+        some, hot = (groups > 1) & (groups <= hot_groups), groups > hot_groups
+        out += [(d, k.tobytes(), b"", b"") for d, k in by_bucket(db[some], key[some])]
+        out += [(d, b"", k.tobytes(), b"") for d, k in by_bucket(db[hot], key[hot])]
         parts = unpack(table.column("whole"), _WHOLE)
         whole, db = np.concatenate(parts), spread(parts)
         o = np.lexsort((whole["doc"], whole["b"], whole["a"]))
@@ -178,11 +183,11 @@ def shared_anchors(rows: DataFrame, n: int, window: int) -> DataFrame:
             new = np.concatenate([[True], (whole["a"][1:] != whole["a"][:-1]) | (whole["b"][1:] != whole["b"][:-1])])
             least = whole["doc"][np.maximum.accumulate(np.where(new, np.arange(len(whole)), 0))]
             copy = whole["doc"] > least
-            out += [(d, b"", r.tobytes()) for d, r in by_bucket(db[copy], whole["row"][copy])]
-        return _table(out, ["_db", "keys", "copies"])
+            out += [(d, b"", b"", r.tobytes()) for d, r in by_bucket(db[copy], whole["row"][copy])]
+        return _table(out, ["_db", "keys", "hot", "copies"])
 
     sent = visit(rows, send, "bucket int, db int, keys binary, whole binary, known binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "_db int, keys binary, copies binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "_db int, keys binary, hot binary, copies binary")
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -191,13 +196,13 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
                      for n, c in zip(names, cols, strict=True)], names)
 
 
-def removed_spans(rows: DataFrame, n: int, window: int) -> DataFrame:
+def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """(``_db``, ``spans``: stretches of window starts to remove, packed)."""
-    facts = shared_anchors(rows, n, window)
+    facts = shared_anchors(rows, n, window, hot_groups)
     reach = window - GRAM
 
     def send(table: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["bucket", "db", "heads", "bytes", "places", "known"]
+        names = ["bucket", "db", "heads", "bytes", "places", "alone", "known"]
         if not table.num_rows:
             return _table([], names)
         db, g = table.column("_db")[0].as_py(), Group(table)
@@ -207,20 +212,19 @@ def removed_spans(rows: DataFrame, n: int, window: int) -> DataFrame:
         spans["at"], spans["n"] = g.offsets[copies], g.offsets[copies + 1] - g.offsets[copies] - window + 1
         known.append(spans)
         at, h, own, several = _repeated(g, window)
-        keys = np.unique(np.concatenate([_short(own[several]), *unpack(found.column("keys"), "<u4")]))
+        hot = np.unique(np.concatenate([np.zeros(0, np.uint32), *unpack(found.column("hot"), "<u4")]))
+        keys = np.unique(np.concatenate([np.setdiff1d(_short(own[several]), hot), *unpack(found.column("keys"), "<u4")]))
         done = np.zeros(g.n, bool)
         done[copies] = True
         row = g.row_of(at)
-        use = ~done[row]
-        if len(keys):
-            use &= keys[np.minimum(np.searchsorted(keys, _short(h)), len(keys) - 1)] == _short(h)
-        else:
-            use[:] = False
-        at, h, row = at[use], h[use], row[use]
-        a = np.maximum(g.offsets[row], at - reach)
-        b = np.minimum(g.offsets[row + 1], at + window)
         raw = g.data.tobytes()
         digest = xxhash.xxh3_64_intdigest
+        left, right = np.maximum(g.offsets[row], at - reach), np.minimum(g.offsets[row + 1], at + window)
+        crowded = ~done[row] & _among(_short(h), hot)
+        out, more = _windows_alone(g, digest, raw, left[crowded], right[crowded], window, n, db)
+        known.append(more)
+        use = ~done[row] & _among(_short(h), keys)
+        at, h, row, a, b = at[use], h[use], row[use], left[use], right[use]
         piece = np.array([digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
         piece = mix(piece ^ mix((at - a).astype(np.uint64)))  # the same bytes around the anchor
         doc = g.doc[row]
@@ -240,21 +244,63 @@ def removed_spans(rows: DataFrame, n: int, window: int) -> DataFrame:
         heads["size"], heads["places"] = b[lead] - a[lead], count
         places = a[o][~later].astype(np.uint32)
         first = np.concatenate([[0], np.cumsum(count)])
-        out = []
         for k, i in by_bucket((mix(h[lead]) % np.uint64(n)).astype(np.int32), np.arange(len(head))):
             out.append((k, db, heads[i].tobytes(), b"".join([raw[x:y] for x, y in zip(a[lead[i]].tolist(), b[lead[i]].tolist(), strict=True)]),
-                        np.concatenate([places[first[j]: first[j + 1]] for j in i.tolist()]).tobytes(), b""))
-        out.append((db, db, b"", b"", b"", np.concatenate(known).tobytes()))
+                        np.concatenate([places[first[j]: first[j + 1]] for j in i.tolist()]).tobytes(), b"", b""))
+        out.append((db, db, b"", b"", b"", b"", np.concatenate(known).tobytes()))
         return _table(out, names)
 
-    sent = visit_with(rows, facts, send, "bucket int, db int, heads binary, bytes binary, places binary, known binary")
+    sent = visit_with(rows, facts, send,
+                      "bucket int, db int, heads binary, bytes binary, places binary, alone binary, known binary")
     return sent.groupBy("bucket").applyInArrow(lambda t: _shard(t, window), "_db int, spans binary")
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _windows_alone(g: Group, digest, raw: bytes, left: np.ndarray, right: np.ndarray, window: int, n: int,
+                   db: int) -> tuple[list[tuple], np.ndarray]:
+    """Each window around crowded anchors as a record for the shard of its own
+    digest (of the least id that has it here), and the spans known here."""
+    size = np.maximum(right - left - window + 1, 0)
+    starts = np.unique(np.repeat(left, size) + _count(size))
+    if not len(starts):
+        return [], np.zeros(0, _SPAN)
+    recs = np.zeros(len(starts), _ALONE)
+    recs["hash"] = [digest(raw[s: s + window]) for s in starts.tolist()]
+    recs["doc"], recs["at"] = g.doc[g.row_of(starts)], starts
+    recs = recs[np.lexsort((recs["at"], recs["doc"], recs["hash"]))]
+    later = recs["doc"] > _least(recs)
+    spans = np.zeros(int(later.sum()), _SPAN)
+    spans["at"], spans["n"] = recs["at"][later], 1
+    recs = recs[~later]
+    bucket = (mix(recs["hash"] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n)).astype(np.int32)
+    return [(k, db, b"", b"", b"", r.tobytes(), b"") for k, r in by_bucket(bucket, recs)], spans
+
+
+def _least(recs: np.ndarray) -> np.ndarray:
+    """For each record, sorted by hash, the least id with that hash."""
+    first = np.flatnonzero(np.concatenate([[True], recs["hash"][1:] != recs["hash"][:-1]]))
+    return np.repeat(np.minimum.reduceat(recs["doc"], first), np.diff(np.append(first, len(recs))))
+
+
 def _shard(table: pa.Table, window: int) -> pa.Table:
     """Judge the windows of all pieces that met in a shard."""
     dbs = table.column("db").to_numpy()
     out = [(int(d), s.tobytes()) for d, s in zip(dbs, unpack(table.column("known"), _SPAN), strict=True) if len(s)]
+    parts = unpack(table.column("alone"), _ALONE)
+    alone, db = np.concatenate(parts), np.repeat(dbs, [len(x) for x in parts])
+    if len(alone):
+        o = np.argsort(alone["hash"], kind="stable")
+        alone, db = alone[o], db[o]
+        gone = alone["doc"] > _least(alone)
+        spans = np.zeros(int(gone.sum()), _SPAN)
+        spans["at"], spans["n"] = alone["at"][gone], 1
+        out += [(d, s.tobytes()) for d, s in by_bucket(db[gone], spans)]
     parts = unpack(table.column("heads"), _PIECE)
     heads, db = np.concatenate(parts), np.repeat(dbs, [len(x) for x in parts])
     if len(heads):
@@ -320,14 +366,14 @@ def _count(n: np.ndarray) -> np.ndarray:
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-                group_bytes: int = GROUP_BYTES) -> DataFrame:
+                group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """``docs`` with the kept bytes as ``text`` (binary), ``n_bytes`` (before),
     ``n_removed`` and ``n_spans``."""
     if window < GRAM + 8:
         raise ValueError(f"windows need {GRAM + 8} bytes at least")
     docs = docs.drop("n_bytes", "n_removed", "n_spans")
     rows, n = deal(docs, doc_id, text, group_bytes)
-    spans = removed_spans(rows, n, window)
+    spans = removed_spans(rows, n, window, hot_groups)
 
     def rewrite(table: pa.Table, found: pa.Table) -> pa.Table:
         kept, n_bytes, n_removed, n_spans = [], [], [], []

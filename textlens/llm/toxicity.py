@@ -303,13 +303,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the column ``out``: 0 to 1, 0.5 is the threshold."""
     keep = [c for c in docs.columns if c != out]
-    rows = docs.select(*keep, F.col(text).cast("string").alias(fresh(docs, "_scored")))
+    here = keep.index(text) if text in keep and docs.schema[text].dataType == T.StringType() else None
+    rows = docs.select(*keep, *([F.col(text).cast("string").alias(fresh(docs, "_scored"))] if here is None else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the tables' fixed shapes
 
     def run(batches):
         m = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text_scores(m, b.columns[-1]))], [*keep, out])
+            texts = b.columns[-1 if here is None else here]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(text_scores(m, texts))], [*keep, out])
 
     return rows.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())]))
 
