@@ -71,6 +71,6 @@ def test_observations_from_events(spark):
             ("stopwords", "resource", "w2", '{"word": "the"}')]
     ev = spark.createDataFrame(rows, "event string, entity_type string, entity_id string, properties string")
     obs = {r["doc_id"]: (r["label"], r["text"], r["category"]) for r in observations_from_events(ev).collect()}
-    assert obs == {0: (1.0, "a b", "1"), 1: (0.0, "c", "0")}
+    assert obs == {"0": (1.0, "a b", "1"), "1": (0.0, "c", "0")}
     words = stop_words(ev, "stopwords", "word", entity_col="event", props_col="properties").collect()
     assert [r["word"] for r in words] == ["the"]
