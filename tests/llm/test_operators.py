@@ -179,6 +179,15 @@ def test_quality_fences(spark):
     assert {r["doc_id"] for r in got.where("not kept").collect()} == {99}
 
 
+def test_quality_fences_hold_in_a_spammy_source(spark):
+    """Half of a source is junk: the fences of its language reject it."""
+    good, bad = "word " * 3 + " ".join(f"t{i}x" for i in range(100)), " ".join(f"t{i}x###" for i in range(100))
+    rows = [(i, good + f" {i}", "en", "s") for i in range(400)]
+    rows += [(1000 + i, (bad if i % 2 else good) + f" {i}", "en", "hot") for i in range(100)]
+    got = quality.judge(quality.measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert {r["doc_id"] for r in got.where("not kept").collect()} == set(range(1001, 1100, 2))
+
+
 def test_toxicity_accuracy(spark):
     base = "/root/testdata/sf0.1"
     from textlens.llm.common import read

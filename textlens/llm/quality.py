@@ -9,9 +9,12 @@ per language; from their quartiles follow the fences
     spread = max(q75 - q25, the rate's resolution)
 
 A document is kept if it passes the base rules and all its rates lie within
-the fences of its language and source (those of its language where the source
-has under ``min_group`` documents in it; a language under ``min_group`` has
-no fences). The fences are joined to the documents; no cutoff is fixed.
+the tighter, on each side, of the fences of its language and source and those
+of its language; a group under ``min_group`` documents has no fences. A source
+of junk so can't widen its fences beyond those of its language; they give way
+where more than a quarter of the source and of the language is junk. The
+fences are joined to the documents; no cutoff is fixed. The SQL twin takes the
+source's fences alone, so it differs where those are the wider ones.
 
 All text work happens inside the row; arrays are computed once by passing
 them through a generator, which the optimizer does not merge with the
@@ -114,8 +117,8 @@ def judge(measured: DataFrame, width: float = WIDTH, min_group: int = MIN_GROUP)
            .join(wide, F.col("lang").eqNullSafe(F.col("_wl")), "left"))
     inside = F.lit(True)
     for r in RATES:
-        low = F.coalesce(f"_n_{r}_below", f"_w_{r}_below", F.lit(float("-inf")))
-        high = F.coalesce(f"_n_{r}_above", f"_w_{r}_above", F.lit(float("inf")))
+        low = F.greatest(f"_n_{r}_below", f"_w_{r}_below", F.lit(float("-inf")))
+        high = F.least(f"_n_{r}_above", f"_w_{r}_above", F.lit(float("inf")))
         inside = inside & F.col(r).between(low, high)
     failed = ((F.col("n_words") < MIN_WORDS)
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT))
