@@ -1,5 +1,6 @@
 """Every dealt operator against its plain recomputation, on odd rows."""
 
+import hashlib
 import os
 import sys
 from collections import Counter
@@ -129,6 +130,29 @@ def test_byte_dedup(docs, rows, group_bytes, hot_groups):
     same(out, [(r[0], *r[2:]) for r in rows], [c for c in docs.columns if c != "text"])
 
 
+def test_decontamination_of_a_window_that_all_items_share(spark, monkeypatch):
+    """The driver sees each window once, however many items share it."""
+    shared = "a b c d e f g h i j"
+    bench = spark.createDataFrame([(i, f"{shared} x{i}" if i % 100 == 0 else shared) for i in range(2000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {shared} it is"), (2, f"{shared} x500"), (3, "b c"), (4, f"so {shared} it is")],
+                                 "doc_id long, text string")
+    seen, start = [], decontaminate.Block.__init__
+    monkeypatch.setattr(decontaminate.Block, "__init__", lambda self, rows, *a: seen.append(len(rows)) or start(self, rows, *a))
+    got = decontaminate.contamination(docs, bench)
+    every = hashlib.sha256(",".join(sorted(str(i) for i in range(2000))).encode()).hexdigest()
+    same(got, [(1, 13, 10, 2000, every, True), (2, 11, 11, 2000, every, True),
+               (3, 2, 0, 0, hashlib.sha256(b"").hexdigest(), False), (4, 13, 10, 2000, every, True)],
+         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    assert seen == [1 + 20]
+
+
+def test_item_windows_of_a_long_item(spark):
+    """Blanks behind the last cut of a long item make no window of their own."""
+    words = [f"w{i}" for i in range(20)]
+    got = decontaminate.item_windows(spark.createDataFrame([(1, " ".join(words) + " " * (3 << 19))], "item_id long, text string"))
+    same(got, [("1", " ".join(words[i: i + 10]).encode()) for i in range(11)], ["item", "words"])
+
+
 def test_token_counts(docs, rows):
     sp = tokens.load(tokens.MODEL)
     want = [(r[0], len((r[1] or "").encode()), len(sp.encode(r[1] or ""))) for r in rows]

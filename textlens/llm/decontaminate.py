@@ -13,9 +13,12 @@ exact containment a prefix of one token is enough to find it:
    the position and the length of the document are applied, then the hash of
    the whole window, then its words themselves.
 
-Records go to the tasks in blocks of at most ``BLOCK_BYTES`` of window text, so
-what is broadcast is bounded however large the benchmark is; every block
-sees all documents. The documents' texts are never shuffled.
+Records are the distinct windows, each with a numeric id. They go to the tasks
+in blocks of about ``BLOCK_BYTES`` of window text and ids, so what is broadcast
+is bounded however large the benchmark is and however many items share a
+window; every block sees all documents. Spark joins the items to the record
+ids found, once for each distinct set of records that documents hold. The
+documents' texts are never shuffled.
 
 Defined cases: null, empty and wordless texts have no words and are clean;
 items without words are no records; a null item id is written ``null``; items
@@ -25,7 +28,6 @@ give no rows or no hits; further columns are kept by ``clean``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             for lo, hi, w in batch_words(b.column("_text"), _ALNUM, True, overlap=window - 1):
                 for r in range(hi - lo):
                     words = [w.word(i) for i in range(w.first[r], w.first[r + 1])]
-                    if not words:
+                    if not words or w.before and len(words) < window:  # a later piece without a window of its own
                         continue
                     k = min(window, len(words))
                     found = list(dict.fromkeys(b" ".join(words[i: i + k]) for i in range(len(words) - k + 1)))
@@ -69,11 +71,9 @@ class Block:
     """The records of one block, ready for the two passes."""
 
     def __init__(self, rows: list, shingle: int = SHINGLE):
-        items: dict[bytes, list[str]] = {}
-        for r in rows:
-            items.setdefault(bytes(r["words"]), []).append(r["item"])
-        self.texts = sorted(items)
-        self.items = [sorted(items[t]) for t in self.texts]
+        ids = {bytes(r["words"]): r["id"] for r in rows}
+        self.texts = sorted(ids)
+        self.ids = [ids[t] for t in self.texts]
         data, offsets = buffer_of(pa.array(self.texts, pa.binary()).cast(pa.large_string()))
         w = Words(data, offsets, 0, len(self.texts), _ALNUM, False)
         run = Running(w.hashes())
@@ -154,12 +154,12 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def block_hits(docs: DataFrame, shared, keep: list[str], window: int = WINDOW) -> DataFrame:
-    """``keep`` with ``n_words``, ``spans`` (word intervals hit) and ``items``."""
+    """``keep`` with ``n_words``, ``spans`` (word intervals hit) and ``records`` (their ids)."""
     def run(batches):
         k = shared.value
         maps = {n: _bitmap(p[0]) for n, p in k.prefix.items()}
         for b in batches:
-            n_words, spans, items = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
+            n_words, spans, records = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]
             for lo, hi, w in batch_words(b.columns[-1], _ALNUM, True, overlap=window - 1):
                 n_words[lo:hi] += np.diff(w.first) - w.fresh
                 r, found = Running(w.hashes()), []
@@ -181,67 +181,86 @@ def block_hits(docs: DataFrame, shared, keep: list[str], window: int = WINDOW) -
                     for g in np.split(f, np.flatnonzero(np.diff(f[:, 0])) + 1):
                         d, base = int(g[0, 0]), w.first[g[0, 0]] - w.before
                         spans[lo + d].append(_spans(g[:, 1] - base, g[:, 2] - base).astype(np.int64).tobytes())
-                        items[lo + d] |= {x for rec in set(g[:, 3].tolist()) for x in k.items[rec]}
+                        records[lo + d] |= {k.ids[rec] for rec in g[:, 3].tolist()}
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(n_words), pa.array([b"".join(s) for s in spans], pa.binary()),
-                 pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-                [*keep, "n_words", "spans", "items"])
+                 pa.array([sorted(i) for i in records], pa.list_(pa.int64()))],
+                [*keep, "n_words", "spans", "records"])
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()),
-                           T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+                           T.StructField("spans", T.BinaryType()), T.StructField("records", T.ArrayType(T.LongType()))])
     return docs.select(*keep, "_text").mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text",
-                  doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def record_hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text",
+                doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``_k`` (``row_key``), n_words,
-    n_hit, n_items, items_sha256, contaminated."""
-    windows = save(item_windows(items, window), "windows")
-    size = windows.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n_hit, ``records`` (the ids found, in order). ``windows`` has (``id``, ``words``)."""
+    size = windows.agg(F.sum(F.octet_length("words") + 8)).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     part = F.pmod(F.xxhash64("words"), F.lit(n_blocks))
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_k"),
                        F.col(text).cast("string").alias("_text"))
     sc, hits = docs.sparkSession.sparkContext, []
     for i in range(n_blocks):
-        block = Block(windows.where(part == i).toArrow().to_pylist(), shingle)  # bounded by block_bytes
+        block = Block(windows.where(part == i).toArrow().to_pylist(), shingle)  # distinct windows: bounded by block_bytes
         if n_blocks > 1 or block.texts:
             counts = token_counts(rows, sc.broadcast(block)).toArrow().to_pylist()
             block.order({(r["n"], r["token"]): r["count"] for r in counts})
         hits.append(block_hits(rows, sc.broadcast(block), ["doc_id", "_k"], window))
-    found = hits[0].select("doc_id", "_k", "n_words", F.array("spans").alias("spans"), "items")
+    found = hits[0].select("doc_id", "_k", "n_words", F.array("spans").alias("spans"), "records")
     if n_blocks > 1:  # rows of equal key have equal results in each block
         every = hits[0]
         for h in hits[1:]:
             every = every.unionByName(h)
         every = every.groupBy("doc_id", "_k", "n_words").agg(
-            F.collect_set("spans").alias("spans"), F.flatten(F.collect_set("items")).alias("items"),
+            F.collect_set("spans").alias("spans"), F.sort_array(F.flatten(F.collect_set("records"))).alias("records"),
             (F.count(F.lit(1)) / n_blocks).cast("int").alias("_rows"))
         found = every.withColumn("_rows", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_rows")
 
     def finish(batches):
         for b in batches:
-            n_hit, n_items, digest = [], [], []
-            for spans, ids in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True):
+            n_hit = []
+            for spans in b.column("spans").to_pylist():
                 s = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
                 s = _spans(s[:, 0], s[:, 1]) if len(s) else np.zeros(0, np.int64)
-                ids = sorted(set(ids))
                 n_hit.append(int((s[1::2] - s[::2]).sum()))
-                n_items.append(len(ids))
-                digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()),
-                 pa.array(digest, pa.string())], ["doc_id", "_k", "n_words", "n_hit", "n_items", "items_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n_hit, pa.int64()), b.column("records")],
+                                             ["doc_id", "_k", "n_words", "n_hit", "records"])
 
     schema = T.StructType([*found.select("doc_id", "_k", "n_words").schema.fields, T.StructField("n_hit", T.LongType()),
-                           T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())])
-    return found.mapInArrow(finish, schema).withColumn("contaminated", F.col("n_hit") > 0)
+                           T.StructField("records", T.ArrayType(T.LongType()))])
+    return found.mapInArrow(finish, schema)
+
 
+def numbered(windows: DataFrame) -> DataFrame:
+    """The distinct windows (``id``, ``words``); written, so that ids stay."""
+    return save(windows.select("words").distinct().select(F.monotonically_increasing_id().alias("id"), "words"), "records")
 
-def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **settings) -> DataFrame:
+    """One row per row of ``docs``: doc_id, ``_k`` (``row_key``), n_words,
+    n_hit, n_items, items_sha256, contaminated. For ``settings`` see ``record_hits``."""
+    windows = save(item_windows(items, window), "windows")
+    records = numbered(windows)
+    found = save(record_hits(docs, records, window, **settings), "record-hits")
+    some = F.size("records") > 0
+    hit = found.where(some).withColumn("_set", F.sha2(F.array_join(F.col("records").cast("array<string>"), ","), 256))
+    sets = hit.select("_set", "records").dropDuplicates(["_set"]).select("_set", F.explode("records").alias("id"))
+    named = (sets.join(records, "id").join(windows, "words").groupBy("_set").agg(F.collect_set("item").alias("_items"))
+             .select("_set", F.size("_items").cast("long").alias("n_items"),
+                     F.sha2(F.array_join(F.sort_array("_items"), ","), 256).alias("items_sha256")))
+    cols = ["doc_id", "_k", "n_words", "n_hit", "n_items", "items_sha256"]
+    clean_rows = found.where(~some).withColumns({"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)})
+    return (hit.join(named, "_set").select(*cols).unionByName(clean_rows.select(*cols))
+            .withColumn("contaminated", F.col("n_hit") > 0))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
     text, doc_id = settings.get("text", "text"), settings.get("doc_id", "doc_id")
-    bad = contamination(docs, items, **settings).where("contaminated").select(F.col("_k").alias("_bad")).distinct()
+    found = record_hits(docs, numbered(item_windows(items, window)), window, **settings)
+    bad = found.where("n_hit > 0").select(F.col("_k").alias("_bad")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key(F.col(doc_id), F.col(text)).alias("_k"))
     return rows.join(save(bad, "contaminated"), F.col("_k") == F.col("_bad"), "left_anti").select("_row.*")
 
