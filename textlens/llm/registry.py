@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textlens.llm import byte_dedup, decontaminate, lines, mixing, quality, sharding, simhash, substrings, tokens, toxicity
+from textlens.llm import byte_dedup, decontaminate, lines, mixing, prefix_trie, quality, sharding, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_array_dedup": byte_dedup.op8_suffix_array_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_conversation_trie": prefix_trie.op11_conversation_trie,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op8_suffix_array_dedup": byte_dedup.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_conversation_trie": prefix_trie.OP11_SQL,
 }
