@@ -199,3 +199,114 @@ def shards(rows, n=8, seed="shards-1"):
         _, crc, size = key(i)
         out.append((rows[i][0], size, crc, shard, rank - shard * len(rows) // n))
     return out
+
+
+def _trunc_mod(c, n):
+    """Remainder with the sign of c, as SQL has it."""
+    return c - n * (abs(c) // n) * (1 if c >= 0 else -1)
+
+
+def _in_order(rows, none):
+    """conv_id -> (turn, role, text) in the order that the operators state."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        convs[c].append((turn, none if role is None else role, none if text is None else text))
+    md5 = lambda r, t: hashlib.md5(f"{len(r)}:{r}{t}".encode()).hexdigest()
+    for v in convs.values():
+        v.sort(key=lambda x: (x[0] is not None, x[0] or 0, md5(x[1], x[2])))
+    return convs
+
+
+def rebuilt(rows):
+    convs = {c: [(r, t) for _, r, t in v] for c, v in _in_order(rows, "").items() if c is not None}
+    out = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = convs.get(c - _trunc_mod(c, 100), [])[:h] + own[h:]
+    return out
+
+
+def trie(convs):
+    """Nodes of the trie of conv_id -> [(role, text)]."""
+    members = defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    below = defaultdict(list)
+    for node in members:
+        if node:
+            below[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in below[node]) or 1
+        saved[node] = sum(saved[x] for x in below[node]) + (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+    return [(min(m), len(node), min(members[node[:-1]]) if node else None, len(m), len(below[node]), leaves[node], saved[node],
+             sha(",".join(str(c) for c in sorted(m) if len(convs[c]) == len(node)).encode())) for node, m in members.items()]
+
+
+def damaged(rows):
+    """conv_id -> damaged (turn, role, text), every original conv_id."""
+    out = {}
+    for c, turns in _in_order(rows, " ").items():
+        out[c] = []
+        for turn, role, text in turns:
+            how = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+            text = {1: "", 2: re.sub("[.!?]", "", text)}.get(how, text)
+            out[c] += [(turn, "user" if how == 4 else role, text)] * {0: 0, 3: 2}.get(how, 1)
+    return out
+
+
+def cheapest_repair(turns):
+    """(cost, audit, repaired rows) by trying all edits, on the roles' grammar
+    as a pattern; and the faults."""
+    seen, faults = set(), []
+    for _, role, text in turns:
+        words = BLANK_WORD.findall(text)
+        faults.append("blank" if not words else "duplicate" if (role, text) in seen else
+                      "truncated" if words[-1][-1] not in ".!?" else "")
+        seen.add((role, text))
+    whole = re.compile(r"(s?(ua)+)?")
+    begins = re.compile(r"(s?(ua)*u?)?")
+    best = {"": (0, "", [])}  # roles so far, shortened -> cheapest
+    short = lambda r: r if len(r) < 4 else r[:len(r) - 2]  # noqa: E731  the same may follow
+    inserts = [("I", 2, "user"), ("I", 2, "assistant")]
+
+    def inserted(states):
+        for _ in range(3):
+            for roles, (cost, audit, out) in list(states.items()):
+                for letter, price, role in inserts:
+                    put(states, roles + role[0], (cost + price, audit + letter, [*out, (role, "")]))
+        return states
+
+    def put(states, roles, new):
+        if begins.fullmatch(roles):
+            roles = short(roles)
+            if roles not in states or new[:2] < states[roles][:2]:
+                states[roles] = new
+
+    inserted(best)
+    for (_, role, text), fault in zip(turns, faults, strict=True):
+        after = {}
+        for roles, (cost, audit, out) in best.items():
+            put(after, roles, (cost + 3, audit + "D", out))
+            if fault not in ("blank", "duplicate"):
+                more = int(fault == "truncated")
+                if role:
+                    put(after, roles + role[0], (cost + more, audit + "K", [*out, (role, text)]))
+                for new in ("user", "assistant"):
+                    put(after, roles + new[0], (cost + more + 2, audit + "R", [*out, (new, text)]))
+        best = inserted(after)
+    return (*min((v for r, v in best.items() if whole.fullmatch(r)), key=lambda v: v[:2]), faults)
+
+
+def repairs(rows):
+    out = []
+    for c, turns in damaged(rows).items():
+        cost, audit, kept, faults = cheapest_repair(turns)
+        known = [t for t, _, _ in turns if t is not None]
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(turns, turns[1:], strict=False)]
+        out.append((c, max(known) - min(known) + 1 - len(set(known)) if known else 0,
+                    *[faults.count(f) for f in ("blank", "duplicate", "truncated")],
+                    sum(p not in ("su", "ua", "au") for p in pairs), cost, audit,
+                    sha("\n".join(f"{r}:{t}" for r, t in kept).encode())))
+    return out

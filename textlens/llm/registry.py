@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textlens.llm import byte_dedup, decontaminate, lines, mixing, prefix_trie, quality, sharding, simhash, substrings, tokens, toxicity
+from textlens.llm import byte_dedup, decontaminate, lines, mixing, prefix_trie, quality, repair, sharding, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_conversation_trie": prefix_trie.op11_conversation_trie,
+    "op12_structure_repair": repair.op12_structure_repair,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op8_suffix_array_dedup": byte_dedup.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
     "op11_conversation_trie": prefix_trie.OP11_SQL,
+    "op12_structure_repair": repair.OP12_SQL,
 }
