@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from textlens.llm import byte_dedup, decontaminate, lines, mixing, prefix_trie, quality, repair, sharding, simhash, substrings, tokens, toxicity
+from textlens.llm import (byte_dedup, decontaminate, lines, lm, mixing, prefix_trie, quality, repair, sharding, simhash,
+                          substrings, tokens, toxicity)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,6 +18,7 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_conversation_trie": prefix_trie.op11_conversation_trie,
     "op12_structure_repair": repair.op12_structure_repair,
+    "op13_lm_scores": lm.op13_lm_scores,
 }
 
 ORACLE_SQL = {
