@@ -282,7 +282,7 @@ class _Block:
             h[h == _END] = 1
             self.words.append(h)
             last, short = w.data[w.end - 1].astype(np.int64), w.end - w.start < 2
-            other = np.where(short, 0, w.data[w.end - 2 + short])
+            other = np.where(short, 0, w.data[w.end - 2 + short].astype(np.int64))
             self.cls.append(((last * 131 + other * 29) % CLASSES).astype(np.uint8))
         self.bytes += int(buffer_of(texts)[1][-1])
         self.rows.append(rows)
@@ -371,7 +371,7 @@ def count_words(found: DataFrame) -> tuple[DataFrame, Vocabulary]:
         np.add.at(n, at, facts["n"].astype(np.int64))
         cls = facts["cls"][first].astype(np.int64)
         back = np.split(n[at], np.cumsum([len(x) for x in each])[:-1])
-        best = np.lexsort((word, -n))[:TOP]
+        best = np.lexsort((word.view(np.int64), -n))[:TOP]
         best = best[n[best] > 0]
         blocks = table.column("block").to_pylist()
         bucket = table.column("bucket")[0].as_py()
