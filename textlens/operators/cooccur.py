@@ -1,15 +1,9 @@
 """Co-occurrence and shifted positive PMI.
 
 F4 ``C[i, j]`` = number of documents containing both buckets: the Gramian
-of the 0/1 presence matrix. Each task accumulates the partial Gramian of
-its own documents in numpy (dense ``X.T @ X`` over row blocks when the
-feature space is small, otherwise sparse pair codes counted with
-``np.unique`` and flushed whenever the accumulator reaches a fixed size),
-emits only the non-zero upper triangle (the sparse path generates each
-document's pairs in chunks of at most 4M codes, so memory stays bounded
-even for a document with tens of thousands of distinct buckets), and ONE ``groupBy(i, j).sum``
-merges the partials. No self-join, so a document with many features never
-multiplies into rows.
+of the 0/1 presence matrix (``gramian``): dense partial sums for a small
+feature space, tiles that documents are sent to for any other. No self-join,
+so a document with many features never multiplies into rows.
 
 F6 ``SPPMI[i, j] = max(0, log2(C[i, j] * N / (C[i, i] * C[j, j])) - log2(k))``.
 Only positive entries are kept (sparse); a pair of seen buckets that never
@@ -19,129 +13,34 @@ decided exactly, ``C[i, j] * N > k * C[i, i] * C[j, j]`` in 38-digit decimals
 (products of counts outgrow 64 bits from about 3e9 documents on); the value
 is a sum of logarithms.
 
-The partials that meet in the one shuffle are at most (tasks x V^2 / 2), so
-there are no more Gramian tasks than the cluster has cores.
+F8 is a sparse matrix product, documents x SPPMI rows, done inside the tasks
+(``csr``): one row per document comes out, none per (document, bucket, j).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import Decimal
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlens.operators.csr import row_sums
+from textlens.operators.gramian import PAIR_CHUNK, gramian
 from textlens.operators.util import bounded_join, broadcast_if_bounded, materialize
 
-GRAM_SCHEMA = "i bigint, j bigint, c bigint"
-DENSE_LIMIT = 2048          # V up to this: dense V x V accumulator per task
-BLOCK_ROWS = 2048           # documents per dense block
-SPARSE_FLUSH = 4_000_000    # distinct (i, j) codes held before a flush
-PAIR_CHUNK = 4_000_000      # pair codes generated before they are counted
-
 
 def presence_arrays(terms: DataFrame, ids: list[str] = ("doc_id",), terms_col: str = "terms") -> DataFrame:
     """``(ids..., b array<bigint>)``: the distinct buckets of each row, sorted."""
     return terms.select(*ids, F.transform(terms_col, lambda t: t["bucket"]).alias("b"))
 
 
-def _partial_gramian(num_features: int, strategy: str = "auto", pair_chunk: int = PAIR_CHUNK):
-    v = int(num_features)
-    chunk_size = int(pair_chunk)
-
-    def emit(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (i, j, c)], ["i", "j", "c"])
-
-    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Row and bucket of each entry of the batch's lists."""
-        col = batch.column(0)
-        size = np.nan_to_num(pc.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
-        return np.repeat(np.arange(len(col)), size), col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((v, v), dtype=np.int64)
-        for batch in batches:
-            row, bucket = rows_of(batch)
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                lo, hi = np.searchsorted(row, [start, start + BLOCK_ROWS])
-                x = np.zeros((min(BLOCK_ROWS, batch.num_rows - start), v), dtype=np.float32)
-                x[row[lo:hi] - start, bucket[lo:hi]] = 1.0
-                g += np.rint(x.T @ x).astype(np.int64)  # exact: counts < 2^24
-        i, j = np.nonzero(np.triu(g))
-        yield from emit(i, j, g[i, j])
-
-    def pair_chunks(a: np.ndarray) -> Iterator[np.ndarray]:
-        """Upper-triangle pair codes ``i * V + j`` (i <= j) of one document,
-        in chunks of at most ``chunk_size`` codes: a long document never
-        needs its whole nnz^2 / 2 pairs in memory at once."""
-        n = len(a)
-        rows = max(1, chunk_size // max(n, 1))
-        for start in range(0, n, rows):
-            head = a[start:start + rows]
-            # for each row i in the chunk, pair it with a[i:], as one array
-            lens = n - (start + np.arange(len(head)))
-            left = np.repeat(head, lens)
-            right = np.concatenate([a[start + r:] for r in range(len(head))])
-            yield left * v + right
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_acc = np.empty(0, dtype=np.int64)
-        counts_acc = np.empty(0, dtype=np.int64)
-        pending: list[np.ndarray] = []
-        pending_size = 0
-
-        def reduce_pending():
-            nonlocal codes_acc, counts_acc, pending, pending_size
-            if not pending:
-                return
-            codes, counts = np.unique(np.concatenate(pending), return_counts=True)
-            pending, pending_size = [], 0
-            merged = np.concatenate([codes_acc, codes])
-            weights = np.concatenate([counts_acc, counts])
-            codes_acc, inv = np.unique(merged, return_inverse=True)
-            counts_acc = np.bincount(inv, weights=weights).astype(np.int64)
-
-        def flush():
-            nonlocal codes_acc, counts_acc
-            yield from emit(codes_acc // v, codes_acc % v, counts_acc)
-            codes_acc = np.empty(0, dtype=np.int64)
-            counts_acc = np.empty(0, dtype=np.int64)
-
-        for batch in batches:
-            row, bucket = rows_of(batch)
-            for a in np.split(bucket, np.flatnonzero(np.diff(row)) + 1) if len(row) else []:
-                for chunk in pair_chunks(a):
-                    pending.append(chunk)
-                    pending_size += len(chunk)
-                    if pending_size >= chunk_size:
-                        reduce_pending()
-                        if len(codes_acc) >= SPARSE_FLUSH:
-                            yield from flush()
-        reduce_pending()
-        yield from flush()
-
-    if strategy == "auto":
-        strategy = "dense" if v <= DENSE_LIMIT else "sparse"
-    return dense if strategy == "dense" else sparse
-
-
 def cooccurrence(presence: DataFrame, num_features: int, strategy: str = "auto",
                  pair_chunk: int = PAIR_CHUNK) -> DataFrame:
     """``(i, j, c)`` with ``i <= j`` and ``c > 0`` from ``(…, b array)`` rows.
 
-    ``strategy``: ``dense`` (V x V accumulator, BLAS), ``sparse`` (pair codes,
-    memory bounded by the flush size) or ``auto`` (dense up to 2048 features)."""
-    rows = presence.select("b")
-    try:
-        rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # no driver-side context: as many partials as input splits
-        pass
-    partial = rows.mapInArrow(_partial_gramian(num_features, strategy, pair_chunk), GRAM_SCHEMA)
-    return partial.groupBy("i", "j").agg(F.sum("c").alias("c"))
+    ``strategy``: ``dense`` (V x V blocks), ``tiled`` (``sparse`` is the same) or
+    ``auto`` (dense up to 2048 features)."""
+    return gramian(presence, num_features, "tiled" if strategy == "sparse" else strategy, pair_chunk=pair_chunk)
 
 
 def fit_sppmi(presence: DataFrame, n_docs, num_features: int, k: float = 10.0,
@@ -178,14 +77,13 @@ def sppmi_rows(sp: DataFrame) -> DataFrame:
     return upper.unionByName(lower)
 
 
-def doc_sppmi_sum(presence_long: DataFrame, rows: DataFrame, num_features: int,
+def doc_sppmi_sum(presence: DataFrame, rows: DataFrame, num_features: int,
                   ids: list[str] = ("doc_id",), outer: bool = False) -> DataFrame:
-    """F8 (additive): ``(ids..., j, x)`` = sum of the SPPMI rows of the buckets
-    present in the document (``outer``: a null row keeps each document). The
-    row table has at most V^2 entries: it is broadcast only under that bound."""
-    joined = bounded_join(presence_long, rows.withColumnRenamed("i", "bucket"), ["bucket"], "left" if outer else "inner",
-                          num_features * num_features, 24, salt_col=list(ids)[0])
-    return joined.groupBy(*ids, "j").agg(F.sum("s").alias("x"))
+    """F8 (additive): ``(ids..., j, x)`` = sum of the SPPMI rows of the buckets in
+    the array ``b`` of each document (``outer``: a null row keeps each document)."""
+    sums = row_sums(presence, rows, num_features, ids)
+    out = sums.select(*ids, F.explode_outer(F.arrays_zip("j", "x")).alias("_e")).select(*ids, "_e.j", "_e.x")
+    return out if outer else out.where(F.col("j").isNotNull())
 
 
 def doc_sppmi_append(presence: DataFrame, rows: DataFrame, num_features: int,

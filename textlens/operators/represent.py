@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.operators.cooccur import doc_sppmi_sum, fit_sppmi, presence_arrays, sppmi_rows, text_vector_lookup
-from textlens.operators.features import explode_terms, with_terms
+from textlens.operators.features import with_terms
 from textlens.operators.linear import LinearModel
 from textlens.operators.mlfit import fit_labels, fit_ovr_logistic
 from textlens.operators.naive_bayes import fit_naive_bayes, known_labels, label_counts, nb_from_stats
@@ -45,8 +45,7 @@ class SppmiFeatures:
         ids = list(ids)
         if self.unseen == "sum":
             terms = with_terms(docs.select(*ids, text_col), self.n_gram, self.num_features, text_col)
-            present = explode_terms(terms, ids, outer=True).select(*ids, "bucket")
-            out = doc_sppmi_sum(present, self.rows, self.num_features, ids, outer=True)
+            out = doc_sppmi_sum(presence_arrays(terms, ids), self.rows, self.num_features, ids, outer=True)
         else:
             out = text_vector_lookup(docs, self.texts, self.vectors, ids=ids, text_col=text_col, outer=True)
         return out.withColumnRenamed("j", "bucket")
@@ -56,11 +55,11 @@ def fit_sppmi_features(observations: DataFrame, n_gram: int, num_features: int,
                        unseen: str = "lookup") -> SppmiFeatures:
     terms = with_terms(observations.select("doc_id", "text"), n_gram, num_features)
     n = observations.select(F.count(F.lit(1))).scalar()
-    _, sp = fit_sppmi(presence_arrays(terms), n, num_features, k)
+    present = presence_arrays(terms)
+    _, sp = fit_sppmi(present, n, num_features, k)
     rows = sppmi_rows(sp)
-    pres_long = explode_terms(terms, ["doc_id"]).select("doc_id", "bucket")
     return SppmiFeatures(n_gram, num_features, observations.select("doc_id", "text"),
-                         doc_sppmi_sum(pres_long, rows, num_features), rows, unseen)
+                         doc_sppmi_sum(present, rows, num_features), rows, unseen)
 
 
 @dataclass

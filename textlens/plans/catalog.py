@@ -22,6 +22,7 @@ from textlens.operators.cooccur import (
 from textlens.operators.evaluate import (
     accuracy, assign_folds, kfold_naive_bayes, kfold_roles, soft_accuracy,
 )
+from textlens.operators.fold_sppmi import fit_fold_sppmi, kfold_sppmi_logistic, kfold_sppmi_naive_bayes
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
@@ -272,10 +273,6 @@ def _sppmi(spark, base, k):
     return obs, pres, cooc, sp
 
 
-def _pres_long(pres):
-    return pres.select("doc_id", F.explode_outer("b").alias("bucket")).where(F.col("bucket").isNotNull())
-
-
 _SP1 = f"WITH {O.sppmi_ctes(P.SPPMI_K_DENSE)}"
 _SP2 = f"WITH {O.sppmi_ctes(P.SPPMI_K_SPARSE)}"
 
@@ -300,7 +297,7 @@ def q_sppmi_rows(spark, base):
 @register("doc_sppmi_sum", f"{_SP2}\nSELECT doc_id, j, round(x, {O.D}) AS x FROM dsum")
 def q_doc_sppmi_sum(spark, base):
     _, pres, _, sp = _sppmi(spark, base, P.SPPMI_K_SPARSE)
-    x = doc_sppmi_sum(_pres_long(pres), sppmi_rows(sp), P.SPPMI_FEATURES)
+    x = doc_sppmi_sum(pres, sppmi_rows(sp), P.SPPMI_FEATURES)
     return x.select("doc_id", "j", rounded(F.col("x")).alias("x"))
 
 
@@ -318,7 +315,7 @@ def q_doc_sppmi_append(spark, base):
                                 f"JOIN reps ON reps.h = md5(q.text) AND reps.text = q.text JOIN dsum d ON d.doc_id = reps.rep")
 def q_text_vector_lookup(spark, base):
     obs, pres, _, sp = _sppmi(spark, base, P.SPPMI_K_SPARSE)
-    vec = doc_sppmi_sum(_pres_long(pres), sppmi_rows(sp), P.SPPMI_FEATURES)
+    vec = doc_sppmi_sum(pres, sppmi_rows(sp), P.SPPMI_FEATURES)
     x = text_vector_lookup(_docs(spark, base), obs.select("doc_id", "text"), vec)
     return x.select("doc_id", "j", rounded(F.col("x")).alias("x"))
 
@@ -617,6 +614,40 @@ def q_nb_grid(spark, base):
     return accuracy(pred, ["lam", "fold"]).select("lam", "fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
 
 
+_SPPMI_KF = O.sppmi_kfold_ctes(P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, P.SPPMI_K_EVAL, list(P.NB_GRID))
+
+
+def _fold_sppmi(spark, base):
+    return fit_fold_sppmi(_obs(spark, base), P.EVAL_K, P.EVAL_NGRAM, P.EVAL_FEATURES, P.SPPMI_K_EVAL)
+
+
+@register("sppmi_kfold_accuracy", f"WITH {_SPPMI_KF}\n" + _ACC_SQL.format(cols="lam, fold"))
+def q_sppmi_kfold_accuracy(spark, base):
+    """E5 at the evaluation setting itself (bigrams, 5,000 buckets, SPPMI on):
+    accuracy of both smoothing values in every fold."""
+    pred = kfold_sppmi_naive_bayes(_fold_sppmi(spark, base), list(P.NB_GRID))
+    return accuracy(pred, ["lam", "fold"]).select("lam", "fold", "n_test", rounded(F.col("accuracy")).alias("accuracy"))
+
+
+@register("sppmi_kfold_predictions", f"WITH {_SPPMI_KF}\nSELECT lam, fold, doc_id, category, round(confidence, {O.D}) AS confidence, actual FROM pred")
+def q_sppmi_kfold_predictions(spark, base):
+    """E3 on SPPMI vectors: the predictions behind ``sppmi_kfold_accuracy``."""
+    pred = kfold_sppmi_naive_bayes(_fold_sppmi(spark, base), list(P.NB_GRID))
+    return pred.select("lam", "fold", "doc_id", "category", rounded(F.col("confidence")).alias("confidence"), "actual")
+
+
+@register("sppmi_eval_grid", None)
+def q_sppmi_eval_grid(spark, base):
+    """The whole evaluation of the reference: two smoothing values and two
+    penalties on SPPMI vectors, accuracy in every fold, one Gramian pass."""
+    m = _fold_sppmi(spark, base)
+    nb = accuracy(kfold_sppmi_naive_bayes(m, list(P.NB_GRID)), ["lam", "fold"])
+    lr = accuracy(kfold_sppmi_logistic(m, list(P.LR_GRID), P.LR_MAX_ITER), ["reg", "fold"])
+    cols = lambda learner, value: [F.lit(learner).alias("learner"), F.col(value).alias("value"), "fold", "n_test",
+                                   rounded(F.col("accuracy")).alias("accuracy")]
+    return nb.select(*cols("nb", "lam")).unionByName(lr.select(*cols("lr", "reg")))
+
+
 @register("train_accuracy", f"{_NB_HEAD},\n{O.nb_predict_ctes('obs', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES)}\n"
                             f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN p.category = o.category "
                             f"THEN {O.dbl(1)} ELSE {O.dbl(0)} END), {O.D}) AS accuracy FROM pred p JOIN obs o ON o.doc_id = p.doc_id")

@@ -229,3 +229,45 @@ sp AS (SELECT co.i, co.j, log2({dbl('co.c * nn.n')} / {dbl('di.c * dj.c')}) - lo
        WHERE {dbl('co.c * nn.n')} > {dbl(k)} * di.c * dj.c),
 srows AS (SELECT i, j, s FROM sp UNION ALL SELECT j AS i, i AS j, s FROM sp WHERE i <> j),
 dsum AS (SELECT p.doc_id, r.j, sum(r.s) AS x FROM pres p JOIN srows r ON r.i = p.bucket GROUP BY p.doc_id, r.j)"""
+
+
+def sppmi_kfold_ctes(k: int, n: int, v: int, shift: float, lams: list[float], label_col: str = P.LABEL_COL) -> str:
+    """Brute-force k-fold Naive Bayes on SPPMI vectors: each training fold counts
+    its own pairs and builds its own table; test texts are summed from their
+    own buckets. Ends in ``pred`` like ``kfold_ctes``."""
+    lam_rows = ", ".join(f"({dbl(l)})" for l in lams)
+    return f"""obs AS ({obs_sql(label_col)}),
+ix AS (SELECT doc_id, label, category, CAST((row_number() OVER (ORDER BY doc_id) - 1) % {k} AS INTEGER) AS g FROM obs),
+folds AS (SELECT CAST(range AS INTEGER) AS fold FROM range({k})),
+tf AS ({tf_sql('obs', ['doc_id'], n, v)}),
+pres AS MATERIALIZED (SELECT doc_id, bucket FROM tf),
+tr AS (SELECT f.fold, ix.doc_id, ix.label, ix.category FROM folds f JOIN ix ON ix.g <> f.fold),
+te AS (SELECT g AS fold, doc_id, category AS actual FROM ix),
+nn AS (SELECT fold, CAST(count(*) AS BIGINT) AS n FROM tr GROUP BY fold),
+co AS MATERIALIZED (SELECT tr.fold, a.bucket AS i, b.bucket AS j, CAST(count(*) AS BIGINT) AS c FROM tr JOIN pres a ON a.doc_id = tr.doc_id
+       JOIN pres b ON b.doc_id = a.doc_id AND a.bucket <= b.bucket GROUP BY tr.fold, a.bucket, b.bucket),
+dg AS MATERIALIZED (SELECT fold, i, c FROM co WHERE i = j),
+sp AS MATERIALIZED (SELECT co.fold, co.i, co.j, log2({dbl('co.c * nn.n')} / {dbl('di.c * dj.c')}) - log2({dbl(shift)}) AS s
+       FROM co JOIN dg di ON di.fold = co.fold AND di.i = co.i JOIN dg dj ON dj.fold = co.fold AND dj.i = co.j
+       JOIN nn ON nn.fold = co.fold WHERE {dbl('co.c * nn.n')} > {dbl(shift)} * di.c * dj.c),
+srows AS (SELECT fold, i, j, s FROM sp UNION ALL SELECT fold, j AS i, i AS j, s FROM sp WHERE i <> j),
+vec AS MATERIALIZED (SELECT r.fold, p.doc_id, r.j AS bucket, sum(r.s) AS x FROM pres p JOIN srows r ON r.i = p.bucket GROUP BY r.fold, p.doc_id, r.j),
+lams AS (SELECT lam FROM (VALUES {lam_rows}) l(lam)),
+counts AS (SELECT fold, label, count(*) AS n, arg_max(category, doc_id) AS category FROM tr GROUP BY fold, label),
+sums AS MATERIALIZED (SELECT tr.fold, tr.label, vec.bucket, sum(vec.x) AS s FROM tr JOIN vec ON vec.fold = tr.fold AND vec.doc_id = tr.doc_id
+         GROUP BY tr.fold, tr.label, vec.bucket),
+mass AS (SELECT fold, label, sum(s) AS s_c FROM sums GROUP BY fold, label),
+classes AS MATERIALIZED (SELECT lam, c.fold, c.label, c.category,
+            ln(c.n + lam) - ln(sum(c.n) OVER (PARTITION BY lam, c.fold) + count(*) OVER (PARTITION BY lam, c.fold) * lam) AS pi,
+            ln(coalesce(ms.s_c, {dbl(0)}) + {dbl(v)} * lam) AS norm
+            FROM counts c CROSS JOIN lams LEFT JOIN mass ms ON ms.fold = c.fold AND ms.label = c.label),
+z AS (SELECT cl.lam, te.fold, te.doc_id, cl.label, cl.category, te.actual,
+             cl.pi + coalesce(sum(vec.x * (ln(coalesce(s.s, {dbl(0)}) + cl.lam) - cl.norm)), {dbl(0)}) AS z
+      FROM te JOIN classes cl ON cl.fold = te.fold
+      LEFT JOIN vec ON vec.fold = te.fold AND vec.doc_id = te.doc_id
+      LEFT JOIN sums s ON s.fold = te.fold AND s.label = cl.label AND s.bucket = vec.bucket
+      GROUP BY cl.lam, te.fold, te.doc_id, cl.label, cl.category, te.actual, cl.pi),
+zr AS (SELECT *, max(z) OVER (PARTITION BY lam, fold, doc_id) AS zmax,
+       row_number() OVER (PARTITION BY lam, fold, doc_id ORDER BY z DESC, label) AS rn FROM z),
+pred AS (SELECT lam, fold, doc_id, actual, max(CASE WHEN rn = 1 THEN category END) AS category, 1 / sum(exp(z - zmax)) AS confidence
+         FROM zr GROUP BY lam, fold, doc_id, actual)"""
