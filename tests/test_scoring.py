@@ -11,7 +11,7 @@ from textlens.operators.naive_bayes import fit_naive_bayes
 from textlens.operators.persist import load_model, save_model
 from textlens.operators.represent import fit_classifier
 from textlens.operators.scoring import sigmoid_best, softmax_best
-from textlens.operators.serve import serve_best, serve_best_shared
+from textlens.operators.serve import serve_best, serve_best_shared, serve_models
 from textlens.session import scratch_path
 from textlens.sources.tables import load_observations, read_table
 
@@ -74,6 +74,25 @@ def test_serving_any_models(models, docs):
     assert len({r["algo"] for r in got.values()}) > 1
 
 
+def test_serving_keeps_every_row(spark, models):
+    """Null and repeated ids, null texts: one answer for each row, whatever the
+    models; equal texts have equal answers."""
+    asked = [(1, "a b c"), (1, "a b c"), (1, "d e"), (None, "a b c"), (2, None), (None, None), (3, "")]
+    docs = spark.createDataFrame(asked, "doc_id bigint, text string")
+    for names in (("nb", "linear"), ("nb", "logistic"), ("sppmi", "linear", "logistic"), ("sppmi_sum",)):
+        some = [models[n] for n in names if n in models]
+        got = serve_models(some, docs).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in asked), names
+        assert all(r["category"] is not None and r["confidence"] is not None for r in got)
+        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+        alone = {r["doc_id"]: (r["category"], round(r["confidence"], 9), r["algo"]) for r in serve_models(some, texts).collect()}
+        assert {(r["category"], round(r["confidence"], 9), r["algo"]) for r in got} == set(alone.values())
+
+
+def test_serving_of_several_featurizers_has_one_scan(models, docs):
+    _map_only(serve_models([models["nb"], models["linear"]], docs))
+
+
 def test_one_pass_serving_of_wide_models_falls_back(spark, models, obs, docs):
     a, b = models["nb"], fit_naive_bayes(obs, 2, 300, 1.0)
     want = sorted((r["doc_id"], r["category"], r["algo"]) for r in serve_best_shared([a, b], docs).collect())
@@ -88,7 +107,10 @@ def test_one_pass_serving_of_wide_models_falls_back(spark, models, obs, docs):
 
 
 def test_scoring_in_the_row_has_no_shuffle_and_one_scan(models, docs):
-    pred = models["nb"].predict(docs)
+    _map_only(models["nb"].predict(docs))
+
+
+def _map_only(pred):
     plan = pred._jdf.queryExecution().executedPlan()
     assert plan.toString().count("documents.parquet") == 1
     main = [plan]  # without the subqueries, which make the model's one row

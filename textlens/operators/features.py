@@ -28,6 +28,17 @@ def with_terms(docs: DataFrame, n_gram: int, num_features: int, text_col: str =
             .drop("_grams", "_buckets"))
 
 
+def with_term_spaces(docs: DataFrame, spaces: list[tuple[int, int]], text_col: str = "text") -> DataFrame:
+    """Add ``_t0``, ``_t1``...: the term array of each (n_gram, num_features) of
+    ``spaces``. A text is tokenised once, each n-gram order joined once."""
+    d = docs.withColumn("_tokens", tokens(F.col(text_col)))
+    orders = sorted({n for n, _ in spaces})
+    d = d.withColumns({f"_grams{n}": ngrams(F.col("_tokens"), n) for n in orders})
+    d = d.withColumns({f"_b{i}": sorted_buckets(F.col(f"_grams{n}"), v) for i, (n, v) in enumerate(spaces)})
+    d = d.withColumns({f"_t{i}": run_lengths(F.col(f"_b{i}")) for i in range(len(spaces))})
+    return d.drop("_tokens", *[f"_grams{n}" for n in orders], *[f"_b{i}" for i in range(len(spaces))])
+
+
 def with_grams(docs: DataFrame, n_gram: int, text_col: str = "text", out_col: str = "grams",
                stop_words: DataFrame | None = None) -> DataFrame:
     """Add the n-gram array; ``stop_words (word)``, a small set (S5), are taken

@@ -101,7 +101,8 @@ def binary_confidence(prob: DataFrame, ids: list[str] = ("doc_id",), p_col: str
 def nb_log_odds(nb: NBModel, positive: float = 1.0, negative: float = 0.0) -> LinearModel:
     """Deterministic binary weights from a Naive Bayes model: for the positive
     class ``w_j = theta_1j - theta_0j`` and ``b = pi_1 - pi_0`` (the negative
-    class gets the opposite), over all ``num_features`` buckets."""
+    class gets the opposite), over all ``num_features`` buckets. Within the
+    broadcast limit its tables are projections of those of ``nb``."""
     spark = nb.theta.sparkSession
     th = nb.theta
     cls = nb.classes
@@ -121,6 +122,11 @@ def nb_log_odds(nb: NBModel, positive: float = 1.0, negative: float = 0.0) -> Li
     classes = b.select("label", "category",
                        F.when(F.col("label") == positive, F.col("p1") - F.col("p0"))
                        .otherwise(F.col("p0") - F.col("p1")).alias("intercept"))
+    if nb.in_rows():  # the difference of two classes' gains, bucket by bucket
+        less = lambda a, b: F.zip_with(f"_g{nb.labels.index(a)}", f"_g{nb.labels.index(b)}", lambda x, y: x - y)
+        gains = nb.gains.select(less(negative, positive).alias("_g0"), less(positive, negative).alias("_g1"))
+        return LinearModel(nb.n_gram, nb.num_features, [negative, positive], weights, classes, nb.idf_table,
+                           nb.idf_counts, gains)
     made: list[str] = []
     return LinearModel(nb.n_gram, nb.num_features, [negative, positive], materialize(weights, made),
                        materialize(classes, made), nb.idf_table, nb.idf_counts, made=made).with_gains()

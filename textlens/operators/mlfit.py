@@ -33,14 +33,16 @@ from textlens.operators.util import attach, materialize
 
 def gram_column(docs: DataFrame, n_gram: int, text_col: str = "text", upto: bool = False,
                 clean: bool = False) -> DataFrame:
-    """Add ``grams``: exactly-n grams, or every order 1..n when ``upto``."""
+    """Add ``grams``: exactly-n grams, or every order 1..n when ``upto``; a null
+    text has none."""
+    none = F.array().cast("array<string>")
     src = docs.withColumn("_text", clean_text(F.col(text_col)) if clean else F.col(text_col))
     if not upto:
-        return with_grams(src, n_gram, "_text", "grams").drop("_text")
+        return with_grams(src, n_gram, "_text", "grams").withColumn("grams", F.coalesce("grams", none)).drop("_text")
     out = src
     for n in range(1, n_gram + 1):
         out = with_grams(out, n, "_text", f"_g{n}")
-    return (out.withColumn("grams", F.concat(*[F.col(f"_g{n}") for n in range(1, n_gram + 1)]))
+    return (out.withColumn("grams", F.coalesce(F.concat(*[F.col(f"_g{n}") for n in range(1, n_gram + 1)]), none))
             .drop("_text", *[f"_g{n}" for n in range(1, n_gram + 1)]))
 
 

@@ -23,6 +23,7 @@ sufficient statistics.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from textlens.operators.features import hashed_tf, tfidf, with_terms
 from textlens.operators.scoring import (class_params, class_scores, dense_gains, fits_a_row, pivot_coef, row_scores,
                                         softmax_best, softmax_probs)
-from textlens.operators.util import attach, materialize
+from textlens.operators.util import attach, label_array, materialize
 from textlens.session import drop_paths
 
 
@@ -170,27 +171,56 @@ def fit_naive_bayes_many(observations: DataFrame, n_gram: int, num_features: int
                          labels: list[float] | None = None, materialized: bool = True) -> list[NBModel]:
     """One model per smoothing value from ONE pass over the text: hashing,
     IDF and the sufficient statistics are shared; only the closed forms
-    differ per ``lambda``. The models share scratch tables."""
+    differ per ``lambda``. The models share scratch tables.
+
+    The statistics are one row per bucket, document frequency and each class's
+    term sum; per class there are a few numbers (documents, mass), which the
+    plans below hold as literals, so every table of a model is a projection
+    of the statistics, without a join."""
     made: list[str] = []
     keep = (lambda d: materialize(d, made)) if materialized else (lambda d: d)
-    counts = keep(label_counts(observations))
-    found = known_labels(counts)
+    spark = observations.sparkSession
+    per = {r["label"]: r for r in label_counts(observations).collect()}  # a handful of classes
+    found = sorted(per)
+    if not found:
+        raise ValueError("training observations are empty: check the source filters and label mapping")
     labels = labels if labels is not None else found
     tf = hashed_tf(observations, n_gram, num_features, ids=["doc_id"], carry=["label"])
-    stats = keep(tf.groupBy("label", "bucket").agg(F.sum("tf").alias("t"), F.count(F.lit(1)).alias("dfc")))
-    idf_counts = counts.agg(F.sum("n").alias("m")).withColumn("idf_default", F.log(F.col("m") + 1.0))
-    df = stats.groupBy("bucket").agg(F.sum("dfc").alias("df"))
-    idf_table = attach(df, idf_counts, [], ["m"]).select(
-        "bucket", "df", F.log((F.col("m") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
-    sums = stats.join(idf_table, "bucket").select("label", "bucket", (F.col("t") * F.col("idf")).alias("s"))
-    categories = counts.select("label", "category")
+    stats = keep(tf.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("df"), F.array(*[F.sum(F.when(F.col("label") == F.lit(l), F.col("tf"))) for l in found]).alias("t")))
+    m = sum(r["n"] for r in per.values())
+    idf = F.log(F.lit(m + 1.0) / (F.col("df") + 1.0))
+    idf_table = stats.select("bucket", "df", idf.alias("idf"))
+    idf_counts = spark.createDataFrame([(m, math.log(m + 1.0))], "m bigint, idf_default double")
+    mass = stats.agg(*[F.coalesce(F.sum(F.col("t")[i] * idf), F.lit(0.0)).alias(f"s{i}") for i in range(len(found))]).first()
+    sums = stats.select("bucket", idf.alias("idf"), F.explode(F.array(*[
+        F.struct(F.lit(l).alias("label"), (F.col("t")[i] * idf).alias("s")) for i, l in enumerate(found)])).alias("e"))
+    sums = sums.select("e.label", "bucket", "e.s").where(F.col("s").isNotNull())
     models = []
     for lam in lams:
-        classes, theta = nb_from_stats(counts.select("label", "n"), sums, lam, num_features, categories=categories)
-        m = NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts, made=made)
+        norm = [math.log(x + num_features * lam) for x in mass]
+        default = [math.log(lam) - x for x in norm]
+        prior = [math.log(per[l]["n"] + lam) - math.log(m + len(found) * lam) for l in found]
+        classes = spark.createDataFrame(
+            [(l, per[l]["n"], float(mass[i]), prior[i], default[i], per[l]["category"]) for i, l in enumerate(found)],
+            "label double, n bigint, s_c double, pi double, default double, category string")
+        at = F.array_position(label_array(found), F.col("label")).cast("int")
+        theta = sums.withColumn("theta", F.log(F.col("s") + F.lit(float(lam))) - F.element_at(label_array(norm), at))
+        theta = theta.withColumn("coef", F.col("theta") - F.element_at(label_array(default), at))
+        model = NBModel(n_gram, num_features, labels, classes, theta, idf_table, idf_counts, made=made)
         if not fits_a_row(theta, len(labels), num_features):
-            m.wide = keep(pivot_coef(theta, labels))
+            model.wide = keep(pivot_coef(theta, labels))
         else:
-            m.gains = keep(nb_gains(classes, theta, idf_table, idf_counts, labels, num_features))
-        models.append(m)
+            def gain(l, unseen, lam=lam, norm=norm, default=default):
+                if l not in per:
+                    return F.lit(None).cast("double")
+                i = found.index(l)
+                if unseen:
+                    return F.lit(math.log(m + 1.0) * default[i])
+                s = F.coalesce(F.col("t")[i] * idf, F.lit(0.0))
+                return idf * (F.log(s + F.lit(float(lam))) - F.lit(norm[i]))
+            rows = stats.select("bucket", F.array(*[gain(l, False) for l in labels]).alias("_g"),
+                                F.array(*[gain(l, True) for l in labels]).alias("_d"))
+            model.gains = keep(dense_gains(rows, len(labels), num_features))
+        models.append(model)
     return models

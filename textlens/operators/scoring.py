@@ -67,16 +67,28 @@ def row_scores(terms: DataFrame, gains: DataFrame, bases: DataFrame, n_classes:
     ids, keys, extra = list(ids), list(keys), list(extra)
     ids_only = [c for c in ids if c not in keys]
     both = attach(attach(terms, gains, keys, [f"_g{i}" for i in range(n_classes)]), bases, keys, ["_base", *extra])
+    return both.select(*keys, *ids_only, _sums("terms", n_classes).alias("z"), *extra)
 
+
+def add_scores(rows: DataFrame, terms_col: str, gains: DataFrame, bases: DataFrame, n_classes: int, out: str,
+               extra: list[str] = ()) -> DataFrame:
+    """``rows``, every one of them and with all its columns, plus ``out`` (the array
+    z of one model) and the columns ``extra`` of ``bases``."""
+    kept = rows.columns
+    both = attach(attach(rows, gains, [], [f"_g{i}" for i in range(n_classes)]), bases, [], ["_base", *extra])
+    return both.select(*kept, _sums(terms_col, n_classes).alias(out), *extra)
+
+
+def _sums(terms_col: str, n_classes: int) -> Column:
+    """Base plus tf times gain over the term array, for each class."""
     def add(acc, t):
         at = t["bucket"].cast("int")
         return F.struct(*[(acc[f"z{i}"] + t["tf"] * F.get(F.col(f"_g{i}"), at)).alias(f"z{i}") for i in range(n_classes)])
 
     zero = F.struct(*[F.lit(0.0).alias(f"z{i}") for i in range(n_classes)])
     none = F.array().cast("array<struct<bucket:bigint,tf:bigint>>")
-    z = F.aggregate(F.coalesce("terms", none), zero, add,
-                    lambda acc: F.array(*[acc[f"z{i}"] + F.col("_base")[i] for i in range(n_classes)]))
-    return both.select(*keys, *ids_only, z.alias("z"), *extra)
+    return F.aggregate(F.coalesce(F.col(terms_col), none), zero, add,
+                       lambda acc: F.array(*[acc[f"z{i}"] + F.col("_base")[i] for i in range(n_classes)]))
 
 
 def class_scores(features: DataFrame, coef: DataFrame, classes: DataFrame, labels: list[float], num_features: int,

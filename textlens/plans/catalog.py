@@ -26,7 +26,7 @@ from textlens.operators.fold_sppmi import fit_fold_sppmi, kfold_sppmi_logistic,
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
-from textlens.operators.serve import score_queries, serve_best, serve_best_shared
+from textlens.operators.serve import score_queries, serve_best_shared, serve_models
 from textlens.operators.persist import load_model, save_model
 from textlens.operators.represent import fit_classifier
 from textlens.operators.rowindex import row_index
@@ -422,12 +422,12 @@ def _served(best):
                         f"{O.nb_predict_ctes('q', ['doc_id'], P.EVAL_NGRAM, P.EVAL_FEATURES, 'b_', 'pb')},\n"
                         f"{_UNI},\n{O.sigmoid_best_ctes('lin_z', 'pc', 'u_catmap')},\n{_BEST_OF_3}")
 def q_serve_best(spark, base):
-    """V1 over any models: two Naive Bayes models on bigrams and a linear one
-    on unigrams, each predicting on its own."""
+    """V1 over any models in one scan: two Naive Bayes models on bigrams and a
+    linear one on unigrams, in another hash space."""
     obs, docs = _obs(spark, base), _docs(spark, base)
     nb_a, nb_b = fit_naive_bayes_many(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, [P.NB_LAMBDA, P.NB_GRID[1]])
     lin = nb_log_odds(fit_naive_bayes(obs, P.TF_NGRAM, P.TF_FEATURES, P.NB_LAMBDA))
-    return _served(serve_best([m.predict(docs) for m in (nb_a, nb_b, lin)]))
+    return _served(serve_models([nb_a, nb_b, lin], docs))
 
 
 @register("serve_best_shared", f"{_NB_HEAD},\n{_NB_B},\n{_Q},\n"
@@ -449,7 +449,7 @@ def q_serve_best_fitted(spark, base):
     nb = fit_naive_bayes(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, P.NB_LAMBDA)
     lin = nb_log_odds(fit_naive_bayes(obs, P.TF_NGRAM, P.TF_FEATURES, P.NB_LAMBDA))
     lr = fit_ovr_logistic(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, P.LR_GRID[0], P.LR_MAX_ITER)
-    return _served(serve_best([m.predict(docs) for m in (nb, lin, lr)]))
+    return _served(serve_models([nb, lin, lr], docs))
 
 
 @register("score_queries", f"{_NB_HEAD},\nq AS (SELECT conv_id, turn, text FROM conversations),\n"
