@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from textlens.operators.features import explode_terms, with_terms
 from textlens.operators.naive_bayes import known_labels, label_counts, nb_from_stats, nb_gains
 from textlens.operators.rowindex import row_index
-from textlens.operators.scoring import class_params, class_scores, fits_a_row, row_scores, softmax_best
+from textlens.operators.scoring import class_params, class_scores, fits_a_row, fold_scores, softmax_best
 from textlens.operators.util import bounded_join, label_array, materialize
 
 
@@ -96,7 +96,7 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
         gains = materialize(nb_gains(classes, theta, idf, m, axis, num_features, ["fold"]))
         bases = class_params(classes, axis, ["fold"], ["pi", "category"]).select(
             "fold", F.col("_pi").alias("_base"), F.col("_category").alias("category"))
-        z = row_scores(placed.select("fold", key, "terms"), gains, bases, n_axis, [key], ["fold"], ["category"])
+        z = fold_scores(placed.select("fold", key, "terms"), gains, bases, n_axis, num_features, k, [key], ["category"])
     else:  # test documents with their own fold's IDF (unseen bucket: ln(m + 1))
         long = explode_terms(placed, ["fold", key], outer=True)
         test_x = (bounded_join(long, idf, ["fold", "bucket"], "left", k * num_features, 32, salt_col=key)

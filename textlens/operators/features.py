@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from textlens.functions.text import ngrams, run_lengths, sorted_buckets, tokens
 from textlens.operators.util import attach, bounded_join
 
+MOST_LITERAL_WORDS = 10_000  # stop words that travel inside the plan
+
 
 def with_terms(docs: DataFrame, n_gram: int, num_features: int, text_col: str = "text",
                out_col: str = "terms", stop_words: DataFrame | None = None) -> DataFrame:
@@ -41,18 +43,41 @@ def with_term_spaces(docs: DataFrame, spaces: list[tuple[int, int]], text_col: s
 
 def with_grams(docs: DataFrame, n_gram: int, text_col: str = "text", out_col: str = "grams",
                stop_words: DataFrame | None = None) -> DataFrame:
-    """Add the n-gram array; ``stop_words (word)``, a small set (S5), are taken
-    out of the tokens first (each occurrence, other repeats stay). The token
-    array is its own column first: the window lambda reads it once per gram,
-    so it must not be recomputed."""
+    """Add the n-gram array; ``stop_words (word)`` (S5) are taken out of the tokens
+    first (each occurrence, other repeats stay). The token array is its own
+    column first: the window lambda reads it once per gram, so it must not be
+    recomputed."""
     d = docs.withColumn("_tokens", tokens(F.col(text_col)))
     if stop_words is not None:
-        words = stop_words.agg(F.collect_set("word").alias("_stop"))
-        d = attach(d, words, [], ["_stop"])
-        d = d.withColumn("_tokens", F.filter("_tokens", lambda t: ~F.array_contains("_stop", t))).drop("_stop")
+        d = without_words(d, stop_words, text_col)
     return d.withColumn(out_col, ngrams(F.col("_tokens"), n_gram)).drop("_tokens")
 
 
+def without_words(rows: DataFrame, words: DataFrame, text_col: str, most: int = MOST_LITERAL_WORDS, salts: int = 32) -> DataFrame:
+    """``rows`` with the tokens of ``words (word)`` taken out of ``_tokens``, the
+    others in their order.
+
+    Up to ``most`` words are a hashed set inside the plan. More stay
+    distributed: every distinct text sends its tokens with their places to
+    the words (an anti-join, salted, so a word that every text has is spread),
+    and what is left comes together again by text and place."""
+    words = words.select("word").where(F.col("word").isNotNull()).distinct()
+    some = [r[0] for r in words.limit(most + 1).collect()]  # bounded
+    if len(some) <= most:
+        return rows.withColumn("_tokens", F.filter("_tokens", lambda t: ~t.isin(some))) if some else rows
+    kept = rows.columns
+    h = F.coalesce(F.sha2(F.col(text_col), 256), F.lit("null"))
+    rows = rows.withColumn("_sha", h)
+    each = rows.groupBy("_sha").agg(F.any_value("_tokens").alias("_tokens")).select("_sha", F.posexplode_outer("_tokens").alias("_at", "word"))
+    each = each.where(F.col("word").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("_sha", "_at"), F.lit(salts)).cast("int"))
+    stop = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = each.join(stop, ["word", "_salt"], "left_anti").groupBy("_sha").agg(
+        F.sort_array(F.collect_list(F.struct("_at", "word"))).alias("_left"))  # at most the text's tokens
+    out = rows.drop("_tokens").join(left, "_sha", "left").withColumn(
+        "_tokens", F.coalesce(F.transform("_left", lambda e: e["word"]), F.array().cast("array<string>")))
+    return out.select(*kept)
+
+
 def hashed_tf(docs: DataFrame, n_gram: int, num_features: int, ids: list[str] = ("doc_id",),
               text_col: str = "text", carry: list[str] = (), outer: bool = False) -> DataFrame:
     """``(ids..., carry..., bucket, tf)`` for every (document, bucket) with

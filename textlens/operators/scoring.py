@@ -79,6 +79,27 @@ def add_scores(rows: DataFrame, terms_col: str, gains: DataFrame, bases: DataFra
     return both.select(*kept, _sums(terms_col, n_classes).alias(out), *extra)
 
 
+def fold_scores(terms: DataFrame, gains: DataFrame, bases: DataFrame, n_classes: int, num_features: int, k: int,
+                ids: list[str], extra: list[str] = ()) -> DataFrame:
+    """``row_scores`` of rows that each have the model of their ``fold``: the gains
+    of all folds are one literal array per class, fold f's bucket j at place
+    f V + j, so no model goes through a join; ``bases``, a few numbers per
+    fold, are attached."""
+    spark, cols = gains.sparkSession, [f"_g{i}" for i in range(n_classes)]
+    none = F.array_repeat(F.lit(0.0), num_features)
+    every = spark.range(k).select(F.col("id").cast("int").alias("fold")).join(gains, "fold", "left")
+    one = every.agg(F.sort_array(F.collect_list(F.struct("fold", *[F.coalesce(c, none).alias(c) for c in cols]))).alias("_all"))
+
+    def of_class(c: str) -> Column:
+        return F.flatten(F.transform("_all", lambda e: e[c])).alias(c)
+
+    one = one.select(*[of_class(c) for c in cols])  # within the limit
+    rows = attach(terms, bases, ["fold"], ["_base", *extra])
+    shifted = F.transform("terms", lambda t: F.struct((F.col("fold") * num_features + t["bucket"]).alias("bucket"), t["tf"].alias("tf")))
+    rows = attach(rows.withColumn("terms", shifted), one, [], cols)
+    return rows.select("fold", *ids, _sums("terms", n_classes).alias("z"), *extra)
+
+
 def _sums(terms_col: str, n_classes: int) -> Column:
     """Base plus tf times gain over the term array, for each class."""
     def add(acc, t):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textlens.functions.mathfn import rounded
 from textlens.functions.text import ngrams, tokens
 from textlens.operators.features import (
-    category_map, distinct_labels, fit_idf, hashed_tf, ovr_columns, presence, tfidf, with_terms,
+    category_map, distinct_labels, fit_idf, hashed_tf, ovr_columns, presence, tfidf, with_grams, with_terms,
 )
 from textlens.operators.cooccur import (
     doc_sppmi_append, doc_sppmi_sum, fit_sppmi, presence_arrays, sppmi_rows, text_vector_lookup,
@@ -26,6 +26,7 @@ from textlens.operators.fold_sppmi import fit_fold_sppmi, kfold_sppmi_logistic,
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
+from textlens.operators.online import fit_online_logistic
 from textlens.operators.serve import score_queries, serve_best_shared, serve_models
 from textlens.operators.persist import load_model, save_model
 from textlens.operators.represent import fit_classifier
@@ -95,6 +96,26 @@ def q_stopwords(spark, base):
     return stop_words(read_table(spark, base, "events"), P.STOPWORD_EVENT, P.PROP_KEY)
 
 
+_FREQUENT = (f"tk AS (SELECT doc_id, unnest({O.tokens_sql()}) AS word FROM documents),\n"
+             f"stop AS (SELECT word FROM tk GROUP BY word HAVING count(DISTINCT doc_id) * {P.STOP_SHARE} > (SELECT count(*) FROM documents))")
+
+
+@register("stopword_filter", f"WITH {_FREQUENT}\nSELECT doc_id, CAST(count(w) AS BIGINT) AS n_left, "
+                             f"md5(coalesce(string_agg(w, chr(31) ORDER BY i), '')) AS tokens_md5 FROM ("
+                             f"SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM "
+                             f"(SELECT doc_id, {O.tokens_sql()} AS ws FROM documents)) t "
+                             f"WHERE w NOT IN (SELECT word FROM stop) GROUP BY doc_id")
+def q_stopword_filter(spark, base):
+    """S5 applied: the words that more than a tenth of the documents have are
+    taken out; documents that keep any token."""
+    docs = _docs(spark, base)
+    words = with_grams(docs, 1).select("doc_id", F.explode_outer(F.array_distinct("grams")).alias("word")).where("word is not null")
+    n = docs.select(F.count(F.lit(1))).scalar()
+    stop = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * P.STOP_SHARE > n).select("word")
+    left = with_grams(docs, 1, stop_words=stop).where(F.size("grams") > 0)
+    return left.select("doc_id", F.size("grams").cast("bigint").alias("n_left"), F.md5(F.array_join("grams", US)).alias("tokens_md5"))
+
+
 _LINES = f"SELECT d.doc_id, CAST(l.{P.LABEL_COL} AS VARCHAR) || ',' || d.text AS line FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 
 
@@ -499,13 +520,12 @@ def q_l1lr_fit_predict(spark, base):
 
 @register("hashed_lr_fit_predict", None)
 def q_hashed_lr_fit_predict(spark, base):
-    """M7 + M8: hashed 1..n-gram L2 logistic regression on cleaned text,
-    binary folded confidence."""
-    m = fit_ovr_logistic(_obs(spark, base), P.HASHED_LR_NGRAM, 1 << P.HASHED_LR_BITS, P.HASHED_LR_REG,
-                         P.LR_MAX_ITER, upto=True, clean=True, idf=False)
-    probs = m.probabilities(_docs(spark, base))
-    p1 = F.col("p")[m.labels.index(1.0)]
-    return binary_confidence(probs.select("doc_id", p1.alias("p"))).select(
+    """M7 + M8: one online pass over hashed 1..n-grams of the cleaned text at 22
+    bits, with the label "1" folded into (category, confidence)."""
+    m = _hashed_model(_obs(spark, base))
+    z = m.margins(_docs(spark, base))
+    p1 = 1 / (1 + F.exp(-F.col("z")[m.labels.index(1.0)]))
+    return binary_confidence(z.select("doc_id", p1.alias("p"))).select(
         "doc_id", "category", rounded(F.col("confidence")).alias("confidence"))
 
 
@@ -545,10 +565,13 @@ def q_logistic_properties(spark, base):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def _hashed_model(obs):
+    return fit_online_logistic(obs, P.HASHED_LR_NGRAM, P.HASHED_LR_BITS, P.HASHED_LR_STEP, P.HASHED_LR_REG, P.HASHED_LR_PASSES)
+
+
 def _logistic_models(obs):
     """M7, M6, M5 at their registered settings."""
-    return (fit_ovr_logistic(obs, P.HASHED_LR_NGRAM, 1 << P.HASHED_LR_BITS, P.HASHED_LR_REG, P.LR_MAX_ITER, upto=True,
-                             clean=True, idf=False),
+    return (_hashed_model(obs),
             fit_ovr_logistic(obs, P.TF_NGRAM, P.TF_FEATURES, P.L1_REG, P.L1_MAX_ITER, elastic_net=1.0),
             fit_ovr_logistic(obs, P.EVAL_NGRAM, P.EVAL_FEATURES, P.LR_GRID[0], P.LR_MAX_ITER))
 

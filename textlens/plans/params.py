@@ -30,15 +30,16 @@ SPPMI_K_DENSE = 1   # nearly every seen pair is positive
 SPPMI_K_SPARSE = 2  # a few hundred positive pairs
 SPPMI_K_EVAL = 10   # with EVAL_NGRAM and EVAL_FEATURES
 
-# The configuration has 22 bits. The iterative fit keeps dense arrays of 2^bits
-# doubles: six in every task of its first pass (200 MB a task at 22 bits) and
-# about 25 on the driver. The registered query stays at 18 bits so that it runs
-# in a 1 GB heap; ``fit_ovr_logistic`` takes any number of buckets.
-HASHED_LR_BITS = 18
+# The hashed learner at its configured size, step and number of passes; its n-gram
+# order 2 exercises the 1..n features (the default variant has 1).
+HASHED_LR_BITS = 22
+HASHED_LR_STEP = 5.0
+HASHED_LR_PASSES = 1
 HASHED_LR_NGRAM = 2
 HASHED_LR_REG = 5e-8
 
 STOPWORD_EVENT = "click"
+STOP_SHARE = 10  # words that more than one document in so many has
 SCAN_EVENTS = ("purchase", "signup")
 PROP_KEY = "k"
 DIGITS = 6
