@@ -130,8 +130,8 @@ def byte_runs(rows, window=50):
     return out
 
 
-def quality(rows):
-    out = []
+def quality(rows, min_group=50, width=6.0):
+    out, rates = [], []
     for r in rows:
         t = r[1] or ""
         w = BLANK_WORD.findall(t)
@@ -139,8 +139,29 @@ def quality(rows):
         n = Counter(grams)
         again = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}
         ln = [x for x in t.split("\n") if BLANK_WORD.search(x)]
-        out.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ln) - len(set(ln)),
-                    len(again), len(w) < 50 or 100 * len(again) > 50 * len(w)))
+        found = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ln) - len(set(ln)), len(again))
+        out.append((r[0], *found, len(w) < 50 or 100 * len(again) > 50 * len(w)))
+        rates.append([x / max(1, len(ln) if i == 2 else len(w)) for i, x in enumerate(found[1:])])
+
+    def fences(group):
+        some = [x for r, x, o in zip(rows, rates, out, strict=True) if o[1] and group(r)]
+        if len(some) < min_group:
+            return None
+        limits = []
+        for k, least in enumerate((0.1, 0.02, 0.06, 0.05)):
+            v = sorted(x[k] for x in some)
+            low, high = (v[-(-len(v) * p // 4) - 1] for p in (1, 3))
+            spread = max(high - low, least) * width
+            limits.append((low - spread, high + spread))
+        return limits
+
+    known = {}
+    for i, (r, o) in enumerate(zip(rows, out, strict=True)):
+        if (r[2], r[3]) not in known:
+            near, wide = fences(lambda x, r=r: x[2:4] == r[2:4]), fences(lambda x, r=r: x[2] == r[2])
+            known[r[2], r[3]] = [f for f in (near, wide or fences(lambda x: True)) if f]
+        inside = all(a <= x <= z for f in known[r[2], r[3]] for (a, z), x in zip(f, rates[i], strict=True))
+        out[i] = (*o, not o[-1] and inside)
     return out
 
 

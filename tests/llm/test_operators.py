@@ -188,12 +188,35 @@ def test_mixing_meets_its_targets(spark):
         assert abs(r["t"] - r["g"]) <= 3 * 8 and r["m"] <= 3
 
 
-def test_quality(docs, rows):
-    got = quality.judge(quality.measures(docs))
-    same(got, brute.quality(rows), ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+@pytest.mark.parametrize("min_group", [50, 8, 3])
+def test_quality(docs, rows, min_group):
+    got = quality.judge(quality.measures(docs), min_group=min_group)
+    same(got, brute.quality(rows, min_group), ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                               "base_failed", "kept"])
     assert got.where("kept and base_failed").isEmpty() and not got.where("kept").isEmpty()
 
 
+@pytest.mark.parametrize("n_fr", [0, 7, 60])
+def test_quality_verdicts_and_twin(spark, tmp_path, n_fr):
+    """A spammy source, a rare language and all documents together: the
+    operator, the plain rule and the SQL agree on every verdict."""
+    import duckdb
+    good, bad = "word " * 3 + " ".join(f"t{i}x" for i in range(100)), " ".join(f"t{i}x###" for i in range(100))
+    odd = [good + f" {i}" + " y" * (i % 9) + (" long" * 0 if i % 7 else " " + "z" * (i * 5)) for i in range(400)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(odd)]
+    rows += [(1000 + i, (bad if i % 2 else good) + f" {i}", "en", "hot") for i in range(100)]
+    rows += [(2000 + i, (bad if i % 3 == 0 else good) + f" {i}", "fr", None) for i in range(n_fr)]
+    rows += [(3000, bad, None, None), (3001, good, None, "s"), (3002, None, "de", "s")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(path)
+    got = {r["doc_id"]: r["kept"] for r in quality.op10_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[-1] for r in brute.quality(rows)}
+    assert not got[1001] and not got[3000] and got[3001]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == {r[0]: r[-1] for r in con.execute(quality.OP10_SQL).fetchall()}
+
+
 def test_quality_fences(spark):
     """Fences follow each language and source; groups without any sketch pass."""
     good, bad = "word " * 3 + " ".join(f"t{i}x" for i in range(100)), " ".join(f"t{i}x###" for i in range(100))

@@ -10,11 +10,11 @@ per language; from their quartiles follow the fences
 
 A document is kept if it passes the base rules and all its rates lie within
 the tighter, on each side, of the fences of its language and source and those
-of its language; a group under ``min_group`` documents has no fences. A source
+of its language. A source under ``min_group`` documents leaves it to the
+language, a language under ``min_group`` to the fences of all documents. A source
 of junk so can't widen its fences beyond those of its language; they give way
 where more than a quarter of the source and of the language is junk. The
-fences are joined to the documents; no cutoff is fixed. The SQL twin takes the
-source's fences alone, so it differs where those are the wider ones.
+fences are joined to the documents; no cutoff is fixed.
 
 All text work happens inside the row; arrays are computed once by passing
 them through a generator, which the optimizer does not merge with the
@@ -110,15 +110,17 @@ def judge(measured: DataFrame, width: float = WIDTH, min_group: int = MIN_GROUP)
     rated = _rates(measured)
     near = fences(rated, ["lang", "source"], width, min_group)
     wide = fences(rated, ["lang"], width, min_group)
+    every = fences(rated, [], width, min_group)
     limits = [f"{r}_{s}" for r in RATES for s in ("below", "above")]
     near = near.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[F.col(c).alias(f"_n_{c}") for c in limits])
     wide = wide.select(F.col("lang").alias("_wl"), *[F.col(c).alias(f"_w_{c}") for c in limits])
     got = (rated.join(near, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
            .join(wide, F.col("lang").eqNullSafe(F.col("_wl")), "left"))
+    all_ = every.select(F.struct(*limits).alias("_a")).scalar()  # one row, or none
     inside = F.lit(True)
     for r in RATES:
-        low = F.greatest(f"_n_{r}_below", f"_w_{r}_below", F.lit(float("-inf")))
-        high = F.least(f"_n_{r}_above", f"_w_{r}_above", F.lit(float("inf")))
+        low = F.greatest(f"_n_{r}_below", F.coalesce(f"_w_{r}_below", all_[f"{r}_below"]), F.lit(float("-inf")))
+        high = F.least(f"_n_{r}_above", F.coalesce(f"_w_{r}_above", all_[f"{r}_above"]), F.lit(float("inf")))
         inside = inside & F.col(r).between(low, high)
     failed = ((F.col("n_words") < MIN_WORDS)
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT))
@@ -143,8 +145,8 @@ def _sql_fences(name: str, by: str) -> str:
 
 
 _INSIDE = " AND ".join(
-    f"{r} >= coalesce(g.{r}_below, w.{r}_below, '-inf'::DOUBLE) AND {r} <= coalesce(g.{r}_above, w.{r}_above, 'inf'::DOUBLE)"
-    for r in RATES)
+    f"{r} >= greatest(coalesce(g.{r}_below, '-inf'::DOUBLE), coalesce(w.{r}_below, a.{r}_below, '-inf'::DOUBLE)) AND "
+    f"{r} <= least(coalesce(g.{r}_above, 'inf'::DOUBLE), coalesce(w.{r}_above, a.{r}_above, 'inf'::DOUBLE))" for r in RATES)
 OP10_SQL = rf"""
 WITH base AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -165,13 +167,13 @@ WITH base AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id
 ), rated AS (
-  SELECT *, word_chars / greatest(n_words, 1) AS word_length, n_symbols / greatest(n_words, 1) AS symbol_rate,
+  SELECT *, 1 AS one, word_chars / greatest(n_words, 1) AS word_length, n_symbols / greatest(n_words, 1) AS symbol_rate,
          n_dup_lines / greatest(n_lines, 1) AS dup_line_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate,
          n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed
   FROM measured
-), {_sql_fences("near", "lang, source")}, {_sql_fences("wide", "lang")}
+), {_sql_fences("near", "lang, source")}, {_sql_fences("wide", "lang")}, {_sql_fences("every", "one")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {_INSIDE} AS kept
 FROM rated r LEFT JOIN near g ON r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source
-             LEFT JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang
+             LEFT JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang LEFT JOIN every a ON a.one = r.one
 """
