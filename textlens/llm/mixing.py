@@ -68,6 +68,7 @@ def taken(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = M
                        n_words(F.col(text)).alias("size"), crc(F.col(text)).alias("_crc"),
                        shuffled(seed, F.col(doc_id)).alias("_h"),
                        *([row_key(F.col(doc_id), F.col(text)).alias("_k")] if keyed else []))
+    rows = save(rows, "sized")  # the range sort samples its input: narrow rows are read twice, texts once
     queued = ranked(rows, [F.col("_src").asc_nulls_last(), F.col("_h"), F.col("_crc"), F.col("size")],
                     sums=["size"], name="queues")
     sources = save(queued.groupBy("_src").agg(F.sum("size").alias("source_size"),
