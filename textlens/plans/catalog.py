@@ -7,6 +7,7 @@ states the same result for DuckDB over the same parquet files.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from textlens.operators.evaluate import (
 )
 from textlens.operators.fold_sppmi import fit_fold_sppmi, kfold_sppmi_logistic, kfold_sppmi_naive_bayes
 from textlens.operators.linear import binary_confidence, nb_log_odds, readable_weights
+from textlens.operators.minibatch import fit_minibatch_logistic
 from textlens.operators.mlfit import fit_ovr_logistic, fold_logistic_predictions
 from textlens.operators.naive_bayes import fit_naive_bayes, fit_naive_bayes_many
 from textlens.operators.online import fit_online_logistic
@@ -518,6 +520,43 @@ def q_l1lr_fit_predict(spark, base):
     return m.predict(_docs(spark, base)).select("doc_id", "category", "confidence")
 
 
+@register("minibatch_lr_fit_predict", None)
+def q_minibatch_lr_fit_predict(spark, base):
+    """M6 by mini-batch proximal descent: mini-batches of 1000, rate 0.1, up to 250 passes."""
+    m = _minibatch_model(_obs(spark, base), P.L1_REG, P.L1_MAX_ITER)
+    return m.predict(_docs(spark, base)).select("doc_id", "category", rounded(F.col("confidence")).alias("confidence"))
+
+
+_PENALTIES = (P.L1_REG, 0.02, 100.0)
+
+
+@register("minibatch_lr_path", "WITH o AS (SELECT count(*) AS n FROM documents) SELECT penalty, CAST(n AS BIGINT) AS n_scored, "
+                               "CAST(n AS BIGINT) AS n_in_range, TRUE AS thinner, place = 1 AS beats_majority, place = 3 AS no_weights FROM o, "
+                               f"(VALUES {', '.join(f'({O.dbl(x)}, {i})' for i, x in enumerate(_PENALTIES, 1))}) v(penalty, place)")
+def q_minibatch_lr_path(spark, base):
+    """M6 by mini-batches along growing penalties: every document scored, each
+    confidence in [0.5, 1], fewer weights (none in the end) the larger the
+    penalty; with the configured one training accuracy beats the majority."""
+    obs, docs = _obs(spark, base), _docs(spark, base)
+    truth = obs.select("doc_id", F.col("category").alias("actual"))
+    top = obs.groupBy("category").count().agg((F.max("count") / F.sum("count")).alias("m")).first()["m"]
+    out, before = [], P.TF_FEATURES + 1
+    for i, reg in enumerate(_PENALTIES):
+        m = _minibatch_model(obs, reg, 15)
+        n = m.weights.where("label = 1 and weight <> 0").count()
+        scored = m.predict(docs).join(truth, "doc_id", "left").agg(
+            F.count(F.lit(1)).alias("n_scored"), F.sum(F.col("confidence").between(0.5, 1.0).cast("bigint")).alias("n_in_range"),
+            F.avg((F.col("category") == F.col("actual")).cast("double")).alias("acc"))
+        out.append(scored.select(F.lit(float(reg)).alias("penalty"), "n_scored", "n_in_range", F.lit(n < before).alias("thinner"),
+                                 ((F.col("acc") > top) & F.lit(i == 0)).alias("beats_majority"), F.lit(n == 0).alias("no_weights")))
+        before = n
+    return reduce(DataFrame.unionByName, out)
+
+
+def _minibatch_model(obs, reg, passes):
+    return fit_minibatch_logistic(obs, P.TF_NGRAM, P.TF_FEATURES, reg, P.L1_BATCH, P.L1_RATE, passes)
+
+
 @register("hashed_lr_fit_predict", None)
 def q_hashed_lr_fit_predict(spark, base):
     """M7 + M8: one online pass over hashed 1..n-grams of the cleaned text at 22

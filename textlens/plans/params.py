@@ -5,7 +5,7 @@ Fixed values taken from the reference configuration:
   evaluation preparator: nGram 2, numFeatures 5000; k = 3 folds
   evaluation grid: Naive Bayes lambda 0.25 and 1.0; logistic regParam 0.5 and 1.25
   logistic regression: maxIter 10, threshold 0.5
-  L1 learner: 250 passes, penalty 5e-8; hashed learner: 22 bits, penalty 5e-8
+  L1 learner: 250 passes, penalty 5e-8, mini-batches of 1000, rate 0.1; hashed learner: 22 bits, penalty 5e-8
   SPPMI shift k = 10
 """
 
@@ -23,6 +23,8 @@ LR_GRID = (0.5, 1.25)
 LR_MAX_ITER = 10
 L1_MAX_ITER = 250
 L1_REG = 5e-8
+L1_BATCH = 1000
+L1_RATE = 0.1
 
 SPPMI_NGRAM = 1
 SPPMI_FEATURES = 500
