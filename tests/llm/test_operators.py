@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import sys
 from collections import Counter
 
@@ -120,6 +121,30 @@ def test_substrings_of_other_windows(docs, rows, window):
     same(got, brute.substrings(rows, window), ["doc_id", "n_words", "n_removed", "sha"])
 
 
+def test_equal_digests_are_no_proof():
+    """Pieces that share key and digest are told apart by their bytes."""
+    rng = random.Random(3)
+    one, two = (bytes(rng.randrange(97, 123) for _ in range(80)) for _ in range(2))
+    texts = [(1, one, 5), (2, two, 6), (3, one, 7), (4, two, 8), (5, two[:60], 9), (6, one[:20] + two[20:], 10)]
+    heads = np.zeros(len(texts), byte_dedup._PIECE)
+    heads["key"], heads["hash"], heads["places"] = 1, 99, 1
+    heads["doc"], heads["size"] = [t[0] for t in texts], [len(t[1]) for t in texts]
+    table = pa.table({"bucket": pa.array([0], pa.int32()), "db": pa.array([4], pa.int32()), "heads": [heads.tobytes()],
+                      "bytes": [b"".join(t[1] for t in texts)], "places": [np.array([t[2] for t in texts], "<u4").tobytes()],
+                      "known": [b""]})
+    got = {}
+    for r in byte_dedup._shard(table, 50).to_pylist():
+        assert r["_db"] == 4
+        for at, n in np.frombuffer(r["spans"], byte_dedup._SPAN).tolist():
+            got[at] = n
+    assert got == {7: 31, 8: 31, 9: 11, 10 + 20: 11}
+    data = np.frombuffer(b"".join(t[1] for t in texts), np.uint8)
+    size = heads["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    for block in (1, 70, 1 << 20):
+        assert sorted(byte_dedup._other_bytes(data, begin, size, np.zeros(6, np.int64), block).tolist()) == [1, 3, 4, 5]
+
+
 @pytest.mark.parametrize("group_bytes, hot_groups", [(1 << 22, 256), (2000, 256), (2000, 1), (2000, 3)])
 def test_byte_dedup(docs, rows, group_bytes, hot_groups):
     """In one group and in many, with none, some and all anchors crowded."""

@@ -48,32 +48,55 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=120), st.sampled_from([1, 2, 2000]))
-def test_suffix_array(values, alphabet):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=120) | st.lists(st.integers(1, 40), max_size=200), st.sampled_from([1, 2, 7, 512]),
+       st.sampled_from([1, 16, 512]))
+def test_suffix_array(values, ranges, size):
+    """Also with several symbols to a range, at each level."""
     s = np.array([*values, 0], np.uint16)
-    old, suffixes.ALPHABET = suffixes.ALPHABET, alphabet
+    old = suffixes.MOST_RANGES, suffixes.RANGE_SIZE
+    suffixes.MOST_RANGES, suffixes.RANGE_SIZE = ranges, size
     try:
-        got = suffixes.suffix_array(s, 4).tolist()
+        got = suffixes.suffix_array(s, 42)
     finally:
-        suffixes.ALPHABET = old
-    assert got == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 1), min_size=30, max_size=150), st.integers(2, 20))
-def test_common_prefixes(values, most):
-    s = np.array([v + 2 for v in values] + [0], np.uint16)
-    raw = np.concatenate([np.array(values, np.uint8), np.zeros(most + 9, np.uint8)])
-    order = suffixes.suffix_array(s, 5, enough=most)
-    order = order[len(values) - order >= most]
-    got = suffixes.common_prefixes(raw, order, most).tolist()
-    assert got == [values[a:a + most] == values[b:b + most] for a, b in zip(order[:-1], order[1:], strict=True)]
-    # equal windows are neighbours
-    group = np.concatenate([[0], np.cumsum(~np.array(got, bool))]) if len(order) else []
-    seen = {}
-    for i, g in zip(order, group, strict=True):
-        assert seen.setdefault(tuple(values[i:i + most]), g) == g
+        suffixes.MOST_RANGES, suffixes.RANGE_SIZE = old
+    assert got.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    shared = suffixes.common_prefixes(s, got)
+    for a, b in zip(got[:-1].tolist(), got[1:].tolist(), strict=True):
+        k = 0
+        while s[a + k] == s[b + k]:
+            k += 1
+        assert shared[b] == k
+    assert shared[got[0]] == 0
+
+
+@pytest.mark.parametrize("kind", ["text", "periods", "random"])
+def test_suffix_array_recurses_at_every_size(kind, monkeypatch):
+    """A shard of 300 KB: each level is sorted by the same function, down to
+    one where all names differ, and neighbours are in order."""
+    rng = np.random.default_rng(4)
+    if kind == "text":
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(3000)]
+        raw = " ".join(words[i] for i in rng.zipf(1.3, 60000) % 3000)[:300_000].encode()
+    else:
+        raw = (b"abcab" * 60_000 if kind == "periods" else rng.integers(0, 256, 300_000).astype(np.uint8).tobytes())
+    s = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 2, 0).astype(np.uint16)
+    levels, whole = [], suffixes.suffix_array
+
+    def counted(x, sigma):
+        levels.append((len(x), sigma))
+        return whole(x, sigma)
+    monkeypatch.setattr(suffixes, "suffix_array", counted)
+    order = suffixes.suffix_array(s, 258)
+    assert sorted(order.tolist()) == list(range(len(s)))
+    shared = suffixes.common_prefixes(s, order)
+    a, b = order[:-1], order[1:]
+    k = shared[b]
+    assert (s[a + k] < s[b + k]).all()  # the first symbol that differs decides
+    for i in rng.integers(0, len(b), 2000).tolist():
+        assert (s[a[i]: a[i] + k[i]] == s[b[i]: b[i] + k[i]]).all()
+    if kind == "text":
+        assert len(levels) > 3 and levels[1][1] > 2000  # more names than symbols, sorted the same way
 
 
 @settings(max_examples=60, deadline=None)

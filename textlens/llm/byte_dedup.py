@@ -16,15 +16,16 @@ shard, so Spark first brings together what can be equal:
    them. Pieces that meet no other piece need no array. An anchor that more
    than ``HOT_GROUPS`` groups share (the edge of a very common passage, with
    other bytes around it in each document) would crowd a shard: its windows
-   go to shards by their own digests instead, one by one.
+   are pieces of their own, dealt to sub-shards by their own bytes, and go the
+   same way there.
 3. The removed stretches go back to the groups.
 
 Texts are shuffled once. Shards and groups follow the bytes of the input; no
 step pairs occurrences.
 
-Hashes decide where bytes meet, and which whole pieces, or windows of crowded
-anchors, are taken for equal (64 bits and the shard); windows of different
-pieces are compared byte by byte.
+Hashes decide where bytes meet. Pieces are equal if their bytes are, compared
+inside the group and again in the shard; windows of different pieces meet in
+the suffix array. Only whole texts are equal by a digest (128 bits).
 
 Defined cases: null and empty texts have 0 bytes; texts shorter than the
 window lose nothing; a null id is larger than every other; rows that repeat
@@ -48,11 +49,10 @@ from textlens.llm.suffixes import common_prefixes, suffix_array
 from textlens.llm.words import CHUNK, buffer_of, chunks, mix
 
 WINDOW, GRAM, HOT_GROUPS = 50, 20, 256
-_NULL = np.iinfo(np.int64).max
+_NULL, _ALONE = np.iinfo(np.int64).max, np.uint64(0x5851F42D4C957F2D)
 _WHOLE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("row", "<u4")])
 _PIECE = np.dtype([("key", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("size", "<u2"), ("places", "<u4")])
 _SPAN = np.dtype([("at", "<u4"), ("n", "<u4")])
-_ALONE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
 def _slide(f, x: np.ndarray, w: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GR
     reach = window - GRAM
 
     def send(table: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["bucket", "db", "heads", "bytes", "places", "alone", "known"]
+        names = ["bucket", "db", "heads", "bytes", "places", "known"]
         if not table.num_rows:
             return _table([], names)
         db, g = table.column("_db")[0].as_py(), Group(table)
@@ -221,15 +221,24 @@ def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GR
         digest = xxhash.xxh3_64_intdigest
         left, right = np.maximum(g.offsets[row], at - reach), np.minimum(g.offsets[row + 1], at + window)
         crowded = ~done[row] & _among(_short(h), hot)
-        out, more = _windows_alone(g, digest, raw, left[crowded], right[crowded], window, n, db)
-        known.append(more)
+        alone, out = _windows(left[crowded], right[crowded], window), []
         use = ~done[row] & _among(_short(h), keys)
         at, h, row, a, b = at[use], h[use], row[use], left[use], right[use]
         piece = np.array([digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
         piece = mix(piece ^ mix((at - a).astype(np.uint64)))  # the same bytes around the anchor
+        own_digest = np.array([digest(raw[x: x + window]) for x in alone.tolist()], np.uint64)
+        piece, h = np.concatenate([piece, own_digest]), np.concatenate([h, mix(own_digest ^ _ALONE)])
+        row, a, b = np.concatenate([row, g.row_of(alone)]), np.concatenate([a, alone]), np.concatenate([b, alone + window])
         doc = g.doc[row]
-        o = np.lexsort((a, doc, piece, h))
-        new = np.concatenate([[True], (piece[o][1:] != piece[o][:-1]) | (h[o][1:] != h[o][:-1])])[: len(o)]
+        while True:
+            o = np.lexsort((a, doc, piece, h))
+            new = np.concatenate([[True], (piece[o][1:] != piece[o][:-1]) | (h[o][1:] != h[o][:-1])])[: len(o)]
+            lead = o[np.flatnonzero(new)][np.cumsum(new) - 1]
+            other = np.array([raw[w:x] != raw[y:z] for w, x, y, z in zip(
+                a[o].tolist(), b[o].tolist(), a[lead].tolist(), b[lead].tolist(), strict=True)], bool)
+            if not other.any():
+                break
+            piece[o[other]] += np.uint64(1)  # other bytes, same digest
         head = np.flatnonzero(new)
         lead = o[head]
         which = np.cumsum(new) - 1
@@ -246,12 +255,12 @@ def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GR
         first = np.concatenate([[0], np.cumsum(count)])
         for k, i in by_bucket((mix(h[lead]) % np.uint64(n)).astype(np.int32), np.arange(len(head))):
             out.append((k, db, heads[i].tobytes(), b"".join([raw[x:y] for x, y in zip(a[lead[i]].tolist(), b[lead[i]].tolist(), strict=True)]),
-                        np.concatenate([places[first[j]: first[j + 1]] for j in i.tolist()]).tobytes(), b"", b""))
-        out.append((db, db, b"", b"", b"", b"", np.concatenate(known).tobytes()))
+                        np.concatenate([places[first[j]: first[j + 1]] for j in i.tolist()]).tobytes(), b""))
+        out.append((db, db, b"", b"", b"", np.concatenate(known).tobytes()))
         return _table(out, names)
 
     sent = visit_with(rows, facts, send,
-                      "bucket int, db int, heads binary, bytes binary, places binary, alone binary, known binary")
+                      "bucket int, db int, heads binary, bytes binary, places binary, known binary")
     return sent.groupBy("bucket").applyInArrow(lambda t: _shard(t, window), "_db int, spans binary")
 
 
@@ -262,45 +271,29 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _windows_alone(g: Group, digest, raw: bytes, left: np.ndarray, right: np.ndarray, window: int, n: int,
-                   db: int) -> tuple[list[tuple], np.ndarray]:
-    """Each window around crowded anchors as a record for the shard of its own
-    digest (of the least id that has it here), and the spans known here."""
+def _windows(left: np.ndarray, right: np.ndarray, window: int) -> np.ndarray:
+    """Starts of all windows inside the stretches."""
     size = np.maximum(right - left - window + 1, 0)
-    starts = np.unique(np.repeat(left, size) + _count(size))
-    if not len(starts):
-        return [], np.zeros(0, _SPAN)
-    recs = np.zeros(len(starts), _ALONE)
-    recs["hash"] = [digest(raw[s: s + window]) for s in starts.tolist()]
-    recs["doc"], recs["at"] = g.doc[g.row_of(starts)], starts
-    recs = recs[np.lexsort((recs["at"], recs["doc"], recs["hash"]))]
-    later = recs["doc"] > _least(recs)
-    spans = np.zeros(int(later.sum()), _SPAN)
-    spans["at"], spans["n"] = recs["at"][later], 1
-    recs = recs[~later]
-    bucket = (mix(recs["hash"] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n)).astype(np.int32)
-    return [(k, db, b"", b"", b"", r.tobytes(), b"") for k, r in by_bucket(bucket, recs)], spans
-
-
-def _least(recs: np.ndarray) -> np.ndarray:
-    """For each record, sorted by hash, the least id with that hash."""
-    first = np.flatnonzero(np.concatenate([[True], recs["hash"][1:] != recs["hash"][:-1]]))
-    return np.repeat(np.minimum.reduceat(recs["doc"], first), np.diff(np.append(first, len(recs))))
+    return np.unique(np.repeat(left, size) + _count(size))
+
+
+def _other_bytes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lead: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Pieces whose bytes aren't those of the piece ``lead``, a block at a time."""
+    check = np.flatnonzero((lead != np.arange(len(lead))) & (size == size[lead]))
+    cut = np.searchsorted(np.cumsum(size[check], dtype=np.int64), np.arange(block, size[check].sum(dtype=np.int64) + 1, block))
+    parts = [np.flatnonzero(size != size[lead])]
+    for i in np.split(check, cut):
+        if len(i):
+            n = size[i].astype(np.int64)
+            unlike = data[np.repeat(begin[i], n) + _count(n)] != data[np.repeat(begin[lead[i]], n) + _count(n)]
+            parts.append(i[np.logical_or.reduceat(unlike, np.cumsum(n) - n)])
+    return np.concatenate(parts)
 
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
     """Judge the windows of all pieces that met in a shard."""
     dbs = table.column("db").to_numpy()
     out = [(int(d), s.tobytes()) for d, s in zip(dbs, unpack(table.column("known"), _SPAN), strict=True) if len(s)]
-    parts = unpack(table.column("alone"), _ALONE)
-    alone, db = np.concatenate(parts), np.repeat(dbs, [len(x) for x in parts])
-    if len(alone):
-        o = np.argsort(alone["hash"], kind="stable")
-        alone, db = alone[o], db[o]
-        gone = alone["doc"] > _least(alone)
-        spans = np.zeros(int(gone.sum()), _SPAN)
-        spans["at"], spans["n"] = alone["at"][gone], 1
-        out += [(d, s.tobytes()) for d, s in by_bucket(db[gone], spans)]
     parts = unpack(table.column("heads"), _PIECE)
     heads, db = np.concatenate(parts), np.repeat(dbs, [len(x) for x in parts])
     if len(heads):
@@ -309,12 +302,17 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
         begin = np.cumsum(heads["size"], dtype=np.int64) - heads["size"]
         first = np.cumsum(heads["places"], dtype=np.int64) - heads["places"]
         # distinct pieces, and the least id of each
-        o = np.lexsort((heads["doc"], heads["hash"], heads["key"]))
-        k, h = heads["key"][o], heads["hash"][o]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
-        lead = o[new]
-        piece = np.empty(len(heads), np.int64)
-        piece[o] = np.cumsum(new) - 1
+        while True:
+            o = np.lexsort((heads["doc"], heads["hash"], heads["key"]))
+            k, h = heads["key"][o], heads["hash"][o]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+            lead = o[new]
+            piece = np.empty(len(heads), np.int64)
+            piece[o] = np.cumsum(new) - 1
+            other = _other_bytes(data, begin, heads["size"], lead[piece])
+            if not len(other):
+                break
+            heads["hash"][other] += np.uint64(1)  # other bytes, same digest
         least = heads["doc"][lead]
         windows = heads["size"][lead].astype(np.int64) - window + 1
         base = np.cumsum(windows) - windows
@@ -325,16 +323,15 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
             size = heads["size"][lead[several]].astype(np.int64)
             at = np.cumsum(size + 1) - size - 1  # a separator behind each piece
             s = np.ones(int((size + 1).sum()) + 1, np.uint16)
-            raw = np.zeros(len(s) + window + 8, np.uint8)
             src = np.repeat(begin[lead[several]] - at, size) + (inside := np.repeat(at, size) + _count(size))
             s[inside] = data[src].astype(np.uint16) + 2
-            raw[inside] = data[src]
             s[-1] = 0
             left = np.zeros(len(s), np.int64)  # bytes to the end of the piece
             left[inside] = np.repeat(size, size) - _count(size)
-            order = suffix_array(s, 258, enough=window)
+            order = suffix_array(s, 258)
+            shared = common_prefixes(s, order)
             order = order[left[order] >= window]
-            same = common_prefixes(raw, order, window)
+            same = shared[order[1:]] >= window  # then the one before it in all of the array is a window too
             group = np.concatenate([[0], np.cumsum(~same)])
             which = np.repeat(np.arange(len(several)), size + 1)
             which = np.append(which, 0)[order]

@@ -3,18 +3,22 @@
 The steps are those of induced sorting (Nong, Zhang and Chan, 2009): suffixes
 are classified as larger or smaller than their successor; the substrings
 between leftmost smaller suffixes are sorted by inducing once and named; the
-string of names is sorted recursively; inducing again from that order gives
-the array. Inducing goes through the symbols of the alphabet; all entries of
-a symbol are handled at once, so a pass is a few array operations a symbol.
-A recursion whose names outnumber ``ALPHABET`` is sorted by doubling ranks
-instead, where array operations a symbol would no longer pay.
+string of names is sorted recursively, the same way at every level; inducing
+again from that order gives the array.
+
+Inducing goes through the alphabet in ranges of symbols that hold about
+equally many suffixes, so a pass takes as many array operations however large
+the alphabet is. A suffix waits for its range, in the order in which its
+successor was placed; one whose successor is in the same range is ordered by
+its symbol and its successor's rank. Common prefixes are found in text order
+(permuted), where most suffixes carry over the length of the one before them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-ALPHABET = 2000
+MOST_RANGES, RANGE_SIZE = 512, 512
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -26,59 +30,110 @@ def classify(s: np.ndarray) -> np.ndarray:
     return np.repeat(smaller, np.diff(np.append(head, len(s))))
 
 
-def _deal(queues: list[list[np.ndarray]], s: np.ndarray, p: np.ndarray) -> None:
-    """Append each position to the queue of its symbol, in order."""
-    if len(p):
-        ch = s[p]
-        o = np.argsort(ch, kind="stable")
-        p, ch = p[o], ch[o]
-        cut = np.flatnonzero(ch[1:] != ch[:-1]) + 1
-        at = 0
-        for c, end in zip(ch[np.concatenate([[0], cut])].tolist(), [*cut.tolist(), len(p)], strict=True):
-            queues[c].append(p[at:end])
-            at = end
+def _ranges(s: np.ndarray, sigma: int) -> np.ndarray:
+    """First symbols of the ranges, and ``sigma``."""
+    n = min(MOST_RANGES, len(s) // RANGE_SIZE + 1)
+    if sigma <= n:
+        return np.arange(sigma + 1)
+    held = np.cumsum(np.bincount(s, minlength=sigma))
+    cut = np.searchsorted(held, np.arange(1, n) * (held[-1] / n)) + 1
+    return np.unique(np.concatenate([[0], cut[cut < sigma], [sigma]]))
+
+
+class _Queues:
+    """Suffixes that wait for their range, in order of arrival."""
+
+    def __init__(self, s: np.ndarray, bounds: np.ndarray):
+        self.s, self.parts = s, [[] for _ in range(len(bounds) - 1)]
+        self.range_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    def add(self, p: np.ndarray) -> None:
+        if len(p):
+            r = self.range_of[self.s[p]]
+            o = np.argsort(r, kind="stable")
+            p, r = p[o], r[o]
+            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
+            at = 0
+            for k, end in zip(r[np.concatenate([[0], cut])].tolist(), [*cut.tolist(), len(p)], strict=True):
+                self.parts[k].append(p[at:end])
+                at = end
+
+    def take(self, k: int) -> np.ndarray:
+        got, self.parts[k] = self.parts[k], None
+        return np.concatenate(got) if got else np.zeros(0, np.int64)
+
+
+def _refine(*keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of each row of ``keys`` (the first decides first; equal rows share
+    one), and how many ranks there are."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, int(new.sum())
+
+
+def _place(s: np.ndarray, arrived: np.ndarray, others: np.ndarray, inside, sign: int, one: bool,
+           slot: np.ndarray) -> np.ndarray:
+    """The suffixes of one kind in a range, and ``others`` of the other kind,
+    in order (``sign`` -1: from the largest). ``arrived`` have their successor
+    in a range done before, ``inside`` gives the predecessors that are of the
+    kind and range, ``one`` tells that the range has one symbol, ``slot`` is
+    room for a number per suffix."""
+    waves, last = [], np.concatenate([arrived, others])
+    while len(last := inside(last)):
+        waves.append(last)
+    if one:
+        return np.concatenate([arrived, *waves, others])
+    p = np.concatenate([arrived, others, *waves])
+    n, known = len(p), len(arrived) + len(others)
+    slot[p] = np.arange(n)
+    other = np.zeros(n, np.int64)
+    other[len(arrived): known] = 1
+    first = np.minimum(np.arange(n), known)  # those with the successor inside come behind, as equals
+    rank, distinct = _refine(sign * s[p].astype(np.int64), other, first)
+    jump = np.full(n, -1)
+    jump[known:] = slot[p[known:] + 1]
+    while distinct < n:  # each round doubles how far along the successors is compared
+        rank, distinct = _refine(rank, np.where(jump >= 0, rank[jump], -1))
+        jump = np.where(jump >= 0, jump[jump], -1)
+    out = np.empty_like(p)
+    out[rank] = p
+    return out
 
 
 def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, from the leftmost smaller ones in order."""
-    none = np.zeros(0, np.int64)
-    join = lambda parts: np.concatenate(parts) if parts else none
-    seeds: list = [[] for _ in range(sigma)]
-    _deal(seeds, s, leftmost)
-    queues: list = [[] for _ in range(sigma)]
-    larger = [none] * sigma
-    for c in range(sigma):  # ascending: each entry places its larger predecessor
-        wave, done = join(queues[c]), []
-        queues[c] = None
-        while len(wave):
-            done.append(wave)
-            p = wave[wave > 0] - 1
-            p = p[~small[p]]
-            same = s[p] == c
-            _deal(queues, s, p[~same])
-            wave = p[same]
-        larger[c] = join(done)
-        p = join(seeds[c])
-        p = p[p > 0] - 1
-        _deal(queues, s, p[~small[p]])
-    queues = [[] for _ in range(sigma)]
-    out = [none] * (2 * sigma)
-    for c in range(sigma - 1, -1, -1):  # descending, from the end: the smaller ones
-        wave, done = join(queues[c]), []
-        queues[c] = None
-        while len(wave):
-            done.append(wave)
-            p = wave[wave > 0] - 1
-            p = p[small[p]]
-            same = s[p] == c
-            _deal(queues, s, p[~same])
-            wave = p[same]
-        out[2 * c], out[2 * c + 1] = larger[c], join(done)[::-1]
-        p = larger[c][::-1]
+    bounds, slot = _ranges(s, sigma), np.empty(len(s), np.int64)
+
+    def before(p, kind):
         p = p[p > 0] - 1
-        _deal(queues, s, p[small[p]])
-    out[1] = np.array([len(s) - 1])
-    return np.concatenate(out)
+        return p[small[p] == kind]
+
+    def inside(lo, hi, kind):
+        def run(p):
+            p = before(p, kind)
+            return p[(s[p] >= lo) & (s[p] < hi)]
+        return run
+
+    ends = list(enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)))
+    seeds, queues, larger = _Queues(s, bounds), _Queues(s, bounds), []
+    seeds.add(leftmost)
+    for k, (lo, hi) in ends:  # ascending: each suffix places its larger predecessor
+        p = _place(s, queues.take(k), seeds.take(k), inside(lo, hi, False), 1, hi - lo == 1, slot)
+        larger.append(p[~small[p]])
+        p = before(p, False)
+        queues.add(p[s[p] >= hi])
+    queues, out = _Queues(s, bounds), []
+    for k, (lo, hi) in reversed(ends):  # descending, from the end: the smaller ones
+        p = _place(s, queues.take(k), larger[k][::-1], inside(lo, hi, True), -1, hi - lo == 1, slot)
+        out.append(p)
+        p = before(p, True)
+        queues.add(p[s[p] < lo])
+    return np.concatenate([*out, [len(s) - 1]])[::-1]
 
 
 def _names(s: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -97,24 +152,8 @@ def _names(s: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> np.ndarray
     return np.cumsum(~same) - 1
 
 
-def by_doubling(names: np.ndarray, enough: int | None = None) -> np.ndarray:
-    """Suffix order of ``names``; ``enough``: symbols that have to be compared."""
-    n = len(names)
-    rank, k = np.unique(names, return_inverse=True)[1].astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while k < n and (enough is None or k < enough) and rank[order[-1]] < n - 1:
-        ahead = np.zeros(n, np.int64)
-        ahead[:-k] = rank[k:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        k *= 2
-    return order
-
-
-def suffix_array(s: np.ndarray, sigma: int, enough: int | None = None) -> np.ndarray:
-    """Suffixes of ``s`` in order; the last symbol is 0 and occurs once.
-    ``enough``: order by this many symbols only (ties in any order)."""
+def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffixes of ``s`` in order; the last symbol is 0 and occurs once."""
     if len(s) < 3:
         return np.arange(len(s))[::-1]
     small = classify(s)
@@ -130,27 +169,31 @@ def suffix_array(s: np.ndarray, sigma: int, enough: int | None = None) -> np.nda
     name = np.zeros(len(s), np.int64)
     name[ordered] = _names(s, ordered, size[ordered])
     top = int(name[ordered[-1]])
-    if top + 1 < len(leftmost):
-        names = name[leftmost]  # the sentinel's name is 0 and occurs once
-        again = suffix_array(names, top + 1, enough) if top < ALPHABET else by_doubling(names, enough)
-        ordered = leftmost[again]
+    if top + 1 < len(leftmost):  # the sentinel's name is 0 and occurs once
+        ordered = leftmost[suffix_array(name[leftmost], top + 1)]
     return induce(s, small, ordered, sigma)
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in ``order`` after the first, whether it shares at least
-    ``most`` bytes with the one before it. Found in text order (permuted): a
-    suffix is compared with its predecessor 8 bytes at a time; ``data`` has
-    ``most`` + 8 bytes behind the last suffix."""
-    here = np.argsort(order[1:], kind="stable")
-    i, j = order[1:][here], order[:-1][here]
-    eight = np.ndarray((len(data) - 7,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-    alive = np.arange(len(i))
-    for k in [*range(0, most - 8, 8), max(0, most - 8)] if most >= 8 else []:
-        alive = alive[eight[i[alive] + k] == eight[j[alive] + k]]
-    if most < 8:
-        for k in range(most):
-            alive = alive[data[i[alive] + k] == data[j[alive] + k]]
-    out = np.zeros(len(i), bool)
-    out[here[alive]] = True
-    return out
+def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each position of ``s`` (16-bit symbols, as for ``suffix_array``), how
+    many symbols its suffix shares with the one before it in ``order`` (0 for
+    the first). If the symbols before the two are equal, those suffixes are
+    neighbours as well and the length is the one found there less 1; only the
+    others are compared, four symbols at a time."""
+    n = len(s)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    here = np.arange(n)
+    carried = (here > 0) & (before > 0) & (s[here - 1] == s[np.maximum(before - 1, 0)])
+    padded = np.concatenate([s, np.zeros(4, np.uint16)]).astype("<u2")
+    four = np.ndarray((n,), "<u8", buffer=padded, strides=(2,))
+    length = np.zeros(n, np.int64)
+    i = np.flatnonzero(~carried & (before >= 0))
+    k = 0
+    while len(i):
+        x = four[i + k] ^ four[before[i] + k]
+        length[i] = k + sum(((x & np.uint64((1 << b) - 1)) == 0).astype(np.int64) for b in (16, 32, 48, 64))
+        i = i[x == 0]
+        k += 4
+    last = np.maximum.accumulate(np.where(carried, 0, here))
+    return length[last] - (here - last)
