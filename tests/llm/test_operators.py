@@ -273,6 +273,101 @@ def test_toxicity_accuracy(spark):
     assert r.score.between(0, 1).all()
 
 
+def small_net(seed=5):
+    """A network in double precision and a batch of three texts, one empty."""
+    rng = np.random.default_rng(seed)
+    m = toxicity.Model(tables=[rng.standard_normal((toxicity.BUCKETS, toxicity.DIM)) * 0.5 for _ in range(2)],
+                       filters=[[rng.standard_normal((k, toxicity.DIM, toxicity.FILTERS)) * 0.5, rng.standard_normal(toxicity.FILTERS) * 0.1]
+                                for k in toxicity.WIDTHS],
+                       layers=[[rng.standard_normal((2 * toxicity.FILTERS * 3 + 1, toxicity.HIDDEN)) * 0.3, rng.standard_normal(toxicity.HIDDEN) * 0.1],
+                               [rng.standard_normal(toxicity.HIDDEN), np.array([0.2])]])
+    ids = rng.integers(0, 6, (13, 2)).astype(np.uint16)
+    return m, ids, np.array([0, 8, 8, 13])
+
+
+def plain_logit(m, words):
+    """The network word by word, filter by filter."""
+    x = [m.tables[0][a] + m.tables[1][b] for a, b in words.tolist()]
+    most, total = [], []
+    for k, (w, b) in zip(toxicity.WIDTHS, m.filters, strict=True):
+        outs = [np.zeros(toxicity.FILTERS)]
+        for i in range(len(x)):
+            z = b + sum(x[i + j] @ w[j] for j in range(k) if i + j < len(x))
+            outs.append(np.maximum(z, 0))
+        most += np.max(outs, 0).tolist()
+        total += np.sum(outs, 0).tolist()
+    h = np.array([*most, *np.log1p(total), np.log1p(len(words)) / 8])
+    return float(np.tanh(h @ m.layers[0][0] + m.layers[0][1]) @ m.layers[1][0] + m.layers[1][1][0])
+
+
+def test_toxicity_forward_pass():
+    m, ids, first = small_net()
+    got = toxicity._forward(m, ids, first)[0]
+    want = [plain_logit(m, ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_gradient():
+    """Against differences of the loss, for every kind of weight."""
+    m, ids, first = small_net()
+    y = np.array([1.0, 0.0, 0.0])
+    known = [np.ones(toxicity.BUCKETS, bool), np.arange(toxicity.BUCKETS) != 3]
+
+    def loss():
+        z = np.array([plain_logit(m, ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)])
+        return float(np.sum(np.logaddexp(0, z) - y * z))
+    f = lambda p: p.astype(np.float32)
+    single = toxicity.Model(tables=[f(t) for t in m.tables], filters=[[f(w), f(b)] for w, b in m.filters],
+                            layers=[[f(w), f(b)] for w, b in m.layers])
+    z, kept = toxicity._forward(single, ids, first)
+    grads = toxicity._backward(single, kept, (1 / (1 + np.exp(-z)) - y).astype(np.float32), known)
+    params = [*m.tables, *[p for f in m.filters for p in f], *[p for la in m.layers for p in la]]
+    assert not (grads[1][0] == 3).any()  # a hash that is not known stays
+    rng = np.random.default_rng(0)
+    for p, g in zip(params, grads, strict=True):
+        dense = np.zeros(p.shape)
+        if isinstance(g, tuple):
+            dense[g[0]] = g[1]
+            places = [(int(r), int(rng.integers(toxicity.DIM))) for r in g[0]]
+        else:
+            dense += np.asarray(g).reshape(p.shape)
+            places = [tuple(int(rng.integers(n)) for n in p.shape) for _ in range(6)]
+        for at in places:
+            held, eps = p[at], 1e-5
+            p[at] = held + eps
+            up = loss()
+            p[at] = held - eps
+            down = loss()
+            p[at] = held
+            assert dense[at] == pytest.approx((up - down) / (2 * eps), abs=1e-3)
+
+
+def test_toxicity_has_a_threshold_for_every_language():
+    """Thirty languages of 40 texts and five of 2: the thirty are told apart,
+    the five and unknown texts are "other"."""
+    rng = np.random.default_rng(2)
+    docs = []
+    for lang in range(35):
+        for i in range(40 if lang < 30 else 2):
+            words = rng.integers(lang * 300, lang * 300 + 60, 25)
+            docs.append((np.stack([words, words], 1).astype(np.uint16), i % 2, f"l{lang:02d}"))
+    m = toxicity.train(docs)
+    assert m.langs.shape[1] == 31 and len(m.shift) == 31
+    def guess(words):
+        ids = np.stack([words, words], 1).astype(np.uint16)
+        return int(np.argmax(toxicity._lang_sums(m, ids, np.array([0, len(ids)]))))
+    assert [guess(np.arange(k * 300, k * 300 + 20)) for k in range(13)] == list(range(13))  # buckets are shared beyond 4,096
+    assert guess(np.arange(3970, 3990)) == 30 == guess(np.arange(808, 828))  # unknown words, a rare language
+    old, toxicity.LANG_BLOCK = toxicity.LANG_BLOCK, 31 * 7
+    try:
+        first = np.array([0, 0, 9, 9, 20])
+        ids = np.stack([np.arange(20)] * 2, 1).astype(np.uint16)
+        blocks = toxicity._lang_sums(m, ids, first)
+    finally:
+        toxicity.LANG_BLOCK = old
+    assert np.allclose(blocks, toxicity._lang_sums(m, ids, first)) and not blocks[0].any()
+
+
 def test_toxicity_odd_rows(spark, docs, rows):
     marks = spark.createDataFrame([(r[0], None, int(i % 3 == 0)) for i, r in enumerate(rows)] + [(None, 1, 1), (3, 1, None)],
                                   "doc_id long, quality int, toxic int")

@@ -13,6 +13,9 @@ sample are computed by Spark, only hashed ids reach the driver. A part of the
 sample is set aside to calibrate one threshold per language. The language of
 a text is guessed from its words alone, so score and verdict depend on
 nothing but the text; the score is shifted so that 0.5 is that threshold.
+Every language with ``LEAST_EACH`` rows in the sample is one to be guessed; the
+others, and texts that look like none, are "other" and take the threshold of
+the whole sample. Training starts from random weights.
 
 Defined cases: null, empty and wordless texts are scored like any other (from
 zero features); null labels and ids are not learnt from; a null language is a
@@ -23,6 +26,7 @@ gives no rows; ``score`` keeps further columns (``score`` is replaced).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,9 +42,9 @@ from textlens.llm.words import batch_words, buffer_of, byte_class, chunks
 
 FOLDS, MAX_ROWS, MAX_TRAIN_BYTES, CALIBRATE = 5, 10000, 32 << 10, 0.15
 BUCKETS, PREFIXES, DIM, WIDTHS, FILTERS, HIDDEN = 1 << 15, (6,), 12, (1, 2, 3), 8, 12
-EPOCHS, BATCH, RATE, SEED = 5, 32, 0.01, 7
-LANG_BUCKETS, MAX_LANGS, LEAST_EACH, LEAST_TEXTS = 1 << 12, 16, 8, 3
-DECAY, CAUTION, FIRE = 0.1, 12.0, 2.5
+EPOCHS, BATCH, RATE, SEED = 5, 16, 0.01, 7
+LANG_BUCKETS, LANG_BLOCK, LEAST_EACH, LEAST_TEXTS = 1 << 12, 1 << 22, 8, 3
+DECAY, SPREAD = 0.1, 0.3
 _ALNUM = byte_class("alnum")
 
 
@@ -117,7 +121,7 @@ def _pool(m: Model, ids: np.ndarray, first: np.ndarray, tail: int = 0):
         acts.append(a)
         most.append(np.maximum.reduceat(a, rows))
         total.append(np.add.reduceat(a, rows))
-    return np.concatenate(most, 1), np.concatenate(total, 1), flat, rows, x, acts
+    return np.concatenate(most, 1), np.concatenate(total, 1), flat, rows, real, x, acts
 
 
 def _dense(m: Model, most: np.ndarray, total: np.ndarray, count: np.ndarray):
@@ -129,16 +133,22 @@ def _dense(m: Model, most: np.ndarray, total: np.ndarray, count: np.ndarray):
 
 
 def _forward(m: Model, ids: np.ndarray, first: np.ndarray):
-    most, total, flat, rows, x, acts = _pool(m, ids, first)
+    most, total, flat, rows, real, x, acts = _pool(m, ids, first)
     z, h0, h1 = _dense(m, most, total, np.diff(first))
-    return z, (flat, rows, x, acts, h0, h1)
+    return z, (flat, rows, real, x, acts, h0, h1)
 
 
 def _lang_sums(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each row's words per language."""
-    sums = np.zeros((len(ids) + 1, m.langs.shape[1]))
-    np.cumsum(m.langs[ids[:, 0] % LANG_BUCKETS], 0, out=sums[1:])
-    return sums[first[1:]] - sums[first[:-1]]
+    """Log-likelihood of each row's words per language, a block of words at a time."""
+    n, block = m.langs.shape[1], max(1, LANG_BLOCK // m.langs.shape[1])
+    out = np.zeros((len(first) - 1, n))
+    for a in range(0, int(first[-1]), block):
+        here = m.langs[ids[a: min(a + block, int(first[-1])), 0] % LANG_BUCKETS]
+        sums = np.zeros((len(here) + 1, n))
+        np.cumsum(here, 0, out=sums[1:])
+        at = np.clip(first - a, 0, len(here))
+        out += sums[at[1:]] - sums[at[:-1]]
+    return out
 
 
 class _Adam:
@@ -158,7 +168,7 @@ class _Adam:
 
 
 def _backward(m: Model, kept, dz: np.ndarray, known: list[np.ndarray]) -> list:
-    flat, rows, x, acts, h0, h1 = kept
+    flat, rows, real, x, acts, h0, h1 = kept
     (w1, _), (w2, _) = m.layers
     dh1 = dz[:, None] * w2 * (1 - h1 * h1)
     layer = [h0.T @ dh1, dh1.sum(0), h1.T @ dz, dz.sum(keepdims=True)[0]]
@@ -177,7 +187,7 @@ def _backward(m: Model, kept, dz: np.ndarray, known: list[np.ndarray]) -> list:
         grads += [dw, da.sum(0)]
         at += FILTERS
     tables = []
-    live = np.flatnonzero(np.any(dx, 1))
+    live = np.flatnonzero(real & np.any(dx, 1))  # pads are no words
     for i in range(len(m.tables)):
         at = live[known[i][flat[live, i]]]
         ids, back = np.unique(flat[at, i], return_inverse=True)
@@ -193,27 +203,29 @@ def train(docs: list[tuple[np.ndarray, int, str]], seed: int = SEED) -> Model:
     labels = np.array([d[1] for d in docs], np.float32)
     if len(set(labels.tolist())) < 2:
         return Model(prior=30.0 if labels.any() else -30.0)
-    names = sorted({d[2] for d in docs}, key=lambda x: (-sum(d[2] == x for d in docs), x))[:MAX_LANGS]
-    counts = np.full((LANG_BUCKETS, len(names)), 0.05)
+    often = Counter(d[2] for d in docs)
+    names = {lang: i for i, lang in enumerate(sorted(x for x, n in often.items() if n >= LEAST_EACH))}
+    other = len(names)
+    counts = np.full((LANG_BUCKETS, other + 1), 0.05, np.float32)
     for ids, _, lang in docs:
-        if lang in names:
-            counts[:, names.index(lang)] += np.bincount(ids[:, 0] % LANG_BUCKETS, minlength=LANG_BUCKETS)
+        counts[:, names.get(lang, other)] += np.bincount(ids[:, 0] % LANG_BUCKETS, minlength=LANG_BUCKETS)
     normal = lambda *s: (rng.standard_normal(s) * (0.5 / np.sqrt(s[-2]))).astype(np.float32)
     width = 2 * FILTERS * len(WIDTHS) + 1
-    m = Model(tables=[(rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32) for _ in range(1 + len(PREFIXES))],
+    m = Model(tables=[(rng.standard_normal((BUCKETS, DIM)) * SPREAD).astype(np.float32) for _ in range(1 + len(PREFIXES))],
               filters=[[normal(k, DIM, FILTERS) * 2, np.zeros(FILTERS, np.float32)] for k in WIDTHS],
               layers=[[normal(width, HIDDEN), np.zeros(HIDDEN, np.float32)],
                       [normal(HIDDEN, 1)[:, 0], np.zeros((), np.float32)]],
               langs=np.log(counts / counts.sum(0)))
     order = rng.permutation(len(docs))
     aside, fit = np.split(order, [int(len(docs) * CALIBRATE)])
-    known = _start(m, docs, fit, labels)
+    m.layers[1][1][...] = np.log(labels.mean() / (1 - labels.mean()))
+    known = _known(m, docs, fit)
     params = [*m.tables, *[p for f in m.filters for p in f], *[p for la in m.layers for p in la]]
     adam = _Adam([p.reshape(-1) if p.ndim == 0 else p for p in params])
     m.layers[1][1] = adam.params[-1]
     heavy = np.clip((len(docs) - labels.sum()) / labels.sum(), 1, 3)
     # enough passes for a small sample, about the same work for any
-    epochs = max(EPOCHS, min(40, 400 * BATCH // len(fit)))
+    epochs = max(EPOCHS, min(40, 800 * BATCH // len(fit)))
 
     def batch(at):
         first = np.zeros(len(at) + 1, np.int64)
@@ -233,30 +245,18 @@ def train(docs: list[tuple[np.ndarray, int, str]], seed: int = SEED) -> Model:
         z = np.concatenate([_forward(m, i, f)[0] for i, f in zip(ids, first, strict=True)])
         lang = np.concatenate([np.argmax(_lang_sums(m, i, f), 1) for i, f in zip(ids, first, strict=True)])
         whole = _threshold(z, labels[aside], 0.0)
-        m.shift = np.array([_threshold(z[lang == i], labels[aside][lang == i], whole) for i in range(len(names))])
+        m.shift = np.array([*(_threshold(z[lang == i], labels[aside][lang == i], whole) for i in range(other)), whole])
     return m
 
 
-def _start(m: Model, docs: list, fit: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-    """Where training starts. Only hashes that several texts have get an
-    embedding, all others are 0. The first coordinate is a cautious guess of
-    what a hash says about the label (smoothed log-odds), the first filter
-    fires on strong ones, and the first hidden unit listens to it; all else is
-    small noise that training shapes."""
-    known, share = [], float(labels[fit].mean())
+def _known(m: Model, docs: list, fit: np.ndarray) -> list[np.ndarray]:
+    """Which hashes of each table enough texts have to learn from; the
+    embeddings of all others are 0 and stay it."""
+    known = []
     for k, t in enumerate(m.tables):
-        seen, marked = (np.bincount(np.concatenate([np.unique(docs[i][0][:, k]) for i in some] or [np.zeros(0, int)]),
-                                    minlength=BUCKETS) for some in (fit, fit[labels[fit] == 1]))
+        seen = np.bincount(np.concatenate([np.unique(docs[i][0][:, k]) for i in fit] or [np.zeros(0, int)]), minlength=BUCKETS)
         known.append(seen >= LEAST_TEXTS)
-        guess = (marked + CAUTION * share) / (seen + CAUTION)
-        t[:, 0] = np.log(guess / (1 - guess)) - np.log(share / (1 - share))
         t[~known[k]] = 0
-    (w, b), (w1, _), (w2, b2) = m.filters[0], *m.layers
-    w[0, :, 0], b[0] = 0, -FIRE
-    w[0, 0, 0] = 1
-    w1[:, 0] = 0
-    w1[0, 0] = w1[FILTERS * len(WIDTHS), 0] = 0.5
-    w2[0], b2[...] = 4, -2
     return known
 
 
