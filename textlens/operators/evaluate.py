@@ -7,8 +7,8 @@ term-frequency sum, and every training-fold statistic is the sum of the
 statistics of the other folds. So the documents are aggregated once per
 (test fold, label, bucket) — a table of at most ``k * C * V`` rows — and each
 training fold is rebuilt by exploding that small table to the ``k - 1`` folds
-it trains. Texts are hashed once for these statistics and once to be scored;
-nothing of the corpus is written but the fold of each id.
+it trains. Texts are hashed once; of the corpus the fold of each id and the term
+arrays are written, which the statistics and the scoring read.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def kfold_naive_bayes(observations: DataFrame, k: int, n_gram: int, num_features
     labels = known_labels(label_counts(folds.withColumnRenamed(key, "doc_id")))
     terms = with_terms(observations.select(key, "text"), n_gram, num_features).drop("text")
     # one row per document (its compact term array) travels to meet its fold
-    placed = terms.join(folds.select(key, "fold", "label"), key)
+    # and is written there: statistics and scoring read it, texts are hashed once
+    placed = materialize(terms.select(key, "terms").join(folds.select(key, "fold", "label"), key))
 
     # per test fold g: documents, (label, bucket) tf sums and document frequencies
     stats = materialize(explode_terms(placed, ["fold", "label"]).groupBy("fold", "label", "bucket").agg(
