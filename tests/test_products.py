@@ -148,3 +148,55 @@ def test_logistic_on_sppmi_folds(spark, observations):
     for r in z:
         p = 1 / (1 + np.exp(-max(r["z"])))
         assert got[f, r["doc_id"]]["confidence"] == pytest.approx(p, rel=1e-6)
+
+
+def test_parts_of_row_sums_hold_their_entries(spark, monkeypatch):
+    """Sparse rows are added up as many at a time as have ``CELLS`` entries: one
+    sum of all cells for many buckets, not one for every few."""
+    import numpy as np
+    v, n = 50, 40
+    monkeypatch.setattr(csr, "CELLS", 1000)
+    part = csr.Rows(np.arange(v), np.arange(v), np.ones(v), 0, v)
+    calls, count = [], np.bincount
+    monkeypatch.setattr(csr.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    got = list(part.times(np.full(n, v), np.tile(np.arange(v), n), v))
+    assert all((x == 1.0).all() for _, _, x in got) and sum(len(j) for _, j, _ in got) == n * v
+    assert len(calls) <= 3 * len(got) + n * v // 1000
+
+
+def test_packed_rows_of_tiles_are_bounded():
+    """A packed row holds some documents, not a whole Arrow batch of them."""
+    import pyarrow as pa
+
+    from textlens.operators import gramian as G
+    lists = pa.array([list(range(1000))] * 200, pa.list_(pa.int64()))
+    cut = list(G._cut(pa.RecordBatch.from_arrays([pa.array([0] * 200, pa.int32()), lists], ["plane", "b"])))
+    assert sum(b.num_rows for b in cut) == 200 and max(b.num_rows for b in cut) * 1000 <= G.SENT
+
+
+@pytest.mark.parametrize("gain", [0, 10**9])
+def test_tiles_by_products_and_by_pairs(spark, gain, monkeypatch):
+    """Dense products and counted pairs give the same tiles, plane by plane."""
+    import random
+
+    import numpy as np
+
+    from textlens.operators import gramian as G
+    rng = random.Random(3)
+    docs = [(rng.randrange(3), sorted(rng.sample(range(900), rng.randrange(0, 30)))) for _ in range(100)]
+    monkeypatch.setattr(G, "DENSE_GAIN", gain)
+    width, want, got = 512, {}, {}
+    for p, b in docs:
+        for a in range(len(b)):
+            for z in range(a, len(b)):
+                want.setdefault((b[a], b[z]), [0, 0, 0])[p] += 1
+    for x in range(2):
+        for y in range(x, 2):
+            tile = G._Tile(x, y, width, 3, True)
+            for p, b in docs:
+                one, two = ([e - t * width for e in b if e // width == t] for t in (x, y))
+                if one and two:
+                    tile.receive((np.array([p]), np.array([len(one)]), np.array(one, "<u2"), np.array([len(two)]), np.array(two, "<u2")), 50)
+            for out in tile.batches(50):
+                got.update({(i, j): c for i, j, c in zip(*[c.to_pylist() for c in out.columns], strict=True)})
+    assert got == want

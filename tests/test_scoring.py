@@ -200,6 +200,24 @@ def test_lookup_of_a_much_repeated_text(spark):
     assert text_vector_lookup(q, train, vec, outer=True).where("j is null").count() == 2
 
 
+def test_lookup_copies_only_repeated_texts(spark):
+    """A vector travels once, and once more for each ``copy_rows`` queries of its
+    text; rows are the same, in long form or packed, null texts and equal ids too."""
+    from textlens.operators.cooccur import text_vector_lookup
+    train = spark.createDataFrame([(i, f"t{i % 40}") for i in range(60)], "doc_id long, text string")
+    vec = spark.createDataFrame([(i, [1, 4], [float(i % 40), 2.0]) for i in range(60)], "doc_id long, j array<long>, x array<double>")
+    texts = ["t0"] * 50 + [f"t{i}" for i in range(1, 40)] + [None, None, "new"]
+    q = spark.createDataFrame([(i % 80, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted((i % 80, j, x) for i, t in enumerate(texts) if t and t != "new" for j, x in ((1, float(t[1:])), (4, 2.0)))
+    for copy_rows in (7, 1000):
+        got = text_vector_lookup(q, train, vec, copy_rows=copy_rows)
+        assert sorted(map(tuple, got.collect())) == want
+        every = text_vector_lookup(q, train, vec, copy_rows=copy_rows, outer=True, packed=True)
+        assert every.count() == len(texts) and every.where("j is null").count() == 3
+        copies = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(0, 31" not in copies
+
+
 def test_models_drop_their_tables(spark, obs, docs):
     import os
     m = fit_naive_bayes(obs, 1, 50)

@@ -52,12 +52,17 @@ class Rows:
             sums = np.zeros((hi - lo) * v)
             hit = np.zeros((hi - lo) * v, bool)
             doc = np.repeat(np.arange(hi - lo), size[lo:hi])
-            for b in range(a, z, max(1, CELLS // v)):  # a bucket's row has v entries at most
-                part = slice(b, min(b + max(1, CELLS // v), z))
+            at = bucket[a:z] - self.first
+            counted = np.cumsum(self.start[at + 1] - self.start[at])
+            b = a
+            while b < z:  # as many buckets as have CELLS entries, one at least
+                had = counted[b - a - 1] if b > a else 0
+                part = slice(b, a + max(b - a + 1, int(np.searchsorted(counted, had + CELLS, "right"))))
+                b = part.stop
                 at = bucket[part] - self.first
                 n = self.start[at + 1] - self.start[at]
                 entry = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                cell = np.repeat(doc[b - a: part.stop - a] * v, n) + self.j[entry]
+                cell = np.repeat(doc[part.start - a: part.stop - a] * v, n) + self.j[entry]
                 sums += np.bincount(cell, self.s[entry], len(sums))
                 hit[cell] = True
             cell = np.flatnonzero(hit)

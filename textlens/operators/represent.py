@@ -13,17 +13,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from textlens.operators.cooccur import doc_sppmi_sum, fit_sppmi, presence_arrays, sppmi_rows, text_vector_lookup
+from textlens.operators.cooccur import (doc_sppmi_sum, fit_sppmi, packed_vectors, presence_arrays, sppmi_rows,
+                                       text_vector_lookup)
 from textlens.operators.features import with_terms
 from textlens.operators.linear import LinearModel
 from textlens.operators.mlfit import fit_labels, fit_ovr_logistic
 from textlens.operators.naive_bayes import fit_naive_bayes, known_labels, label_counts, nb_from_stats
-from textlens.operators.scoring import class_scores, sigmoid_best, softmax_best
+from textlens.operators.scoring import sigmoid_best, softmax_best, vector_scores
 from textlens.operators.util import materialize
+from textlens.session import drop_paths
 
 REPRESENTATIONS = ("tfidf", "sppmi")
 LEARNERS = ("naive_bayes", "logistic")
@@ -36,30 +39,34 @@ class SppmiFeatures:
     n_gram: int
     num_features: int
     texts: DataFrame     # (doc_id, text) of the training documents
-    vectors: DataFrame   # (doc_id, j, x)
+    vectors: DataFrame   # (doc_id, j array, x array)
     rows: DataFrame      # (i, j, s)
     unseen: str = "lookup"
 
     def transform(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         """``(ids..., bucket, x)``, with a null row for a zero vector."""
         ids = list(ids)
+        out = self.vectors_of(docs, ids, text_col).select(*ids, F.explode_outer(F.arrays_zip("j", "x")).alias("_e"))
+        return out.select(*ids, F.col("_e.j").alias("bucket"), "_e.x")
+
+    def vectors_of(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+        """``(ids..., j array, x array)``, empty or null for a zero vector."""
+        ids = list(ids)
         if self.unseen == "sum":
             terms = with_terms(docs.select(*ids, text_col), self.n_gram, self.num_features, text_col)
-            out = doc_sppmi_sum(presence_arrays(terms, ids), self.rows, self.num_features, ids, outer=True)
-        else:
-            out = text_vector_lookup(docs, self.texts, self.vectors, ids=ids, text_col=text_col, outer=True)
-        return out.withColumnRenamed("j", "bucket")
+            return doc_sppmi_sum(presence_arrays(terms, ids), self.rows, self.num_features, ids, packed=True)
+        return text_vector_lookup(docs, self.texts, self.vectors, ids=ids, text_col=text_col, outer=True, packed=True)
 
 
 def fit_sppmi_features(observations: DataFrame, n_gram: int, num_features: int, k: float = 10.0,
                        unseen: str = "lookup") -> SppmiFeatures:
     terms = with_terms(observations.select("doc_id", "text"), n_gram, num_features)
     n = observations.select(F.count(F.lit(1))).scalar()
-    present = presence_arrays(terms)
+    present = materialize(presence_arrays(terms))  # read by the Gramian and for the vectors: texts are hashed once
     _, sp = fit_sppmi(present, n, num_features, k)
     rows = sppmi_rows(sp)
     return SppmiFeatures(n_gram, num_features, observations.select("doc_id", "text"),
-                         doc_sppmi_sum(present, rows, num_features), rows, unseen)
+                         doc_sppmi_sum(present, rows, num_features, packed=True), rows, unseen)
 
 
 @dataclass
@@ -71,9 +78,9 @@ class SppmiNB:
 
     def predict(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         ids = list(ids)
-        feats = self.features.transform(docs, ids, text_col)
-        z = class_scores(feats, self.theta, self.classes, self.labels, self.features.num_features, ids=ids,
-                         base_col="pi", slope_col="default", extra_class_cols=["category"])
+        vectors = self.features.vectors_of(docs, ids, text_col)
+        z = vector_scores(vectors, self.theta, self.classes, self.labels, self.features.num_features, ids=ids,
+                          base_col="pi", slope_col="default", extra_class_cols=["category"])
         return softmax_best(z, self.labels, ids, categories_col="category").select(
             *ids, "category", "confidence", "label", "margin")
 
@@ -87,8 +94,8 @@ class SppmiLogistic:
 
     def predict(self, docs: DataFrame, ids: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
         ids, m = list(ids), self.linear
-        z = class_scores(self.features.transform(docs, ids, text_col), m.weights, m.classes, m.labels, m.num_features,
-                         ids=ids, coef_col="weight", base_col="intercept", extra_class_cols=["category"])
+        z = vector_scores(self.features.vectors_of(docs, ids, text_col), m.weights, m.classes, m.labels, m.num_features,
+                          ids=ids, coef_col="weight", base_col="intercept", extra_class_cols=["category"])
         return sigmoid_best(z, m.labels, categories_col="category").select(
             *ids, "category", "confidence", "label", "margin")
 
@@ -119,20 +126,33 @@ def _dense(entries: Column, n: int) -> Column:
     return F.concat(F.flatten(parts), zeros(F.lit(n - 1) - F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(-1))))
 
 
+def sparse_points(vectors: DataFrame, n: int, made: list[str]) -> DataFrame:
+    """``(label, features)`` of rows ``(label, j, x)`` with sorted entries, as sparse
+    ``pyspark.ml`` vectors: written once as what such vectors are stored as, read
+    by every fit (which caches its own blocks); nothing has ``n`` values a row."""
+    kind = StructType([vectors.schema["label"], StructField("features", VectorUDT())])
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n).alias("size"),
+                      F.col("j").cast("array<int>").alias("indices"), F.col("x").alias("values"))
+    plain = materialize(vectors.select("label", stored.alias("features")), made)
+    return plain.sparkSession.read.schema(kind).parquet(made[-1])
+
+
 def fit_sppmi_logistic(observations: DataFrame, feats: SppmiFeatures, reg: float, max_iter: int = 10,
                        elastic_net: float = 0.0) -> SppmiLogistic:
     """Logistic regression on the training documents' SPPMI vectors."""
     counts = label_counts(observations)
     labels = known_labels(counts)
-    entries = feats.vectors.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("v"))
+    entries = packed_vectors(feats.vectors).select("doc_id", F.sort_array("_v").alias("v"))
     joined = observations.select("doc_id", "label").join(entries, "doc_id", "left").select(
         "label", F.coalesce("v", F.array().cast("array<struct<j:bigint,x:double>>")).alias("v"))
-    points = joined.select("label", array_to_vector(_dense(F.col("v"), feats.num_features)).alias("features")).persist()
+    made: list[str] = []
+    points = sparse_points(joined.select("label", F.transform("v", lambda e: e["j"]).alias("j"),
+                                         F.transform("v", lambda e: e["x"]).alias("x")), feats.num_features, made)
     try:
         mirrored = len(labels) == 2
         models = fit_labels(points, labels, mirrored, reg, max_iter, elastic_net)
     finally:
-        points.unpersist()
+        drop_paths(points.sparkSession, made)
     return SppmiLogistic(feats, linear_tables(models, labels, mirrored, counts.select("label", "category"),
                                               feats.num_features))
 
@@ -153,8 +173,10 @@ def fit_classifier(observations: DataFrame, representation: str = "tfidf", n_gra
     feats = fit_sppmi_features(observations, n_gram, num_features, k, unseen)
     if learner == "logistic":
         return fit_sppmi_logistic(observations, feats, reg, max_iter)
-    points = feats.vectors.join(observations.select("doc_id", "label"), "doc_id")
-    sums = materialize(points.groupBy("label", F.col("j").alias("bucket")).agg(F.sum("x").alias("s")))
+    seen = observations.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("_n"))
+    points = feats.vectors.join(seen, "doc_id").select("label", "_n", F.explode_outer(F.arrays_zip("j", "x")).alias("_e"))
+    points = points.where(F.col("_e").isNotNull())
+    sums = materialize(points.groupBy("label", F.col("_e.j").alias("bucket")).agg(F.sum(F.col("_e.x") * F.col("_n")).alias("s")))
     classes, theta = nb_from_stats(counts.select("label", "n"), sums, lam, num_features,
                                    categories=counts.select("label", "category"))
     return SppmiNB(feats, labels, materialize(classes), materialize(theta))
