@@ -26,7 +26,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ from textlens.operators.features import with_terms
 from textlens.operators.gramian import gramian
 from textlens.operators.mlfit import fit_labels
 from textlens.operators.naive_bayes import known_labels, label_counts
-from textlens.operators.represent import _dense
+from textlens.operators.represent import sparse_points
 from textlens.operators.scoring import dense_gains, fits_a_row, row_scores, sigmoid_best, softmax_best
 from textlens.operators.util import attach, bounded_join, broadcast_if_bounded, label_array, materialize
 from textlens.session import drop_paths
@@ -51,6 +50,7 @@ class FoldSppmi:
     num_features: int
     labels: list[float]
     placed: DataFrame    # (doc_id, fold, label, category, text): every observation and its test fold
+    present: DataFrame   # (doc_id, fold, label, category, b): the same with the buckets of the text, written once
     classes: DataFrame   # (fold, label, n, total, category): of each training fold
     rows: DataFrame      # (i, j, s array<k>): both triangles, null where not positive
     freq: DataFrame      # (bucket, df array): training documents, at fold * classes + class
@@ -71,7 +71,8 @@ def _less_own(c: Column, k: int, n_labels: int) -> list[Column]:
 
 def fit_fold_sppmi(observations: DataFrame, k: int, n_gram: int, num_features: int, shift: float = 10.0,
                    key: str = "doc_id") -> FoldSppmi:
-    """One pass over the text; everything else is of model size."""
+    """One pass over the text, which leaves the buckets of each document;
+    everything else is of model size."""
     made: list[str] = []
     folds = materialize(assign_folds(observations, k, key), made)
     labels = known_labels(label_counts(folds.withColumnRenamed(key, "doc_id")))
@@ -87,9 +88,12 @@ def fit_fold_sppmi(observations: DataFrame, k: int, n_gram: int, num_features: i
 
     placed = observations.select(key, "text").join(folds.select(key, "fold", "label", "category"), key)
     at = F.array_position(label_array(labels), F.col("label")) - 1
-    terms = with_terms(placed.select(key, "fold", "label", "text"), n_gram, num_features)
-    present = presence_arrays(terms.withColumn("_plane", F.col("fold") * n_labels + at), ["_plane"])
-    pairs = materialize(gramian(present, num_features, plane="_plane", n_planes=k * n_labels), made)
+    # terms before the join: buckets travel to meet their fold, no text does
+    terms = with_terms(observations.select(key, "text"), n_gram, num_features).select(key, "terms")
+    present = terms.join(folds.select(key, "fold", "label", "category"), key)
+    present = materialize(presence_arrays(present, [key, "fold", "label", "category"]), made)
+    planes = present.select((F.col("fold") * n_labels + at).alias("_plane"), "b")
+    pairs = materialize(gramian(planes, num_features, plane="_plane", n_planes=k * n_labels), made)
 
     counts = pairs.select("i", "j", F.array(*_less_own(F.col("c"), k, n_labels)).alias("c"), F.col("c").alias("_all"))
     diag = counts.where("i = j")
@@ -108,7 +112,7 @@ def fit_fold_sppmi(observations: DataFrame, k: int, n_gram: int, num_features: i
     upper = x.select("i", "j", F.array(*values).alias("s")).where(F.exists("s", lambda v: v.isNotNull()))
     upper = materialize(upper, made)
     rows = upper.unionByName(upper.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
-    return FoldSppmi(k, n_gram, num_features, labels, placed, classes, rows, freq, made)
+    return FoldSppmi(k, n_gram, num_features, labels, placed, present, classes, rows, freq, made)
 
 
 def _scored(m: FoldSppmi, gains: DataFrame, bases: DataFrame, n_axis: int, key: str) -> DataFrame:
@@ -118,16 +122,15 @@ def _scored(m: FoldSppmi, gains: DataFrame, bases: DataFrame, n_axis: int, key:
     long = gains.select("bucket", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(m.k - 1)), lambda f: F.slice(
         "_g", f * n_axis + 1, n_axis))).alias("_f", "_g"))
     shifted = long.select((F.col("_f") * v + F.col("bucket")).alias("bucket"), "_g", F.array(*[F.lit(0.0)] * n_axis).alias("_d"))
-    terms = with_terms(m.placed.select(key, "fold", "category", "text"), m.n_gram, v).drop("text")
-    ids = [key, "fold", "category"]
+    terms, ids = m.present, [key, "fold", "category"]
     if fits_a_row(gains, n_axis, v, m.k):
-        terms = terms.withColumn("terms", F.transform("terms", lambda t: F.struct(
-            (F.col("fold") * v + t["bucket"]).alias("bucket"), F.lit(1).cast("bigint").alias("tf"))))
+        terms = terms.withColumn("terms", F.transform("b", lambda b: F.struct(
+            (F.col("fold") * v + b).alias("bucket"), F.lit(1).cast("bigint").alias("tf"))))
         zero = spark.range(1).select(F.array(*[F.lit(0.0)] * n_axis).alias("_base"))
         table = materialize(dense_gains(shifted, n_axis, v * m.k), m.made)
         z = row_scores(terms, table, zero, n_axis, ids)
     else:
-        at = terms.select(*ids, F.explode_outer(F.transform("terms", lambda t: t["bucket"])).alias("_b"))
+        at = terms.select(*ids, F.explode_outer("b").alias("_b"))
         at = at.select(*ids, (F.col("fold") * v + F.col("_b")).alias("bucket"))
         got = bounded_join(at, shifted.drop("_d"), ["bucket"], "left", v * m.k, 16 + 8 * n_axis, salt_col=key)
         z = got.groupBy(*ids).agg(F.array(*[F.coalesce(F.sum(F.col("_g")[a]), F.lit(0.0)) for a in range(n_axis)]).alias("z"))
@@ -186,12 +189,12 @@ def kfold_sppmi_logistic(m: FoldSppmi, regs: list[float], max_iter: int = 10, ke
     regression; the folds' fits are independent jobs."""
     c, k, v = len(m.labels), m.k, m.num_features
     mirrored = c == 2
-    present = presence_arrays(with_terms(m.placed.select(key, "fold", "label", "text"), m.n_gram, v), [key, "fold", "label"])
 
     def one(f: int) -> list[tuple]:
         rows = m.rows.select("i", "j", F.col("s")[f].alias("s")).where("s is not null")
-        vectors = row_sums(present.where(F.col("fold") != f).select(key, "label", "b"), rows, v, [key, "label"])
-        points = vectors.select("label", array_to_vector(_dense(F.arrays_zip("j", "x"), v)).alias("features")).persist()
+        vectors = row_sums(m.present.where(F.col("fold") != f).select(key, "label", "b"), rows, v, [key, "label"])
+        kept: list[str] = []
+        points = sparse_points(vectors, v, kept)
         found = []
         try:
             for r, reg in enumerate(regs):
@@ -201,7 +204,7 @@ def kfold_sppmi_logistic(m: FoldSppmi, regs: list[float], max_iter: int = 10, ke
                     place = (f * len(regs) + r) * c + l
                     found.append((place, sign * float(model.intercept), (sign * model.coefficients.toArray()).tolist()))
         finally:
-            points.unpersist()
+            drop_paths(points.sparkSession, kept)
         return found
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:

@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 DENSE_LIMIT = 2048          # V up to this: a V x V block per task
 BLOCK_ROWS = 2048           # documents per matrix product
 MOST_TILES, LEAST_WIDTH = 16, 512
+DENSE_GAIN = 400            # multiply-adds of a dense product in the time of a counted pair
 DENSE_TILE = 1024           # tile width up to this: a dense block of counts
 HELD = 4_000_000            # distinct pairs of a wide tile in memory
 PAIR_CHUNK = 4_000_000      # pair codes generated before they are counted
+SENT = 1 << 15              # buckets of the documents that a packed row holds
+TILE_DOCS = 8192            # documents that a tile counts at once
 LEVEL = 64                  # partials added up before the last level
 
 
@@ -122,32 +125,44 @@ def _offset_type(width: int) -> str:
 _TILE_ROWS = "x int, y int, salt int, plane binary, nx binary, bx binary, ny binary, by binary"
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of documents with about ``SENT`` buckets: a batch of the packed rows
+    then has a bounded number of bytes, whatever its number of rows."""
+    size = np.nan_to_num(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)).astype(np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SENT, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _to_tiles(width: int, salts: int):
     """Each batch's documents, as packed sparse rows for each tile."""
     kind = _offset_type(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = TaskContext.get().partitionId() % salts
-        for batch in batches:
-            row, bucket = _lists(batch.column(1))
-            plane = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            at = bucket // width
-            own, n = {}, batch.num_rows
-            for x in np.unique(at).tolist():  # tiles' ranges, at most MOST_TILES
-                mine = at == x
-                own[x] = np.bincount(row[mine], minlength=n), (bucket[mine] - x * width).astype(kind), row[mine]
-            out = []
-            for x in own:
-                for y in (y for y in own if y >= x):
-                    (nx, bx, rx), (ny, by, ry) = own[x], own[y]
-                    both = (nx > 0) & (ny > 0)
-                    if both.any():
-                        out.append((x, y, salt, plane[both].tobytes(), nx[both].astype("<u4").tobytes(), bx[both[rx]].tobytes(),
-                                    *((b"", b"") if x == y else (ny[both].astype("<u4").tobytes(), by[both[ry]].tobytes()))))
-            if out:
-                kinds = [pa.int32()] * 3 + [pa.binary()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                 ["x", "y", "salt", "plane", "nx", "bx", "ny", "by"])
+        for whole in batches:
+            for batch in _cut(whole):
+                row, bucket = _lists(batch.column(1))
+                plane = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+                at = bucket // width
+                own, n = {}, batch.num_rows
+                for x in np.unique(at).tolist():  # tiles' ranges, at most MOST_TILES
+                    mine = at == x
+                    own[x] = np.bincount(row[mine], minlength=n), (bucket[mine] - x * width).astype(kind), row[mine]
+                out = []
+                for x in own:
+                    for y in (y for y in own if y >= x):
+                        (nx, bx, rx), (ny, by, ry) = own[x], own[y]
+                        both = (nx > 0) & (ny > 0)
+                        if both.any():
+                            out.append((x, y, salt, plane[both].tobytes(), nx[both].astype("<u4").tobytes(), bx[both[rx]].tobytes(),
+                                        *((b"", b"") if x == y else (ny[both].astype("<u4").tobytes(), by[both[ry]].tobytes()))))
+                if out:
+                    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                                     ["x", "y", "salt", "plane", "nx", "bx", "ny", "by"])
     return run
 
 
@@ -210,10 +225,53 @@ class _SortedCounts:
 class _Tile:
     def __init__(self, x: int, y: int, width: int, n_planes: int, planes: bool):
         self.x, self.y, self.width, self.n_planes, self.planes = x, y, width, n_planes, planes
+        self.held, self.n_held = [], 0
         size = width * width * n_planes
         self.block = np.zeros(size, np.int64) if width <= DENSE_TILE else None
         self.sorted = None if width <= DENSE_TILE else _SortedCounts()
 
+    def receive(self, packed: tuple, chunk: int) -> None:
+        """Documents of the tile: ``(plane, nx, bx, ny, by)``."""
+        self.held.append(packed)
+        self.n_held += len(packed[0])
+        if self.n_held >= TILE_DOCS:
+            self.flush(chunk)
+
+    def flush(self, chunk: int) -> None:
+        if not self.held:
+            return
+        plane, nx, bx, ny, by = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held, self.n_held = [], 0
+        same = self.x == self.y
+        if same:
+            ny, by = nx, bx
+        if self.block is not None and int(nx @ ny) * DENSE_GAIN > len(nx) * self.width ** 2:
+            self._product(plane, nx, bx, ny, by)
+            return
+        for codes in _codes(plane, nx, bx, ny, by, same, self.width, self.n_planes, chunk):
+            self.add(codes)
+
+    def _product(self, plane: np.ndarray, nx: np.ndarray, bx: np.ndarray, ny: np.ndarray, by: np.ndarray) -> None:
+        """Crowded documents: products of dense 0/1 blocks, plane by plane."""
+        counts = self.block.reshape(self.width, self.width, self.n_planes)
+        rows = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+        for p in np.unique(plane).tolist():
+            place = np.cumsum(plane == p) - 1
+            place[plane != p] = -1
+            sides = []
+            for row, b in zip(rows, (bx, by), strict=True):
+                at = place[row]
+                sides.append((at[at >= 0], b[at >= 0]))
+            for start in range(0, int(place.max()) + 1, BLOCK_ROWS):
+                dense = []
+                for at, b in sides:
+                    lo, hi = np.searchsorted(at, [start, start + BLOCK_ROWS])
+                    block = np.zeros((BLOCK_ROWS, self.width), np.float32)
+                    block[at[lo:hi] - start, b[lo:hi]] = 1.0
+                    dense.append(block)
+                g = np.rint(dense[0].T @ dense[1]).astype(np.int64)  # exact: counts < 2^24
+                counts[:, :, p] += np.triu(g) if self.x == self.y else g
+
     def add(self, codes: np.ndarray) -> None:
         if self.block is None:
             self.sorted.add(codes)
@@ -222,7 +280,8 @@ class _Tile:
         else:
             np.add.at(self.block, codes, 1)
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
+    def batches(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        self.flush(chunk)
         if self.block is not None:
             g = self.block.reshape(-1, self.n_planes)
             pair = np.flatnonzero(g.any(1))
@@ -250,17 +309,17 @@ def _tiled(rows: DataFrame, v: int, n_planes: int, planes: bool, salts: int | No
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, None
         for b in batches:
-            for x, y, salt, *packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            keys = zip(*[c.to_pylist() for c in b.columns[:3]], strict=True)
+            for (x, y, salt), *packed in zip(keys, *b.columns[3:], strict=True):
                 if key != (x, y, salt):
                     if tile is not None:
-                        yield from tile.batches()
+                        yield from tile.batches(chunk)
                     key, tile = (x, y, salt), _Tile(x, y, width, n_planes, planes)
-                plane, nx, bx, ny, by = (np.frombuffer(p, t) for p, t in zip(packed, ("<i4", "<u4", kind, "<u4", kind), strict=True))
+                plane, nx, bx, ny, by = (np.frombuffer(p.as_buffer(), t) for p, t in zip(packed, ("<i4", "<u4", kind, "<u4", kind), strict=True))
                 nx, ny = nx.astype(np.int64), ny.astype(np.int64)
-                for codes in _codes(plane, nx, bx, nx if x == y else ny, bx if x == y else by, x == y, width, n_planes, chunk):
-                    tile.add(codes)
+                tile.receive((plane, nx, bx, ny, by), chunk)
         if tile is not None:
-            yield from tile.batches()
+            yield from tile.batches(chunk)
 
     sent = rows.mapInArrow(_to_tiles(width, salts), _TILE_ROWS)
     out = (sent.repartition(max(1, min(parts, tiles * salts)), "x", "y", "salt").sortWithinPartitions("x", "y", "salt")
