@@ -156,3 +156,24 @@ def test_labels_and_odd_rows(spark):
         fit_minibatch_logistic(three.limit(0), 1, 32, 0.1)
     with pytest.raises(ValueError):
         fit_minibatch_logistic(three, 1, 1 << 25, 0.1)
+
+
+def test_packed_batches_are_the_mini_batches(monkeypatch):
+    """Every pass reads the mini-batches as they were cut, whatever the pieces;
+    none of a pass interprets term arrays."""
+    import pyarrow as pa
+
+    from textlens.operators import minibatch as M
+    given = pa.RecordBatch.from_arrays(
+        [pa.array([1.0, 0.0, 1.0, 0.0, 1.0]), pa.array([[0, 2], [], None, [1], [0, 1, 3]], pa.list_(pa.int64())),
+         pa.array([[1, 300], [], None, [2], [1, 1, 7]], pa.list_(pa.int64()))], ["label", "b", "tf"])
+    idf = np.arange(1.0, 5.0)
+    want = list(cut_batches(iter([given]), 2, idf, [1.0]))
+    for piece in (1, 2, 4096):
+        monkeypatch.setattr(M, "PIECE", piece)
+        packed = list(M.pack_batches(iter([given]), 2, 4, [1.0], 7))
+        got = list(M.read_batches(iter(packed), idf, 1))
+        assert [p for p, _ in got] == [7] * len(want)
+        for (_, g), w in zip(got, want, strict=True):
+            for name in ("row", "bucket", "value", "target"):
+                assert np.array_equal(getattr(g, name), getattr(w, name)), name

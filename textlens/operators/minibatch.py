@@ -17,6 +17,9 @@ Between mini-batches weights that should be 0 swing a little around it, and
 tasks drift apart. So the last ``whole`` passes take all examples as one
 mini-batch: the tasks only add up gradients, and one move is made of the sum.
 
+The mini-batches are cut once and written as rows of bytes, so a pass
+neither hashes nor unpacks a document's terms again.
+
 Weights and squares are dense (``MOST_WEIGHTS`` bounds buckets x models); beyond
 that the online learner keeps sparse ones.
 """
@@ -24,10 +27,12 @@ that the online learner keeps sparse ones.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ from textlens.operators.util import materialize
 from textlens.session import drop_paths
 
 MOST_WEIGHTS = 1 << 20
+PIECE = 4096  # entries of a packed row
 _TINY = 1e-12
 
 
@@ -99,6 +105,54 @@ def cut_batches(batches: Iterator[pa.RecordBatch], size: int, idf: np.ndarray, t
         yield batch(pa.Table.from_batches(held))
 
 
+_PACKED = "part int, batch int, size binary, bucket binary, tf binary, wide boolean, target binary"
+
+
+def pack_batches(batches: Iterator[pa.RecordBatch], size: int, v: int, targets: list[float], part: int) -> Iterator[pa.RecordBatch]:
+    """The mini-batches of one task, numbered, as rows of bytes that every pass reads
+    as they are: pieces of about ``PIECE`` entries, so that a batch of
+    rows has a bounded number of bytes."""
+    kind = np.dtype("<u2" if v <= 1 << 16 else "<i4")
+    for i, b in enumerate(cut_batches(batches, size, np.ones(v), targets)):
+        n = np.bincount(b.row, minlength=len(b.target))
+        ends, lo, out = np.cumsum(n), 0, []
+        while lo < len(n):
+            first = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, first + PIECE, "right")))
+            tf = b.value[first:ends[hi - 1]]
+            wide = bool(len(tf) and tf.max() > 255)
+            out.append((part, i, n[lo:hi].astype("<i4").tobytes(), b.bucket[first:ends[hi - 1]].astype(kind).tobytes(),
+                        tf.astype("<i8" if wide else "u1").tobytes(), wide, b.target[lo:hi].astype("u1").tobytes()))
+            lo = hi
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                                         ["part", "batch", "size", "bucket", "tf", "wide", "target"])
+
+
+def read_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray, n_models: int) -> Iterator[tuple[int, Batch]]:
+    """Packed mini-batches in order, each with the number of the task that cut it."""
+    kind = np.dtype("<u2" if len(idf) <= 1 << 16 else "<i4")
+
+    def batch(held: list[tuple]) -> Batch:
+        n, bucket, tf, target = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket = bucket.astype(np.int64)
+        return Batch(np.repeat(np.arange(len(n)), n), bucket, tf * idf[bucket], target.reshape(-1, n_models).astype(float))
+
+    now, held = None, []
+    for b in batches:
+        at = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for key, size, bucket, tf, wide, target in zip(at, *b.columns[2:], strict=True):
+            if key != now and held:
+                yield now[0], batch(held)
+                held = []
+            now = key
+            held.append((np.frombuffer(size.as_buffer(), "<i4"), np.frombuffer(bucket.as_buffer(), kind),
+                         np.frombuffer(tf.as_buffer(), "<i8" if wide.as_py() else "u1").astype(np.float64),
+                         np.frombuffer(target.as_buffer(), "u1")))
+    if held:
+        yield now[0], batch(held)
+
+
 def fit_minibatch_logistic(observations: DataFrame, n_gram: int, num_features: int, reg: float, batch_size: int = 1000,
                            rate: float = 0.1, passes: int = 250, whole: int = 10, tolerance: float = 1e-4) -> LinearModel:
     """Fit one model per label (of two labels the second is the first negated)
@@ -121,7 +175,8 @@ def fit_minibatch_logistic(observations: DataFrame, n_gram: int, num_features: i
     idf = np.full(v, float(idf_counts.first()["idf_default"]))
     known = idf_table.select("bucket", "idf").toArrow()  # at most v rows
     idf[known.column("bucket").to_numpy()] = known.column("idf").to_numpy()
-    rows = terms.select("label", F.transform("terms", lambda t: t["bucket"]).alias("b"), F.transform("terms", lambda t: t["tf"]).alias("tf"))
+    rows = terms.select("label", F.col("terms")["bucket"].alias("b"), F.col("terms")["tf"].alias("tf"))
+    rows = materialize(rows.mapInArrow(lambda it: pack_batches(it, batch_size, v, targets, TaskContext.get().partitionId()), _PACKED), made)
 
     def send(n: int, at: np.ndarray, arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
         """Rows of ``at`` (bucket v: the intercepts) and one, -1, for the number of examples."""
@@ -141,11 +196,11 @@ def fit_minibatch_logistic(observations: DataFrame, n_gram: int, num_features: i
 
     def one_pass(w0: np.ndarray, squares0: np.ndarray):
         def run(batches):
-            w, squares, n = w0.copy(), squares0.copy(), 0
-            for b in cut_batches(batches, batch_size, idf, targets):
-                step(w, squares, b.gradient(w), rate, reg)
-                n += len(b.target)
-            if n:
+            for _, own in groupby(read_batches(batches, idf, n_models), lambda e: e[0]):  # each cutting task by itself
+                w, squares, n = w0.copy(), squares0.copy(), 0
+                for _, b in own:
+                    step(w, squares, b.gradient(w), rate, reg)
+                    n += len(b.target)
                 at = np.flatnonzero(np.any((w != w0) | (squares != squares0), 1))
                 yield send(n, at, [(w - w0) * n, (squares - squares0) * n, (w != 0) * float(n)], ["w", "s", "some"])
         return run
@@ -153,7 +208,7 @@ def fit_minibatch_logistic(observations: DataFrame, n_gram: int, num_features: i
     def add_up(w: np.ndarray):
         def run(batches):
             g, n = np.zeros_like(w), 0
-            for b in cut_batches(batches, batch_size, idf, targets):
+            for _, b in read_batches(batches, idf, n_models):
                 g += b.gradient(w) * len(b.target)
                 n += len(b.target)
             if n:
