@@ -4,21 +4,25 @@ Removed is every byte covered by a ``window``-byte string that also starts in
 a document with a smaller id. A suffix array finds equal strings inside one
 shard, so Spark first brings together what can be equal:
 
-1. Anchors: in each window the ``GRAM``-byte string of least hash. Equal windows
-   have equal anchors. Each group of texts (``groups``) sends every anchor it
-   has once, and a digest of each whole text; anchors of one document alone
-   are dropped, texts that repeat a smaller id's whole text are done.
-2. Shards: around each shared anchor the bytes that its windows can cover go
-   to the anchor's shard, equal ones of a group once (those of larger ids are
-   done on the spot). In the shard the distinct pieces form one string; its
-   suffix array is built by induced sorting (``suffixes``), neighbours are
-   compared in permuted order, and equal windows get the least id that holds
-   them. Pieces that meet no other piece need no array. An anchor that more
-   than ``HOT_GROUPS`` groups share (the edge of a very common passage, with
-   other bytes around it in each document) would crowd a shard: its windows
-   are pieces of their own, dealt to sub-shards by their own bytes, and go the
-   same way there.
-3. The removed stretches go back to the groups.
+1. Copies: texts that repeat a smaller id's whole text are done, and send
+   nothing.
+2. Anchors: in each window the ``GRAM``-byte string of least hash, the first of
+   equal ones. Equal windows have equal anchors. Each group of texts
+   (``groups``) sends every anchor that it has, once for each distinct piece:
+   the bytes that the consecutive windows of the anchor cover. Anchors of one
+   document alone are dropped.
+3. Crowds: an anchor of more than ``HOT_PIECES`` pieces (the edge of a very
+   common passage, with other bytes around it in each document) would crowd a
+   shard. Its windows are pieces of their own, dealt to sub-shards by their own
+   bytes; groups first send four bytes of each window's digest, and then only
+   windows that another document has.
+4. Shards: pieces of shared anchors go to the anchor's shard, equal ones of a
+   group once (those of larger ids are done on the spot). In the shard the
+   distinct pieces form one string; its suffix array is built by induced
+   sorting (``suffixes``), neighbours are compared in permuted order, and equal
+   windows get the least id that holds them. Pieces that meet no other piece
+   need no array.
+5. The removed stretches go back to the groups.
 
 Texts are shuffled once. Shards and groups follow the bytes of the input; no
 step pairs occurrences.
@@ -36,6 +40,8 @@ returned is binary, as a removal may split a character. Columns ``n_bytes``,
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,14 +50,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlens.llm.common import read
-from textlens.llm.groups import GROUP_BYTES, by_bucket, deal, unpack, visit, visit_with
+from textlens.llm.groups import GROUP_BYTES, by_bucket, deal, unpack, visit_with
 from textlens.llm.suffixes import common_prefixes, suffix_array
 from textlens.llm.words import CHUNK, buffer_of, chunks, mix
 
-WINDOW, GRAM, HOT_GROUPS = 50, 20, 256
+WINDOW, GRAM = 50, 20
+HOT_PIECES = 10_000  # of up to 80 bytes: a fifth of what a shard holds besides
 _NULL, _ALONE = np.iinfo(np.int64).max, np.uint64(0x5851F42D4C957F2D)
-_WHOLE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("row", "<u4")])
-_PIECE = np.dtype([("key", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("size", "<u2"), ("places", "<u4")])
+_PIECE = np.dtype([("key", "<u4"), ("hash", "<u4"), ("doc", "<i8"), ("size", "<u2"), ("places", "<u4")])
 _SPAN = np.dtype([("at", "<u4"), ("n", "<u4")])
 
 
@@ -82,8 +88,15 @@ class Group:
 
 def anchors(g: Group, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all windows."""
-    w = window - GRAM + 1
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    at, h, _, _ = stretches(g, window)
+    at, first = np.unique(at, return_index=True)
+    return at, h[first]
+
+
+def stretches(g: Group, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors, and the stretches (from, to) that their
+    windows cover; each window has one anchor and is in one stretch."""
+    w, parts = window - GRAM + 1, [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for a, b, off in _pieces(g.offsets, window):
         m = b - a - GRAM + 1
         if b - a < window:
@@ -95,18 +108,17 @@ def anchors(g: Group, window: int) -> tuple[np.ndarray, np.ndarray]:
         h += eight(8) * np.uint64(0xD1342543DE82EF95)
         h ^= h >> np.uint64(31)
         h = mix(h + eight(GRAM - 8) * np.uint64(0xE7037ED1A0B428DB))
-        order = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)
-        least = _slide(np.minimum, order, w)  # of the window that starts here
+        order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
+        at = (_slide(np.minimum, order, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # anchor of the window that starts here
+        whole = np.ones(len(at), bool)
         for end in off[1:]:  # windows that cross the end of a text
-            least[max(end - window + 1, 0): end] = 0
-        wide = np.zeros(len(least) + 2 * (w - 1), np.uint32)
-        wide[w - 1: w - 1 + len(least)] = least
-        at = np.flatnonzero(_slide(np.maximum, wide, w) == order)  # least of some window that covers it
-        if len(places) > 1 and len(at):  # pieces of a long text overlap
-            at = at[at + a > places[-1][-1]] if len(places[-1]) else at
-        places.append(at + a)
-        hashes.append(h[at])
-    return np.concatenate(places), np.concatenate(hashes)
+            whole[max(end - window + 1, 0): end] = False
+        change = at[1:] != at[:-1]
+        first = np.flatnonzero(whole & np.concatenate([[True], change | ~whole[:-1]]))
+        last = np.flatnonzero(whole & np.concatenate([change | ~whole[1:], [True]]))
+        at = at[first]
+        parts.append((at + a, h[at], first + a, last + a + window))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _pieces(offsets: np.ndarray, window: int):
@@ -124,82 +136,154 @@ def _pieces(offsets: np.ndarray, window: int):
                 break
 
 
-def _repeated(g: Group, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the group: anchors, their places, the distinct ones, and which of
-    these more than one document has."""
-    at, h = anchors(g, window)
-    doc = g.doc[g.row_of(at)]
+def _repeated(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of values in documents: the distinct ones, which of these more than one
+    document has, and the number of each value among them."""
     o = np.lexsort((doc, h))
-    first = np.concatenate([[True], h[o][1:] != h[o][:-1]]) if len(o) else np.zeros(0, bool)
-    names = h[o][first]
+    first = np.concatenate([[True], h[o][1:] != h[o][:-1]])[: len(o)]
     start = np.flatnonzero(first)
     last = np.append(start[1:], len(o)) - 1 if len(o) else start
-    return at, h, names, doc[o][start] != doc[o][last]
+    which = np.empty(len(o), np.int64)
+    which[o] = np.cumsum(first) - 1
+    return h[o][first], doc[o][start] != doc[o][last], which
 
 
 def _short(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h) % np.uint64(n)).astype(np.int32)
+
+
+def _anchor_id(h: np.ndarray, n: int) -> np.ndarray:
+    """What a shard tells anchors apart by: its own number and the short hash."""
+    return _bucket(h, n).astype(np.uint64) << np.uint64(32) | _short(h)
+
+
+def _digests(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
+
+
+def whole_copies(rows: DataFrame, window: int) -> DataFrame:
+    """(``_db``, ``digest``, ``least``): whole texts of that group that more than
+    one id has, and the least of these."""
+    doc = F.coalesce(F.col("_id").cast("long"), F.lit(int(_NULL)))
+    long = rows.where(F.octet_length("_bytes") >= window).select("_db", F.unhex(F.md5("_bytes")).alias("digest"), doc.alias("doc"))
+    some = long.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("top"), F.collect_set("_db").alias("dbs"))
+    return some.where("top > least").select(F.explode("dbs").alias("_db"), "digest", "least")
+
+
+def _copies(g: Group, found: pa.Table, window: int) -> np.ndarray:
+    """Rows whose whole text a smaller id has."""
+    if not found.num_rows:
+        return np.zeros(0, np.uint32)
+    least = dict(zip(found.column("digest").to_pylist(), found.column("least").to_pylist(), strict=True))
+    long = np.flatnonzero(np.diff(g.offsets) >= window).tolist()
+    digest = lambda r: md5(g.text(r), usedforsecurity=False).digest()
+    return np.array([r for r in long if g.doc[r] > least.get(digest(r), _NULL)], np.uint32)
+
+
 def shared_anchors(rows: DataFrame, n: int, window: int, hot_groups: int) -> DataFrame:
-    """(``_db``, ``keys``: anchors shared with other groups, ``hot``: those with
-    very many, ``copies``: rows whose whole text a smaller id has), packed."""
-    def send(db: int, table: pa.Table) -> pa.Table:
-        g = Group(table)
-        _, _, names, _ = _repeated(g, window)
-        out = [(b, db, k.tobytes(), b"", b"") for b, k in
-               by_bucket((mix(names) % np.uint64(n)).astype(np.int32), _short(names))]
-        long = np.flatnonzero(np.diff(g.offsets) >= window)
-        whole = np.zeros(len(long), _WHOLE)
-        for i, r in enumerate(long.tolist()):
-            whole["a"][i], whole["b"][i] = np.frombuffer(xxhash.xxh3_128_digest(g.text(r)), "<u8")
-        whole["doc"], whole["row"] = g.doc[long], long
-        o = np.lexsort((whole["row"], whole["doc"], whole["b"], whole["a"]))
-        whole = whole[o]
-        new = np.concatenate([[True], (whole["a"][1:] != whole["a"][:-1]) | (whole["b"][1:] != whole["b"][:-1])])[: len(o)]
-        least = whole["doc"][np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))] if len(o) else whole["doc"]
-        copy = whole["doc"] > least
-        out += [(b, db, b"", x.tobytes(), b"") for b, x in
-                by_bucket((whole["a"][~copy] % np.uint64(n)).astype(np.int32), whole[~copy])]
-        out.append((db, db, b"", b"", whole["row"][copy].tobytes()))
-        return _table(out, ["bucket", "db", "keys", "whole", "known"])
+    """(``_db``, ``keys``: anchors shared with other groups, ``hot``: those of more
+    than ``hot_groups`` pieces, distinct in each group, ``copies``: rows whose
+    whole text a smaller id has), packed."""
+    def send(table: pa.Table, found: pa.Table) -> pa.Table:
+        names = ["bucket", "db", "keys", "known"]
+        if not table.num_rows:
+            return _table([], names)
+        db, g = table.column("_db")[0].as_py(), Group(table)
+        copies = _copies(g, found, window)
+        name, a, b, which = _anchors_left(g, window, copies)
+        own = np.bincount(which)
+        many = np.flatnonzero(own[which] > 1)  # places of anchors that occur again
+        piece = _digests(g.data.tobytes(), a[many], b[many])
+        o = np.lexsort((piece, which[many]))
+        again = np.concatenate([[False], (piece[o][1:] == piece[o][:-1]) & (which[many][o][1:] == which[many][o][:-1])])[: len(o)]
+        own -= np.bincount(which[many][o][again], minlength=len(name))
+        name = np.repeat(name, own)
+        out = [(k, db, x.tobytes(), b"") for k, x in by_bucket(_bucket(name, n), _short(name))]
+        out.append((db, db, b"", copies.tobytes()))
+        return _table(out, names)
 
     def meet(table: pa.Table) -> pa.Table:
         dbs = table.column("db").to_numpy()
-        spread = lambda parts: np.repeat(dbs, [len(x) for x in parts])
         out = [(int(d), b"", b"", k.tobytes()) for d, k in zip(dbs, unpack(table.column("known"), "<u4"), strict=True) if len(k)]
         parts = unpack(table.column("keys"), "<u4")
-        key, db = np.concatenate(parts), spread(parts)
-        _, which, groups = np.unique(key, return_inverse=True, return_counts=True)
-        groups = groups[which]  # every group sends a key once
-        some, hot = (groups > 1) & (groups <= hot_groups), groups > hot_groups
+        key, db = np.concatenate(parts), np.repeat(dbs, [len(x) for x in parts])
+        o = np.lexsort((db, key))
+        key, db = key[o], db[o]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        once = new | np.concatenate([[True], db[1:] != db[:-1]])[: len(key)]
+        which = np.cumsum(new) - 1
+        hot = (np.bincount(which) > hot_groups)[which] & once
+        some = (np.bincount(which[once]) > 1)[which] & once & ~hot
+        mine = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(32)
         out += [(d, k.tobytes(), b"", b"") for d, k in by_bucket(db[some], key[some])]
-        out += [(d, b"", k.tobytes(), b"") for d, k in by_bucket(db[hot], key[hot])]
-        parts = unpack(table.column("whole"), _WHOLE)
-        whole, db = np.concatenate(parts), spread(parts)
-        o = np.lexsort((whole["doc"], whole["b"], whole["a"]))
-        whole, db = whole[o], db[o]
-        if len(whole):
-            new = np.concatenate([[True], (whole["a"][1:] != whole["a"][:-1]) | (whole["b"][1:] != whole["b"][:-1])])
-            least = whole["doc"][np.maximum.accumulate(np.where(new, np.arange(len(whole)), 0))]
-            copy = whole["doc"] > least
-            out += [(d, b"", b"", r.tobytes()) for d, r in by_bucket(db[copy], whole["row"][copy])]
+        out += [(d, b"", k.tobytes(), b"") for d, k in by_bucket(db[hot], mine | key[hot])]
         return _table(out, ["_db", "keys", "hot", "copies"])
 
-    sent = visit(rows, send, "bucket int, db int, keys binary, whole binary, known binary")
+    sent = visit_with(rows, whole_copies(rows, window), send, "bucket int, db int, keys binary, known binary")
     return sent.groupBy("bucket").applyInArrow(meet, "_db int, keys binary, hot binary, copies binary")
 
 
+def _anchors_left(g: Group, window: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts that are no copies: the distinct anchors, the stretches (from,
+    to) of all, and the number of each one's anchor among the distinct ones."""
+    at, h, a, b = stretches(g, window)
+    left = ~np.isin(g.row_of(at), copies)
+    name, which = np.unique(h[left], return_inverse=True)
+    return name, a[left], b[left], which
+
+
+def shared_windows(rows: DataFrame, facts: DataFrame, n: int, window: int) -> DataFrame:
+    """(``_db``, ``windows``: short digests of windows of crowded anchors that
+    another group has as well)."""
+    def send(table: pa.Table, found: pa.Table) -> pa.Table:
+        names = ["bucket", "db", "keys"]
+        hot = _joined(found, "hot", "<u8")
+        if not table.num_rows or not len(hot):
+            return _table([], names)
+        db, g = table.column("_db")[0].as_py(), Group(table)
+        name, a, b, which = _anchors_left(g, window, _joined(found, "copies", "<u4"))
+        crowded = np.isin(_anchor_id(name, n), hot)[which]
+        at = _windows(a[crowded], b[crowded], window)
+        digest = np.unique(_digests(g.data.tobytes(), at, at + window))
+        return _table([(k, db, x.tobytes()) for k, x in by_bucket(_bucket(digest, n), _short(digest))], names)
+
+    def meet(table: pa.Table) -> pa.Table:
+        dbs, parts = table.column("db").to_numpy(), unpack(table.column("keys"), "<u4")
+        key, db = np.concatenate(parts), np.repeat(dbs, [len(x) for x in parts])
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        some = times[which] > 1
+        return _table([(d, k.tobytes()) for d, k in by_bucket(db[some], key[some])], ["_db", "windows"])
+
+    sent = visit_with(rows, facts, send, "bucket int, db int, keys binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "_db int, windows binary")
+
+
+def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *unpack(table.column(column), kind)])
+
+
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.table([pa.array(c, pa.int32() if n in ("bucket", "db", "_db") else pa.binary())
                      for n, c in zip(names, cols, strict=True)], names)
 
 
-def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_PIECES) -> DataFrame:
     """(``_db``, ``spans``: stretches of window starts to remove, packed)."""
+    sent = sent_pieces(rows, n, window, hot_groups)
+    return sent.groupBy("bucket").applyInArrow(lambda t: _shard(t, window), "_db int, spans binary")
+
+
+def sent_pieces(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_PIECES) -> DataFrame:
+    """What the groups send to the shards: (``bucket``, ``db``, ``heads``, ``bytes``,
+    ``places``: of pieces, ``known``: stretches of window starts known here)."""
     facts = shared_anchors(rows, n, window, hot_groups)
-    reach = window - GRAM
+    facts = facts.unionByName(shared_windows(rows, facts, n, window), allowMissingColumns=True)
 
     def send(table: pa.Table, found: pa.Table) -> pa.Table:
         names = ["bucket", "db", "heads", "bytes", "places", "known"]
@@ -207,26 +291,25 @@ def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GR
             return _table([], names)
         db, g = table.column("_db")[0].as_py(), Group(table)
         known = [np.zeros(0, _SPAN)]
-        copies = np.concatenate([np.zeros(0, np.uint32), *unpack(found.column("copies"), "<u4")]).astype(np.int64)
+        copies = _joined(found, "copies", "<u4").astype(np.int64)
         spans = np.zeros(len(copies), _SPAN)
         spans["at"], spans["n"] = g.offsets[copies], g.offsets[copies + 1] - g.offsets[copies] - window + 1
         known.append(spans)
-        at, h, own, several = _repeated(g, window)
-        hot = np.unique(np.concatenate([np.zeros(0, np.uint32), *unpack(found.column("hot"), "<u4")]))
-        keys = np.unique(np.concatenate([np.setdiff1d(_short(own[several]), hot), *unpack(found.column("keys"), "<u4")]))
-        done = np.zeros(g.n, bool)
-        done[copies] = True
+        at, h, left, right = stretches(g, window)
         row = g.row_of(at)
-        raw = g.data.tobytes()
-        digest = xxhash.xxh3_64_intdigest
-        left, right = np.maximum(g.offsets[row], at - reach), np.minimum(g.offsets[row + 1], at + window)
-        crowded = ~done[row] & _among(_short(h), hot)
-        alone, out = _windows(left[crowded], right[crowded], window), []
-        use = ~done[row] & _among(_short(h), keys)
+        stays = ~np.isin(row, copies)
+        at, h, row, left, right = at[stays], h[stays], row[stays], left[stays], right[stays]
+        own, several, which = _repeated(h, g.doc[row])
+        hot = np.isin(_anchor_id(own, n), _joined(found, "hot", "<u8"))
+        use = ((several | _among(_short(own), np.unique(_joined(found, "keys", "<u4")))) & ~hot)[which]
+        raw, out = g.data.tobytes(), []
+        alone = _windows(left[hot[which]], right[hot[which]], window)
+        own_digest = _digests(raw, alone, alone + window)
+        digest, several, which = _repeated(own_digest, g.doc[g.row_of(alone)])
+        shared = (several | _among(_short(digest), np.unique(_joined(found, "windows", "<u4"))))[which]
+        alone, own_digest = alone[shared], own_digest[shared]
         at, h, row, a, b = at[use], h[use], row[use], left[use], right[use]
-        piece = np.array([digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
-        piece = mix(piece ^ mix((at - a).astype(np.uint64)))  # the same bytes around the anchor
-        own_digest = np.array([digest(raw[x: x + window]) for x in alone.tolist()], np.uint64)
+        piece = mix(_digests(raw, a, b) ^ mix((at - a).astype(np.uint64)))  # the same bytes around the anchor
         piece, h = np.concatenate([piece, own_digest]), np.concatenate([h, mix(own_digest ^ _ALONE)])
         row, a, b = np.concatenate([row, g.row_of(alone)]), np.concatenate([a, alone]), np.concatenate([b, alone + window])
         doc = g.doc[row]
@@ -253,15 +336,14 @@ def removed_spans(rows: DataFrame, n: int, window: int, hot_groups: int = HOT_GR
         heads["size"], heads["places"] = b[lead] - a[lead], count
         places = a[o][~later].astype(np.uint32)
         first = np.concatenate([[0], np.cumsum(count)])
-        for k, i in by_bucket((mix(h[lead]) % np.uint64(n)).astype(np.int32), np.arange(len(head))):
+        for k, i in by_bucket(_bucket(h[lead], n), np.arange(len(head))):
             out.append((k, db, heads[i].tobytes(), b"".join([raw[x:y] for x, y in zip(a[lead[i]].tolist(), b[lead[i]].tolist(), strict=True)]),
                         np.concatenate([places[first[j]: first[j + 1]] for j in i.tolist()]).tobytes(), b""))
         out.append((db, db, b"", b"", b"", np.concatenate(known).tobytes()))
         return _table(out, names)
 
-    sent = visit_with(rows, facts, send,
+    return visit_with(rows, facts, send,
                       "bucket int, db int, heads binary, bytes binary, places binary, known binary")
-    return sent.groupBy("bucket").applyInArrow(lambda t: _shard(t, window), "_db int, spans binary")
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -274,7 +356,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _windows(left: np.ndarray, right: np.ndarray, window: int) -> np.ndarray:
     """Starts of all windows inside the stretches."""
     size = np.maximum(right - left - window + 1, 0)
-    return np.unique(np.repeat(left, size) + _count(size))
+    return np.repeat(left, size) + _count(size)
 
 
 def _other_bytes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, lead: np.ndarray, block: int = 1 << 20) -> np.ndarray:
@@ -312,7 +394,7 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
             other = _other_bytes(data, begin, heads["size"], lead[piece])
             if not len(other):
                 break
-            heads["hash"][other] += np.uint64(1)  # other bytes, same digest
+            heads["hash"][other] += np.uint32(1)  # other bytes, same digest
         least = heads["doc"][lead]
         windows = heads["size"][lead].astype(np.int64) - window + 1
         base = np.cumsum(windows) - windows
@@ -363,9 +445,10 @@ def _count(n: np.ndarray) -> np.ndarray:
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-                group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
+                group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_PIECES) -> DataFrame:
     """``docs`` with the kept bytes as ``text`` (binary), ``n_bytes`` (before),
-    ``n_removed`` and ``n_spans``."""
+    ``n_removed`` and ``n_spans``; anchors of more than ``hot_groups`` pieces,
+    distinct in each group, are crowded."""
     if window < GRAM + 8:
         raise ValueError(f"windows need {GRAM + 8} bytes at least")
     docs = docs.drop("n_bytes", "n_removed", "n_spans")
